@@ -20,6 +20,19 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM docs LEFT JOIN words USING (k) LEFT JOIN found USING (k)
 """
 
+_SPACED = r"regexp_extract_all(" + _FOLD + r", '[^\x20\x09-\x0D]+')"
+
+OP3 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_SPACED.format("coalesce(text, '')")} AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, md5(list_aggregate(w[i:i + least(4, len(w)) - 1], 'string_agg', ' ')) AS s FROM d, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS r(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, m.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) m USING (doc_id)
+"""
+
 OP5 = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 d AS (SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
@@ -60,4 +73,4 @@ SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS
 FROM p LEFT JOIN k ON p.source IS NOT DISTINCT FROM k.source AND p.copy = k.copy
 """
 
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1, "op5_warc": OP5, "op7_chat": OP7, "op10_mix": OP10}
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1, "op3_ngram_join": OP3, "op5_warc": OP5, "op7_chat": OP7, "op10_mix": OP10}

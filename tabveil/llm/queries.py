@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabveil.llm import chat, decontaminate, mixing, warc
+from tabveil.llm import chat, decontaminate, mixing, ngram_join, warc
 from tabveil.llm.common import new_folder, read_table
 from tabveil.llm.oracles import ORACLES
 
@@ -21,6 +21,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("decon_words").alias("n_words"), "n_hit", F.size("decon_items").cast("long").alias("n_items"), sha.alias("items_sha256"), "contaminated")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.jaccard_classes(docs, k=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")
     warc.write_warc(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
@@ -38,6 +43,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op3_ngram_join": op3_ngram_join,
     "op5_warc": op5_warc,
     "op7_chat": op7_chat,
     "op10_mix": op10_mix,
