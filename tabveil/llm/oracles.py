@@ -55,6 +55,15 @@ SELECT conv_id, CAST(pos AS BIGINT) AS pos, CAST(n_turns AS BIGINT) AS n_turns,
 FROM p JOIN kept USING (conv_id)
 """
 
+OP9 = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q, v c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
 OP10 = r"""
 WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(CAST(doc_id AS VARCHAR)) AS turn FROM documents),
 src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY source),
@@ -73,4 +82,4 @@ SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS
 FROM p LEFT JOIN k ON p.source IS NOT DISTINCT FROM k.source AND p.copy = k.copy
 """
 
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1, "op3_ngram_join": OP3, "op5_warc": OP5, "op7_chat": OP7, "op10_mix": OP10}
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1, "op3_ngram_join": OP3, "op5_warc": OP5, "op7_chat": OP7, "op9_topk": OP9, "op10_mix": OP10}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabveil.llm import chat, decontaminate, mixing, ngram_join, warc
+from tabveil.llm import chat, decontaminate, mixing, ngram_join, topk, warc
 from tabveil.llm.common import new_folder, read_table
 from tabveil.llm.oracles import ORACLES
 
@@ -36,6 +36,11 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse_and_render(read_table(spark, sf_dir, "conversations"))
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -46,5 +51,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_join": op3_ngram_join,
     "op5_warc": op5_warc,
     "op7_chat": op7_chat,
+    "op9_topk": op9_topk,
     "op10_mix": op10_mix,
 }
