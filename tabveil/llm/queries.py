@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabveil.llm import chat, decontaminate, mixing, ngram_join, topk, warc
+from tabveil.llm import chat, decontaminate, mixing, ngram_join, pii, quality, tokens, topk, warc
 from tabveil.llm.common import new_folder, read_table
 from tabveil.llm.oracles import ORACLES
 
+#: Where the public vocabularies are; a parameter of op4, since they are never copied.
+TOKENIZERS = "/opt/tokenizers"
+
 __all__ = ["ORACLES", "QUERIES"]
 
 
@@ -21,17 +24,35 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("decon_words").alias("n_words"), "n_hit", F.size("decon_items").cast("long").alias("n_items"), sha.alias("items_sha256"), "contaminated")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [pii.of_kind(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return ngram_join.jaccard_classes(docs, k=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_tokens(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.count_tokens(docs, tokens.load_pieces(f"{tokenizers}/piece_bpe_32k.model"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")
     warc.write_warc(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
     return warc.read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = quality.train(docs, read_table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    score = F.col("quality_score")
+    return quality.score_quality(docs, field).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse_and_render(read_table(spark, sf_dir, "conversations"))
 
@@ -48,8 +69,11 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_pii": op2_pii,
     "op3_ngram_join": op3_ngram_join,
+    "op4_tokens": op4_tokens,
     "op5_warc": op5_warc,
+    "op6_quality": op6_quality,
     "op7_chat": op7_chat,
     "op9_topk": op9_topk,
     "op10_mix": op10_mix,
