@@ -55,6 +55,22 @@ SELECT conv_id, CAST(pos AS BIGINT) AS pos, CAST(n_turns AS BIGINT) AS n_turns,
 FROM p JOIN kept USING (conv_id)
 """
 
+OP8 = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS raw, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS m FROM d, unnest(range(0, n - 99)) AS r(i)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY m ORDER BY doc_id, i) AS nth FROM w) WHERE nth > 1),
+marked AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, true) AS new FROM again),
+grouped AS (SELECT doc_id, i, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM marked),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM grouped GROUP BY doc_id, g),
+gaps AS (
+  SELECT doc_id, b AS a, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a), n) AS b FROM spans JOIN d USING (doc_id)
+  UNION ALL SELECT doc_id, 0, coalesce(min(a), any_value(n)) FROM d LEFT JOIN spans USING (doc_id) GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, CAST(2 * a + 1 AS BIGINT), CAST(2 * (b - a) AS BIGINT)), '' ORDER BY a) AS k FROM gaps JOIN d USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id) JOIN kept USING (doc_id)
+"""
+
 OP9 = """
 WITH v AS (
   SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
@@ -82,4 +98,4 @@ SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS
 FROM p LEFT JOIN k ON p.source IS NOT DISTINCT FROM k.source AND p.copy = k.copy
 """
 
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1, "op3_ngram_join": OP3, "op5_warc": OP5, "op7_chat": OP7, "op9_topk": OP9, "op10_mix": OP10}
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1, "op3_ngram_join": OP3, "op5_warc": OP5, "op7_chat": OP7, "op8_repeats": OP8, "op9_topk": OP9, "op10_mix": OP10}

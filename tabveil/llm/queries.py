@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabveil.llm import chat, decontaminate, mixing, ngram_join, pii, quality, tokens, topk, warc
+from tabveil.llm import chat, decontaminate, mixing, ngram_join, pii, quality, repeats, tokens, topk, warc
 from tabveil.llm.common import new_folder, read_table
 from tabveil.llm.oracles import ORACLES
 
@@ -57,6 +57,11 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse_and_render(read_table(spark, sf_dir, "conversations"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeats.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors, F.col("vec_id") % 20 == 0, k=20)
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_quality": op6_quality,
     "op7_chat": op7_chat,
+    "op8_repeats": op8_repeats,
     "op9_topk": op9_topk,
     "op10_mix": op10_mix,
 }
