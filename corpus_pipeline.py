@@ -1,5 +1,62 @@
-"""placeholder, replaced below"""
+"""The corpus pipeline: each stage works on all documents that the one before kept.
 
+STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. run() writes every
+stage's result as Parquet in the shared folder and reads it again as the next stage's documents.
+"""
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabveil.llm import decontaminate, mixing, ngram_join, pii, quality
+from tabveil.llm.common import new_folder, read_table
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line field does not predict to be bad."""
+    field = quality.train(docs, read_table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    scored = quality.score_quality(docs, field)
+    return scored.filter(F.col("quality_score") >= quality.THRESHOLD).select(*docs.columns)
+
+
+def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that five-word shingles with a similarity of 0.8 or more link."""
+    return ngram_join.keep_first(docs, k=5, percent=80)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth lies in windows of test items."""
+    found = decontaminate.contaminated(decontaminate.find_contamination(docs, read_table(spark, sf_dir, "benchmark")))
+    return found.filter(~F.col("contaminated")).select(*docs.columns)
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind."""
+    return pii.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, with mix_reads: how often it reads each."""
+    return mixing.mix_documents(docs)
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("n-gram Jaccard join", keep_first_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("PII", redact_pii),
+    ("mixing sources", mix_sources),
+]
+
+#: The classifier and the PII graph have no SQL form; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = new_folder(spark, "stage-" + name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
