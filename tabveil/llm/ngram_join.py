@@ -1,7 +1,7 @@
 """N-gram Jaccard join by a count-vector R-tree.
 
 A document is the set of hashes of its k-word shingles. Its point counts the shingles that fall into each of
-GROUPS hash groups; the sum of the coordinate-wise minima of two points is at least the sets' intersection, and
+64 hash groups (large sets: 256 or 1024, which fold to 64); the sum of the coordinate-wise minima of two points is at least the sets' intersection, and
 the same holds for a tree node's largest coordinates, so an R-tree over points finds all pairs that may link.
 
 1. Texts with equal sets become one vertex. A fixed-size table of document frequencies (2^20 hash slots) is
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabveil.llm.common import SPACE_WORDS, WordHashes, cut, mix64, shingles, small_batches
@@ -52,8 +52,32 @@ def slot_of(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(44)).astype(np.int64) & (SLOTS - 1)
 
 
+def groups_of(n: int) -> int:
+    """The spread of random counts falls below the difference that links allow only if groups grow with the set."""
+    return GROUPS if n < 256 else 4 * GROUPS if n < 2048 else 16 * GROUPS
+
+
 def point_of(tokens: np.ndarray) -> np.ndarray:
-    return np.bincount((tokens & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+    g = groups_of(len(tokens))
+    return np.bincount((tokens & np.uint64(g - 1)).astype(np.int64), minlength=g)
+
+
+def folded(point: np.ndarray, groups: int) -> np.ndarray:
+    """The point over fewer groups: group i is the sum of the groups that are i modulo their number."""
+    return point if len(point) == groups else point.reshape(-1, groups).sum(axis=0)
+
+
+def packed(point: np.ndarray, n: int) -> bytes:
+    return point.astype(np.uint16 if n < 1 << 16 else np.uint32).tobytes()
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, dtype=np.uint16 if n < 1 << 16 else np.uint32).astype(np.int32)
+
+
+def may_link(x: np.ndarray, y: np.ndarray, n: int, m: int, percent: int) -> bool:
+    g = min(len(x), len(y))
+    return int(np.minimum(folded(x, g), folded(y, g)).sum()) >= needed(n, m, percent)
 
 
 def needed(n, m, percent: int):
@@ -138,7 +162,7 @@ def _profile(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(SPACE_WORDS), np.zeros(SLOTS, dtype=np.uint32)
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("vertex", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("n", pa.int64()), ("vertex", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
         any_rows = False
         for batch in batches:
             n, vertex = [], []
@@ -149,11 +173,11 @@ def _profile(k: int):
                 vertex.append(vertex_of(tokens) if len(tokens) else None)
                 np.add.at(seen, slot_of(tokens), 1)
             none = pa.nulls(len(batch))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(vertex, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(n, pa.int64()), pa.array(vertex, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
         if any_rows:
             part = SLOTS // SLOT_BLOCKS
             for b in range(SLOT_BLOCKS):
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 3 + [pa.array([b], pa.int32()), pa.array([zlib.compress(seen[b * part : (b + 1) * part].tobytes(), 1)])], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 4 + [pa.array([b], pa.int32()), pa.array([zlib.compress(seen[b * part : (b + 1) * part].tobytes(), 1)])], schema=schema)
 
     return run
 
@@ -190,7 +214,7 @@ def _prefixes(k: int, percent: int, frequencies):
                 tokens_out.append(tokens_first.view(np.int64))
                 vertex_out.append(np.full(len(tokens_first), v, dtype=np.int64))
                 point_vertex.append(v)
-                points.append(point_of(tokens).tobytes())
+                points.append(packed(point_of(tokens), n))
                 sizes.append(n)
             if not tokens_out:
                 continue
@@ -239,12 +263,13 @@ def _block_edges(percent: int):
             if len(g) < 2:
                 continue
             vertex, n = g["vertex"].to_numpy(), g["n"].to_numpy()
-            points = np.frombuffer(b"".join(g["point"]), dtype=np.int32).reshape(len(g), GROUPS)
+            points = [unpacked(x, m) for x, m in zip(g["point"], n.tolist(), strict=True)]
+            near = lambda a, b, points=points, n=n: may_link(points[a], points[b], int(n[a]), int(n[b]), percent)
             if len(g) == 2:
-                pairs = [(0, 1)] if np.minimum(points[0], points[1]).sum() >= needed(n[0], n[1], percent) else []
+                pairs = [(0, 1)] if near(0, 1) else []
             else:
                 side = None if g["left"].iloc[0] == g["right"].iloc[0] else g["chunk"].to_numpy()
-                pairs = forest(points, n, side, percent, lambda a, b: True)
+                pairs = forest(np.stack([folded(x, GROUPS) for x in points]), n, side, percent, near)
             out += [(int(vertex[a]), int(vertex[b])) for a, b in pairs]
             if len(out) > 100_000:
                 yield _edges_frame(out)
@@ -295,9 +320,11 @@ def _cluster_edges(percent: int):
             vertex = g["vertex"].to_numpy()
             sets = [np.frombuffer(x, dtype=np.uint64) for x in g["tokens"]]
             n = np.array([len(x) for x in sets])
-            points = np.stack([point_of(x) for x in sets])
+            points = [point_of(x) for x in sets]
 
-            def linked(a: int, b: int, sets=sets) -> bool:
+            def linked(a: int, b: int, sets=sets, points=points) -> bool:
+                if not may_link(points[a], points[b], len(sets[a]), len(sets[b]), percent):
+                    return False
                 x, y = (sets[a], sets[b]) if len(sets[a]) <= len(sets[b]) else (sets[b], sets[a])
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
@@ -305,25 +332,26 @@ def _cluster_edges(percent: int):
                 return 100 * both >= percent * (len(x) + len(y) - both)
 
             side = None if g["left"].iloc[0] == g["right"].iloc[0] else g["chunk"].to_numpy()
-            yield _edges_frame([(int(vertex[a]), int(vertex[b])) for a, b in forest(points, n, side, percent, linked)])
+            yield _edges_frame([(int(vertex[a]), int(vertex[b])) for a, b in forest(np.stack([folded(x, GROUPS) for x in points]), n, side, percent, linked)])
 
     return run
 
 
 def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, vertex of every row of docs (needs doc_id and text).
+    """doc_id, n_shingles, component_id, tag, root of every row of docs (needs doc_id and text).
 
     Documents link when their sets of k-word shingles (words: runs of anything but ASCII white space, A-Z folded)
     have 100 * intersection >= percent * union; component_id is the smallest doc_id that links reach. Null and
     word-less texts have empty sets, link with nothing and keep their own doc_id. Rows that repeat an id or a
     text are documents of their own; a null doc_id never is a component's id unless all its ids are null. An
-    empty table gives an empty result; other columns are ignored. vertex names the set (null if empty).
+    empty table gives an empty result; other columns are ignored. tag is xxhash64 of the text; root names the
+    component (null for empty sets).
     """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = cut(texts.mapInArrow(_profile(k), "doc_id long, n long, vertex long, block int, counts binary"), "ngram-profile")
-    ids = seen.filter("block is null").select("doc_id", "n", "vertex")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"))
+    seen = cut(texts.mapInArrow(_profile(k), "doc_id long, tag long, n long, vertex long, block int, counts binary"), "ngram-profile")
+    ids = seen.filter("block is null").select("doc_id", "tag", "n", "vertex")
     slots = seen.filter("block is not null").select("block", "counts", F.pmod(F.xxhash64("counts"), F.lit(32)).alias("salt"))
     slots = slots.groupBy("block", "salt").applyInPandas(_add_up, "block int, counts binary").groupBy("block").applyInPandas(_add_up, "block int, counts binary")
     blobs = {r["block"]: zlib.decompress(r["counts"]) for r in slots.collect()}  # SLOT_BLOCKS rows of fixed size
@@ -361,9 +389,9 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     least = ids.filter("vertex is not null").groupBy("vertex").agg(F.min("doc_id").alias("least"))
     of_class = least.join(classes, "vertex", "left").select("vertex", "least", F.coalesce("root", "vertex").alias("root"))
     by_root = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = of_class.join(by_root, "root").select("vertex", "component_id")
+    of_class = of_class.join(by_root, "root").select("vertex", "root", "component_id")
     out = ids.join(of_class, "vertex", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "vertex")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "tag", "root")
 
 
 def _bit_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
