@@ -394,6 +394,25 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "tag", "root")
 
 
+def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs without all but one row of each component: the smallest doc_id stays (null last), of rows that share it
+    that of the smallest text hash, of equal rows one. Texts without words all stay."""
+    classes = cut(jaccard_classes(docs, k, percent).filter("root is not null").select("doc_id", "tag", "root"), "ngram-classes")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
+    best = classes.groupBy("root").agg(F.min(order).alias("best"))
+    lost = classes.join(best, "root").filter(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("tag") == F.col("best.tag"))))
+    lost = cut(lost.select(F.col("doc_id").alias("lost_id"), F.col("tag").alias("lost_tag")).distinct(), "ngram-lost")
+    tag = F.xxhash64(F.coalesce("text", F.lit("")))
+    kept = docs.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")) & (tag == F.col("lost_tag")), "left_anti")
+    again = classes.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("again_id"), F.col("tag").alias("again_tag"))
+    if again.isEmpty():
+        return kept
+    match = F.col("doc_id").eqNullSafe(F.col("again_id")) & (tag == F.col("again_tag"))
+    nth = F.row_number().over(Window.partitionBy("again_id", "again_tag").orderBy(F.lit(0)))
+    once = kept.join(again, match).withColumn("ngram_nth", nth).filter("ngram_nth = 1").select(*docs.columns)
+    return kept.join(again, match, "left_anti").unionByName(once)
+
+
 def _bit_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
         bit = _bit(part["vertex"].to_numpy())
