@@ -1,7 +1,7 @@
 """Removal of long byte strings that occur earlier in the corpus, by suffix arrays over shards.
 
-Windows of 100 bytes are what repeats. Every window is named by the smallest hash of its 20-byte grams, so equal
-windows have equal names, and consecutive windows of a text mostly share theirs: they form runs, some 2.3 per 100
+Windows of 100 bytes are what repeats. Every window is named by the smallest hash of its 40-byte grams, so equal
+windows have equal names, and consecutive windows of a text mostly share theirs: they form runs, some 3 per 100
 bytes. Only names that several runs have can hold repeats, and these decide where text has to meet:
 
 1. Texts with equal digests: all but the first are removed whole, if they have a window at all.
@@ -33,7 +33,7 @@ from tabveil.llm.ngram_join import _groups
 from tabveil.llm.suffix import permuted_lcp, suffix_array
 
 WINDOW = 100
-GRAM = 20
+GRAM = 40
 #: Windows that one gram can name, so the longest run without ties.
 REACH = WINDOW - GRAM + 1
 SHARD_BYTES = 1 << 20
@@ -148,7 +148,7 @@ def repeated_windows(texts: list[bytes], order: np.ndarray, width: int = WINDOW)
     """
     length = np.array([len(x) for x in texts])
     first = np.cumsum(length + 1) - (length + 1)
-    t = np.empty(int(length.sum()) + len(texts) + 1, dtype=np.int64)
+    t = np.empty(int(length.sum()) + len(texts) + 1, dtype=np.uint16)
     t[:-1] = np.frombuffer(b"\x00".join(texts) + b"\x00", dtype=np.uint8)
     t[:-1] += 2
     t[first + length] = 1  # ends a text

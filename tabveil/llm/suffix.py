@@ -58,25 +58,25 @@ def _scan(sa: np.ndarray, t: np.ndarray, take: np.ndarray, place: np.ndarray, wa
 
 def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, heads: np.ndarray, tails: np.ndarray) -> np.ndarray:
     """All suffixes from the given order of the leftmost S-types."""
-    sa = np.full(len(t), -1, dtype=np.int64)
+    sa = np.full(len(t), -1, dtype=np.int32)
     c = t[lms]
     order = np.argsort(c, kind="stable")
     c = c[order]
     last = np.searchsorted(c, c, side="right")
     sa[tails[c] - (last - 1 - np.arange(len(c)))] = lms[order]
     _scan(sa, t, ~s, heads.copy(), 1)
-    sa[1:][s[sa[1:]] & (sa[1:] >= 0)] = -1  # S-types but the sentinel come anew
+    sa[1:][s[sa[1:]]] = -1  # S-types but the sentinel come anew (an empty slot reads the sentinel's type)
     _scan(sa, t, s, tails.copy(), -1)
     return sa
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
-    """t: non-negative integers; the last one, 0, occurs only there."""
+    """t: non-negative integers; the last one, 0, occurs only there. Of 16 bits, t is sorted by radix."""
     n = len(t)
     if n == 1:
-        return np.zeros(1, dtype=np.int64)
+        return np.zeros(1, dtype=np.int32)
     s = classify(t)
-    lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
+    lms = (np.flatnonzero(s[1:] & ~s[:-1]) + 1).astype(np.int32)
     size = np.bincount(t)
     tails = np.cumsum(size) - 1
     heads = tails - size + 1
@@ -85,7 +85,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         is_lms = np.zeros(n, dtype=bool)
         is_lms[lms] = True
         ordered = sa[is_lms[sa]]
-        length = np.empty(n, dtype=np.int64)
+        length = np.empty(n, dtype=np.int32)
         length[lms[:-1]], length[lms[-1]] = lms[1:] - lms[:-1] + 1, 1
         # Neighbours in this order with equal substrings get equal names.
         a, b = ordered[:-1], ordered[1:]
@@ -95,8 +95,8 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
             if not len(at):
                 break
             same[at] = t[a[at] + d] == t[b[at] + d]
-        names = np.concatenate(([0], np.cumsum(~same)))
-        by_place = np.empty(n, dtype=np.int64)
+        names = np.concatenate(([0], np.cumsum(~same))).astype(np.int32)
+        by_place = np.empty(n, dtype=np.int32)
         by_place[ordered] = names
         reduced = by_place[lms]
         lms = lms[np.argsort(reduced) if names[-1] == len(lms) - 1 else suffix_array(reduced)]
@@ -110,18 +110,18 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     before it, so only the others, the irreducible ones, are compared.
     """
     n = len(t)
-    before = np.full(n, -1, dtype=np.int64)
+    before = np.full(n, -1, dtype=np.int32)
     before[sa[1:]] = sa[:-1]
-    place = np.arange(n)
+    place = np.arange(n, dtype=np.int32)
     lone = (place == 0) | (before <= 0)
     lone |= t[place - 1] != t[np.maximum(before - 1, 0)]
     at = np.flatnonzero(lone & (before >= 0))
-    exact = np.zeros(n, dtype=np.int64)
+    exact = np.zeros(n, dtype=np.int32)
     # Positions up to the next irreducible one subtract from the value found here, so that many more count.
     irreducible = np.flatnonzero(lone)
     reach = np.zeros(n, dtype=np.int64)
     reach[irreducible] = np.diff(np.append(irreducible, n)) + most
-    padded = np.concatenate([t, np.arange(-1, -1 - STRIDE, -1)])
+    padded = np.concatenate([t.astype(np.int32), np.arange(-1, -1 - STRIDE, -1, dtype=np.int32)])
     live, d = at, 0
     while len(live):
         x, y = live + d, before[live] + d
