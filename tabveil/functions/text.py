@@ -37,7 +37,8 @@ def has_value(v: Column) -> Column:
 
 
 def trim(v: Column) -> Column:
-    return F.regexp_replace(v, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    edge = F.concat(F.substring(v, 1, 1), F.substring(v, -1, 1)).rlike(f"[{SPACE}]")
+    return F.when(edge, F.regexp_replace(v, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")).otherwise(v)
 
 
 def utf16_length(v: Column) -> Column:
@@ -90,15 +91,18 @@ def is_state(v: Column) -> Column:
 
 
 def number_shape(v: Column) -> Column:
-    """struct(is_integer, scale, thousands, currency, parentheses) of a number, or null."""
-    part = lambda i: F.regexp_extract(trim(v), NUMBER, i)
+    """struct(is_integer, scale, thousands, currency, parentheses) of a number, or null.
 
-    def shape(p: Column) -> Column:
-        fine = ((p["whole"] != "") | (p["fraction"] != "")) & ((p["open"] == "") == (p["close"] == "")) & ((p["sign1"] == "") | (p["sign2"] == ""))
-        return F.when(fine, F.struct((p["fraction"] == "").alias("is_integer"), F.length(p["fraction"]).alias("scale"), F.contains(p["whole"], F.lit(",")).alias("thousands"), (p["currency"] != "").alias("currency"), (p["open"] != "").alias("parentheses")))
+    One match decides whether the text is a number; what it looks like then follows from single characters.
+    """
 
-    parts = F.struct(*[part(i).alias(n) for i, n in enumerate(("open", "sign1", "currency", "sign2", "whole", "fraction", "close"), 1)])
-    return F.when(trim(v).rlike(NUMBER), let(parts, shape))
+    def shape(t: Column) -> Column:
+        has = lambda c: F.contains(t, F.lit(c))
+        fine = has_digit(t) & t.rlike(NUMBER) & (t.startswith("(") == t.endswith(")")) & ~t.rlike(r"[-+]\$?[-+]")
+        fraction = F.when(has("."), F.length(F.rtrim(F.substring_index(t, ".", -1), F.lit(")")))).otherwise(0)
+        return F.when(fine, F.struct((~has(".")).alias("is_integer"), fraction.alias("scale"), has(",").alias("thousands"), has("$").alias("currency"), has("(").alias("parentheses")))
+
+    return F.when(has_digit(v), let(trim(v), shape))
 
 
 def copy_case(source: Column, fake: Column) -> Column:
