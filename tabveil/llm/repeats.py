@@ -6,8 +6,8 @@ bytes. Only names that several runs have can hold repeats, and these decide wher
 
 1. Texts with equal digests: all but the first are removed whole, if they have a window at all.
 2. Runs meet by name. Of runs with equal bytes all but the first repeat it whole. A name with one text is done.
-3. The first runs of names with several texts (and runs that may repeat themselves) bring their
-   bytes to a shard, where an induced-sorting suffix array and its permuted common prefixes find equal windows;
+3. The first runs of names with several texts (and runs that may repeat themselves, less what they
+   repeat at a fixed distance, as periodic text does) bring their bytes to a shard, where an induced-sorting suffix array and its permuted common prefixes find equal windows;
    of each class of equal windows all but the first are repeats.
 4. Names with more texts than a shard should hold go on as digests of their single windows instead, which meet by value; that is exact as well and no task holds such a name whole.
 
@@ -114,8 +114,29 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(np.array(keys, dtype=np.int64)[text]), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(loops)], names=["name", "digest", "key", "start", "windows", "loops"])
 
 
+def unlooped(text: bytes) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(stretches of windows to compare, stretches of windows that repeat an earlier one of this text).
+
+    If a gram in the middle comes again after p bytes, every window that equals the one p bytes before it is a
+    repeat; it need not be compared either, since what it could show, the earlier one shows.
+    """
+    n = len(text) - WINDOW + 1
+    middle = n // 2
+    p = text.find(text[middle : middle + GRAM], middle + 1) - middle
+    if not 0 < p < n:
+        return [(0, n)], []
+    b = np.frombuffer(text, dtype=np.uint8)
+    same = np.concatenate(([0], np.cumsum(b[p:] == b[:-p])))
+    again = np.zeros(n, dtype=bool)
+    again[p:] = same[WINDOW:] - same[:-WINDOW] == WINDOW
+    edge = np.concatenate(([0], np.flatnonzero(again[1:] != again[:-1]) + 1, [n]))
+    pieces = list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
+    return [x for x in pieces if not again[x[0]]], [x for x in pieces if again[x[0]]]
+
+
 def _to_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the wanted runs for their shards; digests of single windows for the runs of large names."""
+    """The bytes of the wanted runs for their shards; digests of single windows for the runs of large names; and, with
+    shard -1 and the end in w1, ranges that a run repeats within itself."""
     schema = pa.schema([("shard", pa.int32()), ("key", pa.int64()), ("start", pa.int32()), ("bytes", pa.binary()), ("w1", pa.int64()), ("w2", pa.int64())])
     for batch in batches:
         shard, key, start, data, high, low = [], [], [], [], [], []
@@ -126,17 +147,21 @@ def _to_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, text, wanted in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
             raw = (text or "").encode("utf-8", "surrogatepass")
             for w in wanted:
-                a, b = w["start"], w["start"] + w["windows"] + WINDOW - 1
-                if w["shard"] is not None:
-                    shard.append(w["shard"]), key.append(k), start.append(a), data.append(raw[a:b]), high.append(None), low.append(None)
-                    continue
-                for i in range(a, b - WINDOW + 1):
-                    d = xxhash.xxh3_128_intdigest(raw[i : i + WINDOW])
-                    shard.append(None), key.append(k), start.append(i), data.append(None)
-                    high.append((d >> 64) - (1 << 63)), low.append((d & (1 << 64) - 1) - (1 << 63))
-                    if len(key) >= 50_000:
-                        yield flush()
-                        shard, key, start, data, high, low = [], [], [], [], [], []
+                at, n = w["start"], w["windows"]
+                keep, again = unlooped(raw[at : at + n + WINDOW - 1]) if w["loops"] else ([(0, n)], [])
+                for a, b in again:
+                    shard.append(-1), key.append(k), start.append(at + a), data.append(None), high.append(at + b + WINDOW - 1), low.append(None)
+                for a, b in keep:
+                    if w["shard"] is not None:
+                        shard.append(w["shard"]), key.append(k), start.append(at + a), data.append(raw[at + a : at + b + WINDOW - 1]), high.append(None), low.append(None)
+                        continue
+                    for i in range(at + a, at + b):
+                        d = xxhash.xxh3_128_intdigest(raw[i : i + WINDOW])
+                        shard.append(None), key.append(k), start.append(i), data.append(None)
+                        high.append((d >> 64) - (1 << 63)), low.append((d & (1 << 64) - 1) - (1 << 63))
+                        if len(key) >= 50_000:
+                            yield flush()
+                            shard, key, start, data, high, low = [], [], [], [], [], []
         yield flush()
 
 
@@ -234,22 +259,23 @@ def _keyed_repeats(docs: DataFrame) -> DataFrame:
     place = Window.partitionBy("name", "digest").orderBy("key", "start")
     rows = rows.repartition(parts, "name").withColumn("first", F.row_number().over(place) == 1)
     rows = rows.withColumn("texts", F.sum(F.col("first").cast("int")).over(Window.partitionBy("name")))
-    known = cut(rows.filter(~F.col("first") | (F.col("texts") > 1) | F.col("loops")).select("name", "key", "start", "windows", "first", "texts"), "repeats-runs")
+    known = cut(rows.filter(~F.col("first") | (F.col("texts") > 1) | F.col("loops")).select("name", "key", "start", "windows", "loops", "first", "texts"), "repeats-runs")
     _release(spark)
     whole = known.filter(~F.col("first")).select("key", F.col("start").alias("a"), (F.col("start") + F.col("windows") + WINDOW - 1).alias("b"))
     wanted = known.filter("first")
     size = wanted.filter(F.col("texts") <= SHARD_TEXTS).agg(F.sum(F.col("windows") + WINDOW)).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
     shard = F.when(F.col("texts") <= SHARD_TEXTS, F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int"))
-    wanted = wanted.groupBy("key").agg(F.collect_list(F.struct(shard.alias("shard"), "start", "windows")).alias("wanted"))
+    wanted = wanted.groupBy("key").agg(F.collect_list(F.struct(shard.alias("shard"), "start", "windows", "loops")).alias("wanted"))
     places = docs.join(wanted, "key").select("key", "text", "wanted").mapInArrow(_to_places, "shard int, key long, start int, bytes binary, w1 long, w2 long")
     places = cut(places, "repeats-places")
     _release(spark)
-    dealt = places.filter("shard is not null").select("shard", "key", "start", "bytes").repartition(max(parts, min(shards, 20_000)), "shard").sortWithinPartitions("shard", "key", "start")
+    dealt = places.filter("shard >= 0").select("shard", "key", "start", "bytes").repartition(max(parts, min(shards, 20_000)), "shard").sortWithinPartitions("shard", "key", "start")
     found = dealt.mapInPandas(_shards, "key long, a int, b int")
     nth = F.row_number().over(Window.partitionBy("w1", "w2").orderBy("key", "start"))
     single = places.filter("shard is null").select("w1", "w2", "key", "start").withColumn("nth", nth).filter("nth > 1").select("key", F.col("start").alias("a"), (F.col("start") + WINDOW).alias("b"))
-    ranges = cut(whole.unionByName(found).unionByName(single), "repeats-ranges")
+    inner = places.filter("shard = -1").select("key", F.col("start").alias("a"), F.col("w1").cast("int").alias("b"))
+    ranges = cut(whole.unionByName(inner).unionByName(found).unionByName(single), "repeats-ranges")
     _release(spark)
     per_text = ranges.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     out = docs.join(per_text, "key", "left").join(copies, "key", "left").select("key", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "ranges")
