@@ -278,3 +278,9 @@ def write_delimited(records: DataFrame, dialect: Dialect, folder: str) -> None:
             yield pd.DataFrame({"name": [name], "bytes": [len(data)]})
 
     dealt.mapInPandas(run, "name string, bytes long").write.parquet(f"{folder}/_parts")
+
+
+def masked_name(name: str) -> str:
+    """The name of the masked copy of a file: <stem>_masked and .csv, .txt or .tsv as before, else .csv."""
+    stem, dot, kind = name.rpartition(".")
+    return f"{stem if dot else name}_masked.{kind.lower() if kind.lower() in ('csv', 'txt', 'tsv') else 'csv'}"

@@ -268,3 +268,12 @@ def test_streams(spark, tmp_path):
     assert got == sorted((i + 2, *r) for i, r in enumerate(outputs(masking.mask(df, plan, KEY), "day", "amount")))
     with pytest.raises(PlanError):
         mask_stream(stream, Plan({"day": Rule("HashId"), "amount": Rule("Keep")}), KEY)
+
+
+def test_plan_helpers():
+    assert model.shared_domains({"a": "b", "b": "c", "x": "y", "y": "x"}) == {"a": "c", "b": "c", "x": "y", "y": "x"}
+    plan = Plan({"id": Rule("HashId"), "city": Rule("Fake", FakeOptions("City")), "name": Rule("Fake", FakeOptions("PersonFull"))}, (EntityGroup("id", ("city", "name")),))
+    assert model.strategy_tally(plan) == {"HashId": 1, "Fake": 2}
+    notes = model.link_notes(plan, {"id": 100, "city": 5, "name": 90})
+    assert "distribution" in notes["city"] and "same invented person" in notes["name"]
+    assert [delimited.masked_name(n) for n in ("a.csv", "b.TSV", "c", "d.xlsx")] == ["a_masked.csv", "b_masked.tsv", "c_masked.csv", "d_masked.csv"]
