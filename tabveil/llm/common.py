@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch handed to Python; long texts make larger ones dangerous for a worker's memory.
 ARROW_ROWS = 256
@@ -35,6 +36,25 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a table of ids is broadcast; some tens of MB. Larger ones are shuffled with the texts.
+BROADCAST_ROWS = 500_000
+
+
+def hinted(ids: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """ids (a materialised table of a few numbers a row), to be broadcast if it was counted to be small enough."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """names, with underscores added to those that df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Bounds the rows of the Arrow batches that Python tasks of this session get."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabveil.llm.common import cut
+from tabveil.llm.common import cut, free_names, hinted
 
 #: Weights of the sources in code-point order (null last), repeated as often as needed.
 WEIGHTS = (5, 2, 1)
@@ -79,8 +79,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most_reads: in
     reads = reads.withColumn("time", F.least(F.floor(F.col("finish") * TIME_SLICES), F.lit(4 * TIME_SLICES)))
     by_time = reads.groupBy("time").agg(F.sum("size").alias("words"))
     all_time = Window.partitionBy(F.lit(0)).orderBy("time")
-    total = targets.agg(F.floor(F.sum("target") + 1e-6).alias("total"))
-    by_time = by_time.select("time", "words", F.sum("words").over(all_time).alias("end")).crossJoin(F.broadcast(total))
+    total = targets.agg(F.floor(F.sum("target") + 1e-6)).first()[0] or 0
+    by_time = by_time.select("time", "words", F.sum("words").over(all_time).alias("end"), F.lit(total).alias("total"))
     # Whole slices of time before the budget's end need no order; only the slice that holds the end is sorted.
     by_time = by_time.filter("end - words < total").select("time", (F.col("end") <= F.col("total")).alias("whole"), (F.col("total") - F.col("end") + F.col("words")).alias("left"))
     reads = reads.join(by_time, "time")
@@ -97,15 +97,23 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most_reads: in
 
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix's documents with all their columns, and mix_reads: how often the mix reads each (1 or more)."""
-    chosen = mix(docs, **how).filter("taken > 0")
-    chosen = chosen.select(F.col("doc_id").alias("k_id"), F.col("source").alias("k_source"), F.col("size").alias("k_size"), F.col("copy").alias("k_copy"), F.expr("cast(taken / size as int)").alias("mix_reads"))
-    # Rows that repeat an id, source and size are told apart by a number; which of them gets which does not matter
-    # to the mix, since the order among them is free.
-    alike = Window.partitionBy("doc_id", "source", "k_size").orderBy(F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = docs.drop("mix_reads").withColumn("k_size", word_count(F.col("text")))
-    nth_taken = Window.partitionBy("k_id", "k_source", "k_size").orderBy("k_copy")
-    chosen = chosen.withColumn("k_nth", F.row_number().over(nth_taken)).withColumnRenamed("k_size", "c_size").drop("k_copy")
-    rows = rows.withColumn("k_nth_row", F.row_number().over(alike))
-    on = F.col("doc_id").eqNullSafe(F.col("k_id")) & F.col("source").eqNullSafe(F.col("k_source")) & (F.col("k_size") == F.col("c_size")) & (F.col("k_nth_row") == F.col("k_nth"))
-    return rows.join(chosen, on).select(*[c for c in docs.columns if c != "mix_reads"], "mix_reads")
+    """The mix's documents with all their columns, and mix_reads: how often the mix reads each (1 or more).
+
+    Documents are found again by doc_id; the ids go to the texts where they are few enough, so that texts stay in
+    place. Where ids repeat, rows of equal id, source and size are told apart by a number: which of them gets
+    which does not matter, since the order among them is free.
+    """
+    mixed = cut(mix(docs, **how), "mix-result")
+    columns = [c for c in docs.columns if c != "mix_reads"]
+    reads = F.expr("cast(taken / size as int)").alias("mix_reads")
+    chosen = mixed.filter("taken > 0")
+    id_, source, size, nth_, d_size, d_nth = free_names(docs, "mix_id", "mix_source", "mix_size", "mix_nth", "mix_own_size", "mix_own_nth")
+    if mixed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        ids = cut(chosen.select(F.col("doc_id").alias(id_), reads), "mix-ids")
+        return docs.select(*columns).join(hinted(ids), F.col("doc_id").eqNullSafe(F.col(id_))).select(*columns, "mix_reads")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("copy"))
+    chosen = chosen.select(F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("size").alias(size), nth.alias(nth_), reads)
+    rows = docs.select(*columns).withColumn(d_size, word_count(F.col("text")))
+    rows = rows.withColumn(d_nth, F.row_number().over(Window.partitionBy("doc_id", "source", d_size).orderBy(F.xxhash64(F.coalesce("text", F.lit(""))))))
+    on = F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(d_size) == F.col(size)) & (F.col(d_nth) == F.col(nth_))
+    return rows.join(chosen, on).select(*columns, "mix_reads")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabveil.llm.common import SPACE_WORDS, WordHashes, cut, mix64, shingles, small_batches
+from tabveil.llm.common import SPACE_WORDS, WordHashes, cut, free_names, hinted, mix64, shingles, small_batches
 from tabveil.llm.components import components
 
 GROUPS = 64
@@ -401,15 +401,15 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
     best = classes.groupBy("root").agg(F.min(order).alias("best"))
     lost = classes.join(best, "root").filter(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("tag") == F.col("best.tag"))))
-    lost = cut(lost.select(F.col("doc_id").alias("lost_id"), F.col("tag").alias("lost_tag")).distinct(), "ngram-lost")
-    tag = F.xxhash64(F.coalesce("text", F.lit("")))
-    kept = docs.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")) & (tag == F.col("lost_tag")), "left_anti")
-    again = classes.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("again_id"), F.col("tag").alias("again_tag"))
+    id_, tag, nth = free_names(docs, "ngram_id", "ngram_tag", "ngram_nth")
+    lost = cut(lost.select(F.col("doc_id").alias(id_), F.col("tag").alias(tag)).distinct(), "ngram-lost")
+    match = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(tag))
+    kept = docs.join(hinted(lost), match, "left_anti")
+    again = classes.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias(id_), F.col("tag").alias(tag))
     if again.isEmpty():
         return kept
-    match = F.col("doc_id").eqNullSafe(F.col("again_id")) & (tag == F.col("again_tag"))
-    nth = F.row_number().over(Window.partitionBy("again_id", "again_tag").orderBy(F.lit(0)))
-    once = kept.join(again, match).withColumn("ngram_nth", nth).filter("ngram_nth = 1").select(*docs.columns)
+    first = F.row_number().over(Window.partitionBy(id_, tag).orderBy(F.lit(0)))
+    once = kept.join(again, match).withColumn(nth, first).filter(F.col(nth) == 1).select(*docs.columns)
     return kept.join(again, match, "left_anti").unionByName(once)
 
 

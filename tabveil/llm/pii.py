@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabveil.llm.common import cut, small_batches
+from tabveil.llm.common import cut, hinted, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -195,7 +195,7 @@ def of_kind(spans: Column, kind: str) -> Column:
 def _redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        for text, spans in zip(batch.column("text").to_pylist(), batch.column("pii_spans").to_pylist(), strict=True):
             if text and spans:
                 parts, at = [], 0
                 for s in spans:
@@ -204,7 +204,7 @@ def _redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at = max(at, s["end"])
                 text = "".join([*parts, text[at:]])
             texts.append(text)
-        names = [c for c in batch.schema.names if c != "spans"]
+        names = [c for c in batch.schema.names if c != "pii_spans"]
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
 
 
@@ -214,8 +214,8 @@ def redact(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     Spans meet their texts by doc_id and a hash of the text; rows equal in both get the same spans.
     """
     key = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("pii_key"), "text")
-    spans = find_pii(key, rounds).filter(F.size("spans") > 0).select(F.col("doc_id").alias("pii_id"), "pii_key", "spans").dropDuplicates(["pii_id", "pii_key"])
+    spans = find_pii(key, rounds).filter(F.size("spans") > 0).select(F.col("doc_id").alias("pii_id"), "pii_key", F.col("spans").alias("pii_spans")).dropDuplicates(["pii_id", "pii_key"])
     spans = cut(spans.withColumnRenamed("pii_key", "pii_key2"), "pii-spans")
     rows = docs.withColumn("pii_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("pii_id")) & (F.col("pii_key") == F.col("pii_key2")), "left").select(*docs.columns, "spans")
+    rows = rows.join(hinted(spans), F.col("doc_id").eqNullSafe(F.col("pii_id")) & (F.col("pii_key") == F.col("pii_key2")), "left").select(*docs.columns, "pii_spans")
     return rows.mapInArrow(_redacted, docs.schema)
