@@ -25,8 +25,8 @@ from tabveil.llm.common import cut, small_batches
 SAMPLE = 4096
 PIVOTS = 16
 CELL_ROWS = 4096
-#: Most cells; what is broadcast is a row of four numbers for each. Beyond, cells get larger.
-MOST_CELLS = 100_000
+#: Rings of a pivot at most; what is broadcast is a row of five numbers for each. Beyond, rings get wider.
+MOST_RINGS = 256
 QUERY_BLOCK = 2048
 ANNULUS_ROWS = 256
 SLACK = 1e-6
@@ -80,7 +80,7 @@ def _keyed(pivots, width: int, most: float):
 
 
 def _first_bound(k: int, width: int):
-    """For each query of a cell: the k-th best score among the cell's points, null if it has fewer."""
+    """For each query of a cell's chunk: the k-th best score among its points, null if it has fewer."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         q = pdf[pdf["asks"]]
@@ -114,7 +114,10 @@ def _routed(pivots, cells, width: int, most: float, blocks: int):
                 at = d[:, c["pivot"]]
                 low = np.maximum(np.maximum(at - c["high"], c["low"] - at), 0.0)
                 rows, cols = np.nonzero(low <= (far * (1 + SLACK) + SLACK)[:, None])
-                yield pd.DataFrame({"cell": c["cell"][cols], "block": (q["point"].to_numpy()[rows] % blocks).astype("int32"), "point": q["point"].to_numpy()[rows], "v": q["v"].to_numpy()[rows], "bound": q["bound"].to_numpy()[rows], "d": at[rows, cols]})
+                many = c["chunks"][cols]
+                chunk = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                rows, cols = np.repeat(rows, many), np.repeat(cols, many)
+                yield pd.DataFrame({"cell": c["cell"][cols], "chunk": chunk.astype("int32"), "block": (q["point"].to_numpy()[rows] % blocks).astype("int32"), "point": q["point"].to_numpy()[rows], "v": q["v"].to_numpy()[rows], "bound": q["bound"].to_numpy()[rows], "d": at[rows, cols]})
 
     return run
 
@@ -199,22 +202,24 @@ def top_k(vectors: DataFrame, asks, k: int = 20, scale: int = 64) -> DataFrame:
 
     counts = keyed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("r", [i / 256 for i in range(1, 256)], 4096).alias("q"))
     found = counts.orderBy("pivot").collect()  # PIVOTS rows at most
-    total = sum(r["n"] for r in found)
-    size = max(CELL_ROWS, total // MOST_CELLS)
-    edges = {r["pivot"]: sorted({r["q"][max(0, min(254, round(256 * i / c) - 1))] for i in range(1, c)}) for r in found for c in [min(256, -(-r["n"] // size))]}
+    edges = {r["pivot"]: sorted({r["q"][max(0, min(254, round(256 * i / c) - 1))] for i in range(1, c)}) for r in found for c in [min(MOST_RINGS, -(-r["n"] // CELL_ROWS))]}
     table = F.create_map(*[x for p, e in edges.items() for x in (F.lit(p), F.array(*[F.lit(float(v)) for v in e]).cast("array<double>"))])
     ring = F.size(F.filter(table[F.col("pivot")], lambda e: e < F.col("r")))
-    celled = keyed.withColumn("cell", F.col("pivot") * 256 + ring)
-    cells = celled.groupBy("cell").agg(F.first("pivot").alias("pivot"), F.min("r").alias("low"), F.max("r").alias("high")).collect()  # 256 a pivot at most
-    as_arrays = {n: np.array([r[n] for r in cells]) for n in ("cell", "pivot", "low", "high")}
+    celled = keyed.withColumn("cell", F.col("pivot") * MOST_RINGS + ring)
+    # 256 cells a pivot at most. A cell of more rows than a task should hold is taken in chunks, each within its ring.
+    chunks = F.ceil(F.count(F.lit(1)) / (2 * CELL_ROWS)).cast("int").alias("chunks")
+    cells = celled.groupBy("cell").agg(F.first("pivot").alias("pivot"), F.min("r").alias("low"), F.max("r").alias("high"), chunks).collect()
+    as_arrays = {n: np.array([r[n] for r in cells]) for n in ("cell", "pivot", "low", "high", "chunks")}
+    parts = F.broadcast(spark.createDataFrame([(r["cell"], r["chunks"]) for r in cells], "cell int, chunks int"))
+    celled = celled.join(parts, "cell").withColumn("chunk", F.pmod(F.xxhash64("point"), F.col("chunks")).cast("int"))
     shared = spark.sparkContext.broadcast(as_arrays)
 
     n_queries = points.filter("asks").count()
     blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    firsts = celled.groupBy("cell").applyInPandas(_first_bound(k + 1, width), "point long, v array<double>, bound double")
-    routed = firsts.mapInPandas(_routed(pivots, shared, width, most, blocks), "cell int, block int, point long, v array<double>, bound double, d double")
-    dealt = celled.select("cell", "ids", "v", "r").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    hits = dealt.groupBy("cell", "block").cogroup(routed.groupBy("cell", "block")).applyInPandas(_searched(k + 1, width, most), "point long, vec_id long, score long")
+    firsts = celled.groupBy("cell", "chunk").applyInPandas(_first_bound(k + 1, width), "point long, v array<double>, bound double")
+    routed = firsts.mapInPandas(_routed(pivots, shared, width, most, blocks), "cell int, chunk int, block int, point long, v array<double>, bound double, d double")
+    dealt = celled.select("cell", "chunk", "ids", "v", "r").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    hits = dealt.groupBy("cell", "chunk", "block").cogroup(routed.groupBy("cell", "chunk", "block")).applyInPandas(_searched(k + 1, width, most), "point long, vec_id long, score long")
     best = Window.partitionBy("point").orderBy(F.col("score").desc(), "vec_id")
     hits = hits.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k + 1)
 

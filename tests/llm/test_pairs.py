@@ -167,8 +167,10 @@ def brute_top(rows, asks, k):
     return sorted(out)
 
 
-def test_top_k_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk, "CELL_ROWS", 20)
+@pytest.mark.parametrize("rows_in_cell,rings", [(20, 256), (5, 1)])  # the second takes cells in chunks
+def test_top_k_against_brute_force(spark, monkeypatch, rows_in_cell, rings):
+    monkeypatch.setattr(topk, "CELL_ROWS", rows_in_cell)
+    monkeypatch.setattr(topk, "MOST_RINGS", rings)
     monkeypatch.setattr(topk, "ANNULUS_ROWS", 4)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
     rng = np.random.default_rng(2)
