@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabveil.llm.common import cut, hinted, small_batches
+from tabveil.llm.common import cut, free_names, hinted, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -192,20 +192,23 @@ def of_kind(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
 
 
-def _redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("pii_spans").to_pylist(), strict=True):
-            if text and spans:
-                parts, at = [], 0
-                for s in spans:
-                    if s["start"] >= at:
-                        parts += [text[at : s["start"]], f"[{s['kind'].upper()}]"]
-                    at = max(at, s["end"])
-                text = "".join([*parts, text[at:]])
-            texts.append(text)
-        names = [c for c in batch.schema.names if c != "pii_spans"]
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
+def _redacted(found: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column(found).to_pylist(), strict=True):
+                if text and spans:
+                    parts, at = [], 0
+                    for s in spans:
+                        if s["start"] >= at:
+                            parts += [text[at : s["start"]], f"[{s['kind'].upper()}]"]
+                        at = max(at, s["end"])
+                    text = "".join([*parts, text[at:]])
+                texts.append(text)
+            names = [c for c in batch.schema.names if c != found]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
+
+    return run
 
 
 def redact(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -213,9 +216,9 @@ def redact(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     Spans meet their texts by doc_id and a hash of the text; rows equal in both get the same spans.
     """
-    key = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("pii_key"), "text")
-    spans = find_pii(key, rounds).filter(F.size("spans") > 0).select(F.col("doc_id").alias("pii_id"), "pii_key", F.col("spans").alias("pii_spans")).dropDuplicates(["pii_id", "pii_key"])
-    spans = cut(spans.withColumnRenamed("pii_key", "pii_key2"), "pii-spans")
-    rows = docs.withColumn("pii_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = rows.join(hinted(spans), F.col("doc_id").eqNullSafe(F.col("pii_id")) & (F.col("pii_key") == F.col("pii_key2")), "left").select(*docs.columns, "pii_spans")
-    return rows.mapInArrow(_redacted, docs.schema)
+    tag = F.xxhash64(F.coalesce("text", F.lit("")))
+    spans = find_pii(docs.select("doc_id", tag.alias("tag"), "text"), rounds).filter(F.size("spans") > 0)
+    id_, other, found = free_names(docs, "pii_id", "pii_tag", "pii_spans")
+    spans = spans.select(F.col("doc_id").alias(id_), F.col("tag").alias(other), F.col("spans").alias(found)).dropDuplicates([id_, other])
+    rows = docs.join(hinted(cut(spans, "pii-spans")), F.col("doc_id").eqNullSafe(F.col(id_)) & (tag == F.col(other)), "left").select(*docs.columns, found)
+    return rows.mapInArrow(_redacted(found), docs.schema)
