@@ -69,3 +69,14 @@ def test_chat_many_slices(spark):
     out = chat.maximal_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     got = {r["conv_id"]: (r["n"], r["top"]) for r in out.groupBy("conv_id").agg({"pos": "max", "n_turns": "max"}).withColumnRenamed("max(pos)", "top").withColumnRenamed("max(n_turns)", "n").collect()}
     assert got == {2: (2600, 2600), 4: (1, 1)}
+
+
+def test_helper_columns_may_clash(spark):
+    from tabveil.llm import ngram_join, pii
+
+    rows = [(i, "s", "call +1 (555) 010-1000 now " + "w " * i, 7, 8) for i in range(6)]
+    docs = spark.createDataFrame(rows + [rows[0]], "doc_id long, source string, text string, a int, b int")
+    for step, a, b in ((mixing.mix_documents, "mix_id", "mix_own_size"), (ngram_join.keep_first, "ngram_id", "ngram_nth"), (pii.redact, "pii_id", "pii_spans")):
+        named = docs.withColumnsRenamed({"a": a, "b": b})
+        out = step(named)
+        assert out.columns[:5] == named.columns and all(r[3:5] == (7, 8) for r in out.collect())
