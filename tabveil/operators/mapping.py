@@ -13,7 +13,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabveil.functions import strategies
@@ -23,7 +23,8 @@ from tabveil.plans.model import SEPARATOR, Plan
 #: Values of a class up to which one group walks through it.
 SMALL_CLASS = 20_000
 MOST_ENTRIES = 2_000_000
-MOST_ROUNDS = 500
+#: Entries of preference lists that a round looks at; one a value at least.
+ROUND_ENTRIES = 200_000
 KEYS = "domain string, anchor string, value string"
 
 
@@ -84,38 +85,98 @@ def _walked(plan: Plan, key: bytes, zips):
 OUT = KEYS + ", output string, n int, column string, rec long, at int"
 
 
-def _proposals(plan: Plan, key: bytes, zips):
-    """output and n: the next acceptable entry from n on; n is -1 if the list is at its end."""
+STATE = KEYS + ", seed_domain string, seed string, column string, rec long, at int, n int, output string, open boolean, tail string, own boolean"
+ENTRIES = "domain string, anchor string, rec long, at int, n int, output string"
+
+
+def _tails(plan: Plan, key: bytes, zips):
+    """tail: values of one tail share their entries from BEFORE_NUMBERS on, numbered names of one base name. own: the
+    value itself may be one of them, which it passes over."""
+
+    def run(parts):
+        for pdf in parts:
+            tails, owns = [], []
+            for r in pdf.itertuples(index=False):
+                rule = plan.columns[r.column]
+                base = strategies.choice(rule, key, r.value, r.seed_domain, r.seed, 0, zips) if strategies.can_number(rule) else None
+                tails.append(base and f"{rule.options.kind == 'Email'} {base}")
+                owns.append(base is not None and r.value.startswith(base.partition("@")[0]))
+            yield pdf.assign(n=pd.Series(0, dtype="int32", index=pdf.index), output=pd.Series(None, dtype=object, index=pdf.index), open=True, tail=pd.Series(tails, dtype=object, index=pdf.index), own=pd.Series(owns, dtype=bool, index=pdf.index))
+
+    return run
+
+
+def _entries(plan: Plan, key: bytes, zips, batch: int):
+    """The entries from n on, batch of them at most, but the value itself; a null output is the last."""
 
     def run(parts):
         for pdf in parts:
-            outputs, ns = [], []
+            out = []
             for r in pdf.itertuples(index=False):
-                rule, n = plan.columns[r.column], r.n
-                while n <= strategies.MOST_ATTEMPTS and (candidate := strategies.choice(rule, key, r.value, r.seed_domain, r.seed, n, zips)) == r.value:
-                    n += 1
-                outputs.append(candidate if n <= strategies.MOST_ATTEMPTS else None)
-                ns.append(n if n <= strategies.MOST_ATTEMPTS else -1)
-            yield pdf.assign(output=pd.Series(outputs, dtype=object, index=pdf.index), n=pd.Series(ns, dtype="int32", index=pdf.index))
+                rule, anchor = plan.columns[r.column], None if pd.isna(r.anchor) else r.anchor
+                for n in range(r.n, min(r.n + batch, strategies.MOST_ATTEMPTS + 1)):
+                    candidate = strategies.choice(rule, key, r.value, r.seed_domain, r.seed, n, zips)
+                    if candidate != r.value:
+                        out.append((r.domain, anchor, r.rec, r.at, n, candidate))
+                    if candidate is None:
+                        break
+            yield pd.DataFrame(out, columns=["domain", "anchor", "rec", "at", "n", "output"]).astype({"rec": "int64", "at": "int32", "n": "int32"})
 
     return run
 
 
+def _first_unclaimed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """An entry a value, at most: the first that no earlier value of these claims."""
+    claimed, kept, last = set(), [], None
+    for i, r in enumerate(pdf.sort_values(["rec", "at", "n"], ignore_index=True).itertuples(index=False)):
+        if (r.rec, r.at) != last and (pd.isna(r.output) or r.output not in claimed):
+            claimed.add(r.output)
+            kept.append(i)
+            last = (r.rec, r.at)
+    return pdf.sort_values(["rec", "at", "n"], ignore_index=True).iloc[kept]
+
+
+def _ranked(state: DataFrame) -> DataFrame:
+    """The open values of state, n raised by their rank in their tail: k earlier values that share a list from an entry
+    on hold its first k entries, or lost them to values earlier still."""
+    in_tail = (F.col("tail").isNotNull()) & (F.col("n") >= strategies.BEFORE_NUMBERS)
+    w = Window.partitionBy("domain", "anchor", "tail").orderBy("rec", "at").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = state.filter(in_tail).withColumn("n", F.greatest("n", strategies.BEFORE_NUMBERS + F.coalesce(F.count_if(~F.col("own")).over(w), F.lit(0))).cast("int"))
+    return state.filter(F.col("open") & ~in_tail).unionByName(ranked.filter("open"))
+
+
 def _accepted(large: DataFrame, plan: Plan, key: bytes, zips) -> DataFrame:
-    """Deferred acceptance in rounds. Only the values rejected last time propose; the holders wait."""
-    schema = KEYS + ", seed_domain string, seed string, column string, rec long, at int, n int, output string"
-    cols = [c.split()[0] for c in schema.split(", ")]
-    held = cut(large.withColumn("n", F.lit(0)).withColumn("output", F.lit(None).cast("string")).select(cols).mapInPandas(_proposals(plan, key, zips), schema), "mapping-round")
-    for _ in range(MOST_ROUNDS):
-        winners = held.filter("output is not null").groupBy("domain", "anchor", "output").agg(F.min(F.struct("rec", "at")).alias("best"), F.count(F.lit(1)).alias("claims")).filter("claims > 1")
-        w = winners.select(F.col("domain").alias("d"), F.col("anchor").alias("a"), F.col("output").alias("o"), "best")
-        judged = held.join(w, (F.col("domain") == F.col("d")) & F.col("anchor").eqNullSafe(F.col("a")) & (F.col("output") == F.col("o")), "left")
-        judged = cut(judged.withColumn("lost", F.coalesce((F.col("rec") != F.col("best.rec")) | (F.col("at") != F.col("best.at")), F.lit(False))).select(*cols, "lost"), "mapping-judged")
-        if judged.filter("lost").isEmpty():
-            return judged.select("domain", "anchor", "value", "output", "n", "column", "rec", "at")
-        again = judged.filter("lost").withColumn("n", F.col("n") + 1).select(cols).mapInPandas(_proposals(plan, key, zips), schema)
-        held = cut(judged.filter(~F.col("lost")).select(cols).unionByName(again), "mapping-round")
-    raise RuntimeError(f"mapping did not settle in {MOST_ROUNDS} rounds")
+    """Deferred acceptance in rounds, until no value is rejected. Only the values rejected last time propose.
+
+    An output's holder only ever gives way to an earlier value. So a value passes at once over all entries that an
+    earlier value holds or proposes to, as many as ROUND_ENTRIES allows a round: the last ones, whose lists are long,
+    see them whole. Every round moves open values on, so the lists' ends bound the rounds.
+    """
+    cols = [c.split()[0] for c in STATE.split(", ")]
+    numbered = any(r.is_mapping and strategies.can_number(r) for r in plan.columns.values())
+    state = cut(large.select("domain", "anchor", "value", "seed_domain", "seed", "column", "rec", "at").mapInPandas(_tails(plan, key, zips), STATE), "mapping-round")
+    while n_open := state.filter("open").count():
+        batch = max(1, min(strategies.MOST_ATTEMPTS + 1, ROUND_ENTRIES // n_open))
+        waiting = cut(_ranked(state) if numbered else state.filter("open"), "mapping-open")
+        listed = cut(waiting.repartition("rec", "at").mapInPandas(_entries(plan, key, zips, batch), ENTRIES), "mapping-entries")
+        e, h = listed.alias("e"), state.filter("not open and output is not null").select("domain", "anchor", "output", "rec", "at").alias("h")
+        earlier = F.struct("h.rec", "h.at") < F.struct("e.rec", "e.at")
+        passed = e.join(h, (F.col("e.domain") == F.col("h.domain")) & F.col("e.anchor").eqNullSafe(F.col("h.anchor")) & (F.col("e.output") == F.col("h.output")) & earlier).select("e.rec", "e.at", "e.n")
+        left = listed.join(passed, ["rec", "at", "n"], "left_anti").select("domain", "anchor", "rec", "at", "n", "output")
+        # With a batch, what one group gets is at most ROUND_ENTRIES rows, whatever the size of the class.
+        proposed = cut(left.groupBy("domain", "anchor").applyInPandas(_first_unclaimed, ENTRIES) if batch > 1 else left, "mapping-proposed")
+        p = proposed.select("rec", "at", F.col("n").alias("to"), F.col("output").alias("wanted"))
+        next_ = F.coalesce("to", F.col("n") + batch)
+        over = next_ > strategies.MOST_ATTEMPTS
+        moved = waiting.join(p, ["rec", "at"], "left").withColumn("open", F.col("to").isNull() & ~over).withColumn("output", F.col("wanted")).withColumn("n", F.when(over, -1).otherwise(next_)).select(cols)
+        best = proposed.filter("output is not null").groupBy("domain", "anchor", "output").agg(F.min(F.struct("rec", "at")).alias("best"))
+        best = best.select(F.col("domain").alias("d"), F.col("anchor").alias("a"), F.col("output").alias("o"), "best")
+        judged = state.filter("not open").unionByName(moved).join(best, (F.col("domain") == F.col("d")) & F.col("anchor").eqNullSafe(F.col("a")) & (F.col("output") == F.col("o")), "left")
+        lost = F.coalesce(F.struct("rec", "at") > F.col("best"), F.lit(False))
+        at_end = F.col("n") >= strategies.MOST_ATTEMPTS
+        judged = judged.withColumn("lost", lost).withColumn("open", F.col("open") | (F.col("lost") & ~at_end)).withColumn("output", F.when(~F.col("lost"), F.col("output"))).withColumn("n", F.when(~F.col("lost"), F.col("n")).when(at_end, -1).otherwise(F.col("n") + 1).cast("int"))
+        state = cut(judged.select(cols), "mapping-round")
+    return state.select("domain", "anchor", "value", "output", "n", "column", "rec", "at")
 
 
 def resolve(df: DataFrame, plan: Plan, key: bytes, zips: dict[str, list[str]] | None = None, most_entries: int = MOST_ENTRIES, small: int = SMALL_CLASS) -> DataFrame | None:

@@ -64,6 +64,18 @@ def test_mapping_equals_the_sequential_walk(spark, monkeypatch, small, parts):
     assert got == sequential(plan, rows, columns)
 
 
+def test_large_classes_have_the_walk_s_answer_however_long_their_lists(spark, monkeypatch):
+    """899 of 900 outputs taken: the last values try over 500 entries. Names: about 40 values a base name."""
+    rounds = []
+    monkeypatch.setattr(mapping, "cut", lambda df, label, cut=mapping.cut: (rounds.append(label), cut(df, label))[1])
+    for rule, rows in ((Rule("HashId"), [(str(100 + i * 7 % 899),) for i in range(899)]), (Rule("Fake", FakeOptions("PersonFirst")), [(f"Ada {i}",) for i in range(2000)])):
+        plan = Plan({"id": rule})
+        got = {r["value"]: (r["output"], r["n"]) for r in mapping.resolve(frame(spark, ["id"], rows), plan, KEY, small=0).collect()}
+        assert {v: o for v, (o, _) in got.items()} == {v: o for (v,), (o,) in zip(rows, sequential(plan, rows, ["id"]), strict=True)}
+        assert max(n for _, n in got.values()) > (500 if rule.strategy == "HashId" else 80)
+    assert rounds.count("mapping-round") <= 80
+
+
 def test_linked_columns(spark):
     columns = ["id", "first", "full", "amount", "day"]
     rng = random.Random(4)
