@@ -4,7 +4,8 @@ The fixed patterns find e-mail addresses, IP addresses, card and phone numbers.
 occurrence induces lexical patterns (the two words before it; the word before and the word after it), and so does
 every other identifier-like token (four digits or more, or an @). Spark scores the bipartite graph of patterns
 and instances: a pattern's confidence for a kind is the mean confidence of its instances, an instance's that of
-at least one of its patterns being right. After a few rounds, tokens in confident patterns become spans.
+at least one of its patterns being right. Instances found so support further patterns. After a few rounds, all
+occurrences of confident instances become spans.
 """
 
 from __future__ import annotations
@@ -129,7 +130,8 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if text and MARKED.search(text):
                 base = base_spans(text)
                 for s, e, kind in [*base, *((s, e, None) for s, e in _tokens(text, base))]:
-                    if patterns := contexts(text, s, e):
+                    patterns = contexts(text, s, e)
+                    if patterns or not kind:
                         use.append({"start": s, "end": e, "kind": kind, "instance": text[s:e].lower(), "patterns": patterns})
             bases.append([{"start": s, "end": e, "kind": k} for s, e, k in base])
             uses.append(use)
@@ -137,25 +139,30 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(bases, pa.list_(_SPAN)), pa.array(uses, pa.list_(_USE))], names=[*kept, "base", "uses"])
 
 
-def confident_patterns(uses: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least: float = LEAST_CONFIDENCE) -> DataFrame:
-    """(pattern, kind, confidence) of the patterns to trust, from uses (kind or null, instance, pattern).
+def confident_instances(uses: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least: float = LEAST_CONFIDENCE) -> DataFrame:
+    """(instance, kind, confidence) of the instances to trust, from uses (kind or null, instance, pattern).
 
-    Instances are told apart by kind as well: a seed is its own kind with confidence 1 and stays so. Every round
-    is two joins on aggregated edges; hot patterns and instances meet map-side sums first.
+    Instances are told apart by kind as well: a seed is its own kind with confidence 1 and stays so. A pattern counts
+    once least_seeds of its instances are seeds or were found with confidence least. Every round is two joins on
+    aggregated edges; hot patterns and instances meet map-side sums first.
     """
     edges = cut(uses.select("pattern", "instance", F.coalesce("kind", F.lit("")).alias("seed")).distinct(), "pii-edges")
     degree = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("degree"))
-    support = edges.filter("seed <> ''").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count(F.lit(1)).alias("seeds")).filter(F.col("seeds") >= least_seeds)
-    support = cut(support.join(degree, "pattern"), "pii-support")
-    scores = support.select("pattern", "kind", "seeds", "degree", (F.col("seeds") / F.col("degree")).alias("confidence"))
-    for _ in range(rounds):
-        trusted = scores.filter(F.col("confidence") >= least / 2)
-        unseen = edges.filter("seed = ''").join(trusted.select("pattern", "kind", "confidence"), "pattern")
+    seeds = edges.filter("seed <> ''").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count(F.lit(1)).alias("seeds"))
+    seeds = cut(seeds.join(degree, "pattern"), "pii-support")
+    scores = seeds.select("pattern", "kind", F.col("seeds").alias("support"), (F.col("seeds") / F.col("degree")).alias("confidence"))
+    unseen = edges.filter("seed = ''").select("pattern", "instance")
+
+    def beliefs(scores: DataFrame) -> DataFrame:
+        trusted = scores.filter((F.col("support") >= least_seeds) & (F.col("confidence") >= least / 2)).select("pattern", "kind", "confidence")
         # 1 - product(1 - c), as a sum of logarithms that partial aggregation can take.
-        belief = unseen.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("belief"))
-        gain = edges.filter("seed = ''").join(belief, "instance").groupBy("pattern", "kind").agg(F.sum("belief").alias("gain"))
-        scores = cut(support.join(gain, ["pattern", "kind"], "left").select("pattern", "kind", "seeds", "degree", ((F.col("seeds") + F.coalesce("gain", F.lit(0.0))) / F.col("degree")).alias("confidence")), "pii-scores")
-    return scores.filter(F.col("confidence") >= least).select("pattern", "kind", "confidence")
+        return unseen.join(trusted, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("belief"))
+
+    for _ in range(rounds):
+        gain = unseen.join(beliefs(scores), "instance").groupBy("pattern", "kind").agg(F.sum("belief").alias("gain"), F.count_if(F.col("belief") >= least).alias("found"))
+        both = seeds.drop("degree").join(gain, ["pattern", "kind"], "full").join(degree, "pattern").na.fill(0, ["seeds", "gain", "found"])
+        scores = cut(both.select("pattern", "kind", (F.col("seeds") + F.col("found")).alias("support"), ((F.col("seeds") + F.col("gain")) / F.col("degree")).alias("confidence")), "pii-scores")
+    return beliefs(scores).filter(F.col("belief") >= least).withColumnRenamed("belief", "confidence")
 
 
 def find_pii(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -171,10 +178,10 @@ def find_pii(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     rows = docs.select(*[c for c in docs.columns if c not in ("base", "uses", "spans", "pii_row")])
     kept = [f for f in rows.schema.fields if f.name != "text"]
     found = cut(rows.mapInArrow(_found, T.StructType(kept + _SCHEMA.fields)).withColumn("pii_row", F.monotonically_increasing_id()), "pii-found")
-    each = found.select("pii_row", F.explode("uses").alias("u")).select("pii_row", "u.start", "u.end", "u.kind", "u.instance", F.explode("u.patterns").alias("pattern"))
-    trusted = confident_patterns(each, rounds).withColumnRenamed("kind", "as")
+    each = found.select("pii_row", F.explode("uses").alias("u")).select("pii_row", "u.*")
+    trusted = confident_instances(each.select("kind", "instance", F.explode("patterns").alias("pattern")), rounds).withColumnRenamed("kind", "as")
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("as"))
-    new = each.filter("kind is null").join(trusted, "pattern").groupBy("pii_row", "start", "end").agg(F.max(F.struct("confidence", (-order).alias("o"), "as")).alias("best"))
+    new = each.filter("kind is null").join(trusted, "instance").groupBy("pii_row", "start", "end").agg(F.max(F.struct("confidence", (-order).alias("o"), "as")).alias("best"))
     new = new.groupBy("pii_row").agg(F.collect_list(F.struct("start", "end", F.col("best.as").alias("kind"))).alias("new"))
     names = [f.name for f in kept]
     out = found.join(new, "pii_row", "left")

@@ -90,6 +90,17 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     assert pii.find_pii(docs.drop("spans").limit(0)).count() == 0
 
 
+def test_found_identifiers_are_found_elsewhere_and_find_others(spark):
+    rows = [(i, f"Please call me at +1 (555) 010-{1000 + i} today or not.") for i in range(30)]
+    rows += [(100 + i, f"Please call me at 555-010-777{i} today or not.") for i in range(4)]
+    rows += [(200 + i, f"Her mobile is 555-010-777{i} as ever.") for i in range(4)]
+    rows += [(300, "Her mobile is 555-010-9999 as ever."), (301, "555-010-7770"), (302, "Lot 12345 is here.")]
+    out = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {r["doc_id"]: [(s["start"], s["end"], s["kind"]) for s in r["spans"]] for r in out}
+    assert all(found[i] == [(14, 26, "phone")] for i in (200, 201, 202, 203, 300))
+    assert found[301] == [(0, 12, "phone")] and not found[302]
+
+
 PIECES = ["▁", "a", "b", "ab", "▁ab", "ba", "▁a", "aba", "é", "bb"]
 
 
