@@ -2,7 +2,7 @@
 
 The fixed patterns find e-mail addresses, IP addresses, card and phone numbers. These are the seeds. Each
 occurrence induces lexical patterns (the two words before it; the word before and the word after it), and so does
-every other identifier-like token (four digits or more, or an @). Spark scores the bipartite graph of patterns
+every other identifier-like token or run of digit groups (four digits or more, or an @). Spark scores the bipartite graph of patterns
 and instances: a pattern's confidence for a kind is the mean confidence of its instances, an instance's that of
 at least one of its patterns being right. Instances found so support further patterns. After a few rounds, all
 occurrences of confident instances become spans.
@@ -10,6 +10,7 @@ occurrences of confident instances become spans.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -26,7 +27,9 @@ ROUNDS = 3
 LEAST_SEEDS = 3
 LEAST_CONFIDENCE = 0.6
 LEAST_DIGITS = 4
+#: Characters looked at first for the words around an occurrence; characters from which words and instances are named by a digest.
 CONTEXT = 48
+LONG = 256
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -37,6 +40,8 @@ DIGIT = re.compile(r"[0-9]")
 MARKED = re.compile(r"[0-9@]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 SPACE_AFTER = re.compile(r"\s|\Z")
+#: Digits with single dots, hyphens and brackets between them, at most, and brackets around them.
+GROUPED = re.compile(r"\+?[(\[]?[0-9]+(?:(?:[)\]][.-]?[(\[]?|[.-][(\[]?|[(\[])[0-9]+)*[)\]]?")
 EDGE = " \t\r\n\"'`.,;:!?()[]{}<>*#$%&|=~^"
 
 
@@ -77,13 +82,20 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def _tokens(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """Identifier-like tokens apart from the spans in taken."""
+    """Identifier-like tokens, and runs of digit groups that single spaces join, apart from the spans in taken."""
     out, at, k = [], 0, 0
+    run, parts, digits, joins = None, 0, 0, False  # the run of groups so far, and whether it may go on
+
+    def end_run() -> None:
+        if run and parts > 1 and digits >= LEAST_DIGITS:
+            out.append(_bracketed(text, *run))
+
     while m := MARKED.search(text, at):
         start = m.start()
         while start > at and not text[start - 1].isspace():
             start -= 1
-        end = SPACE_AFTER.search(text, m.start()).start()
+        first = start
+        last = end = SPACE_AFTER.search(text, m.start()).start()
         at = end
         while start < end and text[start] in EDGE:
             start += 1
@@ -93,19 +105,63 @@ def _tokens(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int
             k += 1
         clear = all(e <= start or s >= end for s, e, _ in taken[max(0, k - 8) : k + 8])
         token = text[start:end]
-        if clear and end - start <= 256 and ("@" in token[1:-1] or len(DIGIT.findall(token)) >= LEAST_DIGITS):
+        n = len(DIGIT.findall(token))
+        if clear and ("@" in token[1:-1] or n >= LEAST_DIGITS):
             out.append((start, end))
+        grouped = clear and GROUPED.fullmatch(token) is not None
+        closed = text[end:last] in ("", ")", "]")  # nothing but a bracket after it
+        if grouped and run and joins and first == run[1] + 1 and text[run[1]] == " " and text[first:start] in ("", "(", "["):
+            run, parts, digits = (run[0], last if closed else end), parts + 1, digits + n
+        else:
+            end_run()
+            run, parts, digits = (start, last if closed else end) if grouped else None, 1, n
+        joins = closed
+    end_run()
     return out
 
 
+def _bracketed(text: str, start: int, end: int) -> tuple[int, int]:
+    """A run with the brackets that belong to it: an opening one before it, no closing one that opens before it."""
+    inside = text[start:end]
+    if inside[-1] in ")]" and inside.count(")") + inside.count("]") > inside.count("(") + inside.count("[") and not (start and text[start - 1] in "(["):
+        return start, end - 1
+    if start and text[start - 1] in "([" and inside.count(")") + inside.count("]") > inside.count("(") + inside.count("["):
+        return start - 1, end
+    return start, end
+
+
+def _named(s: str) -> str:
+    return s if len(s) <= LONG else hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def _word(s: str) -> str:
-    return DIGIT.sub("0", s.strip(EDGE).lower())
+    return _named(DIGIT.sub("0", s.strip(EDGE).lower()))
+
+
+def _words_before(text: str, start: int) -> list[str]:
+    """The two words before start, whole."""
+    size = CONTEXT
+    while True:
+        words = text[max(0, start - size) : start].split()
+        if len(words) > 2 or start <= size:
+            return words[-2:]
+        size *= 4
+
+
+def _words_after(text: str, end: int) -> list[str]:
+    """The word after end, whole."""
+    size = CONTEXT
+    while True:
+        words = text[end : end + size].split()
+        if len(words) > 1 or end + size >= len(text):
+            return words[:1]
+        size *= 4
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:
     """The lexical patterns of an occurrence; none of empty words alone."""
-    before = [_word(w) for w in text[max(0, start - CONTEXT) : start].split()[-2:]]
-    after = [_word(w) for w in text[end : end + CONTEXT].split()[:1]]
+    before = [_word(w) for w in _words_before(text, start)]
+    after = [_word(w) for w in _words_after(text, end)]
     out = []
     if len(before) == 2 and all(before):
         out.append(f"{before[0]} {before[1]} _")
@@ -132,7 +188,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for s, e, kind in [*base, *((s, e, None) for s, e in _tokens(text, base))]:
                     patterns = contexts(text, s, e)
                     if patterns or not kind:
-                        use.append({"start": s, "end": e, "kind": kind, "instance": text[s:e].lower(), "patterns": patterns})
+                        use.append({"start": s, "end": e, "kind": kind, "instance": _named(text[s:e].lower()), "patterns": patterns})
             bases.append([{"start": s, "end": e, "kind": k} for s, e, k in base])
             uses.append(use)
         kept = [c for c in batch.schema.names if c != "text"]

@@ -101,6 +101,18 @@ def test_found_identifiers_are_found_elsewhere_and_find_others(spark):
     assert found[301] == [(0, 12, "phone")] and not found[302]
 
 
+def test_identifiers_in_groups_are_found(spark):
+    forms = ["(555) 010-7777", "555 010 7777", "[55] 0107 77", "4111 1111 1111 1112", "12-34 56.78"]
+    rows = [(i, f"Please call me at +1 (555) 010-{1000 + i} today or not.") for i in range(60)]
+    rows += [(100 + i, f"Please call me at {f} today or not.") for i, f in enumerate(forms)]
+    rows += [(200, "Please call me at " + "7" * 300 + " today or not."), (201, "Please call me at 55, 010 7 today")]
+    text = dict(rows)
+    redacted = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(redacted[i] == "Please call me at [PHONE] today or not." for i in text if i < 201)
+    assert pii._tokens("a (555) 010-7777, b (12 34) c 1, 2 345. 6", []) == [(8, 16), (2, 16), (20, 27), (33, 38)]
+    assert pii.contexts("x" * 100 + " " + "y" * 100 + " 1234 z", 202, 206)[0] == f"{'x' * 100} {'y' * 100} _"
+
+
 PIECES = ["▁", "a", "b", "ab", "▁ab", "ba", "▁a", "aba", "é", "bb"]
 
 
