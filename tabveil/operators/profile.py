@@ -22,6 +22,8 @@ EXACT_DISTINCT = 1_000
 RSD = 0.008
 MATCH, ID_RATIO, NEAR_UNIQUE, MOST_CATEGORIES, LEAST_RATIO, LONG_TEXT = 0.95, 0.5, 0.9, 50, 0.01, 60
 GIVE_UP_AFTER = 200
+#: Record numbers in a slice of a running sum.
+SLICE = 16_384
 BOOLEANS = ("N|Y", "NO|YES", "F|T", "FALSE|TRUE", "0|1")
 PREDICATES = {
     "n_digit": text.is_all_digits, "n_leading_zero": text.has_leading_zero, "n_whitespace": text.has_space_or_tab, "n_email": text.is_email, "n_zip5": text.is_zip5,
@@ -93,9 +95,14 @@ def date_give_up(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     columns = columns or data_columns(df)
     cells = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value"), (dates.format_mask(F.col(f"`{c}`"), Hints.of(c).date) != 0).cast("int").alias("hit")) for c in columns]
     each = df.select("_rec", F.explode(F.array(*cells)).alias("x")).select("_rec", "x.*").filter(text.has_value(F.col("value")))
-    # A column of the (bounded) sample is one window; only its counts are kept.
-    w = Window.partitionBy("column").orderBy("_rec").rowsBetween(Window.unboundedPreceding, 0)
-    run = each.select("column", F.count(F.lit(1)).over(w).alias("seen"), F.sum("hit").over(w).alias("hits"))
+    # Running sums inside slices of records, from what the slices before add up to.
+    each = each.select("column", F.floor(F.col("_rec") / SLICE).alias("slice"), "_rec", "hit")
+    totals = each.groupBy("column", "slice").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("h"))
+    earlier = Window.partitionBy("column").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("column", "slice", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("n", "h")])
+    w = Window.partitionBy("column", "slice").orderBy("_rec").rowsBetween(Window.unboundedPreceding, 0)
+    run = each.select("column", "slice", F.count(F.lit(1)).over(w).alias("n"), F.sum("hit").over(w).alias("h")).join(offsets, ["column", "slice"])
+    run = run.select("column", (F.col("n") + F.col("n_before")).alias("seen"), (F.col("h") + F.col("h_before")).alias("hits"))
     return run.groupBy("column").agg(F.bool_or((F.col("seen") >= GIVE_UP_AFTER) & (F.col("hits") < MATCH * F.col("seen"))).alias("gave_up"))
 
 

@@ -192,6 +192,14 @@ def test_profile_of_a_sample(spark):
     assert [r["n_rows"] for r in whole] == [100, 100]
 
 
+def test_date_give_up_runs_over_slices(spark):
+    """a fails early and b late only, many slices on; c stays above 95 %."""
+    df = spark.range(60_000).selectExpr("id + 2 as _rec", "if(id % 25 < 4 and id < 30000, 'x', '2024-05-15') as a_date", "if(id >= 50000, 'x', '2024-05-15') as b_date", "if(id >= 59000, 'x', '2024-05-15') as c_date").repartition(5)
+    found = profiling.date_give_up(df)
+    assert {r["column"]: r["gave_up"] for r in found.collect()} == {"a_date": True, "b_date": True, "c_date": False}
+    assert "hashpartitioning(column#" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", slice#" in plan
+
+
 def test_entity_groups():
     types = {"Customer_ID": "Identifier", "Customer_Name": "OrgName", "Customer_Email": "Email", "Customer_City": "City", "Account_Owner_ID": "Identifier", "Account_Owner_Name": "PersonName", "Seq_Code": "Identifier", "ID": "Identifier"}
     assert profiling.entity_groups(types) == (EntityGroup("Customer_ID", ("Customer_Name", "Customer_Email")), EntityGroup("Account_Owner_ID", ("Account_Owner_Name",)))
