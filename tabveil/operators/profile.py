@@ -183,12 +183,12 @@ def profile(df: DataFrame, sample_rows: int | None = SAMPLE_ROWS, with_samples:
     histogram: dict[str, dict[int, int]] = defaultdict(dict)
     for r in date_masks(rows).collect():
         histogram[r["column"]][r["mask"]] = r["n_values"]
-    gave_up = {r["column"] for r in date_give_up(rows).filter("gave_up").collect()} if sample_rows is not None else set()
+    matching = [c for c, h in histogram.items() if (n := sum(k for m, k in h.items() if m)) and n >= MATCH * sum(h.values())]
+    gave_up = {r["column"] for r in date_give_up(rows, matching).filter("gave_up").collect()} if matching else set()
     found = []
     for c in data_columns(df):
         h = histogram[c]
-        matched = sum(n for m, n in h.items() if m)
-        is_date = c not in gave_up and matched > 0 and matched >= MATCH * sum(h.values())
+        is_date = c in matching and c not in gave_up
         chosen = dates.cover(h) if is_date else []
         found.append((c, is_date, any(dates.CANDIDATES[i].has_time for i in chosen), [dates.FORMATS[i] for i in chosen], is_date and dates.is_ambiguous(chosen, h)))
     dated = spark.createDataFrame(found, "column string, is_date boolean, has_time boolean, formats array<string>, ambiguous boolean")

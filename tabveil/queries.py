@@ -114,13 +114,13 @@ def date_give_up(spark, d):
 
 def type_detect(spark, d):
     c = _customer_cells(spark, d)
-    return profiling.profile(c).select("column", "type", "strategy")
+    return profiling.profile(c, sample_rows=None).select("column", "type", "strategy")
 
 
 def type_detect_orders(spark, d):
     o = table(spark, d, "orders").select((F.col("o_orderkey") + 1).alias("_rec"), "*")
     cells = canonical(o.drop("_rec"))
-    return profiling.profile(cells.withColumn("_rec", F.col("o_orderkey").cast("long") + 1)).select("column", "type", "strategy", "ambiguous")
+    return profiling.profile(cells.withColumn("_rec", F.col("o_orderkey").cast("long") + 1), sample_rows=None).select("column", "type", "strategy", "ambiguous")
 
 
 # Names, plans and recipes: metadata.

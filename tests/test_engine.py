@@ -200,6 +200,21 @@ def test_date_give_up_runs_over_slices(spark):
     assert "hashpartitioning(column#" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", slice#" in plan
 
 
+def test_registered_types_look_at_all_rows(spark, tmp_path):
+    """Dates that turn into words after row 50,000; and dates that fall short early, in a whole table."""
+    from tabveil import queries
+
+    o = spark.range(60_000).selectExpr("id as o_orderkey", "id % 700 as o_custkey", "'O' as o_orderstatus", "id / 7 as o_totalprice", "if(id < 52000, '2024-05-15', 'none') as o_orderdate", "'1-URGENT' as o_orderpriority")
+    cells = o.selectExpr("o_orderkey + 2 as _rec", *[f"cast({c} as string) as {c}" for c in o.columns])
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(queries, "table", lambda spark, d, name: o)
+        m.setattr(queries, "canonical", lambda df: cells.drop("_rec"))
+        got = {r["column"]: r["type"] for r in queries.type_detect_orders(spark, "").collect()}
+    assert got["o_orderdate"] == "Categorical"
+    early = spark.range(20_000).selectExpr("id + 2 as _rec", "if(id < 40, 'x', '2024-05-15') as day")
+    assert [r["type"] for r in profiling.profile(early, None).collect()] == [r["type"] for r in profiling.profile(early).collect()] != ["Date"]
+
+
 def test_entity_groups():
     types = {"Customer_ID": "Identifier", "Customer_Name": "OrgName", "Customer_Email": "Email", "Customer_City": "City", "Account_Owner_ID": "Identifier", "Account_Owner_Name": "PersonName", "Seq_Code": "Identifier", "ID": "Identifier"}
     assert profiling.entity_groups(types) == (EntityGroup("Customer_ID", ("Customer_Name", "Customer_Email")), EntityGroup("Account_Owner_ID", ("Account_Owner_Name",)))
