@@ -9,8 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch handed to Python; long texts make larger ones dangerous for a worker's memory.
-ARROW_ROWS = 256
+#: Bytes of the Arrow batches handed to Python: a worker holds one of them (or one longer row) at a time.
+BATCH_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -55,9 +55,16 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bounds the rows of the Arrow batches that Python tasks of this session get."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of the Arrow batches that Python tasks of this session get. All operators set the same bound,
+    so it does not matter that a frame runs later than it is built."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def without(df: DataFrame, *names: str) -> list[str]:
+    """The columns of df but those named so; Spark does not tell upper from lower case."""
+    left_out = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in left_out]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

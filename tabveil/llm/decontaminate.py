@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabveil.llm.common import small_batches
+from tabveil.llm.common import cut, small_batches, without
 
 WINDOW = 13
-#: Test text that one automaton takes, in bytes. More text means more automata, one after another in the same
-#: scan: each is broadcast alone and this bounds its size, whatever the size of the benchmark.
+#: Test text that one automaton takes, in bytes. A larger benchmark is taken in chunks, each collected, broadcast and
+#: scanned for before the next, so driver and tasks hold one at a time, whatever the size of the benchmark.
 AUTOMATON_BYTES = 4 << 20
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -91,16 +91,35 @@ def word_offsets(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, in
     return [(int(point[start[a]]), int(point[end[b - 1]])) for a, b in ranges]
 
 
-def _chunks(benchmark: DataFrame) -> list[list[tuple[str, str]]]:
-    """The items by chunks of bounded size; a single item beyond the bound is a chunk of its own."""
+def _chunks(benchmark: DataFrame, window: int) -> list[DataFrame]:
+    """The items by chunks of about AUTOMATON_BYTES, in order of a hash. A long item is first taken apart into pieces
+    of at most PIECE_WORDS words that overlap by a window, so that no item exceeds a chunk."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text"), F.lit("")).alias("text")).filter("item is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // AUTOMATON_BYTES))
-    parts = []
-    for k in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        parts.append([(r["item"], r["text"]) for r in part.collect()])
-    return parts
+    total, longest = items.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
+    if (longest or 0) > AUTOMATON_BYTES // 4:
+        items = cut(items.mapInArrow(_pieces(window), "item string, text string"), "decon-pieces")
+        total = items.agg(F.sum(F.octet_length("text"))).first()[0]
+    n = -(-(total or 0) // AUTOMATON_BYTES)
+    if n <= 1:
+        return [items]
+    # Twice as many hash classes as needed, so that a chunk stays near the bound.
+    return [items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(2 * n)) == k) for k in range(2 * n)]
+
+
+#: Words of a piece of a long item.
+PIECE_WORDS = 20_000
+
+
+def _pieces(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                words = words_of(text)
+                for a in range(0, max(1, len(words) - window + 1), PIECE_WORDS):
+                    piece = b" ".join(words[a : a + PIECE_WORDS + window - 1]).decode("utf-8", "surrogatepass") if len(words) > PIECE_WORDS else text
+                    yield pa.RecordBatch.from_arrays([pa.array([item], pa.string()), pa.array([piece], pa.string())], names=["item", "text"])
+
+    return run
 
 
 #: What the scan adds to each row.
@@ -147,18 +166,25 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     spark = docs.sparkSession
     small_batches(spark)
     added = ["decon_words", "decon_hits", "decon_items", "decon_spans", "decon_text"]
-    base = docs.select(*[c for c in docs.columns if c not in added])
+    base = docs.select(*without(docs, *added))
     out = base.withColumn("decon_text", F.coalesce(F.col("text"), F.lit("")))
+    kept = base.schema.fields
     found = [T.StructField("decon_" + n, f.dataType) for n, f in zip(("words", "hits", "items", "spans"), FOUND.fields, strict=True)]
-    chunks = _chunks(benchmark)
+    chunks = _chunks(benchmark, window)
     for k, chunk in enumerate(chunks):
         last = k == len(chunks) - 1
-        fields = [f for f in out.schema.fields if f.name not in added] + ([] if last else [T.StructField("decon_text", T.StringType())])
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(chunk), window, k == 0, not last), T.StructType(fields + found))
+        shared = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in chunk.collect()])  # about AUTOMATON_BYTES
+        fields = [*kept, *([] if last else [T.StructField("decon_text", T.StringType())]), *found]
+        out = out.mapInArrow(_scan(shared, window, k == 0, not last), T.StructType(fields))
+        if not last:
+            out = cut(out, "decon-scan")
+            shared.unpersist()
     return out
 
 
 def contaminated(found: DataFrame) -> DataFrame:
-    """Adds n_hit and contaminated: at least a twentieth of the words lie in test windows."""
+    """Adds decon_hit (words in test windows) and contaminated: at least a twentieth of the words lie in test windows.
+    Columns of that name are replaced; rows without words or hits are not contaminated."""
     n_hit = F.aggregate("decon_hits", F.lit(0).cast("long"), lambda s, x: s + x[1] - x[0])
-    return found.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("decon_words")))
+    rows = found.select(*without(found, "decon_hit", "contaminated")).withColumn("decon_hit", n_hit)
+    return rows.withColumn("contaminated", (F.col("decon_hit") > 0) & (20 * F.col("decon_hit") >= F.col("decon_words")))

@@ -2,10 +2,11 @@
 
 The fixed patterns find e-mail addresses, IP addresses, card and phone numbers. These are the seeds. Each
 occurrence induces lexical patterns (the two words before it; the word before and the word after it), and so does
-every other identifier-like token or run of digit groups (four digits or more, or an @). Spark scores the bipartite graph of patterns
-and instances: a pattern's confidence for a kind is the mean confidence of its instances, an instance's that of
-at least one of its patterns being right. Instances found so support further patterns. After a few rounds, all
-occurrences of confident instances become spans.
+every other identifier-like token or run of digit groups (four digits or more, or an @). Strings of hex digits as
+long as a key are seeds of a fifth kind, secret; as they may be checksums as well, they become spans only where a
+pattern says so. Spark scores the bipartite graph of patterns and instances: a pattern's confidence for a kind is
+the mean confidence of its instances, an instance's that of at least one of its patterns being right. Instances found
+so support further patterns. After a few rounds, all occurrences of confident instances become spans.
 """
 
 from __future__ import annotations
@@ -19,9 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabveil.llm.common import cut, free_names, hinted, small_batches
+from tabveil.llm.common import cut, free_names, hinted, small_batches, without
 
 KINDS = ("email", "ip", "card", "phone")
+#: The kind of seeds that are no base spans.
+SECRET_KIND = "secret"
+ALL_KINDS = (*KINDS, SECRET_KIND)
 ROUNDS = 3
 #: A pattern counts with at least so many distinct seeds and so much confidence; so does a found instance.
 LEAST_SEEDS = 3
@@ -42,6 +46,9 @@ NOT_DIGIT = re.compile(r"[^0-9]+")
 SPACE_AFTER = re.compile(r"\s|\Z")
 #: Digits with single dots, hyphens and brackets between them, at most, and brackets around them.
 GROUPED = re.compile(r"\+?[(\[]?[0-9]+(?:(?:[)\]][.-]?[(\[]?|[.-][(\[]?|[(\[])[0-9]+)*[)\]]?")
+#: Keys in hex: 32 digits or more, letters among them.
+SECRET = re.compile(r"(?=[0-9a-fA-F]*[a-fA-F])(?:[0-9a-fA-F]{2}){16,64}")
+OPENING, CLOSING = "\"'`([{<", "\"'`)]}>"
 EDGE = " \t\r\n\"'`.,;:!?()[]{}<>*#$%&|=~^"
 
 
@@ -135,12 +142,15 @@ def _named(s: str) -> str:
 
 
 def _word(s: str) -> str:
-    return _named(DIGIT.sub("0", s.strip(EDGE).lower()))
+    """A word of a pattern: without punctuation at its ends, unless it is nothing else."""
+    return _named(DIGIT.sub("0", (s.strip(EDGE) or s).lower()))
 
 
 def _words_before(text: str, start: int) -> list[str]:
-    """The two words before start, whole."""
+    """The two words before start, whole. What opens right before start is no word."""
     size = CONTEXT
+    while start and text[start - 1] in OPENING:
+        start -= 1
     while True:
         words = text[max(0, start - size) : start].split()
         if len(words) > 2 or start <= size:
@@ -149,8 +159,10 @@ def _words_before(text: str, start: int) -> list[str]:
 
 
 def _words_after(text: str, end: int) -> list[str]:
-    """The word after end, whole."""
+    """The word after end, whole. What closes right after end is no word."""
     size = CONTEXT
+    while end < len(text) and text[end] in CLOSING:
+        end += 1
     while True:
         words = text[end : end + size].split()
         if len(words) > 1 or end + size >= len(text):
@@ -159,15 +171,11 @@ def _words_after(text: str, end: int) -> list[str]:
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns of an occurrence; none of empty words alone."""
+    """The lexical patterns of an occurrence."""
     before = [_word(w) for w in _words_before(text, start)]
     after = [_word(w) for w in _words_after(text, end)]
-    out = []
-    if len(before) == 2 and all(before):
-        out.append(f"{before[0]} {before[1]} _")
-    if before and after and before[-1] and after[0]:
-        out.append(f"{before[-1]} _ {after[0]}")
-    return out
+    out = [f"{before[0]} {before[1]} _"] if len(before) == 2 else []
+    return [*out, f"{before[-1]} _ {after[0]}"] if before and after else out
 
 
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])
@@ -178,29 +186,33 @@ _SCHEMA = T.StructType([
 ])
 
 
-def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        bases, uses = [], []
-        for text in batch.column("text").to_pylist():
-            base, use = [], []
-            if text and MARKED.search(text):
-                base = base_spans(text)
-                for s, e, kind in [*base, *((s, e, None) for s, e in _tokens(text, base))]:
-                    patterns = contexts(text, s, e)
-                    if patterns or not kind:
-                        use.append({"start": s, "end": e, "kind": kind, "instance": _named(text[s:e].lower()), "patterns": patterns})
-            bases.append([{"start": s, "end": e, "kind": k} for s, e, k in base])
-            uses.append(use)
-        kept = [c for c in batch.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(bases, pa.list_(_SPAN)), pa.array(uses, pa.list_(_USE))], names=[*kept, "base", "uses"])
+def _found(base_name: str, uses_name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bases, uses = [], []
+            for text in batch.column("text").to_pylist():
+                base, use = [], []
+                if text and MARKED.search(text):
+                    base = base_spans(text)
+                    for s, e, kind in [*base, *((s, e, SECRET_KIND if SECRET.fullmatch(text, s, e) else None) for s, e in _tokens(text, base))]:
+                        patterns = contexts(text, s, e)
+                        if patterns or kind not in KINDS:
+                            use.append({"start": s, "end": e, "kind": kind, "instance": _named(text[s:e].lower()), "patterns": patterns})
+                bases.append([{"start": s, "end": e, "kind": k} for s, e, k in base])
+                uses.append(use)
+            kept = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(bases, pa.list_(_SPAN)), pa.array(uses, pa.list_(_USE))], names=[*kept, base_name, uses_name])
+
+    return run
 
 
 def confident_instances(uses: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least: float = LEAST_CONFIDENCE) -> DataFrame:
     """(instance, kind, confidence) of the instances to trust, from uses (kind or null, instance, pattern).
 
-    Instances are told apart by kind as well: a seed is its own kind with confidence 1 and stays so. A pattern counts
-    once least_seeds of its instances are seeds or were found with confidence least. Every round is two joins on
-    aggregated edges; hot patterns and instances meet map-side sums first.
+    Instances are told apart by kind as well: a seed is its own kind and weighs 1. A pattern counts once least_seeds of
+    its instances are seeds or were found with confidence least. Secrets are seeds, but to be trusted themselves, they
+    need such a pattern. Every round is two joins on aggregated edges; hot patterns and instances meet map-side sums
+    first.
     """
     edges = cut(uses.select("pattern", "instance", F.coalesce("kind", F.lit("")).alias("seed")).distinct(), "pii-edges")
     degree = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("degree"))
@@ -208,8 +220,9 @@ def confident_instances(uses: DataFrame, rounds: int = ROUNDS, least_seeds: int
     seeds = cut(seeds.join(degree, "pattern"), "pii-support")
     scores = seeds.select("pattern", "kind", F.col("seeds").alias("support"), (F.col("seeds") / F.col("degree")).alias("confidence"))
     unseen = edges.filter("seed = ''").select("pattern", "instance")
+    unsure = edges.filter(F.col("seed").isin("", SECRET_KIND)).select("pattern", "instance").distinct()
 
-    def beliefs(scores: DataFrame) -> DataFrame:
+    def beliefs(scores: DataFrame, unseen: DataFrame = unseen) -> DataFrame:
         trusted = scores.filter((F.col("support") >= least_seeds) & (F.col("confidence") >= least / 2)).select("pattern", "kind", "confidence")
         # 1 - product(1 - c), as a sum of logarithms that partial aggregation can take.
         return unseen.join(trusted, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("belief"))
@@ -218,7 +231,7 @@ def confident_instances(uses: DataFrame, rounds: int = ROUNDS, least_seeds: int
         gain = unseen.join(beliefs(scores), "instance").groupBy("pattern", "kind").agg(F.sum("belief").alias("gain"), F.count_if(F.col("belief") >= least).alias("found"))
         both = seeds.drop("degree").join(gain, ["pattern", "kind"], "full").join(degree, "pattern").na.fill(0, ["seeds", "gain", "found"])
         scores = cut(both.select("pattern", "kind", (F.col("seeds") + F.col("found")).alias("support"), ((F.col("seeds") + F.col("gain")) / F.col("degree")).alias("confidence")), "pii-scores")
-    return beliefs(scores).filter(F.col("belief") >= least).withColumnRenamed("belief", "confidence")
+    return beliefs(scores, unsure).filter(F.col("belief") >= least).withColumnRenamed("belief", "confidence")
 
 
 def find_pii(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -226,25 +239,28 @@ def find_pii(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     exclusive, by start and then kind. base holds what the fixed patterns find, spans also what the method adds.
 
     Null texts count as empty and have no spans. Repeated rows are searched row by row and weigh once in the
-    graph (its edges are distinct). Ties between kinds go to the first in KINDS. Columns named like those added
-    are replaced. An empty table gives an empty result.
+    graph (its edges are distinct). Ties between kinds go to the first in ALL_KINDS. Columns named like those added
+    (in any case) are replaced. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select(*[c for c in docs.columns if c not in ("base", "uses", "spans", "pii_row")])
-    kept = [f for f in rows.schema.fields if f.name != "text"]
-    found = cut(rows.mapInArrow(_found, T.StructType(kept + _SCHEMA.fields)).withColumn("pii_row", F.monotonically_increasing_id()), "pii-found")
-    each = found.select("pii_row", F.explode("uses").alias("u")).select("pii_row", "u.*")
-    trusted = confident_instances(each.select("kind", "instance", F.explode("patterns").alias("pattern")), rounds).withColumnRenamed("kind", "as")
-    order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("as"))
-    new = each.filter("kind is null").join(trusted, "instance").groupBy("pii_row", "start", "end").agg(F.max(F.struct("confidence", (-order).alias("o"), "as")).alias("best"))
-    new = new.groupBy("pii_row").agg(F.collect_list(F.struct("start", "end", F.col("best.as").alias("kind"))).alias("new"))
+    small_batches(docs.sparkSession)
+    rows = docs.select(*without(docs, "base", "spans"))
+    kept = [f for f in rows.schema.fields if f.name.lower() != "text"]
     names = [f.name for f in kept]
-    out = found.join(new, "pii_row", "left")
-    rank = lambda x: F.struct(x["start"].alias("start"), F.array_position(F.array(*[F.lit(k) for k in KINDS]), x["kind"]).alias("o"), x["end"].alias("end"), x["kind"].alias("kind"))
-    every = F.array_sort(F.transform(F.concat("base", F.coalesce("new", F.expr("array()").cast(_SCHEMA["base"].dataType))), rank))
+    row, uses, base, new = free_names(rows, "pii_row", "pii_uses", "pii_base", "pii_new")
+    fields = [T.StructField(n, f.dataType) for n, f in zip((base, uses), _SCHEMA.fields, strict=True)]
+    found = rows.select(*names, F.col("text").alias("text")).mapInArrow(_found(base, uses), T.StructType(kept + fields))
+    found = cut(found.withColumn(row, F.monotonically_increasing_id()), "pii-found")
+    each = found.select(F.col(row).alias("row"), F.explode(uses).alias("u")).select("row", "u.*")
+    trusted = confident_instances(each.select("kind", "instance", F.explode("patterns").alias("pattern")), rounds).withColumnRenamed("kind", "as")
+    order = lambda kind: F.array_position(F.array(*[F.lit(k) for k in ALL_KINDS]), kind)
+    more = each.filter(F.col("kind").isNull() | (F.col("kind") == SECRET_KIND)).join(trusted, "instance")
+    more = more.groupBy("row", "start", "end").agg(F.max(F.struct("confidence", (-order(F.col("as"))).alias("o"), "as")).alias("best"))
+    more = more.groupBy("row").agg(F.collect_list(F.struct("start", "end", F.col("best.as").alias("kind"))).alias(new)).withColumnRenamed("row", row + "_")
+    out = found.join(more, F.col(row) == F.col(row + "_"), "left")
+    rank = lambda x: F.struct(x["start"].alias("start"), order(x["kind"]).alias("o"), x["end"].alias("end"), x["kind"].alias("kind"))
+    every = F.array_sort(F.transform(F.concat(base, F.coalesce(new, F.expr("array()").cast(_SCHEMA["base"].dataType))), rank))
     spans = F.transform(every, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
-    return out.select(*names, "base", spans.alias("spans"))
+    return out.select(*names, F.col(base).alias("base"), spans.alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -277,7 +293,9 @@ def _redacted(found: str):
 def redact(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """docs with every span of find_pii replaced by its kind in brackets; overlapping spans become one.
 
-    Spans meet their texts by doc_id and a hash of the text; rows equal in both get the same spans.
+    Spans meet their texts by doc_id (a null one is an id as well) and a hash of the text; rows equal in both get the
+    same spans. Null and empty texts stay as they are, as do all other columns, whatever their names. An empty table
+    gives an empty result.
     """
     tag = F.xxhash64(F.coalesce("text", F.lit("")))
     spans = find_pii(docs.select("doc_id", tag.alias("tag"), "text"), rounds).filter(F.size("spans") > 0)

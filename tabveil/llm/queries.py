@@ -21,13 +21,13 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.contaminated(decontaminate.find_contamination(docs, read_table(spark, sf_dir, "benchmark")))
     sha = F.sha2(F.array_join("decon_items", ",").cast("binary"), 256)
-    return found.select("doc_id", F.col("decon_words").alias("n_words"), "n_hit", F.size("decon_items").cast("long").alias("n_items"), sha.alias("items_sha256"), "contaminated")
+    return found.select("doc_id", F.col("decon_words").alias("n_words"), F.col("decon_hit").alias("n_hit"), F.size("decon_items").cast("long").alias("n_items"), sha.alias("items_sha256"), "contaminated")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [pii.of_kind(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

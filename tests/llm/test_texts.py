@@ -1,5 +1,7 @@
 """Decontamination, PII, tokens and quality on small tables, against brute force."""
 
+import collections
+import hashlib
 import random
 import re
 import zlib
@@ -29,19 +31,30 @@ def brute_hits(text, items):
     return len(words), len(hit), sorted(of)
 
 
+def test_long_items_are_taken_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "AUTOMATON_BYTES", 400)
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 10)
+    words = [f"w{i}" for i in range(200)]
+    items = [("a", " ".join(words)), ("b", " ".join(words[:20]))]
+    docs = [(k, " ".join(words[k : k + 13 + k % 3])) for k in range(187)]
+    out = decontaminate.contaminated(decontaminate.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")))
+    assert sorted((r["decon_words"], r["decon_hit"], r["decon_items"]) for r in out.collect()) == sorted(brute_hits(t, items) for _, t in docs)
+
+
 def test_decontamination_against_brute_force(spark, monkeypatch):
     rng = random.Random(1)
     vocabulary = ["Äpfel", "b2", "c", "dog", "E"]
     text = lambda n: "".join(rng.choice(vocabulary) + rng.choice([" ", "-", "\n", ". "]) for _ in range(n))
     items = [(i, text(rng.randint(0, 16))) for i in range(12)] + [(3, "dog dog"), (90, None), (91, "-- --"), (None, "c"), (92, "dog")]
     docs = [(i, text(rng.randint(0, 60))) for i in range(40)] + [(7, None), (7, "dog"), (8, ""), (9, items[2][1].upper() + " tail"), (9, items[2][1].upper() + " tail"), (None, "x " * 30_000 + items[4][1])]
-    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'old' as decon_hits")
+    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'old' as Decon_Hits", "5 as n_hit", "6 as Contaminated")
     b = spark.createDataFrame(items, "item_id long, text string")
     expect = sorted(brute_hits(t, [x for x in items if x[0] is not None]) for _, t in docs)
     for size in (decontaminate.AUTOMATON_BYTES, 60):  # the second makes several automata
         monkeypatch.setattr(decontaminate, "AUTOMATON_BYTES", size)
         out = decontaminate.contaminated(decontaminate.find_contamination(d, b)).collect()
-        assert sorted((r["decon_words"], r["n_hit"], r["decon_items"]) for r in out) == expect
+        assert sorted((r["decon_words"], r["decon_hit"], r["decon_items"]) for r in out) == expect
+        assert all(r["n_hit"] == 5 for r in out)
         for r in out:
             for (a, e), (x, y) in zip(r["decon_spans"], r["decon_hits"], strict=True):
                 assert WORD.findall(fold(r["text"][a:e])) == WORD.findall(fold(r["text"]))[x:y]
@@ -74,8 +87,11 @@ def test_fixed_patterns_against_regex():
 def test_bootstrapping_finds_unseen_identifiers(spark):
     rows = [(i, f"Please call me at +1 (555) 010-{1000 + i} today or not.") for i in range(8)]
     rows += [(100, "Please call me at 555-010-7777 today or not."), (101, "Lot 12345 is here, 99.5 left."), (102, None), (103, ""), (100, "Please call me at 555-010-7777 today or not."), (104, "x" * 50_000 + " a@b.co")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as spans")
-    out = pii.find_pii(docs.drop("spans")).collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as Spans", "2 as new", "3 as uses", "4 as pii_row", "5 as Base", "6 as row")
+    out = pii.find_pii(docs)
+    assert out.columns == ["doc_id", "new", "uses", "pii_row", "row", "base", "spans"]
+    out = out.collect()
+    assert all((r["new"], r["uses"], r["pii_row"], r["row"]) == (2, 3, 4, 6) for r in out)
     assert len(out) == len(rows)
     text = dict(rows)
     for r in out:
@@ -87,7 +103,59 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     redacted = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
     assert redacted[0] == "Please call me at [PHONE] today or not." == redacted[100]
     assert redacted[101] == text[101] and redacted[102] is None and redacted[104].endswith(" [EMAIL]")
-    assert pii.find_pii(docs.drop("spans").limit(0)).count() == 0
+    assert pii.redact(docs).columns == docs.columns
+    assert pii.find_pii(docs.limit(0)).count() == 0 == pii.redact(docs.limit(0)).count()
+
+
+def test_secrets_are_found_by_their_context(spark):
+    key = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(i, f'so it is token = "{key(i)}" and on') for i in range(8)]
+    rows += [(100, 'then TOKEN = "a1b2c3d4e5"### of'), (101, f"the commit {key(101)} is clean"), (102, f"checksum {key(102)}"), (103, f"token = {key(103)}")]
+    rows += [(104, f"{key(3)} alone")]
+    out = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    text, found = dict(rows), {r["doc_id"]: r["spans"] for r in out}
+    assert all(not r["base"] for r in out)
+    for i in (*range(8), 103, 104):
+        assert [(text[i][s["start"] : s["end"]], s["kind"]) for s in found[i]] == [(key(3 if i == 104 else i), "secret")], i
+    assert [(s["start"], s["end"], s["kind"]) for s in found[100]] == [(14, 24, "secret")]
+    assert not found[101] and not found[102]
+
+
+def brute_graph(uses, rounds, least_seeds, least):
+    """confident_instances over a list of (kind or None, instance, pattern), in plain Python."""
+    edges = {(p, i, k or "") for k, i, p in uses}
+    degree = collections.Counter(p for p, _, _ in edges)
+    seeds = collections.Counter((p, k) for p, _, k in edges if k)
+    unseen = {(p, i) for p, i, k in edges if not k}
+    scores = {pk: (n, n / degree[pk[0]]) for pk, n in seeds.items()}
+
+    def beliefs(pairs):
+        miss = {}
+        for p, i in pairs:
+            for (q, k), (support, c) in scores.items():
+                if p == q and support >= least_seeds and c >= least / 2:
+                    miss[i, k] = miss.get((i, k), 1.0) * (1 - min(c, 0.999))
+        return {ik: 1 - m for ik, m in miss.items()}
+
+    for _ in range(rounds):
+        b, gain, found = beliefs(unseen), collections.Counter(), collections.Counter()
+        for p, i in unseen:
+            for (j, k), x in b.items():
+                if i == j:
+                    gain[p, k] += x
+                    found[p, k] += x >= least
+        scores = {pk: (seeds[pk] + found[pk], (seeds[pk] + gain[pk]) / degree[pk[0]]) for pk in {*seeds, *gain}}
+    return {ik: x for ik, x in beliefs({(p, i) for p, i, k in edges if k in ("", "secret")}).items() if x >= least}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_the_graph_equals_plain_python(spark, seed):
+    rng = random.Random(seed)
+    uses = [(rng.choice(["phone", "card", "secret", None, None]), f"i{rng.randint(0, 40)}", f"p{rng.randint(0, 12)}") for _ in range(150)]
+    got = pii.confident_instances(spark.createDataFrame(uses, "kind string, instance string, pattern string"), 3, 2, 0.4).collect()
+    want = brute_graph(uses, 3, 2, 0.4)
+    assert len(got) == len(want) > 0
+    assert all(abs(want[r["instance"], r["kind"]] - r["confidence"]) < 1e-9 for r in got)
 
 
 def test_found_identifiers_are_found_elsewhere_and_find_others(spark):
