@@ -8,7 +8,8 @@ triangle inequality bounds it: a vector at distance r from pivot p is no nearer
    keyed. The points of a pivot, sorted by distance, are cut into cells.
 2. A query's own cell gives a first bound on its k-th score.
 3. A query goes only to the cells whose ring that bound cannot exclude; there it takes the annuli from the
-   nearest outward and stops at the first one too far. Queries come in blocks, so a task holds a cell and a block.
+   nearest outward and stops at the first one too far. Queries come in blocks of neighbouring cells, so a task holds
+   a chunk of a cell and a block, and a chunk's points travel only to the blocks that have a query for them.
 """
 
 from __future__ import annotations
@@ -20,14 +21,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabveil.llm.common import cut, small_batches
+from tabveil.llm.common import cut, mix64, small_batches
 
-SAMPLE = 4096
-PIVOTS = 16
+#: Pivots: one for so many points, between the bounds; sampled rows that the fit takes for each.
+PIVOT_ROWS = 16_384
+PIVOTS, MOST_PIVOTS = 16, 1024
+SAMPLE_EACH = 64
 CELL_ROWS = 4096
-#: Rings of a pivot at most; what is broadcast is a row of five numbers for each. Beyond, rings get wider.
+#: Rings of a pivot at most; what is broadcast is a row of seven numbers for each. Beyond, rings get wider.
 MOST_RINGS = 256
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 8192
 ANNULUS_ROWS = 256
 SLACK = 1e-6
 
@@ -85,7 +88,7 @@ def _first_bound(k: int, width: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         q = pdf[pdf["asks"]]
         if not len(q):
-            return pd.DataFrame({"point": pd.Series([], dtype="int64"), "v": pd.Series([], dtype=object), "bound": pd.Series([], dtype="float64")})
+            return pd.DataFrame({"cell": pd.Series([], dtype="int32"), "point": pd.Series([], dtype="int64"), "v": pd.Series([], dtype=object), "bound": pd.Series([], dtype="float64")})
         x, many, bounds = _matrix(pdf["v"], width), np.array([len(i) for i in pdf["ids"]]), []
         for a in range(0, len(q), 256):
             s = _matrix(q["v"].iloc[a : a + 256], width) @ x.T
@@ -95,13 +98,25 @@ def _first_bound(k: int, width: int):
             full = at < order.shape[1]
             at = np.minimum(at, order.shape[1] - 1)
             bounds += np.where(full, s[np.arange(len(s)), order[np.arange(len(s)), at]], np.nan).tolist()
-        return pd.DataFrame({"point": q["point"].to_numpy(), "v": q["v"].to_numpy(), "bound": bounds})
+        return pd.DataFrame({"cell": q["cell"].to_numpy(), "point": q["point"].to_numpy(), "v": q["v"].to_numpy(), "bound": bounds})
 
     return run
 
 
-def _routed(pivots, cells, width: int, most: float, blocks: int):
-    """A row for each query and cell that the bound cannot exclude."""
+def blocks_of(queries: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first block, number of blocks) of each cell, from its queries: neighbouring cells share a block as long as it
+    holds at most so many queries, a cell of more has several."""
+    first, many, block, have = np.zeros(len(queries), np.int32), np.ones(len(queries), np.int32), 0, 0
+    for i, n in enumerate(queries.tolist()):
+        if have and have + n > most:
+            block, have = block + 1, 0
+        first[i], many[i] = block, max(1, -(-n // most))
+        block, have = (block + int(many[i]), 0) if n > most else (block, have + n)
+    return first, many
+
+
+def _routed(pivots, cells, width: int, most: float):
+    """A row for each query and chunk of a cell that the bound cannot exclude."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = cells.value
@@ -117,7 +132,9 @@ def _routed(pivots, cells, width: int, most: float, blocks: int):
                 many = c["chunks"][cols]
                 chunk = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 rows, cols = np.repeat(rows, many), np.repeat(cols, many)
-                yield pd.DataFrame({"cell": c["cell"][cols], "chunk": chunk.astype("int32"), "block": (q["point"].to_numpy()[rows] % blocks).astype("int32"), "point": q["point"].to_numpy()[rows], "v": q["v"].to_numpy()[rows], "bound": q["bound"].to_numpy()[rows], "d": at[rows, cols]})
+                own = np.searchsorted(c["cell"], q["cell"].to_numpy())
+                spread = (mix64(q["point"].to_numpy().view(np.uint64)) % c["blocks"][own].astype(np.uint64)).astype("int32")
+                yield pd.DataFrame({"cell": c["cell"][cols], "chunk": chunk.astype("int32"), "block": (c["block"][own] + spread)[rows], "point": q["point"].to_numpy()[rows], "v": q["v"].to_numpy()[rows], "bound": q["bound"].to_numpy()[rows], "d": at[rows, cols]})
 
     return run
 
@@ -195,30 +212,33 @@ def top_k(vectors: DataFrame, asks, k: int = 20, scale: int = 64) -> DataFrame:
     points = points.join(asking.select("v").distinct().withColumn("asks", F.lit(True)), "v", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
     points = cut(points, "topk-points")
 
-    sample = points.select("v").orderBy(F.xxhash64("point"), "point").limit(SAMPLE).collect()
-    fitted = fit_pivots(_stretched(_matrix([r["v"] for r in sample], width), most), PIVOTS)
+    n_pivots = max(PIVOTS, min(MOST_PIVOTS, points.count() // PIVOT_ROWS))
+    sample = points.select("v").orderBy(F.xxhash64("point"), "point").limit(SAMPLE_EACH * n_pivots).collect()
+    fitted = fit_pivots(_stretched(_matrix([r["v"] for r in sample], width), most), n_pivots)
     pivots = spark.sparkContext.broadcast(fitted)
     keyed = cut(points.mapInPandas(_keyed(pivots, width, most), "v array<double>, point long, ids array<long>, asks boolean, pivot int, r double"), "topk-keyed")
 
     counts = keyed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("r", [i / 256 for i in range(1, 256)], 4096).alias("q"))
-    found = counts.orderBy("pivot").collect()  # PIVOTS rows at most
-    edges = {r["pivot"]: sorted({r["q"][max(0, min(254, round(256 * i / c) - 1))] for i in range(1, c)}) for r in found for c in [min(MOST_RINGS, -(-r["n"] // CELL_ROWS))]}
-    table = F.create_map(*[x for p, e in edges.items() for x in (F.lit(p), F.array(*[F.lit(float(v)) for v in e]).cast("array<double>"))])
-    ring = F.size(F.filter(table[F.col("pivot")], lambda e: e < F.col("r")))
-    celled = keyed.withColumn("cell", F.col("pivot") * MOST_RINGS + ring)
-    # 256 cells a pivot at most. A cell of more rows than a task should hold is taken in chunks, each within its ring.
+    edges = []
+    for r in counts.orderBy("pivot").collect():  # a row per pivot
+        c = min(MOST_RINGS, -(-r["n"] // CELL_ROWS))
+        edges.append((r["pivot"], sorted({float(r["q"][max(0, min(254, round(256 * i / c) - 1))]) for i in range(1, c)})))
+    rings = F.broadcast(spark.createDataFrame(edges, "pivot int, edges array<double>"))
+    celled = keyed.join(rings, "pivot").withColumn("cell", F.col("pivot") * MOST_RINGS + F.size(F.filter("edges", lambda e: e < F.col("r")))).drop("edges")
+    # MOST_RINGS cells a pivot at most. A cell of more rows than a task should hold is taken in chunks, each within its ring.
     chunks = F.ceil(F.count(F.lit(1)) / (2 * CELL_ROWS)).cast("int").alias("chunks")
-    cells = celled.groupBy("cell").agg(F.first("pivot").alias("pivot"), F.min("r").alias("low"), F.max("r").alias("high"), chunks).collect()
+    cells = celled.groupBy("cell").agg(F.first("pivot").alias("pivot"), F.min("r").alias("low"), F.max("r").alias("high"), chunks, F.count_if("asks").alias("queries")).orderBy("cell").collect()
     as_arrays = {n: np.array([r[n] for r in cells]) for n in ("cell", "pivot", "low", "high", "chunks")}
+    as_arrays["block"], as_arrays["blocks"] = blocks_of(np.array([r["queries"] for r in cells]), QUERY_BLOCK)
     parts = F.broadcast(spark.createDataFrame([(r["cell"], r["chunks"]) for r in cells], "cell int, chunks int"))
     celled = celled.join(parts, "cell").withColumn("chunk", F.pmod(F.xxhash64("point"), F.col("chunks")).cast("int"))
     shared = spark.sparkContext.broadcast(as_arrays)
 
-    n_queries = points.filter("asks").count()
-    blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    firsts = celled.groupBy("cell", "chunk").applyInPandas(_first_bound(k + 1, width), "point long, v array<double>, bound double")
-    routed = firsts.mapInPandas(_routed(pivots, shared, width, most, blocks), "cell int, chunk int, block int, point long, v array<double>, bound double, d double")
-    dealt = celled.select("cell", "chunk", "ids", "v", "r").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    firsts = celled.groupBy("cell", "chunk").applyInPandas(_first_bound(k + 1, width), "cell int, point long, v array<double>, bound double")
+    firsts = cut(firsts, "topk-firsts")
+    routed = firsts.mapInPandas(_routed(pivots, shared, width, most), "cell int, chunk int, block int, point long, v array<double>, bound double, d double")
+    wanted = cut(routed.select("cell", "chunk", "block").distinct(), "topk-wanted")
+    dealt = celled.select("cell", "chunk", "ids", "v", "r").join(wanted, ["cell", "chunk"])
     hits = dealt.groupBy("cell", "chunk", "block").cogroup(routed.groupBy("cell", "chunk", "block")).applyInPandas(_searched(k + 1, width, most), "point long, vec_id long, score long")
     best = Window.partitionBy("point").orderBy(F.col("score").desc(), "vec_id")
     hits = hits.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k + 1)

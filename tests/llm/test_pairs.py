@@ -219,3 +219,8 @@ def test_warc_of_nothing(spark):
     folder = tempfile.mkdtemp(prefix="spark-") + "/out"
     assert warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), folder).count() == 0
     assert warc.read_warc(spark, folder).count() == 0
+
+
+def test_query_blocks_hold_neighbouring_cells():
+    first, many = topk.blocks_of(np.array([1, 1, 5, 0, 2, 9, 1, 0]), 4)
+    assert first.tolist() == [0, 0, 1, 3, 3, 4, 7, 7] and many.tolist() == [1, 1, 2, 1, 1, 3, 1, 1]
