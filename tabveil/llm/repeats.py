@@ -5,19 +5,20 @@ windows have equal names, and consecutive windows of a text mostly share theirs:
 bytes. Only names that several runs have can hold repeats, and these decide where text has to meet:
 
 1. Texts with equal digests: all but the first are removed whole, if they have a window at all.
-2. Runs meet by name. Of runs with equal bytes all but the first repeat it whole. A name with one text is done.
-3. The first runs of names with several texts (and runs that may repeat themselves, less what they
-   repeat at a fixed distance, as periodic text does) bring their bytes to a shard, where an induced-sorting suffix array and its permuted common prefixes find equal windows;
-   of each class of equal windows all but the first are repeats.
-4. Names with more texts than a shard should hold go on as digests of their single windows instead, which meet by value; that is exact as well and no task holds such a name whole.
-
-Repeats go back to their texts as byte ranges. Only runs, ranges and the bytes of step 3 are shuffled, and texts
-twice: once for these bytes and once for the result.
+2. A first scan counts names. Those that two runs have, or a run that may repeat itself, go into a bitmap; a second
+   scan takes the runs of such names with their bytes. Of runs with equal bytes all but the first repeat it whole:
+   hot passages so collapse before anything gathers them.
+3. The first runs of names with several texts, and runs that may repeat themselves, bring their bytes to a shard,
+   where an induced-sorting suffix array and its permuted common prefixes find equal windows; of each class of equal
+   windows all but the first are repeats.
+4. A name with more bytes than a shard is dealt to several. Each settles its own classes by its suffix array and hands
+   on one window a class, and these meet by value. So no task holds such a name whole, and nothing is left out.
+
+Repeats go back to their texts as byte ranges. Only names, runs of step 2 and ranges are shuffled, and texts once.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -25,10 +26,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabveil.llm.common import BYTE_CODE, ODD, ODD_INVERSE, cut, mix64, powers, small_batches
+from tabveil.llm.common import BROADCAST_ROWS, BYTE_CODE, ODD, ODD_INVERSE, cut, mix64, powers, small_batches
 from tabveil.llm.ngram_join import _groups
 from tabveil.llm.suffix import permuted_lcp, suffix_array
 
@@ -37,8 +38,11 @@ GRAM = 40
 #: Windows that one gram can name, so the longest run without ties.
 REACH = WINDOW - GRAM + 1
 SHARD_BYTES = 1 << 20
-#: Distinct texts of a name up to which it goes to a shard.
-SHARD_TEXTS = 2048
+#: Windows of a run at most; only text that repeats itself has longer ones, which are cut.
+PIECE = 1 << 16
+#: Bits of the bitmap of names: so many a name, between these bounds. More names only let more runs through.
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 28
+#: Texts or runs that a task remembers having emitted.
 REMEMBERED = 200_000
 
 
@@ -87,12 +91,19 @@ class Runs:
         after = np.append(edge, len(name))[np.searchsorted(edge, first) + 1]
         tie = np.zeros(len(name) + 1, dtype=np.int64)
         np.cumsum(np.append((gram[: len(name) - 1] == name[:-1]) & ~new[1:] & inside[1:], False), out=tie[1:])
-        return name[first], text[first], first, after - first, tie[after] > tie[first], data
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(name, digest, key, start, windows, loops) of each run. Of equal texts in a task a later one is left out, unless its
-    key is smaller."""
+        loops = tie[after] > tie[first]
+        many = np.maximum(1, -(-(after - first) // PIECE))
+        if (many > 1).any():
+            nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            first, after, loops = np.repeat(first, many), np.repeat(after, many), np.repeat(loops, many)
+            first = first + nth * PIECE
+            after = np.minimum(after, first + PIECE)
+        return name[first], text[first], first, after - first, loops, data
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """For each batch: keys, texts, and what Runs says of them. Of equal texts in a task a later one is left out, unless
+    its key is smaller."""
     find, least = Runs(), {}
     for batch in batches:
         keys, raw = [], []
@@ -105,69 +116,64 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             least[d] = key
             keys.append(key)
             raw.append(data)
-        name, text, first, windows, loops, data = find(raw)
-        if not len(name):
-            continue
-        digest = np.array([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(first.tolist(), (first + windows + WINDOW - 1).tolist(), strict=True)], dtype=np.uint64)
-        length = np.array([len(x) for x in raw])
-        start = first - (np.cumsum(length) - length)[text]
-        yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(np.array(keys, dtype=np.int64)[text]), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(loops)], names=["name", "digest", "key", "start", "windows", "loops"])
-
-
-def unlooped(text: bytes) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(stretches of windows to compare, stretches of windows that repeat an earlier one of this text).
-
-    If a gram in the middle comes again after p bytes, every window that equals the one p bytes before it is a
-    repeat; it need not be compared either, since what it could show, the earlier one shows.
-    """
-    n = len(text) - WINDOW + 1
-    middle = n // 2
-    p = text.find(text[middle : middle + GRAM], middle + 1) - middle
-    if not 0 < p < n:
-        return [(0, n)], []
-    b = np.frombuffer(text, dtype=np.uint8)
-    same = np.concatenate(([0], np.cumsum(b[p:] == b[:-p])))
-    again = np.zeros(n, dtype=bool)
-    again[p:] = same[WINDOW:] - same[:-WINDOW] == WINDOW
-    edge = np.concatenate(([0], np.flatnonzero(again[1:] != again[:-1]) + 1, [n]))
-    pieces = list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
-    return [x for x in pieces if not again[x[0]]], [x for x in pieces if again[x[0]]]
-
-
-def _to_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the wanted runs for their shards; digests of single windows for the runs of large names; and, with
-    shard -1 and the end in w1, ranges that a run repeats within itself."""
-    schema = pa.schema([("shard", pa.int32()), ("key", pa.int64()), ("start", pa.int32()), ("bytes", pa.binary()), ("w1", pa.int64()), ("w2", pa.int64())])
-    for batch in batches:
-        shard, key, start, data, high, low = [], [], [], [], [], []
-
-        def flush():
-            return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(data, pa.binary()), pa.array(high, pa.int64()), pa.array(low, pa.int64())], schema=schema)
-
-        for k, text, wanted in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-            raw = (text or "").encode("utf-8", "surrogatepass")
-            for w in wanted:
-                at, n = w["start"], w["windows"]
-                keep, again = unlooped(raw[at : at + n + WINDOW - 1]) if w["loops"] else ([(0, n)], [])
-                for a, b in again:
-                    shard.append(-1), key.append(k), start.append(at + a), data.append(None), high.append(at + b + WINDOW - 1), low.append(None)
-                for a, b in keep:
-                    if w["shard"] is not None:
-                        shard.append(w["shard"]), key.append(k), start.append(at + a), data.append(raw[at + a : at + b + WINDOW - 1]), high.append(None), low.append(None)
-                        continue
-                    for i in range(at + a, at + b):
-                        d = xxhash.xxh3_128_intdigest(raw[i : i + WINDOW])
-                        shard.append(None), key.append(k), start.append(i), data.append(None)
-                        high.append((d >> 64) - (1 << 63)), low.append((d & (1 << 64) - 1) - (1 << 63))
-                        if len(key) >= 50_000:
-                            yield flush()
-                            shard, key, start, data, high, low = [], [], [], [], [], []
-        yield flush()
-
-
-def repeated_windows(texts: list[bytes], order: np.ndarray, width: int = WINDOW) -> list[np.ndarray]:
-    """For each text the first bytes of its windows that also occur earlier. Earlier: in a text of smaller order
-    (rows of order compare as tuples; they differ between texts), or before in the same text.
+        found = find(raw)
+        if len(found[0]):
+            yield keys, raw, *found
+
+
+def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, n, loops): how many runs have it."""
+    for _, _, name, _, _, _, loops, _ in _each(batches):
+        distinct, at, n = np.unique(name, return_inverse=True, return_counts=True)
+        loop = np.zeros(len(distinct), dtype=bool)
+        loop[at[loops]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(loop)], names=["name", "n", "loops"])
+
+
+def bitmap_of(names: DataFrame) -> np.ndarray:
+    """Words of a bitmap over the low bits of names; of bounded size, and added up by Spark."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * max(1, names.count()) - 1).bit_length()))
+    words = names.select((F.col("name").bitwiseAND(F.lit(bits - 1)) / 64).cast("int").alias("at"), F.expr("shiftleft(1L, cast(name & 63 as int))").alias("bit"))
+    found = words.groupBy("at").agg(F.bit_or("bit").alias("word")).toArrow()
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    out[found.column("at").to_numpy()] = found.column("word").to_numpy().view(np.uint64)
+    return out
+
+
+def _wanted_runs(bitmap):
+    """(name, digest, key, start, windows, loops, bytes) of the runs whose name the bitmap holds. bytes is null where
+    the task has emitted the same run at an earlier place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, seen = bitmap.value, {}
+        mask = np.uint64(64 * len(words) - 1)
+        for keys, raw, name, text, first, windows, loops, data in _each(batches):
+            on = np.flatnonzero((words[((name & mask) >> np.uint64(6)).astype(np.int64)] >> (name & np.uint64(63))) & np.uint64(1))
+            if not len(on):
+                continue
+            name, text, first, windows, loops = name[on], text[on], first[on], windows[on], loops[on]
+            length = np.array([len(x) for x in raw])
+            start = first - (np.cumsum(length) - length)[text]
+            key, digest, pieces = np.array(keys, dtype=np.int64)[text], [], []
+            for n, k, at, a, b in zip(name.tolist(), key.tolist(), start.tolist(), first.tolist(), (first + windows + WINDOW - 1).tolist(), strict=True):
+                piece = data[a:b]
+                d = xxhash.xxh3_64_intdigest(piece)
+                digest.append(d)
+                if seen.get((n, d), (k + 1, 0)) <= (k, at):
+                    piece = None
+                else:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen[n, d] = (k, at)
+                pieces.append(piece)
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(np.array(digest, dtype=np.uint64).view(np.int64)), pa.array(key), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(loops), pa.array(pieces, pa.binary())], names=["name", "digest", "key", "start", "windows", "loops", "bytes"])
+
+    return run
+
+
+def repeated_windows(texts: list[bytes], order: np.ndarray, width: int = WINDOW) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each text the first bytes of its windows that also occur earlier, and of those that do not. Earlier: in a
+    text of smaller order (rows of order compare as tuples; they differ between texts), or before in the same text.
 
     order: an array of (key, start) rows; windows at equal absolute places don't occur twice.
     """
@@ -189,32 +195,44 @@ def repeated_windows(texts: list[bytes], order: np.ndarray, width: int = WINDOW)
     # with both and is a window itself, so leaving out the rest does not join or part classes.
     new = shared[at] < width
     if not len(at):
-        return [np.empty(0, np.int64)] * len(texts)
+        return [np.empty(0, np.int64)] * len(texts), [np.empty(0, np.int64)] * len(texts)
     new[0] = True
     key, pos = order[text[at], 0], order[text[at], 1] + place[at]
     rank = np.empty(len(at), dtype=np.int64)
     rank[np.lexsort((pos, key))] = np.arange(len(at))
     group = np.cumsum(new) - 1
     least = np.minimum.reduceat(rank, np.flatnonzero(new))
-    again = at[rank != least[group]]
-    again = again[np.argsort(again)]
-    cuts = np.searchsorted(text[again], np.arange(len(texts) + 1))
-    return [place[again[a:b]] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    first_of = rank == least[group]
+
+    def by_text(where: np.ndarray) -> list[np.ndarray]:
+        where = np.sort(where)
+        cuts = np.searchsorted(text[where], np.arange(len(texts) + 1))
+        return [place[where[a:b]] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    return by_text(at[~first_of]), by_text(at[first_of])
 
 
 def _shards(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Ranges (key, a, b) that repeat; and, of names in several shards, the first window (key, a) of each class with its
+    digest in w1 and w2."""
     for g in _groups(parts, ["shard"]):
         texts = list(g["bytes"])
         order = np.stack([g["key"].to_numpy(), g["start"].to_numpy().astype(np.int64)], axis=1)
-        key, begin, end = [], [], []
-        for (k, s), at in zip(order, repeated_windows(texts, order), strict=True):
+        key, begin, end, high, low = [], [], [], [], []
+        for (k, s), raw, split, at, firsts in zip(order.tolist(), texts, g["split"], *repeated_windows(texts, order), strict=True):
             if len(at):
                 breaks = np.flatnonzero(np.diff(at) > 1)
                 a, b = at[np.concatenate(([0], breaks + 1))], at[np.append(breaks, len(at) - 1)]
                 key += [k] * len(a)
                 begin += (a + s).tolist()
                 end += (b + s + WINDOW).tolist()
-        yield pd.DataFrame({"key": np.array(key, dtype=np.int64), "a": np.array(begin, dtype=np.int32), "b": np.array(end, dtype=np.int32)})
+                high += [None] * len(a)
+                low += [None] * len(a)
+            for i in firsts.tolist() if split else ():
+                d = xxhash.xxh3_128_intdigest(raw[i : i + WINDOW])
+                key.append(k), begin.append(i + s), end.append(i + s + WINDOW)
+                high.append((d >> 64) - (1 << 63)), low.append((d & (1 << 64) - 1) - (1 << 63))
+        yield pd.DataFrame({"key": np.array(key, dtype=np.int64), "a": np.array(begin, dtype=np.int32), "b": np.array(end, dtype=np.int32), "w1": pd.array(high, "Int64"), "w2": pd.array(low, "Int64")})
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,44 +259,50 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], schema.field(i).type) for i in range(6)], schema=schema)
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished steps, which it does once their plans are garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def _not_first(rows: DataFrame, by: list[str], place: list[str]) -> DataFrame:
+    """rows but the one with the least place of each group. Minima are combined before they meet, and a hot group's rows
+    are joined back, which adaptive execution splits."""
+    named = [F.col(c).alias(f"{c}_") for c in by]
+    least = rows.groupBy(*named).agg(F.min(F.struct(*place)).alias("least"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    same = F.lit(True)
+    for c in by:
+        same = same & (F.col(c) == F.col(f"{c}_"))
+    return rows.join(least, same).filter(F.struct(*place) > F.col("least")).select(*rows.columns)
 
 
 def _keyed_repeats(docs: DataFrame) -> DataFrame:
     """docs: key (long, unique, not null, in the order of documents) and text."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     heads = cut(docs.select("key", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), F.octet_length(F.coalesce("text", F.lit(""))).alias("n")), "repeats-heads")
-    same = heads.groupBy("digest", "n").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-    copies = heads.join(same, ["digest", "n"]).filter("key <> first").select("key", F.lit(True).alias("copy"))
-
-    rows = docs.mapInArrow(_runs, "name long, digest long, key long, start int, windows int, loops boolean")
-    place = Window.partitionBy("name", "digest").orderBy("key", "start")
-    rows = rows.repartition(parts, "name").withColumn("first", F.row_number().over(place) == 1)
-    rows = rows.withColumn("texts", F.sum(F.col("first").cast("int")).over(Window.partitionBy("name")))
-    known = cut(rows.filter(~F.col("first") | (F.col("texts") > 1) | F.col("loops")).select("name", "key", "start", "windows", "loops", "first", "texts"), "repeats-runs")
-    _release(spark)
-    whole = known.filter(~F.col("first")).select("key", F.col("start").alias("a"), (F.col("start") + F.col("windows") + WINDOW - 1).alias("b"))
-    wanted = known.filter("first")
-    size = wanted.filter(F.col("texts") <= SHARD_TEXTS).agg(F.sum(F.col("windows") + WINDOW)).first()[0] or 0
-    shards = max(1, -(-size // SHARD_BYTES))
-    shard = F.when(F.col("texts") <= SHARD_TEXTS, F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int"))
-    wanted = wanted.groupBy("key").agg(F.collect_list(F.struct(shard.alias("shard"), "start", "windows", "loops")).alias("wanted"))
-    places = docs.join(wanted, "key").select("key", "text", "wanted").mapInArrow(_to_places, "shard int, key long, start int, bytes binary, w1 long, w2 long")
-    places = cut(places, "repeats-places")
-    _release(spark)
-    dealt = places.filter("shard >= 0").select("shard", "key", "start", "bytes").repartition(max(parts, min(shards, 20_000)), "shard").sortWithinPartitions("shard", "key", "start")
-    found = dealt.mapInPandas(_shards, "key long, a int, b int")
-    nth = F.row_number().over(Window.partitionBy("w1", "w2").orderBy("key", "start"))
-    single = places.filter("shard is null").select("w1", "w2", "key", "start").withColumn("nth", nth).filter("nth > 1").select("key", F.col("start").alias("a"), (F.col("start") + WINDOW).alias("b"))
-    inner = places.filter("shard = -1").select("key", F.col("start").alias("a"), F.col("w1").cast("int").alias("b"))
-    ranges = cut(whole.unionByName(inner).unionByName(found).unionByName(single), "repeats-ranges")
-    _release(spark)
+    copies = cut(_not_first(heads, ["digest", "n"], ["key"]).select("key", F.lit(True).alias("copy")), "repeats-copies")
+    rest = docs
+    if copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # else tasks leave out the copies that they see
+        rest = docs.join(F.broadcast(copies.select("key")), "key", "left_anti")
+
+    names = rest.mapInArrow(_names, "name long, n int, loops boolean").groupBy("name").agg(F.sum("n").alias("n"), F.bool_or("loops").alias("loops"))
+    names = cut(names.filter("n > 1 or loops").select("name"), "repeats-names")
+    bitmap = spark.sparkContext.broadcast(bitmap_of(names))
+    runs = cut(rest.mapInArrow(_wanted_runs(bitmap), "name long, digest long, key long, start int, windows int, loops boolean, bytes binary"), "repeats-runs")
+    whole = _not_first(runs.select("name", "digest", "key", "start", "windows"), ["name", "digest"], ["key", "start"])
+    whole = whole.select("key", F.col("start").alias("a"), (F.col("start") + F.col("windows") + WINDOW - 1).alias("b"))
+
+    firsts = runs.groupBy("name", "digest").agg(F.min(F.struct("key", "start")).alias("first"), F.first("windows").alias("windows"), F.bool_or("loops").alias("loops"))
+    firsts = cut(firsts.select("name", "first.key", "first.start", "windows", "loops"), "repeats-firsts")
+    sizes = firsts.groupBy("name").agg(F.count(F.lit(1)).alias("texts"), F.bool_or("loops").alias("loop"), F.sum(F.col("windows") + WINDOW).alias("bytes")).filter("texts > 1 or loop")
+    sizes = cut(sizes.select("name", "bytes", F.ceil(F.col("bytes") / SHARD_BYTES).alias("chunks")), "repeats-sizes")
+    shards = max(1, -(-(sizes.agg(F.sum("bytes")).first()[0] or 0) // SHARD_BYTES))
+    wanted = firsts.join(sizes, "name").select("name", "key", "start", "chunks")
+    chunk = F.pmod(F.xxhash64("key", "start"), F.col("chunks"))
+    shard = F.pmod(F.xxhash64("name", chunk), F.lit(shards)).cast("int")
+    wanted = wanted.select("name", "key", "start", shard.alias("shard"), (F.col("chunks") > 1).alias("split"))
+    dealt = runs.filter("bytes is not null").select("name", "key", "start", "bytes").join(wanted, ["name", "key", "start"])
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.select("shard", "key", "start", "split", "bytes").repartition(max(parts, min(shards, 20_000)), "shard").sortWithinPartitions("shard", "key", "start")
+    found = cut(dealt.mapInPandas(_shards, "key long, a int, b int, w1 long, w2 long"), "repeats-found")
+    across = _not_first(found.filter("w1 is not null"), ["w1", "w2"], ["key", "a"]).select("key", "a", "b")
+    ranges = whole.unionByName(found.filter("w1 is null").select("key", "a", "b")).unionByName(across)
     per_text = ranges.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    out = docs.join(per_text, "key", "left").join(copies, "key", "left").select("key", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "ranges")
+    out = docs.join(cut(per_text, "repeats-ranges"), "key", "left").join(copies, "key", "left").select("key", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "ranges")
     return out.mapInArrow(_cut_out, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<int>>")
 
 
@@ -296,12 +320,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").isEmpty():
         return _keyed_repeats(rows.withColumnRenamed("doc_id", "key")).withColumnRenamed("key", "doc_id")
-    # Rows are numbered in the wanted order; equal rows share out their numbers.
+    # Rows are numbered in the wanted order: a range sort numbers its partitions, and rows inside them, upwards.
     numbered = rows.withColumn("digest", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy(F.lit(0)))
-    numbered = cut(numbered.withColumn("nth", nth), "repeats-numbered")
-    order = numbered.select("doc_id", "digest", "nth").orderBy(F.col("doc_id").asc_nulls_last(), "digest", "nth").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[0][2], x[1]))
-    order = cut(spark.createDataFrame(order, "id long, d string, m int, key long"), "repeats-order")
-    keyed = numbered.join(order, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d")) & (F.col("nth") == F.col("m"))).select("key", "doc_id", "text")
+    keyed = numbered.orderBy(F.col("doc_id").asc_nulls_last(), "digest").select(F.monotonically_increasing_id().alias("key"), "doc_id", "text")
     keyed = cut(keyed, "repeats-keyed")
     return _keyed_repeats(keyed.select("key", "text")).join(keyed.select("key", "doc_id"), "key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
