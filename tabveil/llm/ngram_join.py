@@ -152,6 +152,18 @@ def forest(points: np.ndarray, sizes: np.ndarray, side: np.ndarray | None, perce
     return edges
 
 
+def all_links(points: np.ndarray, sizes: np.ndarray, side: np.ndarray | None, percent: int, verify) -> Iterator[tuple[int, int]]:
+    """All pairs within the bound for which verify(a, b) holds."""
+    order = np.argsort(sizes, kind="stable")
+    points, sizes = points[order], sizes[order]
+    side = None if side is None else side[order]
+    tree = CountTree(points, sizes)
+    for q in range(len(sizes) - 1, 0, -1):
+        rows = tree.within(points[q], int(sizes[q]), percent)
+        rows = rows[(rows < q) if side is None else (rows < q) & (side[rows] != side[q])]
+        yield from ((int(order[r]), int(order[q])) for r in rows.tolist() if verify(int(order[r]), int(order[q])))
+
+
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
     for i, text in enumerate(batch.column("text").to_pylist()):
         yield i, (text or "").encode("utf-8", "surrogatepass")
@@ -252,6 +264,12 @@ def _groups(parts: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataF
         yield rest
 
 
+def _signed(rows: DataFrame) -> DataFrame:
+    """Of each token: its members, and a signature of their set (two XORs of hashes, which no number of members
+    overflows, and the least vertex). rows has no row twice and is partitioned by token, so nothing is shuffled."""
+    return rows.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("vertex")).alias("s1"), F.bit_xor(F.xxhash64("vertex", F.lit(1))).alias("s2"), F.min("vertex").alias("s3"))
+
+
 def _edges_frame(pairs: list[tuple[int, int]]) -> pd.DataFrame:
     return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
 
@@ -312,7 +330,9 @@ def _sets(k: int, wanted):
     return run
 
 
-def _cluster_edges(percent: int):
+def _cluster_edges(percent: int, every: bool = False):
+    """A spanning forest of each cluster's links, or every link."""
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in _groups(parts, ["root", "left", "right"]):
             if len(g) < 2:
@@ -332,27 +352,24 @@ def _cluster_edges(percent: int):
                 return 100 * both >= percent * (len(x) + len(y) - both)
 
             side = None if g["left"].iloc[0] == g["right"].iloc[0] else g["chunk"].to_numpy()
-            yield _edges_frame([(int(vertex[a]), int(vertex[b])) for a, b in forest(np.stack([folded(x, GROUPS) for x in points]), n, side, percent, linked)])
+            stacked = np.stack([folded(x, GROUPS) for x in points])
+            yield _edges_frame([(int(vertex[a]), int(vertex[b])) for a, b in (all_links if every else forest)(stacked, n, side, percent, linked)])
 
     return run
 
 
-def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, tag, root of every row of docs (needs doc_id and text).
-
-    Documents link when their sets of k-word shingles (words: runs of anything but ASCII white space, A-Z folded)
-    have 100 * intersection >= percent * union; component_id is the smallest doc_id that links reach. Null and
-    word-less texts have empty sets, link with nothing and keep their own doc_id. Rows that repeat an id or a
-    text are documents of their own; a null doc_id never is a component's id unless all its ids are null. An
-    empty table gives an empty result; other columns are ignored. tag is xxhash64 of the text; root names the
-    component (null for empty sets).
-    """
+def _clustered(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, tag, n, vertex) of every row, and (root, left, right, chunk, vertex, tokens): the sets of each cluster,
+    sorted, dealt out as pairs of chunks."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"))
     seen = cut(texts.mapInArrow(_profile(k), "doc_id long, tag long, n long, vertex long, block int, counts binary"), "ngram-profile")
     ids = seen.filter("block is null").select("doc_id", "tag", "n", "vertex")
-    slots = seen.filter("block is not null").select("block", "counts", F.pmod(F.xxhash64("counts"), F.lit(32)).alias("salt"))
+    slots = seen.filter("block is not null").select("block", "counts")
+    # A table per task, added up in two levels of about the square root of their number each.
+    salts = max(1, round((slots.filter("block = 0").count()) ** 0.5))
+    slots = slots.withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(salts)))
     slots = slots.groupBy("block", "salt").applyInPandas(_add_up, "block int, counts binary").groupBy("block").applyInPandas(_add_up, "block int, counts binary")
     blobs = {r["block"]: zlib.decompress(r["counts"]) for r in slots.collect()}  # SLOT_BLOCKS rows of fixed size
     empty = bytes(4 * SLOTS // SLOT_BLOCKS)
@@ -363,9 +380,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     rows = emitted.filter("token is not null").select("token", "vertex")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "token").groupBy("token", "vertex").agg(F.lit(1).alias("one"))
-    # All from one shuffle by token: a block's size and a 128-bit signature of its members.
-    whole = rows.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.sum(F.hash("vertex").cast("long")).alias("s1"), F.sum(F.shiftrightunsigned(F.xxhash64("vertex"), 20)).alias("s2"), F.min("vertex").alias("s3"))
-    whole = whole.filter("members > 1")
+    whole = _signed(rows).filter("members > 1")
     chosen = whole.groupBy("members", "s1", "s2", "s3").agg(F.min("token").alias("token")).select("token", "members")
     blocks = rows.select("token", "vertex").join(chosen, "token")
     blocks = blocks.join(points, "vertex").withColumn("chunks", F.ceil(F.col("members") / BLOCK_ROWS))
@@ -383,7 +398,38 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sizes = sizes.select("root", F.ceil(F.greatest(F.col("members") / CLUSTER_ROWS, F.col("shingles") / CLUSTER_SHINGLES)).alias("chunks"))
     dealt = dealt_in_chunks(sized.join(sizes, "root"), "root", "chunks")
     dealt = dealt.repartition(parts, "root", "left", "right").sortWithinPartitions("root", "left", "right", "vertex")
-    links = dealt.select("root", "left", "right", "chunk", "vertex", "tokens").mapInPandas(_cluster_edges(percent), "a long, b long")
+    return ids, dealt.select("root", "left", "right", "chunk", "vertex", "tokens")
+
+
+def jaccard_links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(members, links). members: doc_id, n_shingles, vertex (which names the set; null for empty ones) and n_links, to
+    how many other rows of docs the row links. links: a, b: every pair of different sets that link, once.
+
+    Rows with equal sets share a vertex and link with each other; they are counted, not expanded. Every pair within the
+    tree's bound is verified, so this costs more than jaccard_classes, which needs a spanning forest only.
+    """
+    ids, dealt = _clustered(docs, k, percent)
+    links = cut(dealt.mapInPandas(_cluster_edges(percent, every=True), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "ngram-links")
+    copies = ids.filter("vertex is not null").groupBy("vertex").agg(F.count(F.lit(1)).alias("copies"))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(copies, F.col("b") == F.col("vertex")).groupBy("a").agg(F.sum("copies").alias("others"))
+    degree = copies.join(others, F.col("vertex") == F.col("a"), "left").select("vertex", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    members = ids.join(degree, "vertex", "left").select("doc_id", F.col("n").alias("n_shingles"), "vertex", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return members, links
+
+
+def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, tag, root of every row of docs (needs doc_id and text).
+
+    Documents link when their sets of k-word shingles (words: runs of anything but ASCII white space, A-Z folded)
+    have 100 * intersection >= percent * union; component_id is the smallest doc_id that links reach. Null and
+    word-less texts have empty sets, link with nothing and keep their own doc_id. Rows that repeat an id or a
+    text are documents of their own; a null doc_id never is a component's id unless all its ids are null. An
+    empty table gives an empty result; other columns are ignored. tag is xxhash64 of the text; root names the
+    component (null for empty sets).
+    """
+    ids, dealt = _clustered(docs, k, percent)
+    links = dealt.mapInPandas(_cluster_edges(percent), "a long, b long")
     classes = components(links)
 
     least = ids.filter("vertex is not null").groupBy("vertex").agg(F.min("doc_id").alias("least"))

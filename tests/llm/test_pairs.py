@@ -60,6 +60,33 @@ def test_classes_against_brute_force(spark, monkeypatch):
         assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out), key=str) == brute_classes(rows, 4, 85)
 
 
+def test_links_against_brute_force(spark, monkeypatch):
+    rows = near_rows(11, 90) + [(500, None), (501, ""), (502, "one word"), (503, "one word")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        n = min(4, len(w))
+        sets.append(frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if n else frozenset())
+    near = lambda x, y: bool(x) and 100 * len(x & y) >= 85 * len(x | y)
+    degree = {d: sum(near(x, y) for j, y in enumerate(sets) if i != j) for i, ((d, _), x) in enumerate(zip(rows, sets, strict=True))}
+    for rows_in_cluster in (1024, 5):
+        monkeypatch.setattr(ngram_join, "CLUSTER_ROWS", rows_in_cluster)
+        members, links = ngram_join.jaccard_links(df, 4, 85)
+        members = members.collect()
+        assert {r["doc_id"]: r["n_links"] for r in members} == degree
+        of = {r["vertex"]: sets[[d for d, _ in rows].index(r["doc_id"])] for r in members if r["vertex"] is not None}
+        want = {(a, b) for a in of for b in of if a < b and near(of[a], of[b])}
+        got = [(r["a"], r["b"]) for r in links.collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_signature_of_a_large_block(spark):
+    rows = spark.range(1_200_000).selectExpr("id % 2 as token", "id div 2 as vertex")
+    found = ngram_join._signed(rows).collect()
+    assert len({(r["members"], r["s1"], r["s2"], r["s3"]) for r in found}) == 1 and found[0]["members"] == 600_000
+
+
 def test_keep_first(spark):
     rows = near_rows(6, 40) + [(500, None), (501, ""), (3, None)]
     rows += [rows[0], (1000, rows[0][1])]
@@ -136,10 +163,10 @@ def passages(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("texts", [2048, 3])  # with 3, most names go on as single windows
-def test_repeats_against_brute_force(spark, monkeypatch, texts):
-    monkeypatch.setattr(repeats, "SHARD_TEXTS", texts)
-    monkeypatch.setattr(repeats, "SHARD_BYTES", 3000)
+@pytest.mark.parametrize("size", [3000, 400])  # with 400, most names are dealt to several shards
+def test_repeats_against_brute_force(spark, monkeypatch, size):
+    monkeypatch.setattr(repeats, "SHARD_BYTES", size)
+    monkeypatch.setattr(repeats, "PIECE", 2 * size)
     rows = passages(8, 60) + [(100, None), (101, ""), (102, "k" * 99), (103, "k" * 100), (104, "k" * 5000)]
     rows += [(105, rows[7][1] + "x"), (106, rows[7][1]), (107, rows[7][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as key", "2 as name")
