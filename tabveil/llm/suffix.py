@@ -1,7 +1,8 @@
 """Suffix arrays by induced sorting, and permuted longest common prefixes, with numpy.
 
 The scans of induced sorting are taken in blocks: the entries of a block whose suffixes would be placed inside the
-block end it there, so every entry is in place when it is read, and a block costs a few vector operations.
+block end it there, so every entry is in place when it is read, and a block costs a few vector operations. Text that
+repeats itself makes chains of such entries, and tiny blocks; there the scan goes on entry by entry for a while.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 import numpy as np
 
 STRIDE = 16
+#: Entries under which a block is not worth its operations; entries then taken one by one at first.
+LEAST_BLOCK, SINGLE = 128, 512
 
 
 def classify(t: np.ndarray) -> np.ndarray:
@@ -27,9 +30,20 @@ def _scan(sa: np.ndarray, t: np.ndarray, take: np.ndarray, place: np.ndarray, wa
 
     place: the next free slot of each bucket, moved on by way.
     """
-    n, at, size = len(sa), 0, 1024
+    n, at, size, single = len(sa), 0, 1024, 0
     view = sa[::way]
+    entries, letters, takes, free = memoryview(sa), memoryview(t), memoryview(take), memoryview(place)
     while at < n:
+        if single:
+            stop = min(n, at + single)
+            for i in range(at, stop) if way == 1 else range(n - 1 - at, n - 1 - stop, -1):
+                j = entries[i] - 1
+                if j >= 0 and takes[j]:
+                    c = letters[j]
+                    slot = free[c]
+                    entries[slot] = j
+                    free[c] = slot + way
+            at = stop
         block = view[at : at + size]
         idx = np.flatnonzero(block > 0)
         j = block[idx] - 1
@@ -53,7 +67,8 @@ def _scan(sa: np.ndarray, t: np.ndarray, take: np.ndarray, place: np.ndarray, wa
             sa[slot] = j
             place[c] = slot + way  # of equal characters the last, which is the furthest, stays
         at += done
-        size = min(2 * size, 1 << 15) if done == len(block) else max(32, 2 * done)
+        single = 0 if done == len(block) or done >= LEAST_BLOCK else min(4 * single or SINGLE, 64 * SINGLE)
+        size = min(2 * size, 1 << 15) if done == len(block) else max(LEAST_BLOCK, 2 * done)
 
 
 def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, heads: np.ndarray, tails: np.ndarray) -> np.ndarray:
