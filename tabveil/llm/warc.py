@@ -1,8 +1,9 @@
 """A deterministic sharded WARC writer, and a reader.
 
-Records are ranged by page_id into shards of about equal bytes. The cuts come from a histogram of at most 65,536
-bins that depends on the rows alone, not on how Spark holds them, so a rerun writes the same files. Inside a
-shard a task writes the records in order and rolls to a new file by compressed size. Files get temporary names
+Records are ranged by page_id and payload digest into shards of about equal bytes. Running sums of bytes over the
+range-sorted keys place the cuts; they depend on the rows alone, not on how Spark holds them, so a rerun writes the
+same files, however page_ids are spread. Inside a shard a task writes the records in order, remembering one key at a
+time, and rolls to a new file by compressed size. Files get temporary names
 that differ from attempt to attempt; the manifest lists those of the attempts that succeeded, and the commit
 renames them, so lost executors and repeated tasks leave nothing behind but temporary files.
 """
@@ -16,14 +17,16 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabveil.llm.common import cut, small_batches
 
 LEAST_REVISIT = 1000
-BINS = 1 << 16
+#: Partitions of the writing step at most; more shards share them, neighbours with neighbours.
+MOST_PARTITIONS = 50_000
 SHARD_BYTES = 64 << 20
 ROLL_BYTES = 16 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -100,21 +103,20 @@ def _write(folder: str, prefix: str, roll: int):
                 info = f"software: tabveil\r\nformat: WARC File Format 1.1\r\nisPartOf: {prefix}\r\n".encode()
                 put(shard, _record("warcinfo", [("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(SPACE, name)}>"), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], info), False)
 
-        page, marks, written = None, {}, set()
+        key, mark, seen = None, None, False
         for part in parts:
             for shard, p, kind, url, html, digest, refers in zip(*(part[c] for c in ("shard", "page_id", "kind", "url", "html", "digest", "refers_to")), strict=True):
                 p = None if pd.isna(p) else int(p)
-                if p != page:
-                    page, marks, written = p, {}, set()
+                if (p, digest) != key:
+                    key, mark, seen = (p, digest), None, False
                 if kind == 0:  # this page's payload has its response elsewhere
-                    marks[digest] = int(refers)
+                    mark = int(refers)
                     continue
                 payload = (html or "").encode("utf-8", "surrogatepass")
-                sha = hashlib.sha1(payload).hexdigest()
-                again = sha in marks or sha in written and len(payload) >= LEAST_REVISIT
+                again = mark is not None or seen and len(payload) >= LEAST_REVISIT
                 ready(shard)
-                put(shard, page_record(p, url, payload, marks.get(sha, p), again))
-                written.add(sha)
+                put(shard, page_record(p, url, payload, p if mark is None else mark, again))
+                seen = True
         close()
         yield pd.DataFrame(done, columns=[c.split()[0] for c in MANIFEST.split(", ")])
 
@@ -139,6 +141,32 @@ def _commit(folder: str):
     return run
 
 
+def _key(page_id: str, digest: str):
+    """A text that sorts as (page_id, nulls first; digest)."""
+    upper = F.lpad(F.hex(F.col(page_id).cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")  # sign bit flipped: unsigned order
+    return F.concat(F.coalesce(F.concat(F.lit("1"), upper), F.lit("0")), F.col(digest))
+
+
+def _placed(small: DataFrame, shard_bytes: int):
+    """(number of shards, a function from keys to shards). Keys are added up range by range and then inside each; a key
+    goes to the shard that its first byte falls into."""
+    spark = small.sparkSession
+    keys = small.groupBy(_key("page_id", "digest").alias("key")).agg(F.sum("bytes").alias("bytes"))
+    keys = cut(keys.repartitionByRange("key").withColumn("range", F.spark_partition_id()), "warc-keys")
+    before = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = keys.groupBy("range").agg(F.sum("bytes").alias("sum")).select("range", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("offset"))  # a row a partition
+    inside = Window.partitionBy("range").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    placed = keys.withColumn("at", F.coalesce(F.sum("bytes").over(inside), F.lit(0))).join(F.broadcast(sums), "range")
+    starts = placed.groupBy(F.floor((F.col("at") + F.col("offset")) / shard_bytes).alias("shard")).agg(F.min("key").alias("key")).orderBy("key").toArrow()  # a row a shard
+    cuts = spark.sparkContext.broadcast(np.array(starts.column("key").to_pylist(), dtype="S57"))
+
+    @F.pandas_udf("int")
+    def shard_of(key: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts.value, key.to_numpy().astype("S57"), side="right") - 1).astype("int32")
+
+    return max(1, starts.num_rows), shard_of
+
+
 def write_warc(pages: DataFrame, folder: str, prefix: str = "pages", shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Writes a record per row of pages (page_id, url, html) below folder; returns the manifest, a row per file.
 
@@ -154,25 +182,14 @@ def write_warc(pages: DataFrame, folder: str, prefix: str = "pages", shard_bytes
     raw = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     small = cut(pages.select("page_id", F.sha1(raw).alias("digest"), F.octet_length(raw).alias("bytes")), "warc-digests")
 
-    low, high, total = small.agg(F.min("page_id"), F.max("page_id"), F.sum("bytes")).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // BINS))
-    # In decimals, since the difference of two longs may not be a long.
-    bin_ = F.coalesce(F.floor((F.col("page_id").cast("decimal(20,0)") - F.lit(low or 0).cast("decimal(20,0)")) / F.lit(width)).cast("long"), F.lit(-1))
-    bins = sorted((r["bin"], r["bytes"]) for r in small.groupBy(bin_.alias("bin")).agg(F.sum("bytes").alias("bytes")).collect())
-    shards = max(1, -(-(total or 0) // shard_bytes))
-    placed, run = [], 0
-    for b, n in bins:
-        placed.append((b, min(shards - 1, run * shards // max(total or 1, 1))))
-        run += n
-    places = F.broadcast(spark.createDataFrame(placed or [(0, 0)], "place long, shard int"))  # BINS + 1 rows at most
-
+    shards, shard_of = _placed(small, shard_bytes)
     same = small.filter(F.col("bytes") >= LEAST_REVISIT).groupBy("digest", "bytes").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1 and refers_to is not null")
     marks = small.join(same, ["digest", "bytes"]).filter("page_id is null or page_id <> refers_to")
     marks = marks.select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to").distinct()
-    rows = pages.select("page_id", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to"))
-    rows = rows.unionByName(marks).withColumn("place", bin_).join(places, "place").drop("place")
-    # More partitions than shards, so that few shards share a task.
-    rows = rows.repartition(min(4 * shards + 8, 20_000), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "kind", "digest", "url", F.sha1(raw))
+    rows = pages.select("page_id", F.lit(1).alias("kind"), "url", "html", F.sha1(raw).alias("digest"), F.lit(None).cast("long").alias("refers_to"))
+    rows = rows.unionByName(marks).withColumn("shard", shard_of(_key("page_id", "digest")))
+    n = min(shards, MOST_PARTITIONS)
+    rows = rows.repartitionById(n, (F.col("shard").cast("long") * n / shards).cast("int")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "kind", "url")
     written = cut(rows.mapInPandas(_write(folder, prefix, roll_bytes), MANIFEST), "warc-manifest")
     written.repartition(max(1, min(shards, 1000))).mapInPandas(_commit(folder), MANIFEST).orderBy("name").write.parquet(f"{folder}/manifest")
     fs.delete_dir(f"{root}/_temporary")
