@@ -22,7 +22,7 @@ DIGITS_ONLY = FORMATS.index("yyyyMMdd")
 #: The last year that two digits can mean.
 PIVOT = 2049
 
-_TOKEN = re.compile(r"\.FFFFFFF|yyyy|yy|MMMM|MMM|MM|M|dd|d|HH|H|hh|h|mm|ss|tt|K|.")
+TOKEN = re.compile(r"\.FFFFFFF|yyyy|yy|MMMM|MMM|MM|M|dd|d|HH|H|hh|h|mm|ss|tt|K|.")
 _SHORT = "|".join(m[:3] for m in MONTHS)
 _PATTERN = {
     "yyyy": "([0-9]{4})", "yy": "([0-9]{2})", "MMMM": f"({'|'.join(MONTHS)})", "MMM": f"({_SHORT})", "MM": "([0-9]{2})", "M": "([0-9]{1,2})", "dd": "([0-9]{2})", "d": "([0-9]{1,2})",
@@ -56,7 +56,7 @@ class Format:
 
 def _compiled(pattern: str) -> Format:
     regex, groups, at = "", {}, 0
-    for token in _TOKEN.findall(pattern):
+    for token in TOKEN.findall(pattern):
         piece = _PATTERN.get(token)
         if piece and piece[0] == "(" and piece[1] != "?":
             at += 1
@@ -84,12 +84,32 @@ def _date(v: Column, f: Format) -> Column:
     return F.when(v.rlike(f.regex) & (year != "0000"), text.try_cast("date"))
 
 
+#: How texts of a format begin, once their digits are 9: what decides which formats are tried at all.
+_BEGINNINGS = (r"9999-", r"9999/", r"99?/", r"99?-9", r"99?-\p{L}", r"99? ", r"\p{L}", r"99999999")
+
+
+def _beginning(f: Format) -> str:
+    of = {"yyyy-": 0, "yyyy/": 1, "yyyyM": 7, "d-MMM": 4, "d MMM": 5}.get(f.pattern[:5])
+    return _BEGINNINGS[of if of is not None else 6 if f.pattern.startswith("MMM") else 2 if "/" in f.pattern else 3]
+
+
 def format_mask(v: Column, digits_only: bool) -> Column:
     """A bit for each format that v is a date of; 0 for none and for texts that don't look like dates."""
     formats = [(i, f) for i, f in enumerate(CANDIDATES) if i != DIGITS_ONLY or digits_only]
-    bits = lambda v: reduce(lambda a, b: a + b, [F.when(_date(v, f).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, f in formats])
+
+    def bits(v: Column, group: list) -> Column:
+        return reduce(lambda a, b: a + b, [F.when(_date(v, f).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, f in group])
+
+    def tried(v: Column) -> Column:
+        like = F.regexp_replace(F.left(v, F.lit(8)), "[0-9]", "9")
+        out = F.lit(0)
+        for start in reversed(_BEGINNINGS):
+            if group := [(i, f) for i, f in formats if _beginning(f) == start]:
+                out = F.when(like.rlike(rf"\A{start}"), bits(v, group)).otherwise(out)
+        return out
+
     # Bound, since the code for so many patterns would be too long to compile.
-    return F.when(looks_like_date(v), let(v, bits)).otherwise(F.lit(0)).cast("long")
+    return F.when(looks_like_date(v), let(v, tried)).otherwise(F.lit(0)).cast("long")
 
 
 def _like(old: Column, new: Column) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tabveil.functions.binding import let
+from tabveil.functions.binding import Steps
 from tabveil.functions.text import SPACE
 
 #: An optional pair of parentheses, sign and $ in either order, digits with or without thousands groups, a fraction.
@@ -20,32 +20,32 @@ WIDE = "decimal(38,10)"
 
 
 PARTS = ("lead", "open", "sign1", "currency", "sign2", "whole", "fraction", "close", "trail")
+#: Between the parts of a number, once it is taken apart. A text that holds it is no number.
+MARK = "\x01"
 
 
-def parsed(v: Column) -> Column:
-    """A struct of the parts of the shape, sign, scale and value (decimal); null if v is no number."""
+def parse_steps(v: Column):
+    """The parts of the shape, sign, scale and value (decimal, null if v is no number), as a dict of columns. One match
+    takes the text apart."""
+    parts = yield F.split(F.regexp_replace(v, SHAPE, MARK.join(f"${i}" for i in range(1, len(PARTS) + 1))), MARK)
+    p = {n: F.get(parts, F.lit(i)) for i, n in enumerate(PARTS)}
+    sign, bracketed = F.concat(p["sign1"], p["sign2"]), p["open"] != ""
+    digits = yield F.replace(p["whole"], F.lit(","), F.lit(""))
+    fine = (
+        (F.size(parts) == len(PARTS)) & ~F.contains(v, F.lit(MARK)) & ((digits != "") | (p["fraction"] != "")) & (F.length(sign) <= 1) & (bracketed == (p["close"] != "")) & ~(bracketed & (sign != ""))
+        & (F.length(p["fraction"]) <= MOST_SCALE) & (F.length(F.ltrim(digits, F.lit("0"))) + F.length(p["fraction"]) <= MOST_DIGITS)
+    )
+    size = F.concat(F.when(bracketed | (sign == "-"), "-").otherwise(""), F.when(digits == "", "0").otherwise(digits), F.lit("."), F.when(p["fraction"] == "", "0").otherwise(p["fraction"]))
+    value = yield F.when(fine, size.try_cast(WIDE))
+    return p | {"sign": sign, "scale": F.length(p["fraction"]), "value": value}
 
-    def derived(p: Column) -> Column:
-        digits = F.regexp_replace(p["whole"], ",", "")
-        sign, bracketed = F.concat(p["sign1"], p["sign2"]), p["open"] != ""
-        fine = (
-            ((p["whole"] != "") | (p["fraction"] != "")) & (F.length(sign) <= 1) & (bracketed == (p["close"] != "")) & ~(bracketed & (sign != ""))
-            & (F.length(p["fraction"]) <= MOST_SCALE) & (F.length(F.regexp_replace(digits, "^0+", "")) + F.length(p["fraction"]) <= MOST_DIGITS)
-        )
-        size = F.concat(F.when(digits == "", "0").otherwise(digits), F.lit("."), F.when(p["fraction"] == "", "0").otherwise(p["fraction"])).try_cast(WIDE)
-        value = F.when(bracketed | (sign == "-"), -size).otherwise(size)
-        return F.when(fine, F.struct(*[p[n].alias(n) for n in PARTS], sign.alias("sign"), F.length(p["fraction"]).alias("scale"), value.cast(WIDE).alias("value")))
 
-    return F.when(v.rlike(SHAPE), let(F.struct(*[F.regexp_extract(v, SHAPE, i).alias(n) for i, n in enumerate(PARTS, 1)]), derived))
-
-
-def _with_scale(value: Column, scale: Column) -> Column:
-    """value rounded half up (away from zero) to a scale that differs from row to row, as text without grouping."""
-    texts = [F.when(scale == k, F.round(value, k).cast(f"decimal(38,{k})").cast("string")) for k in range(MOST_SCALE + 1)]
-    return F.coalesce(*texts)
+def value_steps(v: Column) -> Steps:
+    return (yield from parse_steps(v))["value"]
 
 
 def rounded(value: Column, scale: Column) -> Column:
+    """value rounded half up (away from zero) to a scale that differs from row to row."""
     return F.coalesce(*[F.when(scale == k, F.round(value, k).cast(WIDE)) for k in range(MOST_SCALE + 1)])
 
 
@@ -53,19 +53,16 @@ def smallest(scale: Column) -> Column:
     return reduce(lambda a, k: F.when(scale == k, F.lit("1" if k == 0 else "0." + "0" * (k - 1) + "1").cast(WIDE)).otherwise(a), range(MOST_SCALE + 1), F.lit(None).cast(WIDE))
 
 
-def written(value: Column, p: Column) -> Column:
-    """value in the shape of the parsed number p; bind both with let."""
-
-    def body(text: Column) -> Column:
-        whole, fraction = F.substring_index(text, ".", 1), F.when(p["scale"] > 0, F.concat(F.lit("."), F.substring_index(text, ".", -1))).otherwise("")
-        grouped = F.reverse(F.regexp_replace(F.reverse(whole), r"([0-9]{3})(?=[0-9])", "$1,"))
-        padded = F.when(p["whole"].rlike(r"\A0[0-9]+\z"), F.lpad(whole, F.greatest(F.length(p["whole"]), F.length(whole)), F.lit("0"))).otherwise(whole)
-        whole = F.when(F.contains(p["whole"], F.lit(",")), grouped).when((p["whole"] == "") & (whole == "0"), "").otherwise(padded)
-        sign = F.when(value < 0, "-").when(p["sign"] == "+", "+").otherwise("")
-        first = (p["sign1"] == "") & (p["currency"] != "")  # $ stood before the sign, or alone
-        return let(
-            F.concat(whole, fraction),
-            lambda digits: F.when((value < 0) & (p["open"] != ""), F.concat(F.lit("("), p["currency"], digits, F.lit(")"))).when(first, F.concat(p["currency"], sign, digits)).otherwise(F.concat(sign, p["currency"], digits)),
-        )
-
-    return F.concat(p["lead"], let(_with_scale(F.abs(value), p["scale"]), body), p["trail"])
+def write_steps(value: Column, p: dict[str, Column]) -> Steps:
+    """value, which has no more decimals than the parsed number p, in the shape of p; p's columns and value are bound."""
+    wide = yield F.abs(value).cast("string")
+    whole = F.substring_index(wide, ".", 1)
+    fraction = F.when(p["scale"] > 0, F.concat(F.lit("."), F.left(F.substring_index(wide, ".", -1), p["scale"]))).otherwise("")
+    grouped = F.reverse(F.regexp_replace(F.reverse(whole), r"([0-9]{3})(?=[0-9])", "$1,"))
+    padded = F.when(p["whole"].rlike(r"\A0[0-9]+\z"), F.lpad(whole, F.greatest(F.length(p["whole"]), F.length(whole)), F.lit("0"))).otherwise(whole)
+    front = F.when(F.contains(p["whole"], F.lit(",")), grouped).when((p["whole"] == "") & (whole == "0"), "").otherwise(padded)
+    digits = yield F.concat(front, fraction)
+    sign = F.when(value < 0, "-").when(p["sign"] == "+", "+").otherwise("")
+    first = (p["sign1"] == "") & (p["currency"] != "")  # $ stood before the sign, or alone
+    body = F.when((value < 0) & (p["open"] != ""), F.concat(F.lit("("), p["currency"], digits, F.lit(")"))).when(first, F.concat(p["currency"], sign, digits)).otherwise(F.concat(sign, p["currency"], digits))
+    return F.concat(p["lead"], body, p["trail"])

@@ -13,7 +13,7 @@ import struct
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tabveil.functions.binding import let
+from tabveil.functions.binding import Steps, inline, let
 
 #: Between the parts of a seed message; the value of the seed that a whole column shares.
 SEPARATOR = "\x1f"
@@ -33,15 +33,22 @@ def digest(key: bytes, *parts: Column) -> Column:
     return F.sha2(F.concat(F.lit(outer), F.unhex(F.sha2(F.concat(F.lit(inner), message), 256))), 256)
 
 
-def seeded(key: bytes, *parts: Column) -> Column:
+def seed_steps(key: bytes, *parts: Column) -> Steps:
     """The generator's state, a struct of four words. (A digest of zeros, which has no known message, is not
     special-cased.)"""
+    d = yield digest(key, *parts)
+    little = lambda k: F.concat(*[F.substring(d, 16 * k + 2 * b + 1, 2) for b in range(7, -1, -1)])
+    return (yield F.struct(*[F.conv(little(k), 16, -10).cast("long").alias(f"s{k}") for k in range(4)]))
+
+
+def seeded(key: bytes, *parts: Column) -> Column:
+    return inline(seed_steps(key, *parts))
 
-    def words(d: Column) -> Column:
-        little = lambda k: F.concat(*[F.substring(d, 16 * k + 2 * b + 1, 2) for b in range(7, -1, -1)])
-        return F.struct(*[F.conv(little(k), 16, -10).cast("long").alias(f"s{k}") for k in range(4)])
 
-    return let(digest(key, *parts), words)
+def int32(d: Column) -> Column:
+    """The first four bytes of a digest, little-endian and signed."""
+    word = F.conv(F.concat(*[F.substring(d, 2 * b + 1, 2) for b in range(3, -1, -1)]), 16, 10).cast("long")
+    return F.when(word >= 1 << 31, word - (1 << 32)).otherwise(word).cast("int")
 
 
 def _low(x: Column) -> Column:

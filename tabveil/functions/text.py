@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tabveil.functions.binding import let
-
 # What counts as white space, and the patterns of the value kinds.
 SPACE = r"\t-\r\x20\x85\xA0  -     　"
 EMAIL = rf"\A[^@{SPACE}]+@[^@{SPACE}]+\.[A-Za-z]{{2,}}(?=\n?\z)"
@@ -90,19 +88,17 @@ def is_state(v: Column) -> Column:
     return F.when(n == 2, F.upper(v).isin(*STATE_CODES)).otherwise((n <= 30) & F.upper(trim(v)).isin(*[s.upper() for s in STATE_NAMES]))
 
 
-def number_shape(v: Column) -> Column:
+def number_steps(v: Column):
     """struct(is_integer, scale, thousands, currency, parentheses) of a number, or null.
 
     One match decides whether the text is a number; what it looks like then follows from single characters.
     """
-
-    def shape(t: Column) -> Column:
-        has = lambda c: F.contains(t, F.lit(c))
-        fine = has_digit(t) & t.rlike(NUMBER) & (t.startswith("(") == t.endswith(")")) & ~t.rlike(r"[-+]\$?[-+]")
-        fraction = F.when(has("."), F.length(F.rtrim(F.substring_index(t, ".", -1), F.lit(")")))).otherwise(0)
-        return F.when(fine, F.struct((~has(".")).alias("is_integer"), fraction.alias("scale"), has(",").alias("thousands"), has("$").alias("currency"), has("(").alias("parentheses")))
-
-    return F.when(has_digit(v), let(trim(v), shape))
+    t = yield F.when(has_digit(v), trim(v))
+    has = lambda c: F.contains(t, F.lit(c))
+    # The pattern has optional signs on both sides of $, and brackets that may be left open.
+    fine = t.rlike(NUMBER) & (t.startswith("(") == t.endswith(")")) & ~((has("-") | has("+")) & t.rlike(r"[-+]\$?[-+]"))
+    fraction = F.when(has("."), F.length(F.rtrim(F.substring_index(t, ".", -1), F.lit(")")))).otherwise(0)
+    return F.when(fine, F.struct((~has(".")).alias("is_integer"), fraction.alias("scale"), has(",").alias("thousands"), has("$").alias("currency"), has("(").alias("parentheses")))
 
 
 def copy_case(source: Column, fake: Column) -> Column:

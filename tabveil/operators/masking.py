@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabveil.functions import dates, numbers, seeds, text
-from tabveil.functions.binding import let
+from tabveil.functions.binding import Steps, inline, let, staged
 from tabveil.operators import mapping as unique
 from tabveil.operators.verify import report
 from tabveil.plans.model import REDACTED, DateShiftOptions, PerturbOptions, Plan, validate
@@ -40,31 +40,33 @@ def lorem(v: Column, state: Column) -> Column:
     return let(seeds.draw(state), lambda u: let(F.regexp_replace(F.substring(long, start(u), n), r" \z", "a"), cased))
 
 
-def _factor(u: Column, percent: float) -> Column:
-    # As a decimal of 15 significant digits: factors lie between 0 and 2.
-    exact = lambda f: F.when(f < 1, F.round(f.cast("decimal(38,20)"), 15)).otherwise(F.round(f.cast("decimal(38,20)"), 14))
-    return let(F.lit(1 - percent) + F.lit(2 * percent) * u, lambda f: F.when(f == 1, F.lit(1 + percent / 2).cast("decimal(17,15)")).otherwise(exact(f).cast("decimal(17,15)")))
+def factor_steps(u: Column, percent: float) -> Steps:
+    """As a decimal of 15 significant digits: factors lie between 0 and 2."""
+    f = yield F.lit(1 - percent) + F.lit(2 * percent) * u
+    exact = F.when(f < 1, F.round(f.cast("decimal(38,20)"), 15)).otherwise(F.round(f.cast("decimal(38,20)"), 14))
+    return F.when(f == 1, F.lit(1 + percent / 2).cast("decimal(17,15)")).otherwise(exact.cast("decimal(17,15)"))
 
 
-def perturbed(v: Column, o: PerturbOptions, factor: Column) -> Column:
+def perturb_steps(v: Column, o: PerturbOptions, factor: Column) -> Steps:
     """v times factor in v's own shape; null if v is no number; zero stays as it is."""
+    p = yield from numbers.parse_steps(v)
+    raw = yield (p["value"].cast("decimal(28,10)") * factor).cast("decimal(38,15)")
+    x = yield numbers.rounded(raw, p["scale"])
+    least = numbers.smallest(p["scale"])
+    x = F.when(x == 0, F.when(p["value"] > 0, least).otherwise(-least)).otherwise(x)
+    x = yield F.when((p["value"] >= 1) & (x < 1), F.lit(1).cast(numbers.WIDE)).otherwise(x) if o.is_count else x
+    written = yield from numbers.write_steps(x, p)
+    return F.when(p["value"] == 0, v).when(p["value"].isNotNull(), written)
 
-    def result(p: Column, x: Column) -> Column:
-        least = numbers.smallest(p["scale"])
-        x = F.when(x == 0, F.when(p["value"] > 0, least).otherwise(-least)).otherwise(x)
-        return F.when((p["value"] >= 1) & (x < 1), F.lit(1).cast(numbers.WIDE)).otherwise(x) if o.is_count else x
-
-    def masked(p: Column) -> Column:
-        raw = (p["value"].cast("decimal(28,10)") * factor).cast("decimal(38,15)")
-        moved = let(raw, lambda x: let(numbers.rounded(x, p["scale"]), lambda x: result(p, x)))
-        return F.when(p["value"] == 0, v).when(p.isNotNull(), let(moved, lambda x: numbers.written(x, p)))
 
-    return let(numbers.parsed(v), masked)
+def perturbed(v: Column, o: PerturbOptions, factor: Column) -> Column:
+    return inline(perturb_steps(v, o, factor))
 
 
 def offset_days(state: Column, o: DateShiftOptions) -> Column:
+    """From a bound state."""
     steps = o.max_days // 7 if o.keep_weekday else o.max_days
-    return let(state, lambda s: F.when(seeds.below(seeds.draw(s), 2) == 0, -1).otherwise(1) * (seeds.below(seeds.draw(s, 2), steps) + 1) * (7 if o.keep_weekday else 1))
+    return F.when(seeds.below(seeds.draw(state), 2) == 0, -1).otherwise(1) * (seeds.below(seeds.draw(state, 2), steps) + 1) * (7 if o.keep_weekday else 1)
 
 
 def global_offset(key: bytes, domain: str, o: DateShiftOptions) -> int:
@@ -73,7 +75,7 @@ def global_offset(key: bytes, domain: str, o: DateShiftOptions) -> int:
     return sign * 7 * (1 + d.below(o.max_days // 7)) if o.keep_weekday else sign * (1 + d.below(o.max_days))
 
 
-def _plain(df: DataFrame, plan: Plan, c: str, key: bytes) -> Column:
+def plain_steps(df: DataFrame, plan: Plan, c: str, key: bytes) -> Steps:
     """The output of a column that needs no mapping; null where it can't be masked."""
     rule, v = plan.columns[c], df[f"`{c}`"]
     o, domain = rule.chosen, rule.domain or c
@@ -82,22 +84,34 @@ def _plain(df: DataFrame, plan: Plan, c: str, key: bytes) -> Column:
     if rule.strategy == "Redact":
         return F.lit(o.text)
     if rule.strategy == "Lorem":
-        return lorem(v, seeds.seeded(key, F.lit(domain), v))
+        return lorem(v, (yield from seeds.seed_steps(key, F.lit(domain), v)))
+    if rule.strategy == "Custom":
+        return o.make(v, (yield seeds.digest(key, F.lit(domain), v)))
     linked, anchor, entity = _linked(df, plan, c)
     if rule.strategy == "Perturb":
         if o.mode == "PerRow":
-            return perturbed(v, o, _factor(seeds.unit(seeds.draw(seeds.seeded(key, F.lit(domain), v, F.concat(F.lit("row:"), df["_rec"].cast("string"))))), o.percent))
-        factor = _factor(F.lit(seeds.Draws(key, domain, seeds.GLOBAL).unit()), o.percent)
+            state = yield from seeds.seed_steps(key, F.lit(domain), v, F.concat(F.lit("row:"), df["_rec"].cast("string")))
+            factor = yield from factor_steps(seeds.unit(seeds.draw(state)), o.percent)
+        else:
+            factor = yield from factor_steps(F.lit(seeds.Draws(key, domain, seeds.GLOBAL).unit()), o.percent)
         if o.mode == "PerEntity":
-            own = _factor(seeds.unit(seeds.draw(seeds.seeded(key, F.lit(entity), anchor, F.lit("perturb")))), o.percent)
-            factor = F.when(linked, own).otherwise(factor)
-        return perturbed(v, o, factor)
+            state = yield from seeds.seed_steps(key, F.lit(entity), anchor, F.lit("perturb"))
+            own = yield from factor_steps(seeds.unit(seeds.draw(state)), o.percent)
+            factor = yield F.when(linked, own).otherwise(factor)
+        factor = yield factor
+        return (yield from perturb_steps(v, o, factor))
     days = F.lit(global_offset(key, domain, o))
     if o.mode == "PerEntity":
-        days = F.when(linked, offset_days(seeds.seeded(key, F.lit(entity), anchor, F.lit("dateshift")), o)).otherwise(days)
+        state = yield from seeds.seed_steps(key, F.lit(entity), anchor, F.lit("dateshift"))
+        days = F.when(linked, offset_days(state, o)).otherwise(days)
+    days = yield days
     return dates.shift(v, days, o.formats)
 
 
+#: Entries of the mapping table up to which it is broadcast; some tens of MB.
+BROADCAST_ENTRIES = 200_000
+
+
 @dataclass
 class Masked:
     """rows: the masked table with _rec; verification: a row per column. sides has source, output and flag of each."""
@@ -123,19 +137,23 @@ def mask(df: DataFrame, plan: Plan, key: bytes | None = None, zips: dict[str, li
     columns = [c for c in df.columns if c != "_rec"]
     validate(plan, columns)
     table = unique.resolve(df, plan, key, zips, most_entries)
-    out = df
+    # Entries are at most most_entries; where they are few, the table stays in place.
+    small = table is not None and table.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES
+    out, plain = df, {}
     for i, c in enumerate(columns):
-        rule, v = plan.columns[c], df[f"`{c}`"]
+        rule = plan.columns[c]
         if rule.is_mapping:
             linked, anchor, _ = _linked(df, plan, c)
             m = table.filter(F.col("domain") == plan.mapping_domain(c)).select(F.col("anchor").alias(f"_a{i}"), F.col("value").alias(f"_v{i}"), F.col("output").alias(f"_o{i}"))
-            same = (F.col(f"`{c}`") == F.col(f"_v{i}"))
+            same = F.col(f"`{c}`") == F.col(f"_v{i}")
             if plan.group_of(c):
                 same = same & F.when(linked, anchor).eqNullSafe(F.col(f"_a{i}"))
-            out = out.join(m, same, "left").drop(f"_a{i}", f"_v{i}")
+            out = out.join(F.broadcast(m) if small else m, same, "left").drop(f"_a{i}", f"_v{i}")
         else:
-            out = out.withColumn(f"_o{i}", F.when(text.has_value(v), _plain(df, plan, c, key)))
-    side = [F.struct(F.col(f"`{c}`").alias("source"), F.when(text.has_value(F.col(f"`{c}`")), F.coalesce(f"_o{i}", F.lit(REDACTED))).otherwise(F.col(f"`{c}`")).alias("output"), (text.has_value(F.col(f"`{c}`")) & F.col(f"_o{i}").isNull()).alias("unmaskable")).alias(c) for i, c in enumerate(columns)]
+            plain[f"_o{i}"] = plain_steps(df, plan, c, key)
+    out = staged(out, plain)
+    has = lambda c: text.has_value(F.col(f"`{c}`"))
+    side = [F.struct(F.col(f"`{c}`").alias("source"), F.when(has(c), F.coalesce(f"_o{i}", F.lit(REDACTED))).otherwise(F.col(f"`{c}`")).alias("output"), (has(c) & F.col(f"_o{i}").isNull()).alias("unmaskable")).alias(c) for i, c in enumerate(columns)]
     sides = out.select("_rec", *side)
     rows = sides.select("_rec", *[F.col(f"`{c}`.output").alias(c) for c in columns])
     warnings = {c: ZIP_WARNING for c, r in plan.columns.items() if r.strategy == "ZipRemap" and not zips}

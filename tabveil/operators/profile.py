@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabveil.functions import dates, text
+from tabveil.functions.binding import staged
 from tabveil.functions.names import Hints
 from tabveil.plans import model
 
@@ -25,13 +26,13 @@ GIVE_UP_AFTER = 200
 #: Record numbers in a slice of a running sum.
 SLICE = 16_384
 BOOLEANS = ("N|Y", "NO|YES", "F|T", "FALSE|TRUE", "0|1")
+#: Over a cell's value v, its length n and whether it has a digit d, or digits only a.
 PREDICATES = {
-    "n_digit": text.is_all_digits, "n_leading_zero": text.has_leading_zero, "n_whitespace": text.has_space_or_tab, "n_email": text.is_email, "n_zip5": text.is_zip5,
-    "n_zip_plus4": text.is_zip_plus4, "n_short_zip": text.is_short_zip,
-    "n_digit_no_whitespace": lambda v: text.has_digit(v) & ~text.has_space_or_tab(v),
-    "n_formatted_phone": lambda v: text.has_digit(v) & text.is_formatted_phone(v),
-    "n_phone_like": lambda v: text.has_digit(v) & text.is_phone_like(v),
-    "n_state": lambda v: ~text.has_digit(v) & text.is_state(v),
+    "n_digit": lambda v, n, d, a: a, "n_leading_zero": lambda v, n, d, a: a & (n > 1) & v.startswith("0"), "n_whitespace": lambda v, n, d, a: text.has_space_or_tab(v),
+    "n_email": lambda v, n, d, a: text.is_email(v), "n_zip5": lambda v, n, d, a: a & (n == 5), "n_zip_plus4": lambda v, n, d, a: d & ~a & (n == 10) & text.is_zip_plus4(v),
+    "n_short_zip": lambda v, n, d, a: a & n.between(3, 4), "n_digit_no_whitespace": lambda v, n, d, a: d & ~text.has_space_or_tab(v),
+    "n_formatted_phone": lambda v, n, d, a: d & ~a & (n >= 12) & text.is_formatted_phone(v), "n_phone_like": lambda v, n, d, a: d & (n >= 7) & text.is_phone_like(v),
+    "n_state": lambda v, n, d, a: ~d & text.is_state(v),
 }
 
 
@@ -40,29 +41,36 @@ def data_columns(df: DataFrame) -> list[str]:
 
 
 def sampled(df: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The first rows by record number: a top-k, not a sort of the table."""
-    return df.orderBy("_rec").limit(rows)
+    """The first rows by record number. The last of their numbers is found by a top-k over the numbers alone; the rows
+    stay in their partitions."""
+    last = df.select("_rec").orderBy("_rec").limit(rows).agg(F.max("_rec")).first()[0]
+    return df.filter(F.col("_rec") <= last) if last is not None else df.limit(0)
 
 
-def _cell(v: Column) -> Column:
-    """What the measures need of a cell, evaluated once: its value (null if it has none), length and number shape."""
-    value = F.when(text.has_value(v), v)
-    return F.struct(value.alias("value"), v.isNull().alias("null"), text.utf16_length(value).alias("length"), text.number_shape(value).alias("shape"))
+def _cells(df: DataFrame) -> DataFrame:
+    """(position, value, null, length, digit, digits, shape) of each cell, in flat columns, which nothing evaluates twice:
+    value is null if the cell has none, digit says whether there is one, digits whether there is nothing else."""
+    each = df.select(F.posexplode(F.array(*[F.col(f"`{c}`") for c in data_columns(df)])).alias("position", "v"))
+    each = each.select("position", F.col("v").isNull().alias("null"), F.when(text.has_value(F.col("v")), F.col("v")).alias("value"))
+    each = each.withColumns({"length": text.utf16_length(F.col("value")), "digit": F.coalesce(text.has_digit(F.col("value")), F.lit(False))})
+    each = each.withColumn("digits", F.col("digit") & text.is_all_digits(F.col("value")))
+    return staged(each, {"shape": text.number_steps(F.col("value"))})
 
 
-def _measures(x: Column, exact: bool) -> dict[str, Column]:
-    value, shape, length = x["value"], x["shape"], x["length"]
+def _measures(exact: bool) -> dict[str, Column]:
+    value, shape, length, null, digit, digits = (F.col(c) for c in ("value", "shape", "length", "null", "digit", "digits"))
     distinct = F.count_distinct(value) if exact else F.approx_count_distinct(value, RSD)
+    folded = F.when(length <= 5, F.upper(value))
+    is_folded = folded.isin("N", "Y", "NO", "YES", "F", "T", "FALSE", "TRUE", "0", "1")
     m = {
-        "n_rows": F.count(F.lit(1)), "n_null": F.count_if(x["null"]), "n_blank": F.count_if(~x["null"] & value.isNull()), "n_values": F.count_if(value.isNotNull()), "n_distinct": distinct,
+        "n_rows": F.count(F.lit(1)), "n_null": F.count_if(null), "n_blank": F.count_if(~null & value.isNull()), "n_values": F.count_if(value.isNotNull()), "n_distinct": distinct,
         "min_length": F.coalesce(F.min(length), F.lit(0)), "max_length": F.coalesce(F.max(length), F.lit(0)), "sum_length": F.coalesce(F.sum(length), F.lit(0)),
         "n_numeric": F.count_if(shape.isNotNull()), "n_integer": F.count_if(shape["is_integer"]), "max_scale": F.coalesce(F.max(shape["scale"]), F.lit(0)),
         "any_thousands": F.coalesce(F.bool_or(shape["thousands"]), F.lit(False)), "any_currency": F.coalesce(F.bool_or(shape["currency"]), F.lit(False)), "any_parentheses": F.coalesce(F.bool_or(shape["parentheses"]), F.lit(False)),
         # Two short values decide whether a column is Boolean; a table has at most so many spellings of them.
-        "folded": F.array_sort(F.collect_set(F.when(F.upper(value).isin("N", "Y", "NO", "YES", "F", "T", "FALSE", "TRUE", "0", "1"), F.upper(value)))),
-        "n_folded": F.count_if(F.upper(value).isin("N", "Y", "NO", "YES", "F", "T", "FALSE", "TRUE", "0", "1")),
+        "folded": F.array_sort(F.collect_set(F.when(is_folded, folded))), "n_folded": F.count_if(is_folded),
     }
-    return m | {n: F.count_if(F.coalesce(p(value), F.lit(False))) for n, p in PREDICATES.items()}
+    return m | {n: F.count_if(F.coalesce(p(value, length, digit, digits), F.lit(False))) for n, p in PREDICATES.items()}
 
 
 def measures(df: DataFrame, exact: bool = True) -> DataFrame:
@@ -72,14 +80,15 @@ def measures(df: DataFrame, exact: bool = True) -> DataFrame:
     column and task (and, for exact counts, the distinct values).
     """
     columns = data_columns(df)
-    cells = df.select(F.posexplode(F.array(*[F.col(f"`{c}`") for c in columns])).alias("position", "v")).select("position", _cell(F.col("v")).alias("x"))
     longs = lambda n, e: e.cast("long").alias(n) if n.startswith(("n_", "min_", "max_", "sum_")) else e.alias(n)
-    found = cells.groupBy("position").agg(*[longs(n, e) for n, e in _measures(F.col("x"), exact).items()])
+    found = _cells(df).groupBy("position").agg(*[longs(n, e) for n, e in _measures(exact).items()])
     named = df.sparkSession.createDataFrame(list(enumerate(columns)), "position int, column string")
     found = named.join(found, "position", "left")  # a table without rows has measures too
     numbers = [n for n, k in found.dtypes if k == "bigint"]
     flags = [n for n, k in found.dtypes if k == "boolean"]
-    return found.fillna(0, numbers).fillna(False, flags).withColumn("folded", F.coalesce("folded", F.array().cast("array<string>")))
+    found = found.fillna(0, numbers).fillna(False, flags).withColumn("folded", F.coalesce("folded", F.array().cast("array<string>")))
+    share = lambda n, of: F.when(F.col(of) > 0, F.col(n) / F.col(of)).otherwise(0.0)
+    return found.withColumns({"null_rate": share("n_null", "n_rows"), "blank_rate": share("n_blank", "n_rows"), "mean_length": share("sum_length", "n_values")})
 
 
 def date_masks(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabveil.functions import numbers, text
+from tabveil.functions.binding import staged
 from tabveil.functions.strategies import BEFORE_NUMBERS, can_number
 from tabveil.plans.model import Plan
 
@@ -34,10 +35,11 @@ def report(sides: DataFrame, mapping: DataFrame | None, plan: Plan, warnings: di
     summed = F.col("position").isin(*[f[0] for f in facts if f[4]])
     has = text.has_value(F.col("source"))
     with_anchor = lambda v: F.when(text.has_value(F.col("anchor")), F.concat("anchor", F.lit("\x1f"), v)).otherwise(v)
-    each = sides.select(F.explode(F.array(*cells)).alias("x")).select("x.*").withColumns({
-        "has": has, "mapped": mapped, "s": F.when(has, with_anchor(F.col("source"))), "o": F.when(has, with_anchor(F.col("output"))),
-        "p": F.when(summed, numbers.parsed(F.col("source"))["value"]), "q": F.when(summed, numbers.parsed(F.col("output"))["value"]),
-    })
+    each = sides.select(F.explode(F.array(*cells)).alias("x")).select("x.*").withColumns({"has": has, "mapped": mapped, "s": F.when(has, with_anchor(F.col("source"))), "o": F.when(has, with_anchor(F.col("output")))})
+    if any(f[4] for f in facts):
+        each = staged(each, {n: numbers.value_steps(F.when(summed, F.col(c))) for n, c in (("p", "source"), ("q", "output"))})
+    else:
+        each = each.withColumns({n: F.lit(None).cast(numbers.WIDE) for n in ("p", "q")})
     both = F.col("p").isNotNull() & F.col("q").isNotNull()
     found = each.groupBy("position").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("source").isNull()).alias("source_nulls"), F.count_if(F.col("output").isNull()).alias("output_nulls"),
@@ -65,3 +67,15 @@ def report(sides: DataFrame, mapping: DataFrame | None, plan: Plan, warnings: di
         "column", "strategy", "n_rows", "source_nulls", "output_nulls", "n_unchanged", "n_disambiguated", "n_unmaskable", "source_distinct", "output_distinct", "source_sum", "output_sum",
         change.alias("sum_change_pct"), failures.alias("failures"), notes.alias("warnings"),
     )
+
+
+def file_report(totals: DataFrame, rows_written: DataFrame, columns: DataFrame) -> DataFrame:
+    """One row on a whole run: rows_read, rows_written, row_count_matches, blank_lines, malformed_rows,
+    malformed_records (the first 100), has_failures. totals is that of the file read, columns the report on columns."""
+    written = rows_written.count()
+    failed = columns.filter(F.size("failures") > 0).count() > 0  # a row a column
+    matches = F.col("n_rows") == F.lit(written)
+    return totals.select(
+        F.col("n_rows").alias("rows_read"), F.lit(written).cast("long").alias("rows_written"), matches.alias("row_count_matches"), F.col("n_blank").alias("blank_lines"),
+        F.col("n_malformed").alias("malformed_rows"), "malformed_records", (~matches | F.lit(failed)).alias("has_failures"),
+    )

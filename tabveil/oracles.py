@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from decimal import ROUND_HALF_EVEN, Decimal
 
-from tabveil.functions import names, seeds
+from tabveil.functions import names, seeds, strategies
 from tabveil.functions.text import STATE_CODES, STATE_NAMES
-from tabveil.operators.masking import global_offset
+from tabveil.operators.masking import LOREM, global_offset
 from tabveil.plans.model import DateShiftOptions
-from tabveil.queries import HEADER, KEY
+from tabveil.queries import HEADER, KEY, dated_sql
 
 
 def _text(s) -> str:
@@ -97,6 +97,38 @@ def _scaled(value: str, factor: str, scale: int) -> str:
     return f"round(CAST({value} AS DECIMAL(20,2)) * CAST({factor} AS DECIMAL(17,15)), {scale})"
 
 
+def _drawn(source: str, digest: str, n: int) -> str:
+    """CTEs: source's rows with u1..un, the first n outputs of the generator whose seed is the digest."""
+    low = lambda x: f"(({x}) % {_M})"
+    out = [f"d0 AS (SELECT *, {', '.join(f'{_word(digest, k)} AS w{k}' for k in range(4))} FROM {source})"]
+    for i in range(1, n + 1):
+        a, b = "xor(w2, w0)", "xor(w3, w1)"
+        step = {"w0": f"xor(w0, {b})", "w1": f"xor(w1, {a})", "w2": f"xor({a}, {low('w1 * 131072')})", "w3": f"({low(f'({b}) * 35184372088832')} + (({b}) // 524288::UHUGEINT))"}
+        out.append(f"d{i} AS (SELECT * REPLACE ({', '.join(f'{x} AS {w}' for w, x in step.items())}), {_output('w1')} AS u{i} FROM d{i - 1})")
+    return ", ".join(out)
+
+
+def _pick(pool, u: str) -> str:
+    return f"[{', '.join(map(_text, pool))}][{_below(u, len(pool))} + 1]"
+
+
+def _made(kind: str, n: int, body: str, domain: str | None = None) -> str:
+    names_of = f"n AS (SELECT c_custkey, {_digest(f"'{domain or kind}' || chr(31) || c_name")} AS d FROM customer)"
+    return f"WITH {names_of}, {_drawn('n', 'd', n)} SELECT c_custkey, {body} FROM d{n}"
+
+
+def _hashed(v: str) -> str:
+    """HashId's first choice for Customer#000000000: eight letters and, after the padding zero, eight digits."""
+    letters = " || ".join(f"chr(CAST({65 if i == 1 else 97} + {_below(f'u{i}', 26)} AS INTEGER))" for i in range(1, 9))
+    numbers = " || ".join(f"CAST({_below(f'u{i}', 10)} AS VARCHAR)" for i in range(9, 17))
+    return f"{letters} || '#0' || {numbers}"
+
+
+_PHONE_DIGITS = [f"CAST({f'2 + {_below(f"u{i + 1}", 8)}' if i in (0, 3) else _below(f'u{i + 1}', 10)} AS VARCHAR)" for i in range(10)]
+_PLACE = f"{_pick(strategies.PLACE_HEAD, 'u1')} || {_pick(strategies.PLACE_TAIL, 'u2')}"
+_ALL_LOREM = " ".join(LOREM)
+_STARTS = [sum(len(w) + 1 for w in LOREM[:i]) + 1 for i in range(len(LOREM))]
+_LOREM_CUT = f"substr(repeat({_text(_ALL_LOREM + ' ')}, CAST(ceil(length(text) / {len(_ALL_LOREM)}.0) AS BIGINT) + 2), [{', '.join(map(str, _STARTS))}][{_below(_first('d'), len(LOREM))} + 1], length(text))"
 _WEEKDAYS = global_offset(KEY, "day", DateShiftOptions(max_days=45, keep_weekday=True))
 _DAY = "CAST(o_orderdate AS DATE)"
 _ROW = "0.85::DOUBLE + 0.3::DOUBLE * " + _unit(_first("d"))
@@ -134,7 +166,28 @@ ORACLES: dict[str, str] = {
     "mask_email": "SELECT count(*) AS n_rows, true AS injective, true AS consistent, 0::BIGINT AS n_unchanged, 0::BIGINT AS n_misshapen FROM customer",
     "mask_shared_domain": "SELECT count(*) AS n_pairs, true AS one_output_each, true AS one_source_each FROM (SELECT lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS v FROM orders UNION SELECT lpad(CAST(o_custkey % 500 AS VARCHAR), 6, '0') FROM orders)",
     "mask_linked_identity": "SELECT count(*) AS n_rows, count(*) AS n_coherent FROM customer",
-    "mask_lorem": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, true AS same_length, false AS ends_in_space FROM documents WHERE text IS NOT NULL",
+    "mask_lorem": f"WITH s AS (SELECT doc_id, text, {_digest("'text' || chr(31) || text")} AS d FROM documents), m AS (SELECT doc_id, text, CASE WHEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN text ELSE regexp_replace({_LOREM_CUT}, ' $', 'a') END AS m FROM s), c AS (SELECT doc_id, CASE WHEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '' AND regexp_matches(substr(text, 1, 1), '\\p{{Lu}}') THEN upper(m[1]) || m[2:] ELSE m END AS m FROM m) SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(length(m) AS INTEGER) AS n, md5(m) AS masked FROM c",
+    "mask_hashid_values": f"WITH n AS (SELECT c_custkey, {_digest("'c_name' || chr(31) || c_name")} AS d FROM customer), {_drawn('n', 'd', 16)} SELECT CAST(c_custkey AS VARCHAR) AS k, 'X-' || {_hashed('c_name')} AS c_name FROM d16",
+    "mask_phone_first": f"WITH p AS (SELECT DISTINCT phone FROM {CUSTOMERS}), n AS (SELECT phone, {_digest("'phone' || chr(31) || phone")} AS d FROM p), {_drawn('n', 'd', 10)} SELECT phone, '(' || {' || '.join(_PHONE_DIGITS[:3])} || ') ' || {' || '.join(_PHONE_DIGITS[3:6])} || '-' || {' || '.join(_PHONE_DIGITS[6:])} AS first, true AS few_others FROM d10",
+    "fake_company": _made("Company", 2, f"{_pick(strategies.LAST, 'u1')} || ' ' || {_pick(strategies.COMPANY, 'u2')} AS made"),
+    "fake_city": _made("City", 2, f"{_PLACE} AS made"),
+    "fake_hospital": _made("Hospital", 3, f"{_PLACE} || ' ' || {_pick(strategies.HOSPITAL, 'u3')} AS made"),
+    "fake_street_address": _made("StreetAddress", 3, f"CAST(1 + {_below('u1', 9999)} AS VARCHAR) || ' ' || {_pick(strategies.LAST, 'u2')} || ' ' || {_pick(strategies.STREET, 'u3')} AS made"),
+    "fake_person_email": _made("PersonFull", 4, f"{_pick(strategies.FIRST, 'u1')} || ' ' || {_pick(strategies.LAST, 'u2')} AS made, lower({_pick(strategies.FIRST, 'u1')} || '.' || {_pick(strategies.LAST, 'u2')} || CAST({_below('u3', 100)} AS VARCHAR) || '@' || {_pick(strategies.DOMAINS, 'u4')}) AS email"),
+    "mask_cities": "SELECT count(*) AS n_rows, true AS injective, true AS consistent, 0::BIGINT AS n_unchanged, 0::BIGINT AS n_misshapen FROM customer",
+    "mask_zip_listed": "SELECT count(*) AS n_rows, count(DISTINCT s_suppkey % 5) AS n_outputs, 0::BIGINT AS n_unlisted, 0 AS n_warnings FROM supplier",
+    "mask_perturb_entity": f"WITH s AS (SELECT o_orderkey, o_custkey, {_money('o_totalprice')} AS price, {_digest("'entity:cust' || chr(31) || o_custkey || chr(31) || 'perturb'")} AS d FROM orders), f AS (SELECT *, {_ROW} AS f FROM s) SELECT CAST(o_orderkey AS VARCHAR) AS k, CAST(o_custkey AS VARCHAR) AS cust, CAST(CAST({_scaled('price', "CASE WHEN f < 1 THEN printf('%.15f', f) ELSE printf('%.14f', f) END", 2)} AS DECIMAL(18,2)) AS VARCHAR) AS price FROM f",
+    "mask_dateshift_formats": f"SELECT CAST(o_orderkey AS VARCHAR) AS k, {dated_sql(_DAY, 'o_orderkey', f'({_DAY} + {_WEEKDAYS})')} AS day FROM orders",
+    "verify_distincts": f"SELECT 'c_name' AS \"column\", count(DISTINCT c_name) AS source_distinct, count(DISTINCT c_name) AS output_distinct FROM {CUSTOMERS} UNION ALL SELECT 'zip', count(DISTINCT zip), count(DISTINCT zip) FROM {CUSTOMERS} UNION ALL SELECT 'phone', count(DISTINCT phone), count(DISTINCT phone) FROM {CUSTOMERS}",
+    "verify_change": f"WITH s AS (SELECT CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS a, CAST(sum({_scaled('o_totalprice', repr(_global_factor('price')), 2)}) AS DOUBLE) AS b FROM orders) SELECT 'price' AS \"column\", CAST(CAST(round((b - a) / a * 100, 2) AS DECIMAL(18,2)) AS VARCHAR) AS sum_change_pct FROM s",
+    "mask_custom": f"SELECT c_custkey, CASE WHEN trim(c_note) <> '' THEN upper(c_note[:3]) || '-' || {_digest("'c_note' || chr(31) || c_note")}[:8] ELSE c_note END AS c_note FROM {CUSTOMERS}",
+    "profile_rates": _columns(CUSTOMERS, CUSTOMER_COLUMNS, "round(count(*) FILTER ($v IS NULL) / count(*), 9) AS null_rate, round(count(*) FILTER (trim($v) = '') / count(*), 9) AS blank_rate, round(sum(length($v)) FILTER (trim($v) <> '') / count(*) FILTER (trim($v) <> ''), 9) AS mean_length"),
+    "recipe_apply": 'SELECT "column", strategy, anchor, CAST(n_dropped AS INTEGER) AS n_dropped FROM (' + _values('"column", strategy, anchor, n_dropped', [("ID", "HashId", None, 1), ("name", "Fake", "ID", 1), ("NOTE", "Redact", None, 1), ("mail", "Fake", None, 1), ("Extra", "Keep", None, 1)]) + ")",
+    "mapping_limit": _values('"at", "column"', [(0, "c_name"), (1, "none")]),
+    "csv_customers": "SELECT CAST(1 + row_number() OVER (ORDER BY c_custkey) + (SELECT count(*) FROM customer e WHERE e.c_custkey % 50 = 0 AND e.c_custkey < c.c_custkey) AS BIGINT) AS rec, CAST(c_custkey AS BIGINT) AS key, c_name AS name, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'say \"' || c_custkey || '\",' || chr(10) || 'or not' ELSE '5\" of ' || c_custkey END AS note, c_custkey % 3 = 0 AS crlf, c_custkey % 4 IN (1, 2) AS note_quoted FROM customer c",
+    "csv_totals": "SELECT count(*) AS n_rows, count(*) FILTER (c_custkey % 50 = 0) AS n_blank, 0::BIGINT AS n_malformed FROM customer",
+    "csv_file_roundtrip": "SELECT 0::BIGINT AS n_different",
+    "csv_encodings": 'SELECT CAST("at" AS INTEGER) AS "at", encoding, CAST(mark_bytes AS INTEGER) AS mark_bytes, delimiter, same FROM (' + _values('"at", encoding, mark_bytes, delimiter, same', [(0, "utf-8", 0, ";", True), (1, "utf-8", 3, ";", True), (2, "utf-16-le", 2, ";", True), (3, "utf-16-be", 2, ";", True), (4, "windows-1252", 0, ";", True)]) + ")",
     "mask_unmaskable": "SELECT 'price' AS \"column\", count(*) AS n_rows, count(*) FILTER (o_orderkey % 7 = 0) AS n_unmaskable, CAST(count(*) FILTER (o_orderkey % 7 = 0) AS VARCHAR) || ' values could not be masked and were redacted' AS warnings FROM orders",
     "verify_report": _columns(CUSTOMERS, CUSTOMER_COLUMNS, f"CASE '$v' {' '.join(f"WHEN '{c}' THEN '{s}'" for c, s in (('c_name', 'HashId'), ('c_note', 'Redact'), ('zip', 'ZipRemap'), ('c_acctbal', 'Perturb')))} ELSE 'Keep' END AS strategy, count(*) AS n_rows, count(*) FILTER ($v IS NULL) AS source_nulls, count(*) FILTER ($v IS NULL) AS output_nulls, 0::BIGINT AS n_unchanged, '' AS failures"),
     "verify_sums": f"SELECT 'price' AS \"column\", CAST(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS VARCHAR) AS source_sum, CAST(CAST(sum({_scaled('o_totalprice', repr(_global_factor('price')), 2)}) AS DECIMAL(18,2)) AS VARCHAR) AS output_sum FROM orders",

@@ -51,6 +51,8 @@ def from_plan(name: str, owner: str, header: list[str], plan: model.Plan, skip_m
     columns = []
     for original, key in zip(header, header_keys(header), strict=True):
         rule = plan.columns[key]
+        if rule.strategy == "Custom":
+            raise model.PlanError([f"Column '{key}': a function of one's own can't be saved in a recipe."])
         options = {k: v for k, v in asdict(rule.options).items() if k != "formats"} if rule.options else {}
         columns.append(RecipeColumn(original, rule.strategy, options, rule.domain))
     now = datetime.now(timezone.utc).isoformat()

@@ -5,12 +5,14 @@ Tables are typed; cells are strings. canonical() fixes the text of each type, so
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabveil.functions import names, seeds, text
+from tabveil.functions import dates, names, seeds, strategies, text
 from tabveil.operators import mapping, masking
 from tabveil.operators import profile as profiling
 from tabveil.plans import model, recipes
@@ -258,9 +260,170 @@ def mask_linked_identity(spark, d):
 
 
 def mask_lorem(spark, d):
-    src = table(spark, d, "documents").filter("text is not null").select((F.col("doc_id") + 2).alias("_rec"), F.col("doc_id").cast("string").alias("doc_id"), "text")
-    out = _masked(spark, d, src, text=model.Rule("Lorem"))
-    return out.sides.select(F.col("doc_id.source").alias("doc_id"), (text.utf16_length(F.col("text.source")) == text.utf16_length(F.col("text.output"))).alias("same_length"), F.col("text.output").endswith(" ").alias("ends_in_space"))
+    """The whole values; null and blank texts pass through."""
+    src = table(spark, d, "documents").select((F.col("doc_id") + 2).alias("_rec"), F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return _masked(spark, d, src, text=model.Rule("Lorem")).rows.select("doc_id", F.length("text").alias("n"), F.md5(F.col("text").cast("binary")).alias("masked"))
+
+
+def mask_hashid_values(spark, d):
+    """The outputs themselves. Names have so many digits and letters that the first preference is free."""
+    src = table(spark, d, "customer").select((F.col("c_custkey") + 1).alias("_rec"), F.col("c_custkey").cast("string").alias("k"), "c_name")
+    return _masked(spark, d, src, c_name=model.Rule("HashId", model.HashIdOptions("X-"))).rows.drop("_rec")
+
+
+def mask_phone_first(spark, d):
+    """Each phone's first preference, and whether it is what the phone became: so for all but a handful."""
+    out = _masked(spark, d, _customer_cells(spark, d).select("_rec", "phone"), phone=model.Rule("Fake", model.FakeOptions("Phone")))
+    rule = model.Rule("Fake", model.FakeOptions("Phone"))
+
+    @F.pandas_udf("string")
+    def first(v: pd.Series) -> pd.Series:
+        return pd.Series([strategies.choice(rule, KEY, x, "phone", x, 0) for x in v])
+
+    made = out.sides.select(F.col("phone.source").alias("phone"), first(F.col("phone.source")).alias("first"), F.col("phone.output").alias("masked")).distinct()
+    few = made.agg((F.count_if(F.col("first") != F.col("masked")) <= 2).alias("few_others"))
+    return made.select("phone", "first").withColumn("few_others", F.lit(few.first()[0]))
+
+
+def _first_choices(kind: str, spark, d):
+    """The first preference of each value for a kind of invented text, before values that share it are told apart."""
+    rule = model.Rule("Fake", model.FakeOptions(kind, preserve_case=False))
+
+    @F.pandas_udf("string")
+    def first(v: pd.Series) -> pd.Series:
+        return pd.Series([strategies.choice(rule, KEY, x, kind, x, 0) for x in v])
+
+    return table(spark, d, "customer").select("c_custkey", first("c_name").alias("made"))
+
+
+def fake_company(spark, d):
+    return _first_choices("Company", spark, d)
+
+
+def fake_city(spark, d):
+    return _first_choices("City", spark, d)
+
+
+def fake_hospital(spark, d):
+    return _first_choices("Hospital", spark, d)
+
+
+def fake_street_address(spark, d):
+    return _first_choices("StreetAddress", spark, d)
+
+
+def fake_person_email(spark, d):
+    """A person and the e-mail address of the same seed."""
+    full, mail = _first_choices("PersonFull", spark, d), model.Rule("Fake", model.FakeOptions("Email", preserve_case=False))
+
+    @F.pandas_udf("string")
+    def address(v: pd.Series) -> pd.Series:
+        return pd.Series([strategies.choice(mail, KEY, x, "PersonFull", x, 0) for x in v])
+
+    return full.join(table(spark, d, "customer").select("c_custkey", address("c_name").alias("email")), "c_custkey")
+
+
+def mask_cities(spark, d):
+    """Far more values than the pool has names: all stay different, and all but the first of a name carry a number."""
+    out = _masked(spark, d, table(spark, d, "customer").select((F.col("c_custkey") + 1).alias("_rec"), "c_name"), c_name=model.Rule("Fake", model.FakeOptions("City", preserve_case=False)))
+    return _invariants(out, "c_name", r"\A[A-Z][a-z]+( [0-9]+)?\z")
+
+
+def mask_zip_listed(spark, d):
+    """With a reference list of ZIPs, outputs come from it as long as it lasts."""
+    src = table(spark, d, "supplier").select((F.col("s_suppkey") + 1).alias("_rec"), F.lpad((F.col("s_suppkey") % 5 + 2000).cast("string"), 5, "0").alias("zip"))
+    plan = model.Plan({"zip": model.Rule("ZipRemap")})
+    out = masking.mask(src, plan, KEY, zips={"020": [f"020{i:02d}" for i in range(40, 60)]})
+    return out.sides.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("zip.output").alias("n_outputs"), F.count_if(~F.col("zip.output").between("02040", "02059")).alias("n_unlisted"), F.lit(len(out.warnings)).alias("n_warnings"))
+
+
+def mask_perturb_entity(spark, d):
+    """One factor for all prices of a customer."""
+    src = table(spark, d, "orders").select((F.col("o_orderkey") + 1).alias("_rec"), F.col("o_orderkey").cast("string").alias("k"), F.col("o_custkey").cast("string").alias("cust"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("price"))
+    rule = model.Rule("Perturb", model.PerturbOptions(mode="PerEntity"))
+    return _masked(spark, d, src, price=rule, groups=(model.EntityGroup("cust", ("price",)),)).rows.drop("_rec")
+
+
+#: SQL, alike in Spark and DuckDB, that writes the date d in each format that is not digits alone, by its number.
+_MONTH = "CASE month({d}) " + " ".join(f"WHEN {i} THEN '{m.capitalize()}'" for i, m in enumerate(dates.MONTHS, 1)) + " END"
+_PIECES = {"yyyy": "lpad(concat('', year({d})), 4, '0')", "yy": "lpad(concat('', year({d}) % 100), 2, '0')", "MMMM": _MONTH, "MMM": f"substr({_MONTH}, 1, 3)", "MM": "lpad(concat('', month({d})), 2, '0')", "M": "concat('', month({d}))", "dd": "lpad(concat('', day({d})), 2, '0')", "d": "concat('', day({d}))",
+           "HH": "'13'", "H": "'9'", "hh": "'01'", "h": "'1'", "mm": "'45'", "ss": "'07'", "tt": "'PM'", ".FFFFFFF": "'.250'", "K": "'+02:00'"}
+
+
+def date_sql(pattern: str, d: str, old: str | None = None) -> str:
+    """d in a format. old: the date whose width a number keeps: two digits stay two."""
+    out = []
+    for token in dates.TOKEN.findall(pattern):
+        piece = _PIECES.get(token, "'" + token + "'").replace("{d}", d)
+        if old and token in ("M", "d"):
+            was = _PIECES[token].replace("{d}", old)
+            piece = f"CASE WHEN length({was}) = 2 THEN lpad({piece}, 2, '0') ELSE {piece} END"
+        out.append(piece)
+    return "concat(" + ", ".join(out) + ")"
+
+
+def dated_sql(day: str, key: str, new: str | None = None) -> str:
+    """The text of an order's date: its format goes by the key. Days up to the 12th, which could be months, are written
+    the ISO way where the day comes first."""
+    cases = []
+    for i, f in enumerate(dates.FORMATS):
+        text_of = date_sql(f, new or day, day if new else None)
+        if dates.CANDIDATES[i].day_first:
+            text_of = f"CASE WHEN day({day}) > 12 THEN {text_of} ELSE {date_sql('yyyy-MM-dd', new or day)} END"
+        if "MMMM" in f:  # May is written alike in the format before, which is tried first
+            text_of = f"CASE WHEN month({day}) = 5 THEN {date_sql(f.replace('MMMM', 'MMM'), new or day, day if new else None)} ELSE {text_of} END"
+        cases.append(f"WHEN {i} THEN {text_of}")
+    return f"CASE {key} % {len(dates.FORMATS)} {' '.join(cases)} END"
+
+
+def mask_dateshift_formats(spark, d):
+    """Every format, in one column."""
+    src = table(spark, d, "orders").select((F.col("o_orderkey") + 1).alias("_rec"), F.col("o_orderkey").cast("string").alias("k"), F.expr(dated_sql("cast(o_orderdate as date)", "o_orderkey")).alias("day"))
+    return _masked(spark, d, src, day=model.Rule("DateShift", model.DateShiftOptions(max_days=45, keep_weekday=True))).rows.drop("_rec")
+
+
+def verify_distincts(spark, d):
+    src = _customer_cells(spark, d)
+    out = _masked(spark, d, src, c_name=model.Rule("HashId"), zip=model.Rule("ZipRemap"), phone=model.Rule("Fake", model.FakeOptions("Phone")))
+    return out.verification().filter(F.col("strategy") != "Keep").select("column", "source_distinct", "output_distinct")
+
+
+def verify_change(spark, d):
+    src = table(spark, d, "orders").select((F.col("o_orderkey") + 1).alias("_rec"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("price"))
+    v = _masked(spark, d, src, price=model.Rule("Perturb", model.PerturbOptions(mode="Global"))).verification()
+    return v.select("column", F.col("sum_change_pct").cast("string").alias("sum_change_pct"))
+
+
+def mask_custom(spark, d):
+    """A strategy of one's own: a function of the value and its seed."""
+    first = model.Rule("Custom", model.CustomOptions(lambda v, seed: F.concat(F.upper(F.left(v, F.lit(3))), F.lit("-"), F.left(seed, F.lit(8)))))
+    return _masked(spark, d, _customer_cells(spark, d).select("_rec", "c_custkey", "c_note"), c_note=first).rows.drop("_rec")
+
+
+def profile_rates(spark, d):
+    return profiling.measures(_customer_cells(spark, d), exact=False).select("column", *[F.round(c, 9).alias(c) for c in ("null_rate", "blank_rate", "mean_length")])
+
+
+def recipe_apply(spark, d):
+    """A saved recipe on another header: names fit without case, a link whose anchor is gone is dropped."""
+    plan = model.Plan({"Id": model.Rule("HashId"), "Name": model.Rule("Fake", model.FakeOptions("City")), "Note": model.Rule("Redact"), "Owner": model.Rule("HashId"), "Mail": model.Rule("Fake", model.FakeOptions("Email"))}, (model.EntityGroup("Id", ("Name",)), model.EntityGroup("Owner", ("Mail",))))
+    recipe = recipes.from_plan("r", "me", list(plan.columns), plan)
+    made, dropped = recipes.apply(recipe, ["ID", "name", "NOTE", "mail", "Extra"], model.Plan({k: model.Rule("Keep") for k in ("ID", "name", "NOTE", "mail", "Extra")}))
+    return spark.createDataFrame([(c, r.strategy, g.anchor if (g := made.group_of(c)) else None, len(dropped) if hasattr(dropped, "__len__") else dropped) for c, r in made.columns.items()], "column string, strategy string, anchor string, n_dropped int")
+
+
+def mapping_limit(spark, d):
+    """The column whose value is one too many, and none if the limit suffices."""
+    src = _customer_cells(spark, d).select("_rec", "c_custkey", "c_name")
+    plan = model.Plan({"c_custkey": model.Rule("HashId"), "c_name": model.Rule("HashId")})
+    n, said = src.count(), []
+    for most in (2 * n - 1, 2 * n):
+        try:
+            masking.mask(src, plan, KEY, most_entries=most)
+            said.append("none")
+        except mapping.MappingLimitExceeded as e:
+            said.append(str(e).split("'")[1])
+    return spark.createDataFrame([(i, s) for i, s in enumerate(said)], "at int, column string")
 
 
 def mask_unmaskable(spark, d):
@@ -302,8 +465,6 @@ def mapping_rounds_equal_walk(spark, d):
 
 def _file(spark, data: bytes, name: str) -> str:
     """Writes data, by Spark, below the shared folder."""
-    import uuid
-
     folder = f"{shared_folder(spark)}/text-{uuid.uuid4().hex}"
     spark.createDataFrame([(data.decode("latin-1"),)], "value string").coalesce(1).write.option("encoding", "ISO-8859-1").option("lineSep", "\n").text(folder)
     return folder
@@ -317,6 +478,52 @@ def csv_records(spark, d):
     return r.select(F.col("_rec").alias("rec"), "kind", F.size("vals").alias("n_fields"), F.array_join("vals", "/", "NULL").alias("cells"), F.array_join(F.transform("quoted", lambda q: q.cast("string")), "/").alias("quotes"))
 
 
+def _customer_file(spark, d) -> str:
+    """Customers as one delimited file: nulls, empties, quotes, line breaks in fields, mixed line endings, blank lines."""
+    k = F.col("c_custkey")
+    q = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    note = F.when(k % 4 == 0, "").when(k % 4 == 1, '""').when(k % 4 == 2, q(F.concat(F.lit('say "'), k.cast("string"), F.lit('",\nor not')))).otherwise(F.concat(F.lit('5" of '), k.cast("string")))
+    line = F.concat(k.cast("string"), F.lit(","), q(F.col("c_name")), F.lit(","), note, F.when(k % 3 == 0, "\r").otherwise(""), F.when(k % 50 == 0, "\n").otherwise(""))
+    lines = table(spark, d, "customer").select(k.alias("at"), line.alias("value")).unionByName(spark.createDataFrame([(-1, "key,name,note")], "at long, value string"))
+    folder = f"{shared_folder(spark)}/text-{uuid.uuid4().hex}"
+    lines.coalesce(1).sortWithinPartitions("at").select("value").write.option("lineSep", "\n").text(folder)
+    return folder
+
+
+def csv_customers(spark, d):
+    """Every data record of a whole table's file, with its number, ending and quotes."""
+    t = delimited.read_delimited(spark, _customer_file(spark, d))
+    r = t.records.filter("kind = 'data'")
+    v = lambda i: F.element_at("vals", i)
+    return r.select(F.col("_rec").alias("rec"), v(1).cast("long").alias("key"), v(2).alias("name"), v(3).alias("note"), (F.length("eol") == 2).alias("crlf"), F.element_at("quoted", 3).alias("note_quoted"))
+
+
+def csv_totals(spark, d):
+    t = delimited.read_delimited(spark, _customer_file(spark, d))
+    return t.totals().select("n_rows", "n_blank", "n_malformed")
+
+
+def csv_file_roundtrip(spark, d):
+    """A whole table's file, read, written and read as bytes again: lines that differ from the source's."""
+    path = _customer_file(spark, d)
+    t = delimited.read_delimited(spark, path)
+    folder = f"{shared_folder(spark)}/text-{uuid.uuid4().hex}"
+    delimited.write_delimited(t.records, t.dialect, folder)
+    lines = lambda p: spark.read.option("lineSep", "\n").option("pathGlobFilter", "part-*").text(p)
+    a, b = lines(path), lines(folder)
+    return a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count(F.lit(1)).alias("n_different"))
+
+
+def csv_encodings(spark, d):
+    """What files in several encodings are found to be, and the text that comes out of them."""
+    text_of, found = "a;b\r\n\u00e9;\u00fc\r\n", []
+    for name, mark in (("utf-8", b""), ("utf-8", b"\xef\xbb\xbf"), ("utf-16-le", b"\xff\xfe"), ("utf-16-be", b"\xfe\xff"), ("windows-1252", b"")):
+        data = mark + delimited.encode(text_of, name)
+        g = delimited.detect_dialect(data)
+        found.append((len(found), g.encoding, len(g.mark), g.delimiter, delimited.decode(data[len(g.mark) :], g.encoding) == text_of))
+    return spark.createDataFrame(found, "at int, encoding string, mark_bytes int, delimiter string, same boolean")
+
+
 def csv_roundtrip(spark, d):
     r = delimited.read_records(spark, _file(spark, RAGGED[:-1], "ragged"))
     lines = delimited.encoded_records(r, delimited.Dialect())
@@ -335,6 +542,8 @@ _ALL = (
     flagship, profile_counts, profile_lengths, profile_numeric, profile_patterns, pattern_tokens, distinct_exact, distinct_estimate_ok, sample_values, date_masks, date_give_up, type_detect,
     type_detect_orders, header_keys, name_tokens, header_signature, entity_groups, recipe_rank, plan_problems, seed_draws, mask_redact, mask_dateshift, mask_dateshift_entity, mask_perturb_row,
     mask_perturb_global, mask_perturb_shapes, mask_hashid, mask_zip, mask_phone, mask_email, mask_shared_domain, mask_linked_identity, mask_lorem, mask_unmaskable, verify_report, verify_sums,
-    preview_equals_run, mapping_rounds_equal_walk, csv_records, csv_roundtrip,
+    preview_equals_run, mapping_rounds_equal_walk, csv_records, csv_roundtrip, mask_hashid_values, mask_phone_first, fake_company, fake_city, fake_hospital, fake_street_address, fake_person_email,
+    mask_cities, mask_zip_listed, mask_perturb_entity, mask_dateshift_formats, verify_distincts, verify_change, mask_custom, profile_rates, recipe_apply, mapping_limit, csv_customers, csv_totals,
+    csv_file_roundtrip, csv_encodings,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}

@@ -1,17 +1,29 @@
 """Lossless reading and writing of delimited text.
 
 Nothing is lost between reading and writing: encoding and byte order mark, delimiter, each record's line ending,
-which fields were quoted, null (unquoted empty) against empty (""), blank lines and malformed records. Spark's own
-reader keeps none of these, so files are parsed in tasks: a file is one row of Spark's binary source, files are
-spread over the tasks, and a file must fit in a task's memory.
+which fields were quoted, null (unquoted empty) against empty (""), blank lines and malformed records. Spark's CSV
+reader keeps none of these, but its text reader hands out the raw bytes of lines, split by split, so files of any size
+are read in parallel:
+
+1. A first pass over the lines says of every split, for both states it may start in (between records, or inside a
+   quoted field), in which it ends and how many records end in it. A quote inside an unquoted field is an ordinary
+   character, so counting quotes would not do.
+2. The states and record numbers at the starts of splits follow from these, a row a split.
+3. A second pass parses each split. A record over the edge of splits comes in fragments, which meet by its number.
+
+Files in UTF-16 and UTF-32 have no such lines; each is one task's work and must fit in its memory.
 """
 
 from __future__ import annotations
 
 import codecs
+import itertools
 import re
+import uuid
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +36,8 @@ MARKS = ((b"\xff\xfe\x00\x00", "utf-32-le"), (b"\x00\x00\xfe\xff", "utf-32-be"),
 DELIMITERS = (",", "\t", ";", "|")
 SAMPLE_CHARS, SAMPLE_RECORDS, SAMPLE_BYTES = 256 << 10, 20, 4 << 10
 MOST_CHARS = 1_000_000
+#: Bytes of a file's head that its dialect is found in; bytes decoded at a time.
+HEAD_BYTES, PIECE = 4 * SAMPLE_CHARS, 64 << 10
 #: Windows-1252 with its five unassigned bytes as the control characters of the same number.
 CP1252 = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(256))
 RECORDS = "file string, _rec long, kind string, eol string, vals array<string>, quoted array<boolean>"
@@ -53,7 +67,8 @@ def encode(s: str, encoding: str) -> bytes:
     return codecs.charmap_encode(s, "strict", codecs.charmap_build(CP1252))[0] if encoding == "windows-1252" else s.encode(encoding)
 
 
-def detect_encoding(data: bytes) -> tuple[str, bytes]:
+def detect_encoding(data: bytes, whole: bool = True) -> tuple[str, bytes]:
+    """(encoding, mark). Of a head (not whole) the last character may be cut off."""
     for mark, name in MARKS:
         if data.startswith(mark):
             return name, mark
@@ -65,11 +80,19 @@ def detect_encoding(data: bytes) -> tuple[str, bytes]:
             return "utf-16-le", b""
         if even >= 0.3 * pairs and odd <= 0.05 * pairs:
             return "utf-16-be", b""
+    return "utf-8" if is_utf8(data, whole) else "windows-1252", b""
+
+
+def is_utf8(data: bytes, whole: bool = True) -> bool:
+    """Decoded piece by piece; a sequence may go over the edge of pieces, and over the end only of a head."""
+    decoder = codecs.getincrementaldecoder("utf-8")()
     try:
-        data.decode("utf-8")
-        return "utf-8", b""
+        for a in range(0, len(data), PIECE):
+            decoder.decode(data[a : a + PIECE])
+        decoder.decode(b"", final=whole)
     except UnicodeDecodeError:
-        return "windows-1252", b""
+        return False
+    return True
 
 
 def _first_line(s: str) -> tuple[str, str]:
@@ -86,9 +109,9 @@ def _outside(line: str, delimiter: str) -> int:
     return sum(part.count(delimiter) for part in line.split('"')[::2])
 
 
-def detect_dialect(data: bytes) -> Dialect:
+def detect_dialect(data: bytes, whole: bool = True) -> Dialect:
     """The header decides the delimiter; ties go to the one whose first records best fit the header's width."""
-    encoding, mark = detect_encoding(data)
+    encoding, mark = detect_encoding(data, whole)
     try:
         sample = decode(data[len(mark) :], encoding)[:SAMPLE_CHARS]
     except UnicodeDecodeError:
@@ -157,50 +180,291 @@ def parse(s: str, delimiter: str = ",", most_chars: int = MOST_CHARS) -> Iterato
         yield record, vals, quoted, eol
 
 
-def _read(dialect: Dialect | None, most_chars: int):
+def _classified(path: str, record: int, vals: list[str], quoted: list[bool], eol: str, width: int) -> tuple:
+    blank = width > 1 and vals == [""] and not quoted[0]
+    kind = "header" if record == 1 else "blank" if blank else "data" if len(vals) == width else "malformed"
+    return path, record, kind, eol, [None if v == "" and not q else v for v, q in zip(vals, quoted, strict=True)], quoted
+
+
+def _parsed(data: bytes, d: Dialect, before: int, most_chars: int) -> Iterator[tuple[int, list[str], list[bool], str]]:
+    """The records of data, numbered from before + 1; errors name their record."""
+    try:
+        s, cut_off = decode(data, d.encoding), False
+    except UnicodeDecodeError as e:
+        s, cut_off = decode(data[: e.start], d.encoding), True
+    last = 0
+    try:
+        for record, vals, quoted, eol in parse(s, d.delimiter, most_chars):
+            last = record
+            if not cut_off or eol:
+                yield before + record, vals, quoted, eol
+    except DelimitedError as e:
+        if not cut_off:
+            raise DelimitedError(e.kind, before + e.record, e.field) from None
+        last = e.record
+    if cut_off:
+        ended = not s or s[-1] in "\r\n"
+        raise DelimitedError("UndecodableInput", before + last + ended)
+
+
+def _whole(dialect: Dialect | None, most_chars: int):
+    """Files that are one row each."""
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in RECORDS.split(", ")]
         for part in parts:
             for path, data in zip(part["path"], part["content"], strict=True):
                 d = dialect or detect_dialect(data)
                 if dialect and not data.startswith(d.mark):
                     raise DelimitedError("ByteOrderMark")
-                try:
-                    s = decode(data[len(d.mark) :], d.encoding)
-                except UnicodeDecodeError:
-                    raise DelimitedError("UndecodableInput") from None
                 rows, width = [], None
-                for record, vals, quoted, eol in parse(s, d.delimiter, most_chars):
+                for record, vals, quoted, eol in _parsed(data[len(d.mark) :], d, 0, most_chars):
                     width = width or len(vals)
-                    blank = width > 1 and vals == [""] and not quoted[0]
-                    kind = "header" if record == 1 else "blank" if blank else "data" if len(vals) == width else "malformed"
-                    cells = [None if v == "" and not q else v for v, q in zip(vals, quoted, strict=True)]
-                    rows.append((path, record, kind, eol, cells, quoted))
+                    rows.append(_classified(path, record, vals, quoted, eol, width))
                     if len(rows) >= 5000:
-                        yield pd.DataFrame(rows, columns=names)
+                        yield pd.DataFrame(rows, columns=_NAMES)
                         rows = []
                 if width is None:
                     raise DelimitedError("MissingHeader", 1)
-                yield pd.DataFrame(rows, columns=names)
+                yield pd.DataFrame(rows, columns=_NAMES)
 
     return run
 
 
+_NAMES = [c.split()[0] for c in RECORDS.split(", ")]
+#: States between lines: a record begins, or a quoted field goes on. LOST is where no record can be.
+OUT, IN, LOST = 0, 1, 2
+_CLOSED = re.compile(rb'(?:[^"]++|"")*+"')
+
+
+def crossed(line: bytes, state: int, delimiter: bytes) -> tuple[int, int, int, int]:
+    """(state after the line, records that end in it, bytes up to the end of the first and of the last of them), of a
+    line without its line feed, which counts as a byte."""
+    if state == LOST:
+        return LOST, 0, 0, 0
+    quote, end = b'"' in line, len(line)
+    if state == IN and not quote:
+        return IN, 0, 0, 0
+    if state == OUT and not quote and line.find(b"\r", 0, end - 1) < 0:
+        return OUT, 1, end + 1, end + 1
+    n, first, last, at, inside = 0, 0, 0, 0, state == IN
+    while True:
+        if inside or line[at : at + 1] == b'"':
+            m = _CLOSED.match(line, at + (not inside))
+            if not m:
+                return IN, n, first, last
+            inside, stop = False, m.end()
+            if stop < end and line[stop : stop + 1] not in (delimiter, b"\r"):
+                return LOST, n, first, last
+        else:
+            stop = min((i for i in (line.find(delimiter, at), line.find(b"\r", at)) if i >= 0), default=end)
+        if stop < end and line[stop : stop + 1] == delimiter:
+            at = stop + 1
+            continue
+        # A record ends: at a carriage return of its own, or at the line feed, with or without a carriage return.
+        at = stop + 1
+        last = end + 1 if at >= end else at
+        n, first = n + 1, first or last
+        if last > end:
+            return OUT, n, first, last
+
+
+def _splits(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int, Iterator[bytes]]]:
+    """(file, start of the split, its lines): a task may hold several splits, one after another."""
+
+    def rows():
+        for part in parts:
+            yield from zip(part["file"], part["start"], part["line"], strict=True)
+
+    for (file, start), group in itertools.groupby(rows(), key=lambda r: (r[0], r[1])):
+        yield file, int(start), (r[2] for r in group)
+
+
+def _summaries(delimiters):
+    """(file, start, bytes, utf8, out_end, out_n, in_end, in_n) of each split."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = []
+        for file, start, lines in _splits(parts):
+            delimiter, size, utf8 = delimiters.value[file], 0, True
+            state, count = [OUT, IN], [0, 0]
+            for line in lines:
+                size += len(line) + 1
+                utf8 = utf8 and (line.isascii() or is_utf8(line))
+                ends = [crossed(line, s, delimiter) for s in state]
+                state, count = [e[0] for e in ends], [c + e[1] for c, e in zip(count, ends, strict=True)]
+            found.append((file, start, size, utf8, state[0], count[0], state[1], count[1]))
+        yield pd.DataFrame(found, columns=[c.split()[0] for c in SUMMARY.split(", ")])
+
+    return run
+
+
+SUMMARY = "file string, start long, bytes long, utf8 boolean, out_end int, out_n long, in_end int, in_n long"
+
+
+@dataclass(frozen=True)
+class _Split:
+    dialect: Dialect
+    width: int
+    state: int
+    before: int
+    last: bool
+    ends_in_line_feed: bool
+
+
+def _records_of(splits, most_chars: int):
+    """The records that lie in a split; and as kind 'fragment', with its bytes as Latin-1 in vals, what the split has of
+    records that go over its edges."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for file, start, lines in _splits(parts):
+            if (file, start) not in splits.value:
+                raise RuntimeError("the splits of a file have changed while it was read")
+            x = splits.value[file, start]
+            delimiter, state, record, opened = x.dialect.delimiter.encode(), x.state, x.before, x.state == IN
+            rows, pending, open_bytes, buffer, size = [], [], 0, [], 0
+
+            def fragment(n: int, data: list[bytes], file=file, start=start) -> tuple:
+                return file, n, "fragment", "", [b"".join(data).decode("latin-1"), str(start)], []
+
+            for piece, body in _with_ends(lines, x.dialect.mark if start == 0 else b"", not x.last or x.ends_in_line_feed):
+                state, n, first, last = crossed(body, state, delimiter)
+                if n:
+                    if opened:
+                        record, opened = record + 1, False
+                        rows.append(fragment(record, [*pending, piece[:first]]))
+                        complete = [piece[first:last]]
+                    else:
+                        complete = [*pending, piece[:last]]
+                    buffer += complete
+                    size += sum(map(len, complete))
+                    pending, open_bytes = [], 0
+                    piece = piece[last:]
+                if piece:
+                    pending.append(piece)
+                    open_bytes += len(piece)
+                if size >= 1 << 16:
+                    for record, vals, quoted, eol in _parsed(b"".join(buffer), x.dialect, record, most_chars):
+                        rows.append(_classified(file, record, vals, quoted, eol, x.width))
+                    buffer, size = [], 0
+                if len(rows) >= 5000:
+                    yield pd.DataFrame(rows, columns=_NAMES)
+                    rows = []
+                if state == LOST:
+                    break
+                if open_bytes > 16 * most_chars:
+                    raise DelimitedError("RecordTooLarge", record + 1)
+            for record, vals, quoted, eol in _parsed(b"".join(buffer), x.dialect, record, most_chars):
+                rows.append(_classified(file, record, vals, quoted, eol, x.width))
+            if pending:
+                rows.append(fragment(record + 1, pending))
+            yield pd.DataFrame(rows, columns=_NAMES)
+
+    return run
+
+
+def _with_ends(lines: Iterator[bytes], mark: bytes, fed: bool) -> Iterator[tuple[bytes, bytes]]:
+    """(line with its line feed, line without); the last has one only if fed says so."""
+    held = None
+    for line in lines:
+        if held is not None:
+            yield held + b"\n", held
+        held = line.removeprefix(mark) if held is None and mark else line
+    if held is not None:
+        yield held + (b"\n" if fed else b""), held
+
+
+def _joined(dialects, most_chars: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        file, record = pdf["file"].iloc[0], int(pdf["_rec"].iloc[0])
+        d, width = dialects.value[file]
+        data = b"".join(p[0].encode("latin-1") for p in sorted(pdf["vals"], key=lambda p: int(p[1])))
+        return pd.DataFrame([_classified(file, n, vals, quoted, eol, width) for n, vals, quoted, eol in _parsed(data, d, record - 1, most_chars)], columns=_NAMES)
+
+    return run
+
+
+def _head(spark: SparkSession, path: str) -> bytes:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    try:
+        return bytes(stream.readNBytes(HEAD_BYTES))
+    finally:
+        stream.close()
+
+
+def _width(head: bytes, d: Dialect) -> int:
+    """Fields of the header. head may end anywhere, so the rest of it does not matter."""
+    s = head[len(d.mark) :].decode("latin-1")  # delimiters, quotes and line ends are ASCII
+    try:
+        first = next(parse(s, d.delimiter, 4 * MOST_CHARS), None)
+    except DelimitedError as e:
+        raise DelimitedError(e.kind if len(head) < HEAD_BYTES else "RecordTooLarge", 1, e.field) from None
+    if first is None:
+        raise DelimitedError("MissingHeader", 1)
+    return len(first[1])
+
+
 def read_records(spark: SparkSession, path: str, dialect: Dialect | None = None, most_chars: int = MOST_CHARS) -> DataFrame:
-    """Every record of the files at path: header, data, blank or malformed; values null where empty and unquoted."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(_read(dialect, most_chars), RECORDS)
+    """Every record of the files at path, read at once and written as a table: header, data, blank or malformed; values
+    null where empty and unquoted. Each file has a header and, unless dialect says so, a dialect of its own."""
+    return _read(spark, path, dialect, most_chars)[0]
+
+
+def _read(spark: SparkSession, path: str, dialect: Dialect | None, most_chars: int) -> tuple[DataFrame, dict[str, Dialect]]:
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("_metadata.file_path").alias("file"), "length").collect()  # no contents
+    if not files:  # Spark lists no empty files
+        raise DelimitedError("MissingHeader", 1)
+    chosen, length = {}, {}
+    for r in files:
+        head = _head(spark, r["path"])
+        if dialect and not head.startswith(dialect.mark):
+            raise DelimitedError("ByteOrderMark")
+        chosen[r["file"]], length[r["file"]] = dialect or detect_dialect(head, r["length"] <= len(head)), r["length"]
+        if not r["length"] - len(chosen[r["file"]].mark):
+            raise DelimitedError("MissingHeader", 1)
+    wide = [r["path"] for r in files if chosen[r["file"]].encoding.startswith("utf-") and chosen[r["file"]].encoding != "utf-8"]
+    narrow = [r for r in files if r["path"] not in set(wide)]
+    found = []
+    if wide:
+        whole = spark.read.format("binaryFile").load(wide).select(F.col("_metadata.file_path").alias("path"), "content")
+        found.append(whole.mapInPandas(_whole(dialect, most_chars), RECORDS))
+    if narrow:
+        text = spark.read.option("lineSep", "\n").text([r["path"] for r in narrow])
+        lines = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("line"))
+        delimiters = spark.sparkContext.broadcast({f: d.delimiter.encode() for f, d in chosen.items()})
+        splits, by_file = {}, defaultdict(list)
+        for r in lines.mapInPandas(_summaries(delimiters), SUMMARY).collect():  # a row a split
+            by_file[r["file"]].append(r)
+        for r in narrow:
+            file, parts = r["file"], sorted(by_file[r["file"]], key=lambda x: x["start"])
+            d = chosen[file]
+            if not dialect and not d.mark:
+                d = replace(d, encoding="utf-8" if all(x["utf8"] for x in parts) else "windows-1252")
+            chosen[file], width = d, _width(_head(spark, r["path"]), d)
+            state, before, size = OUT, 0, sum(x["bytes"] for x in parts)
+            for x in parts:
+                # Spark's reader takes a mark in UTF-8 away.
+                splits[file, x["start"]] = _Split(d, width, state, before, x is parts[-1], length[file] in (size, size + len(d.mark)))
+                state, before = (x["out_end"], before + x["out_n"]) if state == OUT else (x["in_end"], before + x["in_n"]) if state == IN else (LOST, before)
+        shared = spark.sparkContext.broadcast(splits)
+        records = cut(lines.mapInPandas(_records_of(shared, most_chars), RECORDS), "split-records")
+        dialects = spark.sparkContext.broadcast({f: (x.dialect, x.width) for (f, _), x in splits.items()})
+        found += [records.filter("kind <> 'fragment'"), records.filter("kind = 'fragment'").groupBy("file", "_rec").applyInPandas(_joined(dialects, most_chars), RECORDS)]
+    return cut(reduce(DataFrame.unionByName, found), "records"), chosen
 
 
 @dataclass
 class DelimitedTable:
-    """rows has _rec and a string column per header key; records is the lossless form."""
+    """rows has _rec and a string column per header key; records is the lossless form. columns are the names that the
+    keys have in rows: Spark does not tell `Name` from `name`, so the later of such keys, and keys that would collide
+    with _rec or hold a backtick, are named by their position."""
 
     rows: DataFrame
     records: DataFrame
     header: list[str]
     keys: list[str]
     dialect: Dialect
+    columns: list[str]
 
     def totals(self) -> DataFrame:
         """n_rows, n_blank, n_malformed and the first 100 malformed record numbers."""
@@ -209,21 +473,27 @@ class DelimitedTable:
         return self.records.agg(count("data").alias("n_rows"), count("blank").alias("n_blank"), count("malformed").alias("n_malformed")).withColumn("malformed_records", F.array(*map(F.lit, bad)).cast("array<bigint>"))
 
 
+def column_names(keys: list[str]) -> list[str]:
+    taken, out = {"_rec"}, []
+    for i, k in enumerate(keys, 1):
+        name = k
+        while name.lower() in taken or "`" in name:
+            name = f"_c{i}" if not name.startswith("_c") else name + "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def read_delimited(spark: SparkSession, path: str, skip_malformed: bool = False, most_chars: int = MOST_CHARS) -> DelimitedTable:
     """One file. A malformed record fails the read, by its number, unless skip_malformed."""
-    data = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 4 * SAMPLE_CHARS).alias("head"), F.length("content").alias("n")).first()
-    dialect = detect_dialect(bytes(data["head"]))
-    if dialect.encoding in ("utf-8", "windows-1252") and not dialect.mark and data["n"] > 4 * SAMPLE_CHARS:
-        # One byte far down decides between these two; a task looks at the whole file.
-        seen = spark.read.format("binaryFile").load(path).select("content").mapInPandas(lambda parts: (pd.DataFrame({"e": [detect_encoding(c)[0] for c in p["content"]]}) for p in parts), "e string").first()
-        dialect = Dialect(seen["e"], b"", dialect.delimiter, dialect.eol)
-    records = cut(read_records(spark, path, dialect, most_chars), "records")
+    records, dialects = _read(spark, path, None, most_chars)
     if not skip_malformed and (bad := records.filter("kind = 'malformed'").agg(F.min("_rec").alias("r")).first()["r"]):
         raise DelimitedError("FieldCountMismatch", bad)
     header = [v or "" for v in records.filter("kind = 'header'").first()["vals"]]
     keys = header_keys(header)
-    rows = records.filter("kind = 'data'").select("_rec", *[F.element_at("vals", i).alias(k) for i, k in enumerate(keys, 1)])
-    return DelimitedTable(rows, records, header, keys, dialect)
+    columns = column_names(keys)
+    rows = records.filter("kind = 'data'").select("_rec", *[F.element_at("vals", i).alias(c) for i, c in enumerate(columns, 1)])
+    return DelimitedTable(rows, records, header, keys, next(iter(dialects.values())), columns)
 
 
 def field_text(v, was_quoted, delimiter: str):
@@ -241,41 +511,53 @@ def encoded_records(records: DataFrame, dialect: Dialect) -> DataFrame:
 def masked_records(table: DelimitedTable, rows: DataFrame) -> DataFrame:
     """The records of table with the values of rows (same _rec); header and blank lines as they were, malformed ones
     left out."""
-    new = rows.select(F.col("_rec").alias("r"), F.array(*[F.col(f"`{k}`") for k in table.keys]).alias("new"))
+    new = rows.select(F.col("_rec").alias("r"), F.array(*[F.col(f"`{c}`") for c in table.columns]).alias("new"))
     joined = table.records.filter("kind <> 'malformed'").join(new, (F.col("_rec") == F.col("r")) & (F.col("kind") == "data"), "left")
     return joined.select("_rec", "kind", "eol", F.coalesce("new", "vals").alias("vals"), "quoted")
 
 
 def write_delimited(records: DataFrame, dialect: Dialect, folder: str) -> None:
-    """Writes ordered parts below folder: text parts in the dialect's encoding, the first with the byte order mark.
+    """Writes ordered parts below folder: text parts in the dialect's encoding, the first with the byte order mark. The
+    parts, end to end in the order of their names, are the file; without records it is the mark alone.
 
-    Ranges of records are sorted and encoded in parallel; the parts, in the order of their names, are the file.
+    Ranges of records are sorted and encoded in parallel and streamed out. Parts get names that differ from attempt to
+    attempt until they are complete. A record without a line ending may only be the last. folder must be new.
     """
     from pyarrow import fs as afs
 
+    where, root = afs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (afs.LocalFileSystem(), folder)
+    if where.get_file_info(root).type == afs.FileType.Directory and where.get_file_info(afs.FileSelector(root)):
+        raise FileExistsError(f"{folder} is not empty")
+    most, early = records.agg(F.max("_rec"), F.min(F.when(F.col("eol") == "", F.col("_rec")))).first()
+    if early is not None and early < most:
+        raise DelimitedError("UnterminatedRecord", early)
+    where.create_dir(root, recursive=True)
+    encoding, mark = dialect.encoding, dialect.mark
+    if most is None:
+        with where.open_output_stream(f"{root}/part-{0:012d}", compression=None) as f:
+            f.write(mark)
     lines = encoded_records(records, dialect)
     n = max(1, lines.rdd.getNumPartitions())
     dealt = lines.repartitionByRange(n, "_rec").sortWithinPartitions("_rec")
-    encoding, mark = dialect.encoding, dialect.mark
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out, first = [], None
+        where, root = afs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (afs.LocalFileSystem(), folder)
+        out, size, name, temp = None, 0, "", ""
         for part in parts:
             for rec, line in zip(part["_rec"], part["line"], strict=True):
-                first = rec if first is None else first
+                if out is None:
+                    name = f"{root}/part-{rec:012d}"
+                    temp = f"{root}/.{uuid.uuid4().hex}"
+                    out = where.open_output_stream(temp, compression=None)
+                    size += out.write(mark if rec == 1 else b"") or 0
                 try:
-                    out.append(encode(line, encoding))
+                    size += out.write(encode(line, encoding)) or 0
                 except UnicodeEncodeError:
                     raise DelimitedError("UnencodableOutput", rec) from None
-        if first is not None:
-            data = (mark if first == 1 else b"") + b"".join(out)
-            where, root = afs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (afs.LocalFileSystem(), folder)
-            where.create_dir(root, recursive=True)
-            name = f"{root}/part-{first:012d}"
-            with where.open_output_stream(f"{name}.tmp", compression=None) as f:
-                f.write(data)
-            where.move(f"{name}.tmp", name)
-            yield pd.DataFrame({"name": [name], "bytes": [len(data)]})
+        if out is not None:
+            out.close()
+            where.move(temp, name)
+            yield pd.DataFrame({"name": [name], "bytes": [size]})
 
     dealt.mapInPandas(run, "name string, bytes long").write.parquet(f"{folder}/_parts")
 

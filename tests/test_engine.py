@@ -269,6 +269,84 @@ def test_all_texts_round_trip_as_records(spark, tmp_path):
     assert kinds["08", "blank"] == 2 and kinds["13", "malformed"] == 2 and kinds["10", "data"] == 2
 
 
+@pytest.fixture
+def small_splits(spark):
+    kept = {n: spark.conf.get(n) for n in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    yield lambda size: spark.conf.set("spark.sql.files.maxPartitionBytes", f"{size}b")
+    for n, v in kept.items():
+        spark.conf.set(n, v)
+
+
+def as_read(content: bytes, d: delimited.Dialect) -> list[tuple]:
+    out = []
+    for record, vals, quoted, eol in delimited.parse(delimited.decode(content[len(d.mark) :], d.encoding), d.delimiter):
+        out.append((record, [None if v == "" and not q else v for v, q in zip(vals, quoted, strict=True)], quoted, eol))
+    return out
+
+
+@pytest.mark.parametrize("mark,encoding,size", [(b"", "utf-8", 400), (b"\xef\xbb\xbf", "utf-8", 250), (b"", "windows-1252", 600)])
+def test_splits_give_the_records_of_the_whole(spark, tmp_path, small_splits, mark, encoding, size):
+    rng = random.Random(size)
+    cell = lambda: rng.choice(["", '""', "a", "é", "x'y", '"p,q"', '"r\ns"', '"t""u"', '"\r\n\n"', 'v"w', '"' + "z\n" * rng.randint(0, 30) + '"'])
+    content = "k,é,m\n" + "".join(",".join(cell() for _ in range(rng.choice([3, 3, 3, 1, 2]))) + rng.choice(["\n", "\r\n", "\n", "\r"]) for _ in range(120)) + rng.choice(["", "1,2,3"])
+    data = mark + delimited.encode(content, encoding)
+    (tmp_path / "f.csv").write_bytes(data)
+    small_splits(size)
+    table = delimited.read_delimited(spark, str(tmp_path / "f.csv"), skip_malformed=True)
+    assert (table.dialect.encoding, table.dialect.mark) == (encoding, mark)
+    assert [(r["_rec"], r["vals"], r["quoted"], r["eol"]) for r in table.records.orderBy("_rec").collect()] == as_read(data, table.dialect)
+    assert spark.read.option("lineSep", "\n").text(str(tmp_path / "f.csv")).rdd.getNumPartitions() > 3
+    delimited.write_delimited(table.records, table.dialect, str(tmp_path / "out"))
+    assert b"".join(p.read_bytes() for p in sorted((tmp_path / "out").glob("part-*"))) == data
+
+
+@pytest.mark.parametrize("content,said", [
+    (b'a,b\n1,2\n3,"x\ny\n' + b"z\n" * 40, "UnclosedQuote at record 3, field 2"), (b'a,b\n1,2\n"x\n"y,2\n' + b"1,2\n" * 40, "TextAfterClosingQuote at record 3, field 1"),
+    (b"a,b\n" + b"1,2\n" * 40 + b"x" * 60 + b",1\n1,2\n", "RecordTooLarge at record 42"), (b"\xef\xbb\xbfa,b\n" + b"1,2\n" * 40 + b"\xe9,1\n", "UndecodableInput at record 42"),
+    (b"a,b\n" + b"1,2\n" * 40 + b"1\n1,2\n", "FieldCountMismatch at record 42"), (b"", "MissingHeader at record 1"), (b"\xef\xbb\xbf", "MissingHeader at record 1"),
+])
+def test_errors_name_their_record_in_any_split(spark, tmp_path, small_splits, content, said):
+    (tmp_path / "f.csv").write_bytes(content)
+    for size in (60, 1 << 20):
+        small_splits(size)
+        with pytest.raises(Exception, match=said):
+            delimited.read_delimited(spark, str(tmp_path / "f.csv"), most_chars=50)
+
+
+def test_encodings_without_a_mark(spark, tmp_path):
+    text = "name,n\n" + "é" * 10 + ",1\n"
+    for encoding in ("utf-16-le", "utf-16-be", "utf-8"):
+        data = ("plain,n\nabc,1\n" if encoding != "utf-8" else text).encode(encoding)
+        (tmp_path / "f.csv").write_bytes(data)
+        table = delimited.read_delimited(spark, str(tmp_path / "f.csv"))
+        assert table.dialect.encoding == encoding and table.rows.count() == 1
+    assert delimited.detect_encoding("é".encode() * 40_000) == ("utf-8", b"")  # a character over the edge of two pieces
+    assert delimited.detect_encoding("ab é".encode()[:-1]) == ("windows-1252", b"") and delimited.detect_encoding("ab é".encode()[:-1], False) == ("utf-8", b"")
+
+
+def test_header_names_that_spark_would_confuse(spark, tmp_path):
+    content = b"Name,name,_rec,a`b,\nA,b,c,d,e\n"
+    (tmp_path / "f.csv").write_bytes(content)
+    table = delimited.read_delimited(spark, str(tmp_path / "f.csv"))
+    assert table.keys == ["Name", "name", "_rec", "a`b", "Column5"] and table.columns == ["Name", "_c2", "_c3", "_c4", "Column5"]
+    plan = Plan({c: Rule("Keep") for c in table.columns} | {"_c2": Rule("HashId"), "_c4": Rule("Redact")})
+    masked = masking.mask(table.rows, plan, KEY)
+    delimited.write_delimited(delimited.masked_records(table, masked.rows), table.dialect, str(tmp_path / "out"))
+    out = b"".join(p.read_bytes() for p in sorted((tmp_path / "out").glob("part-*")))
+    assert out.startswith(b"Name,name,_rec,a`b,\nA,") and out.endswith(b",c,[REDACTED],e\n") and out != content
+
+
+def test_writing_checks_what_it_writes(spark, tmp_path):
+    records = spark.createDataFrame([(1, "header", "\n", ["a"], [False]), (2, "data", "", ["1"], [False]), (3, "data", "\n", ["2"], [False])], "_rec long, kind string, eol string, vals array<string>, quoted array<boolean>")
+    with pytest.raises(delimited.DelimitedError, match="UnterminatedRecord at record 2"):
+        delimited.write_delimited(records, delimited.Dialect(), str(tmp_path / "a"))
+    delimited.write_delimited(records.limit(0), delimited.Dialect(mark=b"\xef\xbb\xbf"), str(tmp_path / "b"))
+    assert b"".join(p.read_bytes() for p in sorted((tmp_path / "b").glob("part-*"))) == b"\xef\xbb\xbf"
+    with pytest.raises(FileExistsError):
+        delimited.write_delimited(records, delimited.Dialect(), str(tmp_path / "b"))
+
+
 def test_windows_1252(tmp_path):
     data = b"a,b\n\xe9,\x81\x8d\n"
     assert delimited.detect_encoding(data) == ("windows-1252", b"") and delimited.encode(delimited.decode(data, "windows-1252"), "windows-1252") == data
