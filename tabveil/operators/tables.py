@@ -7,20 +7,41 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of this process's cuts, in the order they were made.
+_MADE: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; a temporary one only where a local session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
-    """df, written once; what follows reads the table and never recomputes what led to it."""
+    """Writes df as a table in the shared folder and reads it back, so lost executors cost no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_folder(spark, label)
+    _MADE.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cuts_made() -> int:
+    return len(_MADE)
+
+
+def drop_cuts(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the cuts made since cuts_made() gave that number. Frames that read them must have been written by then."""
+    for path in _MADE[since:]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    del _MADE[since:]

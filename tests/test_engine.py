@@ -1,11 +1,13 @@
+import hashlib
 import random
+import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from tabveil.functions import strategies
-from tabveil.operators import mapping, masking
+from tabveil.functions import labels, seeds, strategies
+from tabveil.operators import jobs, mapping, masking, verify
 from tabveil.operators import profile as profiling
 from tabveil.plans import model, recipes
 from tabveil.plans.model import DateShiftOptions, EntityGroup, FakeOptions, PerturbOptions, Plan, PlanError, RedactOptions, Rule
@@ -390,3 +392,55 @@ def test_plan_helpers():
     notes = model.link_notes(plan, {"id": 100, "city": 5, "name": 90})
     assert "distribution" in notes["city"] and "same invented person" in notes["name"]
     assert [delimited.masked_name(n) for n in ("a.csv", "b.TSV", "c", "d.xlsx")] == ["a_masked.csv", "b_masked.tsv", "c_masked.csv", "d_masked.csv"]
+
+
+def test_jobs_report_progress_and_can_be_cancelled(spark):
+    said = []
+    job = jobs.Job(spark, lambda: spark.range(100).count(), lambda done, known: said.append((done, known)), 0.05)
+    assert job.result(60) == 100
+    failed = jobs.Job(spark, lambda: spark.sql("select raise_error('no')").collect())
+    with pytest.raises(Exception, match="no"):
+        failed.result(60)
+    slow = jobs.Job(spark, lambda: spark.range(1 << 40).selectExpr("sum(id * id % 7)").collect())
+    time.sleep(1)
+    slow.cancel()
+    with pytest.raises(jobs.Cancelled):
+        slow.result(60)
+
+
+def test_labels():
+    assert [labels.size(n) for n in (5, 1024, 1536, 3 << 20)] == ["5 bytes", "1 KB", "1.5 KB", "3 MB"]
+    assert [labels.delimiter(d) for d in ",\t;|:"] == ["comma", "tab", "semicolon", "pipe", "':'"]
+    assert [labels.percent(x) for x in (0, 0.125, 1)] == ["0%", "12.5%", "100%"]
+    assert labels.shortened("a" * 60) == "a" * 60 and labels.shortened("a" * 61) == "a" * 59 + "…"
+
+
+def test_custom_strategies_and_groups(spark):
+    custom = Rule("Custom", model.CustomOptions(lambda v, seed: F.when(v != "b", F.concat(v, F.left(seed, F.lit(2))))))
+    got = outputs(masking.mask(frame(spark, ["a"], [("x",), ("b",), (None,), (" ",)]), Plan({"a": custom}), KEY), "a")
+    assert len(got[0][0]) == 3 and [g[0] for g in got[1:]] == ["[REDACTED]", None, " "]
+    assert "needs a function" in str(model.problems(Plan({"a": Rule("Custom")}), ["a"]))
+    with pytest.raises(PlanError):
+        recipes.from_plan("r", "me", ["a"], Plan({"a": custom}))
+    assert model.groups_of({"a": "id", "b": None, "c": "id", "d": "x"}) == (EntityGroup("id", ("a", "c")), EntityGroup("x", ("d",)))
+    words = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(8)]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string")
+    assert [r[0] for r in df.orderBy("i").select(seeds.int32(F.col("w"))).collect()] == [int.from_bytes(bytes.fromhex(w[:8]), "little", signed=True) for w in words]
+
+
+def test_file_report(spark, tmp_path):
+    (tmp_path / "f.csv").write_bytes(b"id,n\n1,10\n2,20\n3\n\n")
+    table = delimited.read_delimited(spark, str(tmp_path / "f.csv"), skip_malformed=True)
+    out = masking.mask(table.rows, Plan({"id": Rule("HashId"), "n": Rule("Redact")}), KEY)
+    report = verify.file_report(table.totals(), out.rows, out.verification()).first()
+    assert tuple(report) == (2, 2, True, 1, 1, [4], False)
+    assert verify.file_report(table.totals(), out.rows.limit(1), out.verification()).first()["has_failures"]
+
+
+def test_name_pools_beyond_a_group(spark):
+    """25,000 first names and 25,000 cities: as many outputs, and what the walk gives."""
+    rows = spark.range(25_000).selectExpr("id + 2 as _rec", "concat('n', id) as a")
+    for kind in ("PersonFirst", "City"):
+        plan = Plan({"a": Rule("Fake", FakeOptions(kind))})
+        made, walked = (mapping.resolve(rows, plan, KEY, small=n).select("value", "output") for n in (mapping.SMALL_CLASS, 30_000))
+        assert made.exceptAll(walked).isEmpty() and made.select("output").distinct().count() == 25_000
