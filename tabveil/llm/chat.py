@@ -6,7 +6,8 @@ one (or equals that of another with a smaller id) is dropped by an anti-join, an
 
 A prefix hash is a running sum of position-dependent turn hashes, kept as four sums of 32-bit words (128 bits),
 so it can be taken in slices: positions and sums are first added up per slice of 1024 turn numbers, then inside
-each slice. A conversation of any length is thus never sorted in one task.
+each slice. A conversation of any length is thus never sorted in one task (turns without a number, or of one number,
+share a slice).
 """
 
 from __future__ import annotations
@@ -71,13 +72,16 @@ def maximal_turns(turns: DataFrame) -> DataFrame:
 
 
 def render_turns(turns: DataFrame, start: str = "<|im_start|>", end: str = "<|im_end|>") -> DataFrame:
-    """Adds rendered: the turn in ChatML-like form; null role reads as user, null text as empty.
+    """Adds rendered: the turn in ChatML-like form; null role reads as user, null text as empty. Markers inside roles and
+    texts lose their bar (`<|im_end|>` becomes `<im_end>`), so no text can pass for a turn of its own.
 
     Rendering is per turn, so a huge conversation is never one value; joined by pos, the pieces are the conversation.
     """
-    piece = F.concat(F.lit(start), F.coalesce("role", F.lit("user")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(f"{end}\n"))
+    harmless = lambda c: F.replace(F.replace(c, F.lit(start), F.lit(start.replace("|", ""))), F.lit(end), F.lit(end.replace("|", "")))
+    piece = F.concat(F.lit(start), harmless(F.coalesce("role", F.lit("user"))), F.lit("\n"), harmless(F.coalesce("text", F.lit(""))), F.lit(f"{end}\n"))
     return turns.withColumn("rendered", piece)
 
 
 def collapse_and_render(turns: DataFrame) -> DataFrame:
+    """conv_id, pos, n_turns, rendered of the turns of maximal conversations; see maximal_turns for nulls and ties."""
     return render_turns(maximal_turns(turns)).select("conv_id", "pos", "n_turns", "rendered")

@@ -1,41 +1,17 @@
-"""Shared pieces: lineage cuts in the shared folder, byte-level word finding, hashing."""
+"""Shared pieces: bounds of batches and broadcasts, byte-level word finding, hashing; lineage cuts come from the engine."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabveil.operators.tables import cut, cuts_made, drop_cuts, new_folder, shared_folder  # noqa: F401
+
 #: Bytes of the Arrow batches handed to Python: a worker holds one of them (or one longer row) at a time.
 BATCH_BYTES = 1 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where a local session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back, so lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = new_folder(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Rows up to which a table of ids is broadcast; some tens of MB. Larger ones are shuffled with the texts.
 BROADCAST_ROWS = 500_000
 
@@ -55,6 +31,14 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """df with columns named so (in any case) renamed, and the columns of df as they were, to select in the end."""
+    other = {n.lower() for n in names}
+    clash = [c for c in df.columns if c.lower() in other]
+    renamed = dict(zip(clash, free_names(df, *[f"{c}_set_aside" for c in clash]), strict=True))
+    return df.withColumnsRenamed(renamed), [F.col(f"`{renamed.get(c, c)}`").alias(c) for c in df.columns]
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the bytes of the Arrow batches that Python tasks of this session get. All operators set the same bound,
     so it does not matter that a frame runs later than it is built."""

@@ -122,6 +122,8 @@ def _pieces(window: int):
     return run
 
 
+#: The columns that find_contamination and contaminated add or use.
+ADDED = ("decon_words", "decon_hits", "decon_items", "decon_spans", "decon_text", "decon_hit", "contaminated")
 #: What the scan adds to each row.
 FOUND = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("hit_words", T.ArrayType(T.ArrayType(T.IntegerType()))),

@@ -51,7 +51,8 @@ p AS (SELECT *, string_agg(h, ',') OVER (PARTITION BY conv_id ORDER BY pos) AS p
 whole AS (SELECT prefix, min(conv_id) AS conv_id FROM p WHERE pos = n_turns GROUP BY prefix),
 kept AS (SELECT conv_id FROM whole WHERE prefix NOT IN (SELECT prefix FROM p WHERE pos < n_turns))
 SELECT conv_id, CAST(pos AS BIGINT) AS pos, CAST(n_turns AS BIGINT) AS n_turns,
-  '<|im_start|>' || coalesce(role, 'user') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS rendered
+  '<|im_start|>' || replace(replace(coalesce(role, 'user'), '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>') || chr(10)
+    || replace(replace(coalesce(text, ''), '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>') || '<|im_end|>' || chr(10) AS rendered
 FROM p JOIN kept USING (conv_id)
 """
 
