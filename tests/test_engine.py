@@ -436,11 +436,3 @@ def test_file_report(spark, tmp_path):
     assert tuple(report) == (2, 2, True, 1, 1, [4], False)
     assert verify.file_report(table.totals(), out.rows.limit(1), out.verification()).first()["has_failures"]
 
-
-def test_name_pools_beyond_a_group(spark):
-    """25,000 first names and 25,000 cities: as many outputs, and what the walk gives."""
-    rows = spark.range(25_000).selectExpr("id + 2 as _rec", "concat('n', id) as a")
-    for kind in ("PersonFirst", "City"):
-        plan = Plan({"a": Rule("Fake", FakeOptions(kind))})
-        made, walked = (mapping.resolve(rows, plan, KEY, small=n).select("value", "output") for n in (mapping.SMALL_CLASS, 30_000))
-        assert made.exceptAll(walked).isEmpty() and made.select("output").distinct().count() == 25_000
