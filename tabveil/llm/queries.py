@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabveil.llm import chat, decontaminate, mixing, ngram_join, pii, quality, repeats, tokens, topk, warc
+from tabveil.llm import bpe, chat, decontaminate, mixing, ngram_join, pii, quality, repeats, tokens, topk, warc
 from tabveil.llm.common import new_folder, read_table
 from tabveil.llm.oracles import ORACLES
 
-#: Where the public vocabularies are; a parameter of op4, since they are never copied.
+#: Where the public vocabularies are; a parameter of op4 and op12, since they are never copied.
 TOKENIZERS = "/opt/tokenizers"
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -72,6 +72,11 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    ranks = bpe.load_ranks(f"{tokenizers}/byte_bpe_50k.tiktoken")
+    return bpe.digests(bpe.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks), ranks)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pii": op2_pii,
@@ -83,4 +88,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_topk": op9_topk,
     "op10_mix": op10_mix,
+    "op12_bpe": op12_bpe,
 }
