@@ -14,14 +14,14 @@ edition of Unicode, so characters are classified by asking it, and the pattern i
 from __future__ import annotations
 
 import base64
-import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabveil.llm.common import cut, free_names, small_batches, without
@@ -125,7 +125,7 @@ def decode_ids(ranks: bytes):
     def decode(ids: pa.Array) -> pa.Array:
         flat = _token_table(ranks).take(ids.flatten())
         ends = np.frombuffer(flat.buffers()[1], dtype=np.int32)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int32)
-        lengths = np.array([0 if n is None else n for n in pa.compute.list_value_length(ids).to_pylist()], dtype=np.int64)
+        lengths = np.array([0 if n is None else n for n in pc.list_value_length(ids).to_pylist()], dtype=np.int64)
         at = ends[np.concatenate([[0], np.cumsum(lengths)])]
         data = flat.buffers()[2] if len(flat) else pa.py_buffer(b"")
         whole = memoryview(data if data is not None else b"")

@@ -99,4 +99,80 @@ SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS
 FROM p LEFT JOIN k ON p.source IS NOT DISTINCT FROM k.source AND p.copy = k.copy
 """
 
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1, "op3_ngram_join": OP3, "op5_warc": OP5, "op7_chat": OP7, "op8_repeats": OP8, "op9_topk": OP9, "op10_mix": OP10}
+# CRC-32 of an ASCII string, bit by bit.
+_CRC32 = """(4294967295 - list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}, ''), lambda ch: ascii(ch)::BIGINT)),
+    lambda x, y: list_reduce(list_prepend(xor(x, y), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))))"""
+
+_LAST = r"right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1)"
+
+OP11 = f"""
+WITH RECURSIVE ids AS (SELECT DISTINCT conv_id, coalesce('c' || conv_id, 'n') AS k FROM conversations),
+raw AS (
+  SELECT coalesce('c' || conv_id, 'n') AS k, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC32.format("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS kind
+  FROM conversations),
+d AS (
+  SELECT k, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM raw, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS r(i) WHERE kind <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text) AS nth FROM d),
+t AS (
+  SELECT *, substring(role, 1, 1) AS ini, lag(substring(role, 1, 1)) OVER (PARTITION BY k ORDER BY nth) AS prev,
+    CASE WHEN {_LAST} = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY k, role, text ORDER BY nth) > 1 THEN 'duplicate' WHEN {_LAST} NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM n),
+counts AS (
+  SELECT k, coalesce(max(turn)::BIGINT - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE nth > 1 AND (prev || ini) NOT IN ('su', 'ua', 'au')) AS illegal, max(nth) AS last
+  FROM t GROUP BY k),
+runs(p, m, cost, run, lines) AS (VALUES
+  ('0', '0', 0, '', ''), ('0', 'u', 3, 'I', 'user:' || chr(10)), ('0', 'a', 6, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)),
+  ('s', 's', 0, '', ''), ('s', 'u', 3, 'I', 'user:' || chr(10)), ('s', 'a', 6, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)),
+  ('u', 'u', 0, '', ''), ('u', 'a', 3, 'I', 'assistant:' || chr(10)),
+  ('a', 'a', 0, '', ''), ('a', 'u', 3, 'I', 'user:' || chr(10))),
+edits(m, ini, q, cost, e, role) AS (VALUES
+  ('0', NULL, '0', 4, 'D', NULL), ('s', NULL, 's', 4, 'D', NULL), ('u', NULL, 'u', 4, 'D', NULL), ('a', NULL, 'a', 4, 'D', NULL),
+  ('0', 's', 's', 0, 'K', NULL), ('0', 'u', 'u', 0, 'K', NULL), ('s', 'u', 'u', 0, 'K', NULL), ('a', 'u', 'u', 0, 'K', NULL), ('u', 'a', 'a', 0, 'K', NULL),
+  ('0', NULL, 'u', 3, 'R', 'user'), ('s', NULL, 'u', 3, 'R', 'user'), ('a', NULL, 'u', 3, 'R', 'user'), ('u', NULL, 'a', 3, 'R', 'assistant')),
+best AS (
+  SELECT DISTINCT k, 0::BIGINT AS nth, '0' AS q, struct_pack(cost := 0::BIGINT, audit := '', lines := '') AS b FROM t
+  UNION ALL
+  SELECT best.k, best.nth + 1, edits.q, min(struct_pack(cost := b.cost + runs.cost + edits.cost + CASE WHEN e <> 'D' AND fault = 'truncated' THEN 3 ELSE 0 END, audit := b.audit || run || e,
+    lines := b.lines || runs.lines || CASE WHEN e = 'D' THEN '' ELSE coalesce(edits.role, t.role) || ':' || text || chr(10) END))
+  FROM best JOIN t ON t.k = best.k AND t.nth = best.nth + 1 JOIN runs ON runs.p = best.q JOIN edits ON edits.m = runs.m
+  WHERE (edits.ini IS NULL OR edits.ini = t.ini) AND (e = 'D' OR fault NOT IN ('blank', 'duplicate'))
+  GROUP BY best.k, best.nth, edits.q),
+ended AS (
+  SELECT best.k, min(struct_pack(cost := b.cost + runs.cost, audit := b.audit || run, lines := b.lines || runs.lines)) AS b
+  FROM best JOIN counts ON counts.k = best.k AND counts.last = best.nth JOIN runs ON runs.p = best.q AND (runs.m = 'a' OR runs.m = '0' AND run = '') GROUP BY best.k)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(b.cost, 0) AS BIGINT) AS cost, coalesce(b.audit, '') AS audit, sha256(coalesce(left(b.lines, length(b.lines) - 1), '')) AS repaired_sha256
+FROM ids LEFT JOIN counts USING (k) LEFT JOIN ended USING (k)
+"""
+
+OP13 = f"""
+WITH own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, substring(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) AS h, turn
+  FROM conversations WHERE conv_id IS NOT NULL),
+t AS (
+  SELECT conv_id, h, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, substring(text, 1, 64), h) AS nth
+  FROM own),
+c AS (SELECT conv_id, {_CRC32.format("CAST(conv_id AS VARCHAR)")} % 4 AS heads FROM (SELECT DISTINCT conv_id FROM t)),
+rebuilt AS (
+  SELECT c.conv_id, nth - 4 AS k, h, words FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND nth <= heads
+  UNION ALL SELECT conv_id, nth AS k, h, words FROM c JOIN t USING (conv_id) WHERE nth > heads),
+steps AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS depth, string_agg(h, ',') OVER (PARTITION BY conv_id ORDER BY k) AS path, words FROM rebuilt),
+p AS (
+  SELECT conv_id, depth, path, words, substring(path, 1, greatest(0, length(path) - 33)) AS up FROM steps
+  UNION ALL SELECT conv_id, 0, '', 0, NULL FROM c),
+nodes AS (SELECT path, any_value(up) AS up, any_value(depth) AS depth, any_value(words) AS words, min(conv_id) AS conv_id, count(*) AS n_convs FROM p GROUP BY path),
+children AS (SELECT up AS path, count(*) AS n_children FROM nodes WHERE up IS NOT NULL GROUP BY up),
+below AS (
+  SELECT p.path, sum((n.n_convs - 1) * n.words) AS saved_tokens, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves
+  FROM nodes n LEFT JOIN children USING (path) JOIN p ON p.conv_id = n.conv_id AND p.depth <= n.depth GROUP BY p.path),
+last AS (SELECT conv_id, arg_max(path, depth) AS path FROM p GROUP BY conv_id),
+ends AS (SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM last GROUP BY path)
+SELECT nodes.conv_id, CAST(nodes.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, CAST(nodes.n_convs AS BIGINT) AS n_convs, CAST(coalesce(n_children, 0) AS BIGINT) AS n_children,
+  CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes LEFT JOIN nodes up ON nodes.up = up.path LEFT JOIN children ON children.path = nodes.path JOIN below ON below.path = nodes.path LEFT JOIN ends ON ends.path = nodes.path
+"""
+
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1, "op3_ngram_join": OP3, "op5_warc": OP5, "op7_chat": OP7, "op8_repeats": OP8, "op9_topk": OP9, "op10_mix": OP10, "op11_repair": OP11, "op13_trie": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabveil.llm import bpe, chat, decontaminate, mixing, ngram_join, pii, quality, repeats, tokens, topk, warc
+from tabveil.llm import bpe, chat, decontaminate, mixing, ngram_join, pii, prefix_trie, quality, repair, repeats, tokens, topk, warc
 from tabveil.llm.common import new_folder, read_table
 from tabveil.llm.oracles import ORACLES
 
@@ -72,11 +72,20 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read_table(spark, sf_dir, "conversations")
+    return repair.repair_report(conversations, repair.damaged(conversations))
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     ranks = bpe.load_ranks(f"{tokenizers}/byte_bpe_50k.tiktoken")
     return bpe.digests(bpe.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks), ranks)
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pii": op2_pii,
@@ -88,5 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_topk": op9_topk,
     "op10_mix": op10_mix,
+    "op11_repair": op11_repair,
     "op12_bpe": op12_bpe,
+    "op13_trie": op13_trie,
 }
