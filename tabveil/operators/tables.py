@@ -1,14 +1,37 @@
-"""Lineage cuts: intermediate results as tables in the folder that spark.checkpoint.dir names."""
+"""Lineage cuts: intermediate results as tables in the folder that spark.checkpoint.dir names, and who owns them.
+
+A scope owns what is cut while it is active in its thread: one folder below the shared one, deleted as a whole when the
+scope closes. Scopes of other threads, and scopes inside this one, own folders of their own, so none deletes what
+another still reads. Without a scope a cut stays until somebody deletes it.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folders of this process's cuts, in the order they were made.
-_MADE: list[str] = []
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with the scheme that Spark takes it to have, so that tasks which open files themselves open the same ones."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
+def file_system(path: str):
+    """(file system, path in it) of a qualified path, for use inside tasks."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -19,29 +42,74 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+    return qualified(spark, named).rstrip("/")
+
+
+class ScopeClosed(RuntimeError):
+    def __init__(self):
+        super().__init__("this scope is closed; its tables are gone")
+
+
+class Scope:
+    """A folder of cuts with one owner. active() makes it the owner of what this thread cuts meanwhile; close() deletes
+    the folder, after which no frame that reads from it works and nothing more can be cut into it."""
+
+    def __init__(self, spark: SparkSession, label: str = "scope"):
+        self._spark, self.closed = spark, False
+        self.folder = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+    @contextmanager
+    def active(self) -> Iterator[Scope]:
+        if self.closed:
+            raise ScopeClosed
+        before = _ACTIVE.set(self)
+        try:
+            yield self
+        finally:
+            _ACTIVE.reset(before)
+
+    def close(self) -> None:
+        if not self.closed:
+            self.closed = True
+            delete(self._spark, self.folder)
+
+
+_ACTIVE: ContextVar[Scope | None] = ContextVar("active_scope", default=None)
+
+
+@contextmanager
+def scope(spark: SparkSession, label: str = "scope") -> Iterator[Scope]:
+    """A scope that is active inside the block and closed at its end. Results must have been written by then."""
+    own = Scope(spark, label)
+    try:
+        with own.active():
+            yield own
+    finally:
+        own.close()
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    owner = _ACTIVE.get()
+    if owner is not None and owner.closed:
+        raise ScopeClosed
+    return f"{owner.folder if owner else shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back, so lost executors cost no recomputation."""
     spark = df.sparkSession
     path = new_folder(spark, label)
-    _MADE.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders of this process's cuts without a scope.
+_MADE: list[str] = []
+
+
 def cuts_made() -> int:
     return len(_MADE)
 
 
 def drop_cuts(spark: SparkSession, since: int = 0) -> None:
-    """Deletes the cuts made since cuts_made() gave that number. Frames that read them must have been written by then."""
-    for path in _MADE[since:]:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
     del _MADE[since:]

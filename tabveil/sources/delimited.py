@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabveil.functions.names import header_keys
-from tabveil.operators.tables import cut
+from tabveil.operators.tables import cut, file_system, qualified
 
 MARKS = ((b"\xff\xfe\x00\x00", "utf-32-le"), (b"\x00\x00\xfe\xff", "utf-32-be"), (b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
 DELIMITERS = (",", "\t", ";", "|")
@@ -525,7 +525,8 @@ def write_delimited(records: DataFrame, dialect: Dialect, folder: str) -> None:
     """
     from pyarrow import fs as afs
 
-    where, root = afs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (afs.LocalFileSystem(), folder)
+    folder = qualified(records.sparkSession, folder)
+    where, root = file_system(folder)
     if where.get_file_info(root).type == afs.FileType.Directory and where.get_file_info(afs.FileSelector(root)):
         raise FileExistsError(f"{folder} is not empty")
     most, early = records.agg(F.max("_rec"), F.min(F.when(F.col("eol") == "", F.col("_rec")))).first()
@@ -541,7 +542,7 @@ def write_delimited(records: DataFrame, dialect: Dialect, folder: str) -> None:
     dealt = lines.repartitionByRange(n, "_rec").sortWithinPartitions("_rec")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        where, root = afs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (afs.LocalFileSystem(), folder)
+        where, root = file_system(folder)
         out, size, name, temp = None, 0, "", ""
         for part in parts:
             for rec, line in zip(part["_rec"], part["line"], strict=True):
