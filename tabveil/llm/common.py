@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabveil.operators.tables import cut, cuts_made, drop_cuts, new_folder, shared_folder  # noqa: F401
+from tabveil.operators.tables import cut, file_system, new_folder, qualified, scope, shared_folder  # noqa: F401
 
 #: Bytes of the Arrow batches handed to Python: a worker holds one of them (or one longer row) at a time.
 BATCH_BYTES = 1 << 20
@@ -116,8 +116,9 @@ class WordHashes:
 
 
 def fold_table(is_word) -> bytes:
-    """A table for WordHashes: bytes for which is_word holds, A-Z folded to a-z; the rest end a word."""
-    return bytes(0 if not is_word(b) else b + 32 if 65 <= b <= 90 else b for b in range(256))
+    """A table for WordHashes: bytes for which is_word holds, A-Z folded to a-z; the rest end a word. NUL inside words
+    counts as a byte that folding leaves free."""
+    return bytes(0 if not is_word(b) else b + 32 if 65 <= b <= 90 else b or 65 for b in range(256))
 
 
 #: Words are runs of anything but ASCII white space.

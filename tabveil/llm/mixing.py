@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabveil.llm.common import cut, free_names, hinted
+from tabveil.llm.common import cut, free_names, hinted, without
 
 #: Weights of the sources in code-point order (null last), repeated as often as needed.
 WEIGHTS = (5, 2, 1)
@@ -104,7 +104,7 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
     which does not matter, since the order among them is free.
     """
     mixed = cut(mix(docs, **how), "mix-result")
-    columns = [c for c in docs.columns if c != "mix_reads"]
+    columns = [F.col(f"`{c}`") for c in without(docs, "mix_reads")]
     reads = F.expr("cast(taken / size as int)").alias("mix_reads")
     chosen = mixed.filter("taken > 0")
     id_, source, size, nth_, d_size, d_nth = free_names(docs, "mix_id", "mix_source", "mix_size", "mix_nth", "mix_own_size", "mix_own_nth")

@@ -12,15 +12,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabveil.llm.common import small_batches
 
-#: Labelled documents that the fit takes, by a hash of doc_id, and the longest text among them, in bytes.
+#: What the fit takes, in the order of a hash of doc_id: labelled documents at most, and bytes of their whole texts, after
+#: which no further document is begun.
 SAMPLE_DOCS = 4000
-SAMPLE_BYTES = 20_000
+SAMPLE_BYTES = 16 << 20
 EPOCHS = 150
 THRESHOLD = 0.3
 
@@ -141,6 +142,16 @@ class Field:
         return 1 / (1 + np.exp(-(self.slope * np.log(p / (1 - p)) + self.shift)))
 
 
+def gradient(theta: np.ndarray, x: np.ndarray, y: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """Of the conditional log-likelihood of the lines' labels y. In its emissions a document's lines weigh 1 / their
+    number, so long documents don't outweigh the rest; transitions are those of a mean line."""
+    good, pair, _ = marginals(x @ theta[:-4], lines, theta[-4:].reshape(2, 2))
+    inner = np.ones(len(y), dtype=bool)
+    inner[np.cumsum(lines) - lines] = False
+    seen = np.array([[(y[inner] == 0).sum(), 0.0], [0.0, (y[inner] == 1).sum()]])  # a document's lines share its label
+    return np.concatenate([x.T @ ((y - good) * np.repeat(1 / lines, lines)) / len(lines), ((seen - pair) / len(y)).ravel()])
+
+
 def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, penalty: float = 1e-3) -> Field:
     """Adam on the mean conditional log-likelihood of a line; deterministic."""
     if not texts:
@@ -150,19 +161,10 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, penalty: floa
     mean[-1], spread[-1] = 0, 1  # the constant
     x = (x - mean) / spread
     y = np.repeat(np.array(labels, dtype=float), lines)
-    # A document's lines weigh 1 / their number, so long documents don't outweigh the rest in the emissions.
-    w = np.repeat(1 / lines, lines)
-    first = np.cumsum(lines) - lines
-    inner = np.ones(len(y), dtype=bool)
-    inner[first] = False
-    n_good, n_bad = (y[inner] == 1).sum(), (y[inner] == 0).sum()
     theta = np.zeros(x.shape[1] + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, epochs + 1):
-        weight, turn = theta[:-4], theta[-4:].reshape(2, 2)
-        good, pair, _ = marginals(x @ weight, lines, turn)
-        seen = np.array([[n_bad, 0.0], [0.0, n_good]])
-        grad = np.concatenate([x.T @ ((y - good) * w) / len(lines), ((seen - pair) / len(y)).ravel()]) - penalty * theta
+        grad = gradient(theta, x, y, lines) - penalty * theta
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta = theta + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         theta[-4:] = np.clip(theta[-4:], -2, 2)
@@ -186,16 +188,19 @@ def held_out(doc_id):
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS) -> Field:
-    """Fits on at most SAMPLE_DOCS labelled documents of at most SAMPLE_BYTES that are not held out.
+    """Fits on labelled documents that are not held out, of any length, drawn by a hash until there are most of them or
+    SAMPLE_BYTES of text.
 
     Null labels and null ids are left out; of contradicting labels of a document the larger counts. Without any
     labelled row the field knows nothing and scores by its prior.
     """
     known = labels.filter("doc_id is not null and quality is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    # Twice as many ids as wanted are drawn, since some texts may be too long; the draw is bounded, so it is broadcast.
-    drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * most)
-    rows = docs.select("doc_id", "text").filter(F.octet_length(F.coalesce("text", F.lit(""))) <= SAMPLE_BYTES).join(F.broadcast(drawn), "doc_id")
-    found = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(most).collect()
+    drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # bounded, so it is broadcast
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
+    before = Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.orderBy(*order).limit(most).withColumn("before", F.coalesce(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).over(before), F.lit(0)))
+    found = rows.filter(F.col("before") < SAMPLE_BYTES).orderBy(*order).collect()
     return fit([r["text"] or "" for r in found], [int(r["quality"]) for r in found])
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabveil.llm.common import small_batches
+from tabveil.llm.common import small_batches, without
 
 MARK = "▁"
 #: Characters of text whose words share a trie; bounds a task's memory.
@@ -199,11 +199,11 @@ def count_tokens(docs: DataFrame, pieces: list[str]) -> DataFrame:
     """The columns of docs but text, with n_pretokens and n_tokens (whole texts, one row per row of docs).
 
     Null and blank texts have no pre-tokens and no tokens. Repeated rows are counted row by row; columns named
-    like those added are replaced; an empty table gives an empty result. Words are split at Unicode white space.
+    like those added, in any case, are replaced; an empty table gives an empty result. Words are split at Unicode white space.
     """
     spark = docs.sparkSession
     small_batches(spark)
     added = ("n_pretokens", "n_tokens")
-    rows = docs.select(*[c for c in docs.columns if c not in added])
+    rows = docs.select(*[F.col(f"`{c}`") for c in without(docs, *added, "text")], F.col("text").alias("text"))
     schema = rows.drop("text").schema.add("n_pretokens", "long").add("n_tokens", "long")
     return rows.mapInArrow(_counted(spark.sparkContext.broadcast(pieces)), schema)

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabveil.llm.common import cut, small_batches
+from tabveil.llm.common import cut, file_system, qualified, small_batches
 
 LEAST_REVISIT = 1000
 #: Partitions of the writing step at most; more shards share them, neighbours with neighbours.
@@ -35,14 +35,6 @@ MANIFEST = "shard int, file int, temp string, name string, bytes long, sha1 stri
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string"
 
 
-def _files(folder: str):
-    from pyarrow import fs
-
-    if "://" in folder or folder.startswith("file:"):
-        return fs.FileSystem.from_uri(folder)
-    return fs.LocalFileSystem(), folder
-
-
 def _id(page) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE, f'page:{page}')}>"
 
@@ -74,7 +66,7 @@ def page_record(page, url: str | None, payload: bytes, refers_to: int | None, re
 
 def _write(folder: str, prefix: str, roll: int):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, root = _files(folder)
+        fs, root = file_system(folder)
         done: list[tuple] = []
         state = {"shard": None, "file": 0, "out": None}
 
@@ -127,7 +119,7 @@ def _commit(folder: str):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs as afs
 
-        fs, root = _files(folder)
+        fs, root = file_system(folder)
         for part in parts:
             for temp, name, size in zip(part["temp"], part["name"], part["bytes"], strict=True):
                 final = fs.get_file_info(f"{root}/{name}")
@@ -177,7 +169,8 @@ def write_warc(pages: DataFrame, folder: str, prefix: str = "pages", shard_bytes
     """
     spark = pages.sparkSession
     small_batches(spark)
-    fs, root = _files(folder)
+    folder = qualified(spark, folder)
+    fs, root = file_system(folder)
     fs.create_dir(f"{root}/_temporary", recursive=True)
     raw = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     small = cut(pages.select("page_id", F.sha1(raw).alias("digest"), F.octet_length(raw).alias("bytes")), "warc-digests")
@@ -214,7 +207,7 @@ def _records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def _read(folder: str):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, root = _files(folder)
+        fs, root = file_system(folder)
         names = [c.split()[0] for c in RECORDS.split(", ")]
         number = lambda s: int(s) if s else None
         for part in parts:
@@ -238,5 +231,6 @@ def _read(folder: str):
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     """A row per response or revisit below folder; block and payload digests are checked while reading."""
+    folder = qualified(spark, folder)
     files = spark.read.parquet(f"{folder}/manifest").select("name")
     return files.repartition(max(1, min(files.count(), 10_000))).mapInPandas(_read(folder), RECORDS)

@@ -34,6 +34,16 @@ def test_mix_documents_keeps_columns(spark):
     assert sorted((r["doc_id"], r["mix_reads"]) for r in got.collect()) == sorted((r["doc_id"], r["n"]) for r in want)
 
 
+def test_mix_replaces_its_column_in_any_case(spark):
+    rows = [(i, f"s{i % 3}", "w " * 5, 1) for i in range(30)]
+    got = mixing.mix_documents(spark.createDataFrame(rows, "doc_id long, source string, text string, MIX_READS int"))
+    assert got.columns == ["doc_id", "source", "text", "mix_reads"]
+    assert got.count() > 0
+    twice = mixing.mix_documents(spark.createDataFrame(rows + rows[:3], "doc_id long, source string, text string, Mix_Reads int"))
+    assert twice.columns == got.columns
+    assert twice.count() > 0
+
+
 def test_mix_targets_follow_weights(spark):
     rows = [(i, f"s{i // 100}", "w " * 10, 0) for i in range(300)]
     out = mixing.mix(spark.createDataFrame(rows, DOCS)).collect()

@@ -60,6 +60,14 @@ def test_classes_against_brute_force(spark, monkeypatch):
         assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out), key=str) == brute_classes(rows, 4, 85)
 
 
+def test_nul_is_a_letter(spark):
+    texts = ["a\x00b c d e", "a b c d e", "a\x00b  c d e", "\x00", " \x00 ", "A\x00B C D E", "x\x01y c d e"]
+    rows = list(enumerate(texts))
+    out = ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), k=4, percent=85)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out.collect())
+    assert got == [(0, 1, 0), (1, 2, 1), (2, 1, 0), (3, 1, 3), (4, 1, 3), (5, 1, 0), (6, 1, 6)] == brute_classes(rows, 4, 85)
+
+
 def test_links_against_brute_force(spark, monkeypatch):
     rows = near_rows(11, 90) + [(500, None), (501, ""), (502, "one word"), (503, "one word")]
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -1,6 +1,7 @@
 """The pipeline's stages and its run, against plain Python over small tables."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -8,7 +9,7 @@ import pytest
 
 import corpus_pipeline
 from tabveil.llm import quality
-from tabveil.llm.common import cuts_made
+from tabveil.llm.common import shared_folder
 from tests.llm.test_pairs import brute_classes
 from tests.llm.test_texts import brute_hits, brute_pii
 
@@ -123,9 +124,11 @@ def test_stages_and_run_against_plain_python(spark, folder):
         assert rows(got) == sorted(want, key=repr), name
         assert 0 < len(want) <= len(docs)
         docs = want
-    made = cuts_made()
+    shared = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(shared))
     assert rows(corpus_pipeline.run(spark, folder)) == sorted(docs, key=repr)
-    assert cuts_made() == made  # what the stages cut is gone
+    left = set(os.listdir(shared)) - before
+    assert len(left) == 5 and all(n.startswith("stage-") for n in left)  # what the stages cut is gone
 
 
 def test_stages_take_empty_tables(spark, folder):

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -204,6 +205,13 @@ def exhaustive(vocabulary, word):
     return -max(best[len(word)])[1]
 
 
+def test_token_counts_with_names_in_another_case(spark):
+    frame = spark.createDataFrame([(1, "a b", 5)], "doc_id long, TEXT string, N_TOKENS int")
+    out = tokens.count_tokens(frame, ["▁a", "▁b", "▁"])
+    assert out.columns == ["doc_id", "n_pretokens", "n_tokens"]
+    assert [tuple(r) for r in out.collect()] == [(1, 2, 2)]
+
+
 def test_token_counts(spark):
     vocabulary = tokens.Vocabulary(PIECES)
     texts = ["ab aba  bb", "", None, "x😀 é", "ab aba  bb", "abab " * 3]
@@ -234,6 +242,44 @@ def test_marginals_against_enumeration():
     assert good == pytest.approx(want) and pair == pytest.approx(want_pair)
 
 
+def test_gradient_against_enumeration():
+    """Differences of log-likelihoods that are summed over all labellings of each document's lines."""
+    rng = np.random.default_rng(4)
+    lines, labels = np.array([3, 1, 4, 2]), [1, 0, 0, 1]
+    x, y, theta = rng.normal(size=(10, 3)), np.repeat(np.array(labels, dtype=float), [3, 1, 4, 2]), rng.normal(size=7) / 2
+
+    def likelihoods(theta):
+        score, turn, at, out = x @ theta[:3], theta[3:].reshape(2, 2), 0, []
+        for n, label in zip(lines, labels, strict=True):
+            weigh = lambda path: sum(score[at + i] * z for i, z in enumerate(path)) + sum(turn[a, b] for a, b in itertools.pairwise(path))  # noqa: B023, E731
+            every = [weigh(p) for p in itertools.product((0, 1), repeat=int(n))]
+            out.append(weigh((label,) * int(n)) - np.log(np.exp(every).sum()))
+            at += n
+        return np.array(out)
+
+    got = quality.gradient(theta, x, y, lines)
+    for i in range(7):
+        step = np.eye(7)[i] * 1e-6
+        slope = (likelihoods(theta + step) - likelihoods(theta - step)) / 2e-6
+        want = (slope / lines).mean() if i < 3 else slope.sum() / len(y)
+        assert abs(got[i] - want) < 1e-6
+
+
+def test_the_fit_takes_whole_texts_up_to_a_sum_of_bytes(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(quality, "fit", lambda texts, labels: taken.append((texts, labels)))
+    docs = [(i, "x" * (30_000 if i % 2 else 10) if i else None) for i in range(40)]
+    frame, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    learn = {i for i in range(40) if zlib.crc32(str(i).encode()) % 5}
+    quality.train(frame, labels)
+    assert sorted(map(len, taken[0][0])) == sorted(len(t or "") for i, t in docs if i in learn)
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 100_000)
+    quality.train(frame, labels)
+    assert 100_000 <= sum(map(len, taken[1][0])) < 130_000
+    quality.train(frame, labels, most=5)
+    assert len(taken[2][0]) == 5
+
+
 def test_quality_learns_and_takes_edges(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
