@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabveil.llm import decontaminate, mixing, ngram_join, pii, quality
-from tabveil.llm.common import cuts_made, drop_cuts, new_folder, read_table, set_aside
+from tabveil.llm.common import new_folder, read_table, scope, set_aside
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,8 +63,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix. An empty table gives an empty result. Intermediate tables of a stage go once its result is written."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path, made = new_folder(spark, "stage-" + name.replace(" ", "-")), cuts_made()
-        stage(spark, docs, sf_dir).write.parquet(path)
-        drop_cuts(spark, made)
+        path = new_folder(spark, "stage-" + name.replace(" ", "-"))
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -101,15 +101,3 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     path = new_folder(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-#: Folders of this process's cuts without a scope.
-_MADE: list[str] = []
-
-
-def cuts_made() -> int:
-    return len(_MADE)
-
-
-def drop_cuts(spark: SparkSession, since: int = 0) -> None:
-    del _MADE[since:]
