@@ -9,12 +9,23 @@ from __future__ import annotations
 
 from collections.abc import Callable, Generator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Steps = Generator[Column, Column, Column]
 
 
+#: HotSpot leaves longer methods uncompiled, in bytes of code; Spark's own limit is what a class file can hold.
+COMPILED_BYTES, SPARKS_LIMIT = 8000, 65535
+
+
+def short_methods(spark: SparkSession) -> None:
+    """Has Spark split expressions into methods short enough to be compiled, unless the session has a limit of its own."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    if int(spark.conf.get(name, str(SPARKS_LIMIT))) == SPARKS_LIMIT:
+        spark.conf.set(name, str(COMPILED_BYTES))
+
+
 def let(x: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(x), body), 1)
 
@@ -31,6 +42,7 @@ def inline(steps: Steps) -> Column:
 
 def staged(df: DataFrame, steps: dict[str, Steps]) -> DataFrame:
     """df with a column per key: the results of its steps. The steps of all keys go on together, a projection each."""
+    short_methods(df.sparkSession)
     going, sent, bound, results = dict(steps), dict.fromkeys(steps), [], {}
     while going:
         level = {}

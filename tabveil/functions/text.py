@@ -12,6 +12,8 @@ ZIP_PLUS_4 = r"\A[0-9]{5}-[0-9]{4}(?=\n?\z)"
 FORMATTED_PHONE = rf"(?i)\A(?:\+?1[{SPACE}.-]?)?(?:\([0-9]{{3}}\)[{SPACE}]?|[0-9]{{3}}[{SPACE}.-])[0-9]{{3}}[{SPACE}.-][0-9]{{4}}(?:[{SPACE}]*(?:x|ext\.?)[{SPACE}]*[0-9]{{1,6}})?(?=\n?\z)"
 PHONE_CHARACTERS = rf"(?i)\A\+?[0-9{SPACE}().-]+(?:[{SPACE}]*(?:x|ext\.?)[{SPACE}]*[0-9]{{1,6}})?(?=\n?\z)"
 NUMBER = r"\A(\()?([-+])?(\$)?([-+])?([0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)?(?:\.([0-9]+))?(\))?\z"
+#: The numbers among them that need no closer look.
+PLAIN_NUMBER = r"\A-?[0-9]+(?:\.[0-9]+)?\z"
 STATE_CODES = (
     "AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DE", "FL", "GA", "HI", "ID", "IL", "IN", "IA", "KS", "KY", "LA", "ME", "MD", "MA", "MI", "MN", "MS", "MO", "MT", "NE", "NV",
     "NH", "NJ", "NM", "NY", "NC", "ND", "OH", "OK", "OR", "PA", "RI", "SC", "SD", "TN", "TX", "UT", "VT", "VA", "WA", "WV", "WI", "WY", "DC", "PR", "GU", "VI", "AS", "MP",
@@ -27,7 +29,7 @@ STATE_NAMES = (
 
 def is_blank(v: Column) -> Column:
     """Empty or white space only; null for null."""
-    return v.rlike(rf"\A[{SPACE}]*\z")
+    return ~v.rlike(f"[^{SPACE}]")
 
 
 def has_value(v: Column) -> Column:
@@ -40,7 +42,8 @@ def trim(v: Column) -> Column:
 
 
 def utf16_length(v: Column) -> Column:
-    return (F.octet_length(F.encode(v, "UTF-16BE")) / 2).cast("int")
+    n = F.char_length(v)
+    return F.when(F.octet_length(v) == n, n).otherwise((F.octet_length(F.encode(v, "UTF-16BE")) / 2).cast("int"))
 
 
 def has_digit(v: Column) -> Column:
@@ -48,7 +51,7 @@ def has_digit(v: Column) -> Column:
 
 
 def has_space_or_tab(v: Column) -> Column:
-    return v.rlike(r"[ \t]")
+    return F.contains(v, F.lit(" ")) | F.contains(v, F.lit("\t"))
 
 
 def is_all_digits(v: Column) -> Column:
@@ -80,7 +83,7 @@ def is_formatted_phone(v: Column) -> Column:
 
 
 def is_phone_like(v: Column) -> Column:
-    return v.rlike(PHONE_CHARACTERS) & F.length(F.regexp_replace(v, "[^0-9]", "")).between(7, 20)
+    return v.rlike(PHONE_CHARACTERS) & (F.length(v) - F.length(F.translate(v, "0123456789", ""))).between(7, 20)
 
 
 def is_state(v: Column) -> Column:
@@ -91,14 +94,19 @@ def is_state(v: Column) -> Column:
 def number_steps(v: Column):
     """struct(is_integer, scale, thousands, currency, parentheses) of a number, or null.
 
-    One match decides whether the text is a number; what it looks like then follows from single characters.
+    One match decides whether the text is a number; what it looks like then follows from single characters. Most are
+    digits with a point or without, which a simpler pattern tells.
     """
-    t = yield F.when(has_digit(v), trim(v))
+    plain = yield v.rlike(PLAIN_NUMBER)
+    t = yield F.when(~plain & has_digit(v), trim(v))
     has = lambda c: F.contains(t, F.lit(c))
     # The pattern has optional signs on both sides of $, and brackets that may be left open.
     fine = t.rlike(NUMBER) & (t.startswith("(") == t.endswith(")")) & ~((has("-") | has("+")) & t.rlike(r"[-+]\$?[-+]"))
     fraction = F.when(has("."), F.length(F.rtrim(F.substring_index(t, ".", -1), F.lit(")")))).otherwise(0)
-    return F.when(fine, F.struct((~has(".")).alias("is_integer"), fraction.alias("scale"), has(",").alias("thousands"), has("$").alias("currency"), has("(").alias("parentheses")))
+    point, no = F.instr(v, "."), F.lit(False)
+    simple = F.struct((point == 0).alias("is_integer"), F.when(point > 0, F.length(v) - point).otherwise(0).alias("scale"), no.alias("thousands"), no.alias("currency"), no.alias("parentheses"))
+    shaped = F.struct((~has(".")).alias("is_integer"), fraction.alias("scale"), has(",").alias("thousands"), has("$").alias("currency"), has("(").alias("parentheses"))
+    return F.when(plain, simple).when(fine, shaped)
 
 
 def copy_case(source: Column, fake: Column) -> Column:

@@ -50,13 +50,8 @@ def factor_steps(u: Column, percent: float) -> Steps:
 def perturb_steps(v: Column, o: PerturbOptions, factor: Column) -> Steps:
     """v times factor in v's own shape; null if v is no number; zero stays as it is."""
     p = yield from numbers.parse_steps(v)
-    raw = yield (p["value"].cast("decimal(28,10)") * factor).cast("decimal(38,15)")
-    x = yield numbers.rounded(raw, p["scale"])
-    least = numbers.smallest(p["scale"])
-    x = F.when(x == 0, F.when(p["value"] > 0, least).otherwise(-least)).otherwise(x)
-    x = yield F.when((p["value"] >= 1) & (x < 1), F.lit(1).cast(numbers.WIDE)).otherwise(x) if o.is_count else x
-    written = yield from numbers.write_steps(x, p)
-    return F.when(p["value"] == 0, v).when(p["value"].isNotNull(), written)
+    written = yield from numbers.write_steps((yield from numbers.times_steps(p, factor, o.is_count)), p)
+    return F.when(p["digits"] == 0, v).when(p["digits"].isNotNull(), written)
 
 
 def perturbed(v: Column, o: PerturbOptions, factor: Column) -> Column:

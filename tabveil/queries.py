@@ -59,21 +59,21 @@ def _customer_cells(spark, d):
 
 
 def profile_counts(spark, d):
-    m = profiling.measures(_customer_cells(spark, d))
+    m = profiling.measures(_customer_cells(spark, d), distinct=False)
     return m.select("column", "n_rows", "n_null", "n_blank", "n_values")
 
 
 def profile_lengths(spark, d):
-    return profiling.measures(_orders(spark, d)).select("column", "min_length", "max_length", "sum_length")
+    return profiling.measures(_orders(spark, d), distinct=False).select("column", "min_length", "max_length", "sum_length")
 
 
 def profile_numeric(spark, d):
-    m = profiling.measures(canonical(table(spark, d, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_linenumber", "l_returnflag")), exact=False)
+    m = profiling.measures(canonical(table(spark, d, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_linenumber", "l_returnflag")), distinct=False)
     return m.select("column", "n_digit", "n_numeric", "n_integer", "max_scale", "any_thousands", "any_currency")
 
 
 def profile_patterns(spark, d):
-    m = profiling.measures(_customer_cells(spark, d).select("zip", "phone", "c_acctbal"))
+    m = profiling.measures(_customer_cells(spark, d).select("zip", "phone", "c_acctbal"), distinct=False)
     return m.select("column", "n_zip5", "n_zip_plus4", "n_short_zip", "n_formatted_phone", "n_phone_like", "n_leading_zero", "n_state", "n_email")
 
 

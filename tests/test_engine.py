@@ -436,3 +436,35 @@ def test_file_report(spark, tmp_path):
     assert tuple(report) == (2, 2, True, 1, 1, [4], False)
     assert verify.file_report(table.totals(), out.rows.limit(1), out.verification()).first()["has_failures"]
 
+
+
+def test_merged_profiles_equal_the_profile_of_the_union(spark):
+    rng = random.Random(6)
+    rows = [(str(rng.randint(0, 30_000)), rng.choice(["Y", "no", None, " "]), f"{rng.random() * 100:.{rng.randint(0, 3)}f}", "x" * rng.randint(1, 9)) for _ in range(20_000)]
+    columns = ["id", "flag", "amount", "word"]
+    whole, parts = frame(spark, columns, rows), [frame(spark, columns, rows[:7000]), frame(spark, columns, rows[7000:])]
+    merged = profiling.merged_measures(*[profiling.measures(p, distinct=False) for p in parts])
+    want = profiling.measures(whole, distinct=False)
+    assert sorted(map(str, merged.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    sketches = [profiling.distinct_sketches(p) for p in parts]
+    one, two = ({r["position"]: r["n_distinct"] for r in profiling.sketched_counts(s).collect()} for s in (profiling.distinct_sketches(whole), profiling.merged_sketches(*sketches)))
+    assert one == two
+    assert sorted(sketches[0].columns) == ["position", "rank", "register"]
+
+
+@pytest.mark.parametrize("n", [1, 50, 999, 1001, 5000, 60_000, 300_000])
+def test_distinct_counts_are_exact_then_estimated(spark, n):
+    df = spark.range(n).unionByName(spark.range(n)).select((F.col("id") + 2).alias("_rec"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("v"), F.lit(None).cast("string").alias("none"))
+    got = {r["position"]: r["n_distinct"] for r in profiling.distinct_counts(df).collect()}
+    assert set(got) == {0}
+    assert got[0] == n if n <= profiling.EXACT_DISTINCT else abs(got[0] - n) <= 0.03 * n
+
+
+def test_formats_are_tried_on_hopeful_columns_only(spark, monkeypatch):
+    tried = []
+    real = profiling.date_masks
+    monkeypatch.setattr(profiling, "date_masks", lambda rows, columns=None: (tried.append(columns), real(rows, columns))[1])
+    rows = [(str(i), f"{i}.25", f"Customer#{i:09d}", f"2024-01-{i % 28 + 1:02d}", f"202401{i % 28 + 1:02d}", f"202401{i % 28 + 1:02d}") for i in range(300)]
+    types = {r["column"]: r["type"] for r in profiling.profile(frame(spark, ["id", "price", "name", "day", "Order_Date", "plain"], rows), None).collect()}
+    assert tried == [["day", "Order_Date"]]
+    assert (types["day"], types["Order_Date"]) == ("Date", "Date") and types["plain"] not in ("Date", "DateTime")

@@ -1,6 +1,8 @@
+import decimal
 import hashlib
 import hmac
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,6 +65,22 @@ def test_perturbed_numbers_keep_their_shape(spark, source, want):
     assert run(spark, [source], lambda v: masking.perturbed(v, PerturbOptions(), F.lit("1.2").cast("decimal(17,15)"))) == [want]
 
 
+@pytest.mark.parametrize("factor", ["1.2", "0.850000000000001", "1.149999999999999", "0.3"])
+def test_numbers_of_any_scale_are_perturbed_exactly(spark, factor):
+    rng, sources = random.Random(5), ["0.1234567890123456789", "1234567890123456789.123456789", "9" * 28, "0." + "0" * 27 + "7", "-$1,234.5678901234567", "(0.00000000000000000005)"]
+    for _ in range(60):
+        digits, scale = "".join(rng.choices("0123456789", k=rng.randint(1, 28))), rng.randint(0, 20)
+        sources.append((digits[:-scale] or "0") + "." + digits[-scale:] if 0 < scale < len(digits) else digits)
+    got = run(spark, sources, lambda v: masking.perturbed(v, PerturbOptions(), F.lit(factor).cast("decimal(17,15)")))
+    with decimal.localcontext(prec=80):
+        for s, g in zip(sources, got, strict=True):
+            plain = lambda t: Decimal(t.translate({ord(c): None for c in "$,()"}))
+            unit = Decimal(1).scaleb(plain(s).as_tuple().exponent)
+            want = (plain(s) * Decimal(factor)).quantize(unit, decimal.ROUND_HALF_UP)
+            assert abs(plain(g) - (want or (unit if plain(s) else 0))) <= (0 if len(s.lstrip("0.")) <= 20 else unit)
+            assert plain(g).as_tuple().exponent == plain(s).as_tuple().exponent
+
+
 def test_what_is_no_number_is_not_perturbed(spark):
     bad = ["N/A", "(-5)", "1,23", "5-", "1.", "--5", "$", "1" * 40]
     assert run(spark, bad, lambda v: masking.perturbed(v, PerturbOptions(), F.lit("1.2").cast("decimal(17,15)"))) == [None] * len(bad)
@@ -165,7 +183,7 @@ def test_disjoint_classes_never_meet():
 
 def rewritten(v):
     p = yield from numbers.parse_steps(v)
-    return F.when(p["value"].isNotNull(), (yield from numbers.write_steps(p["value"], p)))
+    return F.when(p["digits"].isNotNull(), (yield from numbers.write_steps(p["digits"], p)))
 
 
 def test_numbers_round_trip(spark):
