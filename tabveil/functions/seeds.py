@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import struct
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,19 +22,27 @@ GLOBAL = "\x1eglobal"
 MASK = (1 << 64) - 1
 
 
-def _pads(key: bytes) -> tuple[bytes, bytes]:
+@dataclass(frozen=True)
+class Pads:
+    """A key as the two columns that HMAC mixes in."""
+
+    inner: Column
+    outer: Column
+
+
+def pad_bytes(key: bytes) -> tuple[bytes, bytes]:
     key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
     return bytes(b ^ 0x36 for b in key), bytes(b ^ 0x5C for b in key)
 
 
-def digest(key: bytes, *parts: Column) -> Column:
-    """HMAC-SHA256 of the parts, joined by the separator, in lower-case hex."""
-    inner, outer = _pads(key)
+def digest(key: bytes | Pads, *parts: Column) -> Column:
+    """HMAC-SHA256 of the parts, joined by the separator, in lower-case hex. A key given as bytes stands in the plan."""
+    pads = key if isinstance(key, Pads) else Pads(*map(F.lit, pad_bytes(key)))
     message = F.encode(F.concat_ws(SEPARATOR, *parts), "UTF-8")
-    return F.sha2(F.concat(F.lit(outer), F.unhex(F.sha2(F.concat(F.lit(inner), message), 256))), 256)
+    return F.sha2(F.concat(pads.outer, F.unhex(F.sha2(F.concat(pads.inner, message), 256))), 256)
 
 
-def seed_steps(key: bytes, *parts: Column) -> Steps:
+def seed_steps(key: bytes | Pads, *parts: Column) -> Steps:
     """The generator's state, a struct of four words. (A digest of zeros, which has no known message, is not
     special-cased.)"""
     d = yield digest(key, *parts)
@@ -41,7 +50,7 @@ def seed_steps(key: bytes, *parts: Column) -> Steps:
     return (yield F.struct(*[F.conv(little(k), 16, -10).cast("long").alias(f"s{k}") for k in range(4)]))
 
 
-def seeded(key: bytes, *parts: Column) -> Column:
+def seeded(key: bytes | Pads, *parts: Column) -> Column:
     return inline(seed_steps(key, *parts))
 
 

@@ -1,7 +1,6 @@
 """Candidates of the mapping strategies: what a value may become at its n-th attempt.
 
-A candidate depends only on the key, the seed and the attempt. Values whose candidates can never be equal have
-different conflict classes, so classes can be resolved apart.
+A candidate depends only on the key, the seed and the attempt.
 """
 
 from __future__ import annotations
@@ -52,13 +51,13 @@ def _hash_id(value: str, draws: Draws, attempt: int, prefix: str) -> str | None:
     return prefix + "".join(out)
 
 
-def _zip(value: str, draws: Draws, attempt: int, known: dict[str, list[str]] | None) -> str | None:
+def _zip(value: str, draws: Draws, attempt: int, listed: list[str] | None) -> str | None:
+    """listed: the known ZIPs with the value's prefix."""
     plus = ZIP_SHAPE.match(value)
     if not plus and not re.fullmatch("[0-9]{3,5}", value):
         return None
     prefix = (plus[1] if plus else value.rjust(5, "0"))[:3]
-    listed = (known or {}).get(prefix)
-    out = listed[draws.below(len(listed))] if listed and attempt < LIST_ATTEMPTS else f"{prefix}{draws.below(100):02d}"
+    out = listed[draws.below(len(listed))] if listed is not None and len(listed) and attempt < LIST_ATTEMPTS else f"{prefix}{draws.below(100):02d}"
     return f"{out}-{draws.below(10_000):04d}" if plus else out[5 - len(value) :]
 
 
@@ -98,14 +97,14 @@ def _copy_case(source: str, fake: str) -> str:
     return fake.upper() if upper and not lower else fake.lower() if lower and not upper else fake
 
 
-def attempt_of(rule: Rule, key: bytes, value: str, domain: str, seed: str, attempt: int, zips=None) -> str | None:
+def attempt_of(rule: Rule, key: bytes, value: str, domain: str, seed: str, attempt: int, listed=None) -> str | None:
     o = rule.chosen
     suffix = min(attempt, RANDOM_ATTEMPTS) if rule.strategy == "HashId" else attempt
     draws = Draws(key, domain, seed, *([str(suffix)] if suffix else []))
     if rule.strategy == "HashId":
         return _hash_id(value, draws, attempt, o.prefix)
     if rule.strategy == "ZipRemap":
-        return _zip(value, draws, attempt, zips)
+        return _zip(value, draws, attempt, listed)
     if o.kind == "Phone":
         return _phone(value, draws)
     fake = _fake(o.kind, draws)
@@ -116,23 +115,12 @@ def can_number(rule: Rule) -> bool:
     return isinstance(rule.options, FakeOptions) and rule.options.kind != "Phone"
 
 
-def choice(rule: Rule, key: bytes, value: str, domain: str, seed: str, n: int, zips=None) -> str | None:
+def choice(rule: Rule, key: bytes, value: str, domain: str, seed: str, n: int, listed=None) -> str | None:
     """The n-th entry of a value's list of preferences."""
     if n < BEFORE_NUMBERS or not can_number(rule):
-        return attempt_of(rule, key, value, domain, seed, n, zips)
-    first, number = attempt_of(rule, key, value, domain, seed, 0, zips), str(n - BEFORE_NUMBERS + 2)
+        return attempt_of(rule, key, value, domain, seed, n, listed)
+    first, number = attempt_of(rule, key, value, domain, seed, 0, listed), str(n - BEFORE_NUMBERS + 2)
     if rule.options.kind == "Email":
         name, _, host = first.partition("@")
         return f"{name}{number}@{host}"
     return f"{first} {number}"
-
-
-def conflict_class(rule: Rule, value: str) -> str:
-    if rule.strategy == "HashId":
-        marked = re.sub("(?<![0-9])([1-9])(?=[0-9])", "\x01", value)
-        marked = re.sub("(?<![0-9\x01])0(?=[0-9])", "\x02", marked)
-        return "".join("d" if c in "0123456789" else ("A" if c.isupper() else "a") if c.isalpha() and ord(c) < 0x10000 else c for c in marked)
-    if rule.strategy == "ZipRemap":
-        plus = bool(ZIP_SHAPE.match(value))
-        return f"{value[:5].rjust(5, '0')[:3]}/{'plus' if plus else len(value)}"
-    return ""  # phones of one shape, and the words of one pool, may meet

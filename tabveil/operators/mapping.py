@@ -13,7 +13,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabveil.functions import strategies
@@ -25,7 +25,8 @@ SMALL_CLASS = 20_000
 MOST_ENTRIES = 2_000_000
 #: Entries of preference lists that a round looks at; one a value at least.
 ROUND_ENTRIES = 200_000
-KEYS = "domain string, anchor string, value string"
+#: ats: the columns, by position, in which a value occurs.
+KEYS = "domain string, anchor string, value string, ats string"
 
 
 class UniqueValueExhausted(ValueError):
@@ -39,8 +40,8 @@ class MappingLimitExceeded(ValueError):
 
 
 def mapping_keys(df: DataFrame, plan: Plan) -> DataFrame:
-    """(domain, anchor, value, seed_domain, seed, column, first): the distinct values to map, with the record and
-    column of their first appearance. df has _rec and the source columns; one scan serves all columns."""
+    """(domain, anchor, value, seed_domain, seed, column, first, ats): the distinct values to map, with the record and
+    column of their first appearance and the positions of all columns they appear in. df has _rec and the source columns; one scan serves all columns."""
     from tabveil.functions.text import has_value
 
     cells = []
@@ -53,14 +54,49 @@ def mapping_keys(df: DataFrame, plan: Plan) -> DataFrame:
             seed_domain = F.when(linked, F.lit(group.domain)).otherwise(F.lit(rule.domain or c)) if group else F.lit(rule.domain or c)
             cells.append(F.struct(F.lit(plan.mapping_domain(c)).alias("domain"), anchor.alias("anchor"), F.when(has_value(v), v).alias("value"), seed_domain.alias("seed_domain"), F.coalesce(anchor, v).alias("seed"), F.lit(c).alias("column"), F.struct(df["_rec"].alias("rec"), F.lit(i).alias("at")).alias("first")))
     each = df.select(F.explode(F.array(*cells)).alias("k")).select("k.*").filter("value is not null")
-    return each.groupBy("domain", "anchor", "value", "seed_domain", "seed").agg(F.min_by("column", "first").alias("column"), F.min("first").alias("first"))
+    return each.groupBy("domain", "anchor", "value", "seed_domain", "seed").agg(F.min_by("column", "first").alias("column"), F.min("first").alias("first"), F.array_join(F.array_sort(F.collect_set("first.at")), ",").alias("ats"))
+
+
+#: ZIPs of five digits that there can be.
+MOST_ZIPS = 100_000
+
+
+def zip_lists(zips: DataFrame) -> DataFrame:
+    """(prefix, listed) from a table of known ZIPs: a column zip, or a column zips of arrays. What is not five digits does
+    not count, nor do repetitions; lists are in ascending order. So there are at most 1,000 rows and MOST_ZIPS ZIPs,
+    which is what makes the result fit to be broadcast, whatever the size of the table."""
+    each = zips.select(F.explode("zips").alias("zip")) if "zips" in zips.columns else zips.select("zip")
+    known = each.filter(F.col("zip").rlike(r"\A[0-9]{5}\z")).groupBy("zip").agg(F.first("zip").alias("z"))
+    return known.groupBy(F.substring("zip", 1, 3).alias("prefix")).agg(F.array_sort(F.collect_set("zip")).alias("listed"))
+
+
+def with_lists(values: DataFrame, plan: Plan, zips: DataFrame | None) -> DataFrame:
+    """values and listed: the known ZIPs that begin as a value does, null for values of other strategies."""
+    mapped = [c for c, r in plan.columns.items() if r.strategy == "ZipRemap"]
+    if zips is None or not mapped:
+        return values.withColumn("listed", F.lit(None).cast("array<string>"))
+    begins = F.when(F.col("column").isin(*mapped), F.substring(F.lpad(F.substring_index("value", "-", 1), 5, "0"), 1, 3))
+    return values.join(F.broadcast(zips), begins == F.col("prefix"), "left").drop("prefix")
+
+
+def class_of(plan: Plan) -> Column:
+    """The conflict class of a value: values of different classes never want the same output. An identifier's outputs
+    have its digits, zero padding and other characters in place; letters, and what some edition of Unicode may take for
+    a letter, all count as one."""
+    v = F.col("value")
+    of = lambda name: F.col("column").isin([c for c, r in plan.columns.items() if r.strategy == name])
+    kinds = (("[A-Za-z]|[^\\x00-\\x7F]", "a"), ("(?<![0-9])0(?=[0-9])", "\x02"), ("(?<![0-9\x02])[1-9](?=[0-9])", "\x01"), ("[0-9]", "d"))
+    shape = reduce(lambda x, k: F.regexp_replace(x, *k), kinds, v)
+    plus = v.rlike(r"\A[0-9]{5}-[0-9]{4}\n?\z")
+    zip_ = F.concat(F.substring(F.lpad(F.substring(v, 1, 5), 5, "0"), 1, 3), F.lit("/"), F.when(plus, "plus").otherwise(F.char_length(v).cast("string")))
+    return F.when(of("HashId"), shape).when(of("ZipRemap"), zip_).otherwise("")
 
 
 def _used(anchor: str | None, output: str) -> str:
     return output if anchor is None else f"{anchor}{SEPARATOR}{output}"
 
 
-def _walked(plan: Plan, key: bytes, zips):
+def _walked(plan: Plan, key: bytes):
     """Sequential: a small class in the order of first appearance."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -69,15 +105,15 @@ def _walked(plan: Plan, key: bytes, zips):
         for r in pdf.sort_values(["rec", "at"]).itertuples(index=False):
             rule, anchor = plan.columns[r.column], None if pd.isna(r.anchor) else r.anchor
             for n in range(strategies.MOST_ATTEMPTS + 1):
-                candidate = strategies.choice(rule, key, r.value, r.seed_domain, r.seed, n, zips)
+                candidate = strategies.choice(rule, key, r.value, r.seed_domain, r.seed, n, r.listed)
                 if candidate is None or (candidate != r.value and _used(anchor, candidate) not in used):
                     break
             else:
                 candidate, n = None, -1
             if candidate is not None:
                 used.add(_used(anchor, candidate))
-            out.append((r.domain, anchor, r.value, candidate, n, r.column, r.rec, r.at))
-        return pd.DataFrame(out, columns=["domain", "anchor", "value", "output", "n", "column", "rec", "at"])
+            out.append((r.domain, anchor, r.value, r.ats, candidate, n, r.column, r.rec, r.at))
+        return pd.DataFrame(out, columns=["domain", "anchor", "value", "ats", "output", "n", "column", "rec", "at"])
 
     return run
 
@@ -89,7 +125,7 @@ STATE = KEYS + ", seed_domain string, seed string, column string, rec long, at i
 ENTRIES = "domain string, anchor string, rec long, at int, n int, output string"
 
 
-def _tails(plan: Plan, key: bytes, zips):
+def _tails(plan: Plan, key: bytes):
     """tail: values of one tail share their entries from BEFORE_NUMBERS on, numbered names of one base name. own: the
     value itself may be one of them, which it passes over."""
 
@@ -98,7 +134,7 @@ def _tails(plan: Plan, key: bytes, zips):
             tails, owns = [], []
             for r in pdf.itertuples(index=False):
                 rule = plan.columns[r.column]
-                base = strategies.choice(rule, key, r.value, r.seed_domain, r.seed, 0, zips) if strategies.can_number(rule) else None
+                base = strategies.choice(rule, key, r.value, r.seed_domain, r.seed, 0) if strategies.can_number(rule) else None
                 tails.append(base and f"{rule.options.kind == 'Email'} {base}")
                 owns.append(base is not None and r.value.startswith(base.partition("@")[0]))
             yield pdf.assign(n=pd.Series(0, dtype="int32", index=pdf.index), output=pd.Series(None, dtype=object, index=pdf.index), open=True, tail=pd.Series(tails, dtype=object, index=pdf.index), own=pd.Series(owns, dtype=bool, index=pdf.index))
@@ -106,7 +142,7 @@ def _tails(plan: Plan, key: bytes, zips):
     return run
 
 
-def _entries(plan: Plan, key: bytes, zips, batch: int):
+def _entries(plan: Plan, key: bytes, batch: int):
     """The entries from n on, batch of them at most, but the value itself; a null output is the last."""
 
     def run(parts):
@@ -115,7 +151,7 @@ def _entries(plan: Plan, key: bytes, zips, batch: int):
             for r in pdf.itertuples(index=False):
                 rule, anchor = plan.columns[r.column], None if pd.isna(r.anchor) else r.anchor
                 for n in range(r.n, min(r.n + batch, strategies.MOST_ATTEMPTS + 1)):
-                    candidate = strategies.choice(rule, key, r.value, r.seed_domain, r.seed, n, zips)
+                    candidate = strategies.choice(rule, key, r.value, r.seed_domain, r.seed, n, r.listed)
                     if candidate != r.value:
                         out.append((r.domain, anchor, r.rec, r.at, n, candidate))
                     if candidate is None:
@@ -145,7 +181,7 @@ def _ranked(state: DataFrame) -> DataFrame:
     return state.filter(F.col("open") & ~in_tail).unionByName(ranked.filter("open"))
 
 
-def _accepted(large: DataFrame, plan: Plan, key: bytes, zips) -> DataFrame:
+def _accepted(large: DataFrame, plan: Plan, key: bytes, zips: DataFrame | None) -> DataFrame:
     """Deferred acceptance in rounds, until no value is rejected. Only the values rejected last time propose.
 
     An output's holder only ever gives way to an earlier value. So a value passes at once over all entries that an
@@ -154,11 +190,11 @@ def _accepted(large: DataFrame, plan: Plan, key: bytes, zips) -> DataFrame:
     """
     cols = [c.split()[0] for c in STATE.split(", ")]
     numbered = any(r.is_mapping and strategies.can_number(r) for r in plan.columns.values())
-    state = cut(large.select("domain", "anchor", "value", "seed_domain", "seed", "column", "rec", "at").mapInPandas(_tails(plan, key, zips), STATE), "mapping-round")
+    state = cut(large.select("domain", "anchor", "value", "ats", "seed_domain", "seed", "column", "rec", "at").mapInPandas(_tails(plan, key), STATE), "mapping-round")
     while n_open := state.filter("open").count():
         batch = max(1, min(strategies.MOST_ATTEMPTS + 1, ROUND_ENTRIES // n_open))
         waiting = cut(_ranked(state) if numbered else state.filter("open"), "mapping-open")
-        listed = cut(waiting.repartition("rec", "at").mapInPandas(_entries(plan, key, zips, batch), ENTRIES), "mapping-entries")
+        listed = cut(with_lists(waiting, plan, zips).repartition("rec", "at").mapInPandas(_entries(plan, key, batch), ENTRIES), "mapping-entries")
         e, h = listed.alias("e"), state.filter("not open and output is not null").select("domain", "anchor", "output", "rec", "at").alias("h")
         earlier = F.struct("h.rec", "h.at") < F.struct("e.rec", "e.at")
         passed = e.join(h, (F.col("e.domain") == F.col("h.domain")) & F.col("e.anchor").eqNullSafe(F.col("h.anchor")) & (F.col("e.output") == F.col("h.output")) & earlier).select("e.rec", "e.at", "e.n")
@@ -176,27 +212,21 @@ def _accepted(large: DataFrame, plan: Plan, key: bytes, zips) -> DataFrame:
         at_end = F.col("n") >= strategies.MOST_ATTEMPTS
         judged = judged.withColumn("lost", lost).withColumn("open", F.col("open") | (F.col("lost") & ~at_end)).withColumn("output", F.when(~F.col("lost"), F.col("output"))).withColumn("n", F.when(~F.col("lost"), F.col("n")).when(at_end, -1).otherwise(F.col("n") + 1).cast("int"))
         state = cut(judged.select(cols), "mapping-round")
-    return state.select("domain", "anchor", "value", "output", "n", "column", "rec", "at")
+    return state.select("domain", "anchor", "value", "ats", "output", "n", "column", "rec", "at")
 
 
-def resolve(df: DataFrame, plan: Plan, key: bytes, zips: dict[str, list[str]] | None = None, most_entries: int = MOST_ENTRIES, small: int = SMALL_CLASS) -> DataFrame | None:
-    """The mapping table (domain, anchor, value, output, n, column): output null where nothing can be masked; n the
-    preference taken; column the one that created the entry. None if the plan maps nothing."""
+def resolve(df: DataFrame, plan: Plan, key: bytes, zips: DataFrame | None = None, most_entries: int = MOST_ENTRIES, small: int = SMALL_CLASS) -> DataFrame | None:
+    """The mapping table (domain, anchor, value, ats, output, n, column): output null where nothing can be masked; n the
+    preference taken; column the one that created the entry; ats all positions it occurs in. None if the plan maps
+    nothing. zips: what zip_lists makes."""
     if not any(r.is_mapping for r in plan.columns.values()):
         return None
-    rules = list(plan.columns.items())
-
-    @F.pandas_udf("string")
-    def class_of(column: pd.Series, value: pd.Series) -> pd.Series:
-        known = dict(rules)
-        return pd.Series([strategies.conflict_class(known[c], v) for c, v in zip(column, value, strict=True)])
-
-    keys = mapping_keys(df, plan).withColumn("class", class_of("column", "value"))
-    keys = cut(keys.select("domain", "anchor", "value", "seed_domain", "seed", "column", "first.rec", "first.at", "class"), "mapping-keys")
+    keys = mapping_keys(df, plan).withColumn("class", class_of(plan))
+    keys = cut(keys.select("domain", "anchor", "value", "seed_domain", "seed", "column", "ats", "first.rec", "first.at", "class"), "mapping-keys")
     sizes = keys.groupBy("domain", "anchor", "class").agg(F.count(F.lit(1)).alias("members"))
     s = sizes.select(F.col("domain").alias("d"), F.col("anchor").alias("a"), F.col("class").alias("c"), "members")
     sized = keys.join(s, (F.col("domain") == F.col("d")) & F.col("anchor").eqNullSafe(F.col("a")) & (F.col("class") == F.col("c"))).drop("d", "a", "c")
-    parts = [sized.filter(F.col("members") <= small).drop("members").groupBy("domain", "anchor", "class").applyInPandas(_walked(plan, key, zips), OUT)]
+    parts = [with_lists(sized.filter(F.col("members") <= small).drop("members"), plan, zips).groupBy("domain", "anchor", "class").applyInPandas(_walked(plan, key), OUT)]
     if not sizes.filter(F.col("members") > small).isEmpty():
         parts.append(_accepted(sized.filter(F.col("members") > small).drop("members", "class"), plan, key, zips))
     mapping = cut(reduce(DataFrame.unionByName, parts), "mapping")

@@ -29,11 +29,6 @@ def file_system(path: str):
     return fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only where a local session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -55,8 +50,9 @@ class Scope:
     the folder, after which no frame that reads from it works and nothing more can be cut into it."""
 
     def __init__(self, spark: SparkSession, label: str = "scope"):
-        self._spark, self.closed = spark, False
-        self.folder = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+        self.folder, self.closed = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}", False
+        self._path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)  # held, to be deleted even when Spark has stopped
+        self._files = self._path.getFileSystem(spark._jsc.hadoopConfiguration())
 
     @contextmanager
     def active(self) -> Iterator[Scope]:
@@ -71,7 +67,7 @@ class Scope:
     def close(self) -> None:
         if not self.closed:
             self.closed = True
-            delete(self._spark, self.folder)
+            self._files.delete(self._path, True)
 
 
 _ACTIVE: ContextVar[Scope | None] = ContextVar("active_scope", default=None)

@@ -2,55 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tabveil.functions import numbers, text
 from tabveil.functions.binding import staged
 from tabveil.functions.strategies import BEFORE_NUMBERS, can_number
-from tabveil.plans.model import Plan
+from tabveil.plans.model import REDACTED, Plan
 
-RSD = 0.008
+#: A standard error of 0.8 %, in one binary value a count: wide buffers would make long code.
+SKETCH_BITS = 14
 
 
-def report(sides: DataFrame, mapping: DataFrame | None, plan: Plan, warnings: dict[str, str] | None = None) -> DataFrame:
+def _anchored(v: Column, anchor: Column | None) -> Column:
+    return v if anchor is None else F.when(text.has_value(anchor), F.concat(anchor, F.lit("\x1f"), v)).otherwise(v)
+
+
+def prepared(sides: DataFrame, plan: Plan) -> DataFrame:
+    """sides with the numbers that facts adds up."""
+    summed = [(i, c, v) for i, (c, rule) in enumerate(plan.columns.items()) if rule.strategy == "Perturb" for v in ("source", "output")]
+    return staged(sides, {f"_{'p' if v == 'source' else 'q'}{i}": numbers.value_steps(F.when(text.has_value(F.col(f"`{c}`.source")), F.col(f"`{c}`.{v}"))) for i, c, v in summed})
+
+
+def facts(plan: Plan) -> list[Column]:
+    """Aggregates over prepared sides (a struct of source, output and unmaskable per column), named by what they count and the
+    column's position. None needs values to meet, so they can be taken while the rows are written."""
+    out = [F.count(F.lit(1)).alias("n_rows")]
+    for i, (c, rule) in enumerate(plan.columns.items()):
+        side, group = F.col(f"`{c}`"), plan.group_of(c)
+        source, output, has = side["source"], side["output"], text.has_value(side["source"])
+        out += [F.count_if(source.isNull()).alias(f"source_nulls_{i}"), F.count_if(output.isNull()).alias(f"output_nulls_{i}"), F.count_if(side["unmaskable"]).alias(f"n_unmaskable_{i}")]
+        if rule.is_mapping:
+            out.append(F.count_if(has & (source == output)).alias(f"n_unchanged_{i}"))
+        else:
+            anchor = F.col(f"`{group.anchor}`.source") if group else None
+            out += [F.hll_sketch_estimate(F.hll_sketch_agg(F.when(has, _anchored(v, anchor)), SKETCH_BITS)).alias(f"{n}_distinct_{i}") for n, v in (("source", source), ("output", output))]
+        if rule.strategy == "Perturb":
+            both = F.col(f"_p{i}").isNotNull() & F.col(f"_q{i}").isNotNull()
+            out += [F.sum(F.when(both, F.col(n))).cast("decimal(38,10)").alias(name) for n, name in ((f"_p{i}", f"source_sum_{i}"), (f"_q{i}", f"output_sum_{i}"))]
+    return out
+
+
+def mapped_counts(mapping: DataFrame, plan: Plan) -> dict[int, tuple[int, int]]:
+    """(distinct sources, distinct outputs) of each mapped column, exact, from the mapping's own rows: each says in which
+    columns its value occurs. Linked values count with their anchor; all that could not be masked is one output."""
+    each = mapping.select(F.explode(F.transform(F.split("ats", ","), lambda x: x.cast("int"))).alias("at"), "anchor", F.coalesce("output", F.lit(REDACTED)).alias("output"))
+    found = each.groupBy("at").agg(F.count(F.lit(1)).alias("sources"), F.count_distinct(F.struct("anchor", "output")).alias("outputs"))
+    return {r["at"]: (r["sources"], r["outputs"]) for r in found.collect()}  # a row a column
+
+
+def report(found: Row, mapping: DataFrame | None, plan: Plan, warnings: dict[str, str] | None = None) -> DataFrame:
     """A row per column: column, strategy, n_rows, source_nulls, output_nulls, n_unchanged, n_disambiguated,
     n_unmaskable, source_distinct, output_distinct, source_sum, output_sum, sum_change_pct, failures, warnings.
 
-    sides has a struct (source, output, unmaskable) per column. One aggregation over the cells; distinct counts
-    are exact for mapped columns (on pairs with the anchor where linked) and estimated for the rest.
+    found: the facts of the rows, from verification or from the write itself. Distinct counts are exact for mapped
+    columns (with the anchor where linked) and estimated for the rest.
     """
-    numbered: dict[str, int] = {}
+    found, numbered, exact, rows = found.asDict(), {}, {}, []
+    spark = SparkSession.active()
     if mapping is not None:
         # Null outputs are values that could not be masked; they are no entries.
-        rows = mapping.filter((F.col("n") >= BEFORE_NUMBERS) & F.col("output").isNotNull()).groupBy("column").count().collect()
-        numbered = {r["column"]: r["count"] for r in rows if can_number(plan.columns[r["column"]])}
-    cells, facts = [], []
+        entries = mapping.filter((F.col("n") >= BEFORE_NUMBERS) & F.col("output").isNotNull()).groupBy("column").count().collect()
+        numbered = {r["column"]: r["count"] for r in entries if can_number(plan.columns[r["column"]])}
+        exact = mapped_counts(mapping, plan)
     for i, (c, rule) in enumerate(plan.columns.items()):
-        side, group = F.col(f"`{c}`"), plan.group_of(c)
-        anchor = F.col(f"`{group.anchor}`.source") if group else F.lit(None).cast("string")
-        cells.append(F.struct(F.lit(i).alias("position"), side["source"].alias("source"), side["output"].alias("output"), side["unmaskable"].alias("unmaskable"), anchor.alias("anchor")))
-        facts.append((i, c, rule.strategy, rule.is_mapping, rule.strategy == "Perturb", numbered.get(c, 0), (warnings or {}).get(c)))
-    mapped = F.col("position").isin(*[f[0] for f in facts if f[3]])
-    summed = F.col("position").isin(*[f[0] for f in facts if f[4]])
-    has = text.has_value(F.col("source"))
-    with_anchor = lambda v: F.when(text.has_value(F.col("anchor")), F.concat("anchor", F.lit("\x1f"), v)).otherwise(v)
-    each = sides.select(F.explode(F.array(*cells)).alias("x")).select("x.*").withColumns({"has": has, "mapped": mapped, "s": F.when(has, with_anchor(F.col("source"))), "o": F.when(has, with_anchor(F.col("output")))})
-    if any(f[4] for f in facts):
-        each = staged(each, {n: numbers.value_steps(F.when(summed, F.col(c))) for n, c in (("p", "source"), ("q", "output"))})
-    else:
-        each = each.withColumns({n: F.lit(None).cast(numbers.WIDE) for n in ("p", "q")})
-    both = F.col("p").isNotNull() & F.col("q").isNotNull()
-    found = each.groupBy("position").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("source").isNull()).alias("source_nulls"), F.count_if(F.col("output").isNull()).alias("output_nulls"),
-        F.count_if(F.col("mapped") & F.col("has") & (F.col("source") == F.col("output"))).alias("n_unchanged"), F.count_if("unmaskable").alias("n_unmaskable"),
-        F.count_distinct(F.when(F.col("mapped"), F.col("s"))).alias("s_exact"), F.count_distinct(F.when(F.col("mapped"), F.col("o"))).alias("o_exact"),
-        F.approx_count_distinct(F.when(~F.col("mapped"), F.col("s")), RSD).alias("s_near"), F.approx_count_distinct(F.when(~F.col("mapped"), F.col("o")), RSD).alias("o_near"),
-        F.sum(F.when(both, F.col("p"))).cast("decimal(38,10)").alias("source_sum"), F.sum(F.when(both, F.col("q"))).cast("decimal(38,10)").alias("output_sum"),
-    )
-    known = sides.sparkSession.createDataFrame(facts, "position int, column string, strategy string, is_mapping boolean, is_summed boolean, n_disambiguated long, warning string")
-    out = known.join(found, "position", "left").fillna(0, ["n_rows", "source_nulls", "output_nulls", "n_unchanged", "n_unmaskable", "s_exact", "o_exact", "s_near", "o_near"])
-    out = out.withColumn("source_distinct", F.when(F.col("is_mapping"), F.col("s_exact")).otherwise(F.col("s_near"))).withColumn("output_distinct", F.when(F.col("is_mapping"), F.col("o_exact")).otherwise(F.col("o_near")))
+        of = lambda name, i=i: found.get(f"{name}_{i}")
+        distinct = exact.get(i, (0, 0)) if rule.is_mapping else (of("source_distinct") or 0, of("output_distinct") or 0)
+        rows.append((i, c, rule.strategy, found["n_rows"], of("source_nulls"), of("output_nulls"), of("n_unchanged") or 0, numbered.get(c, 0), of("n_unmaskable"), *distinct, of("source_sum"), of("output_sum"), rule.is_mapping, (warnings or {}).get(c)))
+    out = spark.createDataFrame(rows, (
+        "position int, column string, strategy string, n_rows long, source_nulls long, output_nulls long, n_unchanged long, n_disambiguated long, n_unmaskable long, "
+        "source_distinct long, output_distinct long, source_sum decimal(38,10), output_sum decimal(38,10), is_mapping boolean, warning string"
+    ))
     failures = F.array_compact(F.array(
         F.when(F.col("source_nulls") != F.col("output_nulls"), "Null count changed"),
         F.when(F.col("is_mapping") & (F.col("source_distinct") != F.col("output_distinct")), "Distinct count changed"),

@@ -46,7 +46,7 @@ _NUMBER = r"-?[0-9]+(\.[0-9]+)?"
 _STATE = f"(length(w) = 2 AND upper(w) IN ({', '.join(map(_text, STATE_CODES))})) OR (length(w) BETWEEN 3 AND 30 AND upper(trim(w)) IN ({', '.join(_text(s.upper()) for s in STATE_NAMES)}))"
 
 # Seeds in SQL: the digest, its little-endian words, and the first outputs of the generator modulo 2^64.
-_INNER, _OUTER = (p.hex() for p in seeds._pads(KEY))
+_INNER, _OUTER = (p.hex() for p in seeds.pad_bytes(KEY))
 
 
 def _digest(message: str) -> str:
@@ -175,6 +175,14 @@ ORACLES: dict[str, str] = {
     "fake_street_address": _made("StreetAddress", 3, f"CAST(1 + {_below('u1', 9999)} AS VARCHAR) || ' ' || {_pick(strategies.LAST, 'u2')} || ' ' || {_pick(strategies.STREET, 'u3')} AS made"),
     "fake_person_email": _made("PersonFull", 4, f"{_pick(strategies.FIRST, 'u1')} || ' ' || {_pick(strategies.LAST, 'u2')} AS made, lower({_pick(strategies.FIRST, 'u1')} || '.' || {_pick(strategies.LAST, 'u2')} || CAST({_below('u3', 100)} AS VARCHAR) || '@' || {_pick(strategies.DOMAINS, 'u4')}) AS email"),
     "mask_cities": "SELECT count(*) AS n_rows, true AS injective, true AS consistent, 0::BIGINT AS n_unchanged, 0::BIGINT AS n_misshapen FROM customer",
+    "mask_zip_reference": f"""WITH RECURSIVE known AS (
+        SELECT list(DISTINCT lpad(CAST(c_custkey % 100000 AS VARCHAR), 5, '0') ORDER BY lpad(CAST(c_custkey % 100000 AS VARCHAR), 5, '0')) AS l FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 100000 < 100),
+      z AS (SELECT s_suppkey, lpad(CAST(s_suppkey % 25 AS VARCHAR), 5, '0') AS v FROM supplier),
+      o AS (SELECT v, row_number() OVER (ORDER BY min(s_suppkey)) AS i FROM z GROUP BY v),
+      c AS (SELECT i, v, a, {_digest("'zip' || chr(31) || v || CASE WHEN a > 0 THEN chr(31) || a ELSE '' END")} AS d FROM o, range(20) AS r(a)),
+      p AS (SELECT i, v, list(l[{_below(_first('d'), 'len(l)::UHUGEINT')} + 1] ORDER BY a) AS tries FROM c, known GROUP BY i, v),
+      w AS (SELECT 0 AS i, []::VARCHAR[] AS used UNION ALL SELECT w.i + 1, list_append(used, list_filter(tries, lambda x: x <> v AND NOT list_contains(used, x))[1]) FROM w JOIN p ON p.i = w.i + 1)
+      SELECT CAST(s_suppkey AS VARCHAR) AS k, (SELECT used FROM w ORDER BY i DESC LIMIT 1)[o.i] AS zip FROM z JOIN o USING (v)""",
     "mask_zip_listed": "SELECT count(*) AS n_rows, count(DISTINCT s_suppkey % 5) AS n_outputs, 0::BIGINT AS n_unlisted, 0 AS n_warnings FROM supplier",
     "mask_perturb_entity": f"WITH s AS (SELECT o_orderkey, o_custkey, {_money('o_totalprice')} AS price, {_digest("'entity:cust' || chr(31) || o_custkey || chr(31) || 'perturb'")} AS d FROM orders), f AS (SELECT *, {_ROW} AS f FROM s) SELECT CAST(o_orderkey AS VARCHAR) AS k, CAST(o_custkey AS VARCHAR) AS cust, CAST(CAST({_scaled('price', "CASE WHEN f < 1 THEN printf('%.15f', f) ELSE printf('%.14f', f) END", 2)} AS DECIMAL(18,2)) AS VARCHAR) AS price FROM f",
     "mask_dateshift_formats": f"SELECT CAST(o_orderkey AS VARCHAR) AS k, {dated_sql(_DAY, 'o_orderkey', f'({_DAY} + {_WEEKDAYS})')} AS day FROM orders",

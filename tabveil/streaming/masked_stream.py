@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tabveil.functions import text
 from tabveil.functions.binding import staged
 from tabveil.operators.masking import plain_steps
+from tabveil.operators.secret import Secret
 from tabveil.plans.model import REDACTED, Plan, PlanError, validate
 
 
@@ -22,6 +23,7 @@ def mask_stream(df: DataFrame, plan: Plan, key: bytes) -> DataFrame:
         raise PlanError([f"Column '{c}': {plan.columns[c].strategy} needs a whole table, not a stream." for c in mapped])
     if "_rec" not in df.columns and any(getattr(r.chosen, "mode", "") == "PerRow" for r in plan.columns.values()):
         raise PlanError(["Perturbing per row needs record numbers in _rec."])
-    made = staged(df, {f"_o{i}": plain_steps(df, plan, c, key) for i, c in enumerate(columns)})
+    secret = Secret(df.sparkSession, key)
+    made = staged(df, {f"_o{i}": plain_steps(df, plan, c, secret) for i, c in enumerate(columns)})
     out = [F.when(text.has_value(F.col(f"`{c}`")), F.coalesce(f"_o{i}", F.lit(REDACTED))).otherwise(F.col(f"`{c}`")).alias(c) for i, c in enumerate(columns)]
     return made.select(*(["_rec"] if "_rec" in df.columns else []), *out)

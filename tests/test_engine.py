@@ -1,5 +1,8 @@
+import base64
 import hashlib
+import os
 import random
+import threading
 import time
 from collections import Counter
 
@@ -7,8 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabveil.functions import labels, seeds, strategies
-from tabveil.operators import jobs, mapping, masking, verify
+from tabveil.functions.binding import inline
+from tabveil.operators import jobs, mapping, masking, tables, verify
 from tabveil.operators import profile as profiling
+from tabveil.operators.secret import SessionClosed
 from tabveil.plans import model, recipes
 from tabveil.plans.model import DateShiftOptions, EntityGroup, FakeOptions, PerturbOptions, Plan, PlanError, RedactOptions, Rule
 from tabveil.sources import delimited
@@ -468,3 +473,148 @@ def test_formats_are_tried_on_hopeful_columns_only(spark, monkeypatch):
     types = {r["column"]: r["type"] for r in profiling.profile(frame(spark, ["id", "price", "name", "day", "Order_Date", "plain"], rows), None).collect()}
     assert tried == [["day", "Order_Date"]]
     assert (types["day"], types["Order_Date"]) == ("Date", "Date") and types["plain"] not in ("Date", "DateTime")
+
+
+MIXED = Plan({"name": Rule("HashId"), "amount": Rule("Perturb", PerturbOptions(mode="Global")), "day": Rule("DateShift"), "zip": Rule("ZipRemap"), "city": Rule("Fake", FakeOptions("City")), "note": Rule("Keep")})
+
+
+def mixed_rows(spark, n=120):
+    rows = [(f"Secret#{i % 50:05d}", f"{i * 1.5:.2f}", f"2024-01-{i % 28 + 1:02d}", f"021{i % 9:02d}", f"Sourceville {i % 30}", None if i % 4 else "n") for i in range(n)]
+    return rows, frame(spark, list(MIXED.columns), rows)
+
+
+def files_below(folder):
+    return [os.path.join(d, f) for d, _, names in os.walk(folder.removeprefix("file:")) for f in names]
+
+
+def test_nothing_of_a_closed_session_is_left(spark):
+    rows, df = mixed_rows(spark)
+    session = masking.MaskingSession(spark, KEY)
+    masked = session.mask(df, MIXED)
+    assert outputs(masked, "name") != [(r[0],) for r in rows]
+    assert any(f.endswith(".parquet") for f in files_below(session.folder))
+    shared = os.path.dirname(session.folder)
+    before = {f for f in files_below(shared) if session.folder.removeprefix("file:") not in f}
+    session.close()
+    assert not os.path.exists(session.folder.removeprefix("file:")) and set(files_below(shared)) == before
+    for use in (lambda: session.mask(df, MIXED), lambda: session.preview(df, MIXED), masked.verification, lambda: masked.written(print), lambda: masked.visit(print)):
+        with pytest.raises(SessionClosed):
+            use()
+    session.close()  # again does no harm
+    with masking.MaskingSession(spark) as other, pytest.raises(PlanError):
+        other.mask(df, Plan({"name": Rule("Keep")}))
+    assert not os.path.exists(other.folder.removeprefix("file:"))
+
+
+def test_sessions_agree_within_and_differ_between(spark):
+    _, df = mixed_rows(spark)
+    with masking.MaskingSession(spark) as a, masking.MaskingSession(spark) as b:
+        once, again, other = (outputs(s.mask(df, MIXED), *MIXED.columns) for s in (a, a, b))
+        assert once == again != other
+        assert [tuple(r[c] for c in MIXED.columns) for r in a.preview(df, MIXED, 7).collect()] == once[:7]
+
+
+def test_the_key_stands_in_no_plan(spark):
+    _, df = mixed_rows(spark)
+    with masking.MaskingSession(spark, KEY) as session:
+        masked = session.mask(df, MIXED)
+        masked.rows.write.format("noop").mode("overwrite").save()
+        plan = masked.rows._jdf.queryExecution().toString()
+        needles = [t for k in (KEY, *seeds.pad_bytes(KEY)) for t in (k.hex(), k.hex().upper(), base64.b64encode(k).decode()[:40])]
+        needles.append(str(masking.global_factor(KEY, "amount", 0.15)))
+        assert "hidden" in plan and not any(n in plan for n in needles)
+        assert KEY.hex() not in repr(session._secret)
+
+
+def test_global_draws_on_the_driver_equal_those_in_expressions(spark):
+    for domain in ("a", "b", "c", "price"):
+        want = spark.range(1).select(inline(masking.factor_steps(seeds.unit(seeds.draw(seeds.seeded(KEY, F.lit(domain), F.lit(seeds.GLOBAL)))), 0.15)).alias("f")).first()["f"]
+        assert masking.global_factor(KEY, domain, 0.15) == want
+
+
+def test_one_join_equals_a_join_for_each_column(spark, monkeypatch):
+    rows, df = mixed_rows(spark)
+    linked = Plan(MIXED.columns, (EntityGroup("name", ("city",)),))
+    with masking.MaskingSession(spark, KEY) as session:
+        for plan in (MIXED, linked):
+            apart = outputs(session.mask(df, plan), *plan.columns)
+            monkeypatch.setattr(masking, "BROADCAST_ENTRIES", 5)
+            masked = session.mask(df, plan)
+            assert outputs(masked, *plan.columns) == apart
+            monkeypatch.undo()
+        monkeypatch.setattr(masking, "BROADCAST_ENTRIES", 5)
+        counts = []
+        for mapped in (["name"], ["name", "zip", "city"]):
+            plan = Plan({c: r if c in mapped else Rule("Keep") for c, r in MIXED.columns.items()})
+            shown = session.mask(df, plan).rows._jdf.queryExecution().sparkPlan().toString()
+            counts.append(shown.count("Join"))
+        assert counts[0] == counts[1] == 2
+
+
+def test_the_write_counts_what_verification_counts(spark, tmp_path):
+    rows, df = mixed_rows(spark)
+    linked = Plan(MIXED.columns, (EntityGroup("name", ("city",)),))
+    with masking.MaskingSession(spark, KEY) as session:
+        for i, plan in enumerate((MIXED, linked)):
+            masked = session.mask(df, plan)
+            report = masked.written(lambda out, i=i: out.write.parquet(f"{tmp_path}/{i}"))
+            assert spark.read.parquet(f"{tmp_path}/{i}").count() == len(rows)
+            assert list(map(str, report.collect())) == list(map(str, masked.verification().collect()))
+        assert {r["column"]: r["source_distinct"] for r in report.collect()}["city"] == len({(r[0], r[4]) for r in rows})
+        assert session.mask(df.limit(0), MIXED).written(lambda out: out.write.parquet(f"{tmp_path}/none")).first()["n_rows"] == 0
+
+
+def test_rows_are_visited_until_told_to_stop(spark):
+    _, df = mixed_rows(spark)
+    with masking.MaskingSession(spark, KEY) as session:
+        seen = []
+        assert session.mask(df, MIXED).visit(lambda r: seen.append(r["_rec"]) or len(seen) < 10) == 10 == len(seen)
+
+
+def test_known_zips_come_from_a_table(spark):
+    values = [(f"021{i:02d}",) for i in range(8)] + [("02134-1234",), ("213",), ("99999",)]
+    known = [f"021{i:02d}" for i in range(50, 70)] + ["00211"]
+    tables = [spark.createDataFrame([(z,) for z in [*known, *known, "junk", None]], "zip string"), spark.createDataFrame([("x", known)], "prefix string, zips array<string>"), {"021": known[:20], "002": known[20:]}]
+    got = []
+    for zips in tables:
+        with masking.MaskingSession(spark, KEY, zips=zips) as session:
+            masked = session.mask(frame(spark, ["z"], values), Plan({"z": Rule("ZipRemap")}))
+            got.append([o for (o,) in outputs(masked, "z")])
+            assert masked.warnings == {}
+    assert got[0] == got[1] == got[2]
+    assert all(o in known for o in got[0][:8]) and got[0][8][:5] in known and got[0][9] == "211" and got[0][10][:3] == "999"
+    lists = {r["prefix"]: r["listed"] for r in mapping.zip_lists(tables[0]).collect()}
+    assert lists == {"021": known[:20], "002": ["00211"]}
+
+
+def test_scopes_own_their_tables(spark):
+    made, errors, gate = {}, [], threading.Barrier(2)
+
+    def work(name):
+        try:
+            with tables.scope(spark, name) as own:
+                frames = [tables.cut(spark.range(50), f"{name}-{i}") for i in range(3)]
+                made[name] = own.folder
+                gate.wait(60)
+                if name == "first":
+                    return
+                gate.wait(60)  # the other scope is closed by now
+                assert sum(f.count() for f in frames) == 150
+        except BaseException as e:  # noqa: BLE001
+            errors.append(e)
+
+    threads = [threading.Thread(target=work, args=(n,)) for n in ("first", "second")]
+    for t in threads:
+        t.start()
+    threads[0].join(120)
+    assert not os.path.exists(made["first"].removeprefix("file:"))
+    gate.wait(60)
+    threads[1].join(120)
+    assert not errors and not os.path.exists(made["second"].removeprefix("file:"))
+    with tables.scope(spark) as outer:
+        kept = tables.cut(spark.range(5), "outer")
+        with tables.scope(spark):
+            tables.cut(spark.range(5), "inner")
+        assert kept.count() == 5
+    with pytest.raises(tables.ScopeClosed), outer.active():
+        pass
