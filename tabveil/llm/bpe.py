@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabveil.llm.common import cut, free_names, small_batches, without
+from tabveil.llm.common import cut, free_names, hinted, small_batches, without
 
 #: The pattern that splits a text before merges: fixed by the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -179,7 +179,9 @@ def _pieces(long: DataFrame, ranks: bytes, size: int, overlap: int) -> tuple[Dat
     open_ = cut(cuts.filter("cut is null").select("row").distinct(), "bpe-open")
     start = cuts.select("row", "i", F.col("cut").alias("from"))
     end = cuts.select("row", (F.col("i") - 1).alias("i"), F.col("cut").alias("to"))
-    placed = chunks.join(open_, "row", "left_anti").join(start, ["row", "i"], "left").join(end, ["row", "i"], "left")
+    spans = ends.select("row", "i").join(open_, "row", "left_anti").join(start, ["row", "i"], "left").join(end, ["row", "i"], "left")
+    # Numbers go to the texts, which stay where they lie, as long as these numbers are few.
+    placed = chunks.join(hinted(cut(spans, "bpe-spans")), ["row", "i"])
     first = F.coalesce(F.col("from"), F.col("at")) - F.col("at")
     length = F.coalesce(F.col("to"), F.col("at") + F.char_length("text")) - F.col("at") - first
     piece = F.substring("text", (first + 1).cast("int"), length.cast("int"))
