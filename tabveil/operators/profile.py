@@ -244,14 +244,17 @@ def suggested_strategy(kind: Column) -> Column:
     return reduce(lambda rest, s: F.when(kind.isin(*s[1]), s[0]).otherwise(rest), of.items(), F.lit("Redact"))
 
 
-def profile(df: DataFrame, sample_rows: int | None = SAMPLE_ROWS, with_samples: bool = False) -> DataFrame:
+def profile(df: DataFrame, sample_rows: int | None = SAMPLE_ROWS, with_samples: bool = False, is_whole: bool | None = None) -> DataFrame:
     """A row per column: measures, type, strategy, formats, ambiguous, estimated.
 
     sample_rows: how many of the first rows are looked at, None for all, whose distinct counts are then estimated.
+    is_whole: whether df is all there is, where the caller has cut the sample.
     """
     spark = df.sparkSession
     rows, whole = df, sample_rows is None
-    if not whole:
+    if is_whole is not None:
+        whole = is_whole
+    elif not whole:
         whole = df.limit(sample_rows + 1).count() <= sample_rows
         rows = sampled(df, sample_rows)
     columns = data_columns(df)

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import codecs
 import itertools
+import os
 import re
 import uuid
 from collections import defaultdict
@@ -465,6 +466,9 @@ class DelimitedTable:
     keys: list[str]
     dialect: Dialect
     columns: list[str]
+    #: Whether these are all of the file's rows; bytes of it that were read, where not all were.
+    whole: bool = True
+    bytes_read: int | None = None
 
     def totals(self) -> DataFrame:
         """n_rows, n_blank, n_malformed and the first 100 malformed record numbers."""
@@ -489,11 +493,73 @@ def read_delimited(spark: SparkSession, path: str, skip_malformed: bool = False,
     records, dialects = _read(spark, path, None, most_chars)
     if not skip_malformed and (bad := records.filter("kind = 'malformed'").agg(F.min("_rec").alias("r")).first()["r"]):
         raise DelimitedError("FieldCountMismatch", bad)
+    return _table(records, next(iter(dialects.values())))
+
+
+def _table(records: DataFrame, dialect: Dialect) -> DelimitedTable:
     header = [v or "" for v in records.filter("kind = 'header'").first()["vals"]]
     keys = header_keys(header)
     columns = column_names(keys)
     rows = records.filter("kind = 'data'").select("_rec", *[F.element_at("vals", i).alias(c) for i, c in enumerate(columns, 1)])
-    return DelimitedTable(rows, records, header, keys, next(iter(dialects.values())), columns)
+    return DelimitedTable(rows, records, header, keys, dialect, columns)
+
+
+#: Bytes that a look at the first rows reads to begin with; as many again each time they do not do.
+FIRST_BYTES = 256 << 10
+
+
+def _first_records(path: str, rows: int, most_chars: int):
+    """The records up to data row `rows`, with the blank and malformed ones before the next, of a file that is read no
+    further than about twice what they need; and a row of kind 'end' that says how much was read, and in which dialect."""
+
+    def taken(data: bytes, ended: bool) -> tuple[Dialect, list[tuple], bool, bool]:
+        """(dialect, records, whether they are enough, whether data rows follow)."""
+        d = detect_dialect(data, ended)
+        body = data[len(d.mark) :]
+        if not ended and d.encoding != "windows-1252":
+            body = encode(codecs.getincrementaldecoder(d.encoding)().decode(body), d.encoding)  # no character cut off
+        found, width, n = [], None, 0
+        try:
+            for record, vals, quoted, eol in _parsed(body, d, 0, most_chars):
+                width = width or len(vals)
+                row = _classified(path, record, vals, quoted, eol, width)
+                n += row[2] == "data"
+                if n > rows:
+                    return d, found, True, True
+                found.append(row)
+        except DelimitedError as e:
+            if ended or e.kind != "UnclosedQuote":
+                raise
+        return d, found, ended, False  # what is read on begins again, so a record cut off here does no harm
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        where, file = file_system(path)
+        for _ in parts:
+            with where.open_input_stream(file, compression=None) as stream:
+                data, enough = b"", False
+                while not enough:
+                    asked = max(FIRST_BYTES, len(data))
+                    piece = stream.read(asked)
+                    data += piece
+                    d, found, enough, more = taken(data, len(piece) < asked)
+            if not found:
+                raise DelimitedError("MissingHeader", 1)
+            yield pd.DataFrame([*found, (path, len(data), "end", d.eol, [d.encoding, d.mark.hex(), d.delimiter], [more])], columns=_NAMES)
+
+    return run
+
+
+def read_first(spark: SparkSession, path: str, rows: int, most_chars: int = MOST_CHARS) -> DelimitedTable:
+    """The first data rows of a file, and the blank lines and malformed records before the next one, for previews and
+    profiles: the rest of the file is not read. Malformed records are listed and never fail. The encoding is that of
+    what was read. One task reads, since rows is a bound."""
+    path = qualified(spark, path)
+    one = spark.range(1).select(F.lit(path).alias("path"))
+    found = cut(one.mapInPandas(_first_records(path, rows, most_chars), RECORDS), "first-records")
+    end = found.filter("kind = 'end'").first()
+    encoding, mark, delimiter = end["vals"]
+    table = _table(found.filter("kind <> 'end'"), Dialect(encoding, bytes.fromhex(mark), delimiter, end["eol"]))
+    return replace(table, whole=not end["quoted"][0], bytes_read=end["_rec"])
 
 
 def field_text(v, was_quoted, delimiter: str):
@@ -516,40 +582,39 @@ def masked_records(table: DelimitedTable, rows: DataFrame) -> DataFrame:
     return joined.select("_rec", "kind", "eol", F.coalesce("new", "vals").alias("vals"), "quoted")
 
 
-def write_delimited(records: DataFrame, dialect: Dialect, folder: str) -> None:
+PARTS = "rec long, temp string, bytes long"
+
+
+def write_delimited(records: DataFrame, dialect: Dialect, folder: str) -> list[tuple[str, int]]:
     """Writes ordered parts below folder: text parts in the dialect's encoding, the first with the byte order mark. The
-    parts, end to end in the order of their names, are the file; without records it is the mark alone.
+    parts, end to end in the order of their names, are the file; without records it is the mark alone. Returns the name
+    and size of each part.
 
-    Ranges of records are sorted and encoded in parallel and streamed out. Parts get names that differ from attempt to
-    attempt until they are complete. A record without a line ending may only be the last. folder must be new.
+    Ranges of records are sorted and encoded in parallel and streamed out to files of attempts. Once all tasks are done,
+    the files that they report get the names of parts; if any fails, no part appears. A record without a line ending
+    may only be the last. folder must be new.
     """
     from pyarrow import fs as afs
 
-    folder = qualified(records.sparkSession, folder)
+    spark = records.sparkSession
+    folder = qualified(spark, folder)
     where, root = file_system(folder)
     if where.get_file_info(root).type == afs.FileType.Directory and where.get_file_info(afs.FileSelector(root)):
         raise FileExistsError(f"{folder} is not empty")
     most, early = records.agg(F.max("_rec"), F.min(F.when(F.col("eol") == "", F.col("_rec")))).first()
     if early is not None and early < most:
         raise DelimitedError("UnterminatedRecord", early)
-    where.create_dir(root, recursive=True)
+    attempts = f"{root}/_attempts"
+    where.create_dir(attempts, recursive=True)
     encoding, mark = dialect.encoding, dialect.mark
-    if most is None:
-        with where.open_output_stream(f"{root}/part-{0:012d}", compression=None) as f:
-            f.write(mark)
-    lines = encoded_records(records, dialect)
-    n = max(1, lines.rdd.getNumPartitions())
-    dealt = lines.repartitionByRange(n, "_rec").sortWithinPartitions("_rec")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         where, root = file_system(folder)
-        out, size, name, temp = None, 0, "", ""
+        out, size, first, temp = None, 0, 0, f"{root}/_attempts/{uuid.uuid4().hex}"
         for part in parts:
             for rec, line in zip(part["_rec"], part["line"], strict=True):
                 if out is None:
-                    name = f"{root}/part-{rec:012d}"
-                    temp = f"{root}/.{uuid.uuid4().hex}"
-                    out = where.open_output_stream(temp, compression=None)
+                    first, out = int(rec), where.open_output_stream(temp, compression=None)
                     size += out.write(mark if rec == 1 else b"") or 0
                 try:
                     size += out.write(encode(line, encoding)) or 0
@@ -557,10 +622,70 @@ def write_delimited(records: DataFrame, dialect: Dialect, folder: str) -> None:
                     raise DelimitedError("UnencodableOutput", rec) from None
         if out is not None:
             out.close()
+            yield pd.DataFrame({"rec": [first], "temp": [temp], "bytes": [size]})
+
+    try:
+        if most is None:
+            with where.open_output_stream(f"{attempts}/mark", compression=None) as f:
+                f.write(mark)
+            done = [(0, f"{attempts}/mark", len(mark))]
+        else:
+            lines = encoded_records(records, dialect)
+            n = max(1, lines.rdd.getNumPartitions())
+            dealt = lines.repartitionByRange(n, "_rec").sortWithinPartitions("_rec")
+            done = [tuple(r) for r in dealt.mapInPandas(run, PARTS).orderBy("rec").collect()]  # a row a part
+        named = [(f"{root}/part-{rec:012d}", size) for rec, _, size in done]
+        for (name, _), (_, temp, _) in zip(named, done, strict=True):
             where.move(temp, name)
-            yield pd.DataFrame({"name": [name], "bytes": [size]})
+    finally:
+        where.delete_dir(attempts)
+    return named
+
 
-    dealt.mapInPandas(run, "name string, bytes long").write.parquet(f"{folder}/_parts")
+def join_parts(spark: SparkSession, folder: str, target: str) -> int:
+    """Makes the parts that write_delimited left below folder one file; its size. Where files can be written at any
+    place (local and mounted file systems) tasks copy parts to their places in parallel; where the file system can join
+    files (HDFS) it does; elsewhere the parts have to do. The file appears under its name when it is complete; on file
+    systems that join, the parts become part of it."""
+    from pyarrow import fs as afs
+
+    folder, target = qualified(spark, folder), qualified(spark, target)
+    where, root = file_system(folder)
+    parts = sorted((f.path, f.size) for f in where.get_file_info(afs.FileSelector(root)) if f.base_name.startswith("part-"))
+    ends = list(itertools.accumulate(size for _, size in parts))
+    temp = f"{target}.{uuid.uuid4().hex}"
+    if not target.startswith("file:"):
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        files = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+        sources = spark._gateway.new_array(path, len(parts))
+        for i, (p, _) in enumerate(parts):
+            sources[i] = path(p)
+        files.create(path(temp)).close()
+        files.concat(path(temp), sources)  # fails where it is not supported
+        files.rename(path(temp), path(target))
+        return ends[-1]
+    local = file_system(temp)[1]
+    with open(local, "wb") as f:
+        f.truncate(ends[-1] if ends else 0)
+
+    def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for row in rows:
+            for part, at in zip(row["part"], row["at"], strict=True):
+                with open(part, "rb") as source, open(local, "r+b") as out:
+                    out.seek(at)
+                    while piece := source.read(1 << 20):
+                        out.write(piece)
+            yield pd.DataFrame({"parts": [len(row)]})
+
+    try:
+        placed = spark.createDataFrame([(p, end - size) for (p, size), end in zip(parts, ends, strict=True)], "part string, at long")
+        if parts:
+            placed.repartition(len(parts)).mapInPandas(run, "parts int").collect()
+        os.replace(local, file_system(target)[1])
+    finally:
+        if os.path.exists(local):
+            os.remove(local)
+    return ends[-1] if ends else 0
 
 
 def masked_name(name: str) -> str:
