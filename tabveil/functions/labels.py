@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
+import math
+
 # Fixed values.
 DELIMITER_NAMES = {",": "comma", "\t": "tab", ";": "semicolon", "|": "pipe"}
+SIZES = ("bytes", "KB", "MB", "GB", "TB")
+CUT, MOST_SHOWN = "…", 60
 
 
-def _one_decimal(x: float) -> str:
-    return f"{x:.1f}".removesuffix(".0")
+def _short(x: float, unit: str) -> str:
+    """At most one decimal."""
+    tenths = round(10 * x)
+    return f"{tenths // 10}{unit}" if tenths % 10 == 0 else f"{tenths / 10}{unit}"
 
 
 def size(n: int) -> str:
-    for unit, name in ((1 << 20, "MB"), (1 << 10, "KB")):
-        if n >= unit:
-            return f"{_one_decimal(n / unit)} {name}"
-    return f"{n} bytes"
+    power = min(len(SIZES) - 1, int(math.log2(n)) // 10) if n else 0
+    return _short(n / (1 << (10 * power)), f" {SIZES[power]}")
 
 
-def delimiter(d: str) -> str:
-    return DELIMITER_NAMES.get(d, f"'{d}'")
+def percent(share: float) -> str:
+    return _short(100 * share, "%")
 
 
-def percent(share: float) -> str:
-    return f"{_one_decimal(100 * share)}%"
+def delimiter(d: str) -> str:
+    return DELIMITER_NAMES[d] if d in DELIMITER_NAMES else repr(d)
 
 
-def shortened(value: str, most: int = 60) -> str:
-    return value if len(value) <= most else value[: most - 1] + "…"
+def shortened(value: str, most: int = MOST_SHOWN) -> str:
+    return value if len(value[: most + 1]) <= most else value[: most - len(CUT)] + CUT

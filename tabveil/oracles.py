@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from decimal import ROUND_HALF_EVEN, Decimal
 
-from tabveil.functions import names, seeds, strategies
+from tabveil.functions import seeds, strategies
 from tabveil.functions.text import STATE_CODES, STATE_NAMES
 from tabveil.operators.masking import LOREM, global_offset
 from tabveil.plans.model import DateShiftOptions
-from tabveil.queries import HEADER, KEY, dated_sql
+from tabveil.queries import KEY, dated_sql
 
 
 def _text(s) -> str:
@@ -147,12 +147,6 @@ ORACLES: dict[str, str] = {
     "date_give_up": "WITH r AS (SELECT count(*) OVER w AS seen, sum(CAST(o_orderkey % 10 <> 0 AS INTEGER)) OVER w AS hits FROM orders WINDOW w AS (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT 'due_date' AS \"column\", bool_or(seen >= 200 AND hits < 0.95 * seen) AS gave_up FROM r UNION ALL SELECT 'order_date', false UNION ALL SELECT 'ship_date', false",
     "type_detect": _values('"column", type, strategy', [("c_custkey", "Identifier", "HashId"), ("c_name", "Identifier", "HashId"), ("c_mktsegment", "Categorical", "Keep"), ("c_acctbal", "Measure", "Perturb"), ("zip", "Zip", "ZipRemap"), ("phone", "Phone", "Fake"), ("c_note", "FreeText", "Redact")]),
     "type_detect_orders": _values('"column", type, strategy, ambiguous', [("o_orderkey", "Identifier", "HashId", False), ("o_custkey", "Measure", "Perturb", False), ("o_orderstatus", "Categorical", "Keep", False), ("o_totalprice", "Measure", "Perturb", False), ("o_orderdate", "Date", "DateShift", False), ("o_orderpriority", "Categorical", "Keep", False)]),
-    "header_keys": _values("position, key", list(enumerate([*HEADER[:7], "b", "b#2", "Column10"], 1))),
-    "name_tokens": _values("name, tokens", [("CustomerID", "customer id"), ("ShipTo Address1", "ship to address 1"), ("FIRSTNAME", "first name"), ("Order_Date", "order date"), ("HTTPServerNo", "http server no")]),
-    "header_signature": "SELECT sha256('a b' || chr(31) || 'c') AS signature",
-    "entity_groups": _values("anchor, member", [("Customer_ID", "Customer_Name"), ("Customer_ID", "Customer_Email"), ("Account_Owner_ID", "Account_Owner_Name")]),
-    "recipe_rank": _values("place, recipe, exact", [(1, "exact", True), (2, "most", False), (3, "some", False)]),
-    "plan_problems": _values("problem", [("Column 'c' has no strategy.",), ("The plan has a rule for 'x', which is not a column.",), ("Column 'a' can't be linked to itself.",), ("Column 'a': Fake needs a kind.",), ("Column 'b': the percent must be between 0 and 1.",)]),
     "seed_draws": f"WITH s AS (SELECT c_custkey, {_digest("'c_name' || chr(31) || c_name")} AS d FROM customer) SELECT c_custkey, d AS digest, {_below(_first('d'), 1000)} AS first, {_below(_second('d'), 1000)} AS second, {_unit(_first('d'))} AS unit FROM s",
     "mask_redact": f"SELECT c_custkey, CASE WHEN trim(c_note) <> '' THEN '[REDACTED]' ELSE c_note END AS c_note FROM {CUSTOMERS}",
     "mask_dateshift": f"SELECT CAST(o_orderkey AS VARCHAR) AS k, strftime({_DAY} + {_WEEKDAYS}, '%Y-%m-%d') AS iso, {_as_us(_DAY, f'({_DAY} + {_WEEKDAYS})')} AS us FROM orders",
@@ -190,17 +184,62 @@ ORACLES: dict[str, str] = {
     "verify_change": f"WITH s AS (SELECT CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS a, CAST(sum({_scaled('o_totalprice', repr(_global_factor('price')), 2)}) AS DOUBLE) AS b FROM orders) SELECT 'price' AS \"column\", CAST(CAST(round((b - a) / a * 100, 2) AS DECIMAL(18,2)) AS VARCHAR) AS sum_change_pct FROM s",
     "mask_custom": f"SELECT c_custkey, CASE WHEN trim(c_note) <> '' THEN upper(c_note[:3]) || '-' || {_digest("'c_note' || chr(31) || c_note")}[:8] ELSE c_note END AS c_note FROM {CUSTOMERS}",
     "profile_rates": _columns(CUSTOMERS, CUSTOMER_COLUMNS, "round(count(*) FILTER ($v IS NULL) / count(*), 9) AS null_rate, round(count(*) FILTER (trim($v) = '') / count(*), 9) AS blank_rate, round(sum(length($v)) FILTER (trim($v) <> '') / count(*) FILTER (trim($v) <> ''), 9) AS mean_length"),
-    "recipe_apply": 'SELECT "column", strategy, anchor, CAST(n_dropped AS INTEGER) AS n_dropped FROM (' + _values('"column", strategy, anchor, n_dropped', [("ID", "HashId", None, 1), ("name", "Fake", "ID", 1), ("NOTE", "Redact", None, 1), ("mail", "Fake", None, 1), ("Extra", "Keep", None, 1)]) + ")",
     "mapping_limit": _values('"at", "column"', [(0, "c_name"), (1, "none")]),
     "csv_customers": "SELECT CAST(1 + row_number() OVER (ORDER BY c_custkey) + (SELECT count(*) FROM customer e WHERE e.c_custkey % 50 = 0 AND e.c_custkey < c.c_custkey) AS BIGINT) AS rec, CAST(c_custkey AS BIGINT) AS key, c_name AS name, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'say \"' || c_custkey || '\",' || chr(10) || 'or not' ELSE '5\" of ' || c_custkey END AS note, c_custkey % 3 = 0 AS crlf, c_custkey % 4 IN (1, 2) AS note_quoted FROM customer c",
-    "csv_totals": "SELECT count(*) AS n_rows, count(*) FILTER (c_custkey % 50 = 0) AS n_blank, 0::BIGINT AS n_malformed FROM customer",
-    "csv_file_roundtrip": "SELECT 0::BIGINT AS n_different",
-    "csv_encodings": 'SELECT CAST("at" AS INTEGER) AS "at", encoding, CAST(mark_bytes AS INTEGER) AS mark_bytes, delimiter, same FROM (' + _values('"at", encoding, mark_bytes, delimiter, same', [(0, "utf-8", 0, ";", True), (1, "utf-8", 3, ";", True), (2, "utf-16-le", 2, ";", True), (3, "utf-16-be", 2, ";", True), (4, "windows-1252", 0, ";", True)]) + ")",
     "mask_unmaskable": "SELECT 'price' AS \"column\", count(*) AS n_rows, count(*) FILTER (o_orderkey % 7 = 0) AS n_unmaskable, CAST(count(*) FILTER (o_orderkey % 7 = 0) AS VARCHAR) || ' values could not be masked and were redacted' AS warnings FROM orders",
     "verify_report": _columns(CUSTOMERS, CUSTOMER_COLUMNS, f"CASE '$v' {' '.join(f"WHEN '{c}' THEN '{s}'" for c, s in (('c_name', 'HashId'), ('c_note', 'Redact'), ('zip', 'ZipRemap'), ('c_acctbal', 'Perturb')))} ELSE 'Keep' END AS strategy, count(*) AS n_rows, count(*) FILTER ($v IS NULL) AS source_nulls, count(*) FILTER ($v IS NULL) AS output_nulls, 0::BIGINT AS n_unchanged, '' AS failures"),
     "verify_sums": f"SELECT 'price' AS \"column\", CAST(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS VARCHAR) AS source_sum, CAST(CAST(sum({_scaled('o_totalprice', repr(_global_factor('price')), 2)}) AS DECIMAL(18,2)) AS VARCHAR) AS output_sum FROM orders",
     "preview_equals_run": "SELECT 20::BIGINT AS n_rows",
     "mapping_rounds_equal_walk": "SELECT 0::BIGINT AS n_different",
-    "csv_records": "SELECT CAST(rec AS BIGINT) AS rec, kind, CAST(n_fields AS INTEGER) AS n_fields, cells, quotes FROM (" + _values("rec, kind, n_fields, cells, quotes", [(1, "header", 2, "a/b", "false/false"), (2, "data", 2, "1/2", "false/false"), (3, "malformed", 1, "3", "false"), (4, "blank", 1, "NULL", "false"), (5, "data", 2, "4/5", "false/false"), (6, "data", 2, '6,"x/NULL', "true/false"), (7, "malformed", 3, "7/8/9", "false/false/false"), (8, "data", 2, "/", "true/true")]) + ")",
-    "csv_roundtrip": "SELECT CAST(rec AS BIGINT) AS rec, line FROM (" + _values("rec, line", [(1, "a,b/"), (2, "1,2/"), (3, "3/"), (4, "/"), (5, "4,5/"), (6, '"6,""x",/'), (7, "7,8,9/"), (8, '"",""/')]) + ")",
 }
+
+_HEADERS = """h AS (
+  SELECT c_custkey // 20 AS header, CAST(c_custkey % 20 + 1 AS INTEGER) AS position,
+    CASE WHEN c_custkey % 9 = 0 THEN '' WHEN c_custkey % 4 = 1 THEN ' ' || lower(c_mktsegment) || '  ' ELSE c_mktsegment END AS name FROM customer),
+k AS (
+  SELECT *, lower(trim(name)) AS norm, row_number() OVER (PARTITION BY header, lower(trim(name)) ORDER BY position) AS nth,
+    CASE WHEN name = '' THEN 'Column' || position WHEN row_number() OVER (PARTITION BY header, name ORDER BY position) = 1 THEN name
+      ELSE name || '#' || row_number() OVER (PARTITION BY header, name ORDER BY position) END AS key FROM h)"""
+
+_RECIPES = """r0 AS (
+  SELECT s_suppkey // 10 AS recipe, s_suppkey % 10 AS position, ['building', 'machinery', 'household', 'furniture', 'automobile'][(s_suppkey * 7 + s_suppkey // 10) % 5 + 1] AS norm,
+    ['HashId', 'Redact', 'Lorem'][s_suppkey % 3 + 1] AS strategy FROM supplier),
+r AS (SELECT *, row_number() OVER (PARTITION BY recipe, norm ORDER BY position) AS nth FROM r0),
+b AS (SELECT header, recipe, count(*) AS n FROM k JOIN r USING (norm, nth) GROUP BY header, recipe)"""
+
+_TITLE = "upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2))"
+
+_RAGGED = """l AS (
+  SELECT 1::BIGINT AS rec, 'header' AS kind, 2 AS n_fields, 'a/b' AS cells, 'false/false' AS quotes, 'a,b|' AS line
+  UNION ALL SELECT 1 + row_number() OVER (ORDER BY s_suppkey), ['data', 'malformed', 'blank', 'data', 'malformed'][s_suppkey % 5 + 1], [2, 1, 1, 2, 3][s_suppkey % 5 + 1],
+    [s_suppkey || '/x', '' || s_suppkey, 'NULL', s_suppkey || '",/', s_suppkey || '/y/z'][s_suppkey % 5 + 1],
+    ['false/false', 'false', 'false', 'true/true', 'false/false/false'][s_suppkey % 5 + 1],
+    [s_suppkey || ',x', '' || s_suppkey, '', '"' || s_suppkey || '"",",""', s_suppkey || ',y,z'][s_suppkey % 5 + 1] || '|' FROM supplier)"""
+
+ORACLES |= {
+    "header_keys": f"WITH {_HEADERS} SELECT header, position, key FROM k",
+    "header_signature": f"WITH {_HEADERS} SELECT header, sha256(string_agg(norm, chr(31) ORDER BY position)) AS signature FROM k GROUP BY header",
+    "name_tokens": "SELECT c_custkey, lower(c_mktsegment) || CASE c_custkey % 3 WHEN 0 THEN ' order ' || c_custkey % 100 WHEN 1 THEN ' id' ELSE ' name' END AS tokens FROM customer",
+    "entity_groups": f"SELECT c_custkey AS header, {_TITLE} || '_ID' AS anchor, {_TITLE} || m AS member FROM customer, (VALUES ('_Name'), ('_Email')) AS v(m) WHERE m = '_Name' OR c_custkey % 5 <> 0",
+    "recipe_rank": f"""WITH {_HEADERS}, {_RECIPES},
+      hs AS (SELECT header, count(*) AS n_h, string_agg(norm, chr(31) ORDER BY position) AS all_h FROM k GROUP BY header),
+      rs AS (SELECT recipe, count(*) AS n_r, string_agg(norm, chr(31) ORDER BY position) AS all_r FROM r GROUP BY recipe),
+      f AS (SELECT header, recipe, all_h = all_r AS exact, n::DOUBLE / (n_h + n_r - n) AS score FROM b JOIN hs USING (header) JOIN rs USING (recipe)),
+      p AS (SELECT *, CAST(row_number() OVER (PARTITION BY header ORDER BY exact DESC, score DESC, recipe % 7 DESC, recipe) AS INTEGER) AS place FROM f)
+      SELECT header, place, recipe, exact, round(score, 9) AS score FROM p WHERE place <= 3""",
+    "recipe_apply": f"WITH {_HEADERS}, {_RECIPES} SELECT k.header, k.position, k.key, b.recipe, r.strategy FROM k JOIN b USING (header) LEFT JOIN r ON r.recipe = b.recipe AND r.norm = k.norm AND r.nth = k.nth",
+    "plan_problems": """WITH s AS (SELECT DISTINCT c_custkey // 20 AS header, c_mktsegment AS seg FROM customer)
+      SELECT header, 'no rule for ' || chr(39) || seg || chr(39) AS problem FROM s WHERE seg <> 'BUILDING'
+      UNION ALL SELECT DISTINCT header, 'a rule for ' || chr(39) || 'GHOST' || chr(39) || ', which the file lacks' FROM s
+      UNION ALL SELECT header, 'a rule for ' || chr(39) || 'BUILDING' || chr(39) || ', which the file lacks' FROM s GROUP BY header HAVING NOT bool_or(seg = 'BUILDING')""",
+    "csv_records": f"WITH {_RAGGED} SELECT rec, kind, CAST(n_fields AS INTEGER) AS n_fields, cells, quotes FROM l",
+    "csv_roundtrip": f"WITH {_RAGGED} SELECT rec, line FROM l",
+    "csv_totals": f"""WITH {_RAGGED} SELECT count(*) FILTER (kind = 'data') AS n_rows, count(*) FILTER (kind = 'blank') AS n_blank, count(*) FILTER (kind = 'malformed') AS n_malformed,
+      array_to_string((list(CAST(rec AS VARCHAR) ORDER BY rec) FILTER (kind = 'malformed'))[1:100], ',') AS malformed_records FROM l""",
+    "csv_first_rows": """WITH l AS (SELECT c_custkey, c_name, 1 + row_number() OVER (ORDER BY c_custkey) + (SELECT count(*) FROM customer e WHERE e.c_custkey % 50 = 0 AND e.c_custkey < c.c_custkey) AS rec FROM customer c)
+      SELECT rec, c_custkey AS key, c_name AS name, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'say "' || c_custkey || '",' || chr(10) || 'or not' ELSE '5" of ' || c_custkey END AS note
+      FROM l ORDER BY rec LIMIT 50""",
+    "csv_file_roundtrip": "SELECT 1 + count(*) + count(*) FILTER (c_custkey % 50 = 0) AS n_records, 0::BIGINT AS n_different FROM customer",
+    "csv_encodings": """SELECT s_suppkey, ['utf-8', 'utf-8', 'utf-16-le', 'utf-16-be', 'windows-1252'][s_suppkey % 5 + 1] AS encoding, CAST([0, 3, 2, 2, 0][s_suppkey % 5 + 1] AS INTEGER) AS mark_bytes,
+      ';' AS delimiter, 'a;b/|' || chr(233) || ';' || s_suppkey || '/|' AS read FROM supplier""",
+}

@@ -7,15 +7,16 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabveil.functions import dates, names, seeds, strategies, text
-from tabveil.operators import mapping, masking
+from tabveil.functions import dates, seeds, strategies, text
+from tabveil.operators import headers, mapping, masking
 from tabveil.operators import profile as profiling
-from tabveil.plans import model, recipes
+from tabveil.plans import model
 from tabveil.sources import delimited
 from tabveil.operators.tables import shared_folder
 
@@ -125,37 +126,77 @@ def type_detect_orders(spark, d):
     return profiling.profile(cells.withColumn("_rec", F.col("o_orderkey").cast("long") + 1), sample_rows=None).select("column", "type", "strategy", "ambiguous")
 
 
-# Names, plans and recipes: metadata.
+# Names, plans and recipes: headers that the rows of tables make up.
 
-HEADER = ["Customer_ID", "Customer_Name", "Customer_Email", "Customer_City", "Region", "Account_Owner_ID", "Account_Owner_Name", "b", "b", ""]
+
+def _title(c: Column) -> Column:
+    return F.concat(F.upper(F.left(c, F.lit(1))), F.lower(F.substring(c, 2, 100)))
+
+
+def _headers(spark, d):
+    """(header, position, name): twenty customers a header, their segments as names, some blank, some in another spelling."""
+    k, seg = F.col("c_custkey"), F.col("c_mktsegment")
+    name = F.when(k % 9 == 0, F.when(k % 2 == 0, "")).when(k % 4 == 1, F.concat(F.lit(" "), F.lower(seg), F.lit("  "))).otherwise(seg)
+    return table(spark, d, "customer").select(F.floor(k / 20).alias("header"), (k % 20 + 1).cast("int").alias("position"), name.alias("name"))
+
+
+def _recipes(spark, d):
+    """(recipe, updated, position, name, strategy): ten suppliers a recipe."""
+    k = F.col("s_suppkey")
+    pick = lambda of, at: F.element_at(F.array(*map(F.lit, of)), (at + 1).cast("int"))
+    recipe = F.floor(k / 10)
+    name = pick(("BUILDING", "machinery", "Household", "FURNITURE ", "AUTOMOBILE"), (k * 7 + recipe) % 5)
+    updated = F.lpad((recipe % 7).cast("string"), 3, "0")
+    return table(spark, d, "supplier").select(recipe.alias("recipe"), updated.alias("updated"), (k % 10).alias("position"), name.alias("name"), pick(("HashId", "Redact", "Lorem"), k % 3).alias("strategy"))
 
 
 def header_keys(spark, d):
-    return spark.createDataFrame([(i, k) for i, k in enumerate(names.header_keys(HEADER), 1)], "position int, key string")
+    return headers.keys(_headers(spark, d)).select("header", "position", "key")
 
 
 def name_tokens(spark, d):
-    return spark.createDataFrame([(n, " ".join(names.tokenize(n))) for n in ("CustomerID", "ShipTo Address1", "FIRSTNAME", "Order_Date", "HTTPServerNo")], "name string, tokens string")
+    """The words of column names in three spellings."""
+    k, seg = F.col("c_custkey"), F.col("c_mktsegment")
+    name = F.when(k % 3 == 0, F.concat(_title(seg), F.lit("Order"), (k % 100).cast("string"))).when(k % 3 == 1, F.concat(seg, F.lit("_ID"))).otherwise(F.concat(F.lower(seg), F.lit("NAME")))
+    return headers.tokens(table(spark, d, "customer").select("c_custkey", name.alias("name"))).select("c_custkey", F.array_join("tokens", " ").alias("tokens"))
 
 
 def header_signature(spark, d):
-    return spark.createDataFrame([(names.header_signature([" A  b", "C"]),)], "signature string")
+    return headers.signatures(_headers(spark, d))
 
 
 def entity_groups(spark, d):
-    types = dict(zip(HEADER[:7], ["Identifier", "OrgName", "Email", "City", "Categorical", "Identifier", "PersonName"], strict=True))
-    return spark.createDataFrame([(g.anchor, m) for g in profiling.entity_groups(types) for m in g.members], "anchor string, member string")
+    """A header of four columns for each customer; e-mail columns of every fifth hold something else."""
+    k, t = F.col("c_custkey"), _title(F.col("c_mktsegment"))
+    column = lambda at, name, kind: F.struct(F.lit(at).alias("position"), name.alias("name"), kind.alias("type"))
+    each = F.array(
+        column(1, F.concat(t, F.lit("_ID")), F.lit("Identifier")), column(2, F.concat(t, F.lit("_Name")), F.lit("OrgName")),
+        column(3, F.concat(t, F.lit("_Email")), F.when(k % 5 == 0, "Text").otherwise("Email")), column(4, F.lit("Region"), F.lit("Categorical")),
+    )
+    return headers.groups(table(spark, d, "customer").select(k.alias("header"), F.explode(each).alias("c")).select("header", "c.*"))
 
 
 def recipe_rank(spark, d):
-    plan = model.Plan({k: model.Rule("Keep") for k in ("a", "b", "c")})
-    made = [recipes.from_plan(n, "me", h, model.Plan({k: plan.columns["a"] for k in names.header_keys(h)})) for n, h in (("exact", ["a", "b", "c"]), ("most", ["a", "b", "x"]), ("some", ["a", "y", "z"]), ("none", ["q"]))]
-    return spark.createDataFrame([(i, r.name, e) for i, (r, e, _) in enumerate(recipes.ranked(made[::-1], ["a", "b", "c"]), 1)], "place int, recipe string, exact boolean")
+    """The three best recipes for each header."""
+    found = headers.ranked(_headers(spark, d), _recipes(spark, d)).filter("place <= 3")
+    return found.select("header", "place", "recipe", "exact", F.round("score", 9).alias("score"))
+
+
+def recipe_apply(spark, d):
+    """What each recipe that shares a name with a header says of its columns."""
+    return headers.assigned(_headers(spark, d), _recipes(spark, d)).select("header", "position", "key", "recipe", "strategy")
 
 
 def plan_problems(spark, d):
-    plan = model.Plan({"a": model.Rule("Fake"), "b": model.Rule("Perturb", model.PerturbOptions(2.0)), "x": model.Rule("Keep")}, (model.EntityGroup("a", ("a",)),))
-    return spark.createDataFrame([(p,) for p in model.problems(plan, ["a", "b", "c"])], "problem string")
+    """A plan of two rules held against the segments of each header."""
+    plan = model.Plan({"BUILDING": model.Rule("Keep"), "GHOST": model.Rule("Keep")})
+
+    @F.pandas_udf("array<string>")
+    def of(header: pd.Series) -> pd.Series:
+        return pd.Series([model.problems(plan, list(h)) for h in header])
+
+    each = table(spark, d, "customer").groupBy(F.floor(F.col("c_custkey") / 20).alias("header")).agg(F.array_sort(F.collect_set("c_mktsegment")).alias("names"))
+    return each.select("header", F.explode(of("names")).alias("problem"))
 
 
 # Seeds.
@@ -411,14 +452,6 @@ def profile_rates(spark, d):
     return profiling.measures(_customer_cells(spark, d), exact=False).select("column", *[F.round(c, 9).alias(c) for c in ("null_rate", "blank_rate", "mean_length")])
 
 
-def recipe_apply(spark, d):
-    """A saved recipe on another header: names fit without case, a link whose anchor is gone is dropped."""
-    plan = model.Plan({"Id": model.Rule("HashId"), "Name": model.Rule("Fake", model.FakeOptions("City")), "Note": model.Rule("Redact"), "Owner": model.Rule("HashId"), "Mail": model.Rule("Fake", model.FakeOptions("Email"))}, (model.EntityGroup("Id", ("Name",)), model.EntityGroup("Owner", ("Mail",))))
-    recipe = recipes.from_plan("r", "me", list(plan.columns), plan)
-    made, dropped = recipes.apply(recipe, ["ID", "name", "NOTE", "mail", "Extra"], model.Plan({k: model.Rule("Keep") for k in ("ID", "name", "NOTE", "mail", "Extra")}))
-    return spark.createDataFrame([(c, r.strategy, g.anchor if (g := made.group_of(c)) else None, len(dropped) if hasattr(dropped, "__len__") else dropped) for c, r in made.columns.items()], "column string, strategy string, anchor string, n_dropped int")
-
-
 def mapping_limit(spark, d):
     """The column whose value is one too many, and none if the limit suffices."""
     src = _customer_cells(spark, d).select("_rec", "c_custkey", "c_name")
@@ -470,71 +503,111 @@ def mapping_rounds_equal_walk(spark, d):
 # Delimited text.
 
 
-def _file(spark, data: bytes, name: str) -> str:
-    """Writes data, by Spark, below the shared folder."""
+def _one_file(spark, lines: DataFrame) -> str:
+    """lines (at, value) as one file in the order of at: ranges are written and put together in parallel."""
     folder = f"{shared_folder(spark)}/text-{uuid.uuid4().hex}"
-    spark.createDataFrame([(data.decode("latin-1"),)], "value string").coalesce(1).write.option("encoding", "ISO-8859-1").option("lineSep", "\n").text(folder)
-    return folder
+    lines.repartitionByRange(4, "at").sortWithinPartitions("at").select("value").write.option("lineSep", "\n").text(folder)
+    delimited.join_parts(spark, folder, f"{folder}/whole.csv")
+    return f"{folder}/whole.csv"
+
 
+@contextmanager
+def _small_splits(spark):
+    """Splits of a few kB, so that files of small tables are read in many, too. Reading is done when the block ends."""
+    names_ = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names_}
+    for n in names_:
+        spark.conf.set(n, "8k")
+    try:
+        yield
+    finally:
+        for n in names_:
+            spark.conf.set(n, before[n])
 
-RAGGED = b'a,b\n1,2\n3\n\n4,5\n"6,""x",\n7,8,9\n"",""\n'
+
+def _ragged_file(spark, d) -> str:
+    """A line a supplier: two fields, one, none, two quoted ones, three."""
+    k = F.col("s_suppkey").cast("string")
+    kinds = (F.concat(k, F.lit(",x")), k, F.lit(""), F.concat(F.lit('"'), k, F.lit('"",",""')), F.concat(k, F.lit(",y,z")))
+    line = F.element_at(F.array(*kinds), (F.col("s_suppkey") % 5 + 1).cast("int"))
+    return _one_file(spark, table(spark, d, "supplier").select(F.col("s_suppkey").alias("at"), line.alias("value")).unionByName(spark.createDataFrame([(-1, "a,b")], "at long, value string")))
 
 
 def csv_records(spark, d):
-    r = delimited.read_records(spark, _file(spark, RAGGED[:-1], "ragged"))
-    return r.select(F.col("_rec").alias("rec"), "kind", F.size("vals").alias("n_fields"), F.array_join("vals", "/", "NULL").alias("cells"), F.array_join(F.transform("quoted", lambda q: q.cast("string")), "/").alias("quotes"))
+    with _small_splits(spark):
+        r = delimited.read_records(spark, _ragged_file(spark, d))
+    cells = F.array_join("vals", "/", "NULL")
+    return r.select(F.col("_rec").alias("rec"), "kind", F.size("vals").alias("n_fields"), cells.alias("cells"), F.array_join(F.transform("quoted", lambda q: q.cast("string")), "/").alias("quotes"))
+
+
+def csv_roundtrip(spark, d):
+    with _small_splits(spark):
+        r = delimited.read_records(spark, _ragged_file(spark, d))
+    return delimited.encoded_records(r, delimited.Dialect()).select(F.col("_rec").alias("rec"), F.replace("line", F.lit("\n"), F.lit("|")).alias("line"))
 
 
 def _customer_file(spark, d) -> str:
     """Customers as one delimited file: nulls, empties, quotes, line breaks in fields, mixed line endings, blank lines."""
     k = F.col("c_custkey")
     q = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
-    note = F.when(k % 4 == 0, "").when(k % 4 == 1, '""').when(k % 4 == 2, q(F.concat(F.lit('say "'), k.cast("string"), F.lit('",\nor not')))).otherwise(F.concat(F.lit('5" of '), k.cast("string")))
-    line = F.concat(k.cast("string"), F.lit(","), q(F.col("c_name")), F.lit(","), note, F.when(k % 3 == 0, "\r").otherwise(""), F.when(k % 50 == 0, "\n").otherwise(""))
-    lines = table(spark, d, "customer").select(k.alias("at"), line.alias("value")).unionByName(spark.createDataFrame([(-1, "key,name,note")], "at long, value string"))
-    folder = f"{shared_folder(spark)}/text-{uuid.uuid4().hex}"
-    lines.coalesce(1).sortWithinPartitions("at").select("value").write.option("lineSep", "\n").text(folder)
-    return folder
+    said = q(F.concat(F.lit('say "'), k.cast("string"), F.lit('",\nor not')))
+    note = F.when(k % 4 == 0, "").when(k % 4 == 1, '""').when(k % 4 == 2, said).otherwise(F.concat(F.lit('5" of '), k.cast("string")))
+    ending = F.concat(F.when(k % 3 == 0, "\r").otherwise(""), F.when(k % 50 == 0, "\n").otherwise(""))
+    line = F.concat(k.cast("string"), F.lit(","), q(F.col("c_name")), F.lit(","), note, ending)
+    return _one_file(spark, table(spark, d, "customer").select(k.alias("at"), line.alias("value")).unionByName(spark.createDataFrame([(-1, "key,name,note")], "at long, value string")))
 
 
 def csv_customers(spark, d):
     """Every data record of a whole table's file, with its number, ending and quotes."""
-    t = delimited.read_delimited(spark, _customer_file(spark, d))
+    with _small_splits(spark):
+        t = delimited.read_delimited(spark, _customer_file(spark, d))
     r = t.records.filter("kind = 'data'")
     v = lambda i: F.element_at("vals", i)
     return r.select(F.col("_rec").alias("rec"), v(1).cast("long").alias("key"), v(2).alias("name"), v(3).alias("note"), (F.length("eol") == 2).alias("crlf"), F.element_at("quoted", 3).alias("note_quoted"))
 
 
 def csv_totals(spark, d):
-    t = delimited.read_delimited(spark, _customer_file(spark, d))
-    return t.totals().select("n_rows", "n_blank", "n_malformed")
+    with _small_splits(spark):
+        t = delimited.read_delimited(spark, _ragged_file(spark, d), skip_malformed=True)
+    return t.totals().select("n_rows", "n_blank", "n_malformed", F.array_join(F.transform("malformed_records", lambda r: r.cast("string")), ",").alias("malformed_records"))
+
+
+def csv_first_rows(spark, d):
+    """The first 50 rows of a table's file, of which no more is read than they need."""
+    t = delimited.read_first(spark, _customer_file(spark, d), 50)
+    return t.rows.select(F.col("_rec").alias("rec"), F.col("key").cast("long").alias("key"), "name", "note")
 
 
 def csv_file_roundtrip(spark, d):
-    """A whole table's file, read, written and read as bytes again: lines that differ from the source's."""
-    path = _customer_file(spark, d)
-    t = delimited.read_delimited(spark, path)
-    folder = f"{shared_folder(spark)}/text-{uuid.uuid4().hex}"
-    delimited.write_delimited(t.records, t.dialect, folder)
-    lines = lambda p: spark.read.option("lineSep", "\n").option("pathGlobFilter", "part-*").text(p)
-    a, b = lines(path), lines(folder)
-    return a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count(F.lit(1)).alias("n_different"))
+    """A whole table's file, read, written as parts, put together and read again: records, and those that differ from
+    the source's of the same number."""
+    with _small_splits(spark):
+        source = delimited.read_delimited(spark, _customer_file(spark, d))
+        folder = f"{shared_folder(spark)}/text-{uuid.uuid4().hex}"
+        delimited.write_delimited(source.records, source.dialect, folder)
+        delimited.join_parts(spark, folder, f"{folder}/whole.csv")
+        again = delimited.read_delimited(spark, f"{folder}/whole.csv")
+    a, b = (t.records.select(F.col("_rec").alias(f"{n}_rec"), F.struct("kind", "eol", "vals", "quoted").alias(n)) for n, t in (("a", source), ("b", again)))
+    both = a.join(b, F.col("a_rec") == F.col("b_rec"), "full")
+    return both.agg(F.count(F.lit(1)).alias("n_records"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("n_different"))
 
 
 def csv_encodings(spark, d):
-    """What files in several encodings are found to be, and the text that comes out of them."""
-    text_of, found = "a;b\r\n\u00e9;\u00fc\r\n", []
-    for name, mark in (("utf-8", b""), ("utf-8", b"\xef\xbb\xbf"), ("utf-16-le", b"\xff\xfe"), ("utf-16-be", b"\xfe\xff"), ("windows-1252", b"")):
-        data = mark + delimited.encode(text_of, name)
-        g = delimited.detect_dialect(data)
-        found.append((len(found), g.encoding, len(g.mark), g.delimiter, delimited.decode(data[len(g.mark) :], g.encoding) == text_of))
-    return spark.createDataFrame(found, "at int, encoding string, mark_bytes int, delimiter string, same boolean")
+    """Each supplier as a text of its own, in one of five encodings: what they are found to be, and what is read."""
+    kinds = (("utf-8", b""), ("utf-8", b"\xef\xbb\xbf"), ("utf-16-le", b"\xff\xfe"), ("utf-16-be", b"\xfe\xff"), ("windows-1252", b""))
 
+    @F.pandas_udf("struct<encoding: string, mark_bytes: int, delimiter: string, read: string>")
+    def found(key: pd.Series) -> pd.DataFrame:
+        out = []
+        for k in key:
+            name, mark = kinds[k % 5]
+            data = mark + delimited.encode(f"a;b\r\né;{k}\r\n", name)
+            g = delimited.detect_dialect(data)
+            out.append((g.encoding, len(g.mark), g.delimiter, delimited.decode(data[len(g.mark) :], g.encoding)))
+        return pd.DataFrame(out, columns=["encoding", "mark_bytes", "delimiter", "read"])
 
-def csv_roundtrip(spark, d):
-    r = delimited.read_records(spark, _file(spark, RAGGED[:-1], "ragged"))
-    lines = delimited.encoded_records(r, delimited.Dialect())
-    return lines.select(F.col("_rec").alias("rec"), F.replace("line", F.lit("\n"), F.lit("/")).alias("line"))
+    x = table(spark, d, "supplier").select("s_suppkey", found("s_suppkey").alias("x"))
+    return x.select("s_suppkey", "x.encoding", "x.mark_bytes", "x.delimiter", F.translate("x.read", "\r\n", "/|").alias("read"))
 
 
 def flagship(spark, d):
@@ -552,6 +625,6 @@ _ALL = (
     mask_perturb_global, mask_perturb_shapes, mask_hashid, mask_zip, mask_phone, mask_email, mask_shared_domain, mask_linked_identity, mask_lorem, mask_unmaskable, verify_report, verify_sums,
     preview_equals_run, mapping_rounds_equal_walk, csv_records, csv_roundtrip, mask_hashid_values, mask_phone_first, fake_company, fake_city, fake_hospital, fake_street_address, fake_person_email,
     mask_cities, mask_zip_listed, mask_zip_reference, mask_perturb_entity, mask_dateshift_formats, verify_distincts, verify_change, mask_custom, profile_rates, recipe_apply, mapping_limit, csv_customers, csv_totals,
-    csv_file_roundtrip, csv_encodings,
+    csv_file_roundtrip, csv_encodings, csv_first_rows,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}

@@ -149,13 +149,13 @@ def test_plan_problems():
     header = ["a", "b", "c", "d"]
     keep = {c: Rule("Keep") for c in header}
     bad = [
-        (Plan({c: keep[c] for c in "abc"}), "no strategy"), (Plan(keep | {"x": Rule("Keep")}), "not a column"), (Plan(keep | {"a": Rule("Fake")}), "needs a kind"),
-        (Plan(keep | {"a": Rule("Fake", FakeOptions("Nobody"))}), "unknown fake kind"), (Plan(keep | {"a": Rule("Perturb", PerturbOptions(1.0))}), "percent"),
-        (Plan(keep | {"a": Rule("DateShift", DateShiftOptions(0))}), "at least 1"), (Plan(keep | {"a": Rule("DateShift", DateShiftOptions(6, keep_weekday=True))}), "at least 7"),
-        (Plan(keep | {"a": Rule("Keep", RedactOptions())}), "don't apply"), (Plan(keep | {"a": Rule("HashId", None, " ")}), "blank"), (Plan(keep | {"a": Rule("Perturb", PerturbOptions(mode="PerEntity"))}), "link"),
-        (Plan(keep | {"a": Rule("HashId", None, "m"), "b": Rule("ZipRemap", None, "m")}), "differ"), (Plan(keep, (EntityGroup("z", ("a",)),)), "not a column"), (Plan(keep, (EntityGroup("a", ()),)), "no linked"),
-        (Plan(keep, (EntityGroup("a", ("a",)),)), "itself"), (Plan(keep, (EntityGroup("a", ("b",)), EntityGroup("b", ("c",)))), "is an anchor"), (Plan(keep, (EntityGroup("a", ("c",)), EntityGroup("b", ("c",)))), "more than one anchor"),
-        (Plan(keep, (EntityGroup("a", ("b",)), EntityGroup("a", ("c",)))), "only one group"), (Plan(keep | {"b": Rule("HashId", None, "m")}, (EntityGroup("a", ("b",)),)), "can't share"), (Plan(keep | {"a": Rule("Melt")}), "unknown strategy"),
+        (Plan({c: keep[c] for c in "abc"}), "no rule for 'd'"), (Plan(keep | {"x": Rule("Keep")}), "the file lacks"), (Plan(keep | {"a": Rule("Fake")}), "has no defaults"),
+        (Plan(keep | {"a": Rule("Fake", FakeOptions("Nobody"))}), "no such kind"), (Plan(keep | {"a": Rule("Perturb", PerturbOptions(1.0))}), "percent"),
+        (Plan(keep | {"a": Rule("DateShift", DateShiftOptions(0))}), "less than 1"), (Plan(keep | {"a": Rule("DateShift", DateShiftOptions(6, keep_weekday=True))}), "7 or more"),
+        (Plan(keep | {"a": Rule("Keep", RedactOptions())}), "takes no RedactOptions"), (Plan(keep | {"a": Rule("HashId", None, " ")}), "blank"), (Plan(keep | {"a": Rule("Perturb", PerturbOptions(mode="PerEntity"))}), "in no group"),
+        (Plan(keep | {"a": Rule("HashId", None, "m"), "b": Rule("ZipRemap", None, "m")}), "disagree"), (Plan(keep, (EntityGroup("z", ("a",)),)), "has no 'z'"), (Plan(keep, (EntityGroup("a", ()),)), "empty"),
+        (Plan(keep, (EntityGroup("a", ("a",)),)), "its own anchor"), (Plan(keep, (EntityGroup("a", ("b",)), EntityGroup("b", ("c",)))), "the anchor of another"), (Plan(keep, (EntityGroup("a", ("c",)), EntityGroup("b", ("c",)))), "in 2 groups"),
+        (Plan(keep, (EntityGroup("a", ("b",)), EntityGroup("a", ("c",)))), "anchors 2 groups"), (Plan(keep | {"b": Rule("HashId", None, "m")}, (EntityGroup("a", ("b",)),)), "no domain of its own"), (Plan(keep | {"a": Rule("Melt")}), "is called Melt"),
     ]
     assert model.problems(Plan(keep), header) == []
     for plan, part in bad:
@@ -424,7 +424,7 @@ def test_custom_strategies_and_groups(spark):
     custom = Rule("Custom", model.CustomOptions(lambda v, seed: F.when(v != "b", F.concat(v, F.left(seed, F.lit(2))))))
     got = outputs(masking.mask(frame(spark, ["a"], [("x",), ("b",), (None,), (" ",)]), Plan({"a": custom}), KEY), "a")
     assert len(got[0][0]) == 3 and [g[0] for g in got[1:]] == ["[REDACTED]", None, " "]
-    assert "needs a function" in str(model.problems(Plan({"a": Rule("Custom")}), ["a"]))
+    assert "has no defaults" in str(model.problems(Plan({"a": Rule("Custom")}), ["a"]))
     with pytest.raises(PlanError):
         recipes.from_plan("r", "me", ["a"], Plan({"a": custom}))
     assert model.groups_of({"a": "id", "b": None, "c": "id", "d": "x"}) == (EntityGroup("id", ("a", "c")), EntityGroup("x", ("d",)))
