@@ -11,7 +11,8 @@ are read in parallel:
 2. The states and record numbers at the starts of splits follow from these, a row a split.
 3. A second pass parses each split. A record over the edge of splits comes in fragments, which meet by its number.
 
-Files in UTF-16 and UTF-32 have no such lines; each is one task's work and must fit in its memory.
+Lines end at line feeds, or at carriage returns in a file that has no line feed. Files in UTF-16 and UTF-32 have no such
+lines; each is one task's work and must fit in its memory.
 """
 
 from __future__ import annotations
@@ -239,7 +240,7 @@ _CLOSED = re.compile(rb'(?:[^"]++|"")*+"')
 
 def crossed(line: bytes, state: int, delimiter: bytes) -> tuple[int, int, int, int]:
     """(state after the line, records that end in it, bytes up to the end of the first and of the last of them), of a
-    line without its line feed, which counts as a byte."""
+    line without its end (a line feed, or a carriage return where the file has no line feeds), which counts as a byte."""
     if state == LOST:
         return LOST, 0, 0, 0
     quote, end = b'"' in line, len(line)
@@ -310,6 +311,7 @@ class _Split:
     before: int
     last: bool
     ends_in_line_feed: bool
+    line_end: bytes
 
 
 def _records_of(splits, most_chars: int):
@@ -327,7 +329,7 @@ def _records_of(splits, most_chars: int):
             def fragment(n: int, data: list[bytes], file=file, start=start) -> tuple:
                 return file, n, "fragment", "", [b"".join(data).decode("latin-1"), str(start)], []
 
-            for piece, body in _with_ends(lines, x.dialect.mark if start == 0 else b"", not x.last or x.ends_in_line_feed):
+            for piece, body in _with_ends(lines, x.dialect.mark if start == 0 else b"", not x.last or x.ends_in_line_feed, x.line_end):
                 state, n, first, last = crossed(body, state, delimiter)
                 if n:
                     if opened:
@@ -363,15 +365,15 @@ def _records_of(splits, most_chars: int):
     return run
 
 
-def _with_ends(lines: Iterator[bytes], mark: bytes, fed: bool) -> Iterator[tuple[bytes, bytes]]:
-    """(line with its line feed, line without); the last has one only if fed says so."""
+def _with_ends(lines: Iterator[bytes], mark: bytes, fed: bool, line_end: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """(line with its end, line without); the last has one only if fed says so."""
     held = None
     for line in lines:
         if held is not None:
-            yield held + b"\n", held
+            yield held + line_end, held
         held = line.removeprefix(mark) if held is None and mark else line
     if held is not None:
-        yield held + (b"\n" if fed else b""), held
+        yield held + (line_end if fed else b""), held
 
 
 def _joined(dialects, most_chars: int):
@@ -405,6 +407,10 @@ def _width(head: bytes, d: Dialect) -> int:
     return len(first[1])
 
 
+def _has_no(spark: SparkSession, path: str, char: str) -> bool:
+    return spark.read.option("lineSep", "\r").text(path).filter(F.contains("value", F.lit(char))).isEmpty()
+
+
 def read_records(spark: SparkSession, path: str, dialect: Dialect | None = None, most_chars: int = MOST_CHARS) -> DataFrame:
     """Every record of the files at path, read at once and written as a table: header, data, blank or malformed; values
     null where empty and unquoted. Each file has a header and, unless dialect says so, a dialect of its own."""
@@ -429,14 +435,17 @@ def _read(spark: SparkSession, path: str, dialect: Dialect | None, most_chars: i
     if wide:
         whole = spark.read.format("binaryFile").load(wide).select(F.col("_metadata.file_path").alias("path"), "content")
         found.append(whole.mapInPandas(_whole(dialect, most_chars), RECORDS))
-    if narrow:
-        text = spark.read.option("lineSep", "\n").text([r["path"] for r in narrow])
+    returns = [r for r in narrow if detect_dialect(_head(spark, r["path"]), False).eol == "\r" and _has_no(spark, r["path"], "\n")]
+    for sep, group in (("\n", [r for r in narrow if r not in returns]), ("\r", returns)):
+        if not group:
+            continue
+        text = spark.read.option("lineSep", sep).text([r["path"] for r in group])
         lines = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("line"))
         delimiters = spark.sparkContext.broadcast({f: d.delimiter.encode() for f, d in chosen.items()})
         splits, by_file = {}, defaultdict(list)
         for r in lines.mapInPandas(_summaries(delimiters), SUMMARY).collect():  # a row a split
             by_file[r["file"]].append(r)
-        for r in narrow:
+        for r in group:
             file, parts = r["file"], sorted(by_file[r["file"]], key=lambda x: x["start"])
             d = chosen[file]
             if not dialect and not d.mark:
@@ -445,7 +454,7 @@ def _read(spark: SparkSession, path: str, dialect: Dialect | None, most_chars: i
             state, before, size = OUT, 0, sum(x["bytes"] for x in parts)
             for x in parts:
                 # Spark's reader takes a mark in UTF-8 away.
-                splits[file, x["start"]] = _Split(d, width, state, before, x is parts[-1], length[file] in (size, size + len(d.mark)))
+                splits[file, x["start"]] = _Split(d, width, state, before, x is parts[-1], length[file] in (size, size + len(d.mark)), sep.encode())
                 state, before = (x["out_end"], before + x["out_n"]) if state == OUT else (x["in_end"], before + x["in_n"]) if state == IN else (LOST, before)
         shared = spark.sparkContext.broadcast(splits)
         records = cut(lines.mapInPandas(_records_of(shared, most_chars), RECORDS), "split-records")

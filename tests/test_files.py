@@ -99,3 +99,27 @@ def test_a_failed_write_leaves_no_part(spark, tmp_path):
     assert os.listdir(tmp_path / "out") == []
     delimited.write_delimited(table.records.repartition(5), table.dialect, f"{tmp_path}/out")
     assert b"".join((tmp_path / "out" / f).read_bytes() for f in sorted(os.listdir(tmp_path / "out"))) == path.read_bytes()
+
+
+@pytest.mark.parametrize("ended", [True, False])
+def test_files_with_carriage_returns_alone_are_split(spark, tmp_path, ended):
+    rng = random.Random(3)
+    lines = ["id,name"] + ["" if i % 90 == 5 else f'{i},"a\r{i},""b"' if rng.random() < 0.3 else f"{i},plain é" for i in range(20_000)]
+    path = tmp_path / "mac.csv"
+    path.write_bytes(("\r".join(lines) + ("\r" if ended else "")).encode())
+    want = [(n, vals, quoted, eol) for n, vals, quoted, eol in delimited.parse(path.read_bytes().decode())]
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for c in before:
+            spark.conf.set(c, "16k")
+        pieces = spark.read.option("lineSep", "\r").text(str(path)).rdd.getNumPartitions()
+        got = delimited.read_records(spark, str(path)).orderBy("_rec").collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert pieces >= 10
+    assert [(r["_rec"], [v if v is not None else "" for v in r["vals"]], r["quoted"], r["eol"]) for r in got] == want
+    table = delimited.read_delimited(spark, str(path))
+    delimited.write_delimited(table.records, table.dialect, f"{tmp_path}/out")
+    delimited.join_parts(spark, f"{tmp_path}/out", f"{tmp_path}/again.csv")
+    assert (tmp_path / "again.csv").read_bytes() == path.read_bytes()
