@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabveil.llm.common import cut, free_names, hinted, small_batches, without
+from tabveil.llm.common import Scope, cut, free_names, hinted, small_batches, without
 
 #: The pattern that splits a text before merges: fixed by the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -193,8 +193,11 @@ def encode_long(long: DataFrame, ranks: bytes, size: int = CHUNK, overlap: int =
     whole = long.agg(F.max(F.char_length("text"))).first()[0] or 0
     done = None
     while True:
-        pieces, open_ = _pieces(long, ranks, size, overlap)
-        pieces = cut(pieces, "bpe-pieces")
+        own = Scope(long.sparkSession, "bpe-round")
+        with own.active():
+            pieces, open_ = _pieces(long, ranks, size, overlap)
+        pieces, open_ = cut(pieces, "bpe-pieces"), cut(open_, "bpe-open")
+        own.close()  # the chunks go before the pieces are put together
         done = pieces if done is None else done.unionByName(pieces)
         if size >= whole or open_.isEmpty():
             break

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabveil.operators.tables import cut, file_system, new_folder, qualified, scope, shared_folder  # noqa: F401
+from tabveil.operators.tables import Scope, cut, file_system, new_folder, qualified, scope, shared_folder  # noqa: F401
 
 #: Bytes of the Arrow batches handed to Python: a worker holds one of them (or one longer row) at a time.
 BATCH_BYTES = 1 << 20
