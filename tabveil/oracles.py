@@ -5,6 +5,7 @@ from __future__ import annotations
 from decimal import ROUND_HALF_EVEN, Decimal
 
 from tabveil.functions import seeds, strategies
+from tabveil.functions.names import Hints
 from tabveil.functions.text import STATE_CODES, STATE_NAMES
 from tabveil.operators.masking import LOREM, global_offset
 from tabveil.plans.model import DateShiftOptions
@@ -145,8 +146,6 @@ ORACLES: dict[str, str] = {
     "sample_values": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST(nth AS INTEGER) AS nth, value FROM (SELECT {c} AS value, row_number() OVER (ORDER BY min(p_partkey), {c}) AS nth FROM part GROUP BY {c}) WHERE nth <= 5" for c in ("p_brand", "p_type")),
     "date_masks": f"WITH d AS (SELECT 'order_date' AS \"column\", 1 AS mask FROM orders UNION ALL SELECT 'ship_date', 512 + CASE WHEN day({_DAY}) <= 12 THEN 65536 ELSE 0 END FROM orders UNION ALL SELECT 'due_date', CASE WHEN o_orderkey % 10 = 0 THEN 0 ELSE 512 + CASE WHEN day({_DAY}) <= 12 THEN 65536 ELSE 0 END END FROM orders) SELECT \"column\", CAST(mask AS BIGINT) AS mask, count(*) AS n_values FROM d GROUP BY ALL",
     "date_give_up": "WITH r AS (SELECT count(*) OVER w AS seen, sum(CAST(o_orderkey % 10 <> 0 AS INTEGER)) OVER w AS hits FROM orders WINDOW w AS (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT 'due_date' AS \"column\", bool_or(seen >= 200 AND hits < 0.95 * seen) AS gave_up FROM r UNION ALL SELECT 'order_date', false UNION ALL SELECT 'ship_date', false",
-    "type_detect": _values('"column", type, strategy', [("c_custkey", "Identifier", "HashId"), ("c_name", "Identifier", "HashId"), ("c_mktsegment", "Categorical", "Keep"), ("c_acctbal", "Measure", "Perturb"), ("zip", "Zip", "ZipRemap"), ("phone", "Phone", "Fake"), ("c_note", "FreeText", "Redact")]),
-    "type_detect_orders": _values('"column", type, strategy, ambiguous', [("o_orderkey", "Identifier", "HashId", False), ("o_custkey", "Measure", "Perturb", False), ("o_orderstatus", "Categorical", "Keep", False), ("o_totalprice", "Measure", "Perturb", False), ("o_orderdate", "Date", "DateShift", False), ("o_orderpriority", "Categorical", "Keep", False)]),
     "seed_draws": f"WITH s AS (SELECT c_custkey, {_digest("'c_name' || chr(31) || c_name")} AS d FROM customer) SELECT c_custkey, d AS digest, {_below(_first('d'), 1000)} AS first, {_below(_second('d'), 1000)} AS second, {_unit(_first('d'))} AS unit FROM s",
     "mask_redact": f"SELECT c_custkey, CASE WHEN trim(c_note) <> '' THEN '[REDACTED]' ELSE c_note END AS c_note FROM {CUSTOMERS}",
     "mask_dateshift": f"SELECT CAST(o_orderkey AS VARCHAR) AS k, strftime({_DAY} + {_WEEKDAYS}, '%Y-%m-%d') AS iso, {_as_us(_DAY, f'({_DAY} + {_WEEKDAYS})')} AS us FROM orders",
@@ -243,3 +242,49 @@ ORACLES |= {
     "csv_encodings": """SELECT s_suppkey, ['utf-8', 'utf-8', 'utf-16-le', 'utf-16-be', 'windows-1252'][s_suppkey % 5 + 1] AS encoding, CAST([0, 3, 2, 2, 0][s_suppkey % 5 + 1] AS INTEGER) AS mark_bytes,
       ';' AS delimiter, 'a;b/|' || chr(233) || ';' || s_suppkey || '/|' AS read FROM supplier""",
 }
+
+
+def _types(cells: str, columns: list[str]) -> str:
+    """Types and strategies from measures of the cells ("column", v): the rules, written down once more."""
+    rows = []
+    for c in columns:
+        h = Hints.of(c)
+        rows.append((c, h.zip, h.phone, h.state, h.city, h.address, h.count, h.measure, h.id, (h.name_kind or ("none",))[0]))
+    names = '"column", h_zip, h_phone, h_state, h_city, h_address, h_count, h_measure, h_id, h_name'
+    states = ", ".join(_text(x.upper()) for x in (*STATE_CODES, *STATE_NAMES))
+    number = r"^[(]?[-+]?[$]?[-+]?([0-9]{1,3}(,[0-9]{3})+|[0-9]+)?([.][0-9]+)?[)]?$"
+    of = {
+        "HashId": ("Identifier",), "ZipRemap": ("Zip",), "Fake": ("Email", "Phone", "PersonName", "OrgName", "Address", "City"), "Keep": ("State", "Boolean", "Categorical", "Empty"),
+        "DateShift": ("Date",), "Perturb": ("Measure", "Count"),
+    }
+    strategy = " ".join(f"WHEN type IN ({', '.join(map(_text, kinds))}) THEN '{name}'" for name, kinds in of.items())
+    return f"""WITH hints AS ({_values(names, rows)}), c AS ({cells}), v AS (SELECT * FROM c WHERE regexp_matches(v, '[^ ]')),
+    m AS (SELECT "column", count(*) AS n, count(DISTINCT v) AS d, min(length(v)) AS lo, max(length(v)) AS hi, sum(length(v)) AS total,
+        count(*) FILTER (regexp_matches(v, '^[^@ ]+@[^@ ]+[.][A-Za-z]{{2,}}$')) AS email, count(*) FILTER (regexp_matches(v, '^[0-9]{{3,5}}$|^[0-9]{{5}}-[0-9]{{4}}$')) AS zip,
+        count(*) FILTER (regexp_matches(v, '^[0-9]{{5}}-[0-9]{{4}}$')) AS plus4, count(*) FILTER (regexp_matches(v, '^[+]?[-0-9 ().]+$') AND length(regexp_replace(v, '[^0-9]', '', 'g')) BETWEEN 7 AND 20) AS phonelike,
+        count(*) FILTER (regexp_matches(v, '^([+]?1[ .-]?)?([(][0-9]{{3}}[)] ?|[0-9]{{3}}[ .-])[0-9]{{3}}[ .-][0-9]{{4}}$')) AS phone,
+        count(*) FILTER (regexp_matches(v, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') AND TRY_CAST(v AS DATE) IS NOT NULL) AS dates,
+        count(*) FILTER (upper(v) IN ({states})) AS state, count(*) FILTER (regexp_matches(v, '^[0-9]+$')) AS digits, count(*) FILTER (regexp_matches(v, '^0[0-9]+$')) AS zero,
+        count(*) FILTER (regexp_matches(v, '[0-9]') AND NOT regexp_matches(v, '[ \t]')) AS unspaced, count(*) FILTER (regexp_matches(v, '[ \t]')) AS spaced,
+        count(*) FILTER (regexp_matches(v, '[0-9]') AND regexp_matches(v, '{number}')) AS num, count(*) FILTER (regexp_matches(v, '[0-9]') AND regexp_matches(v, '{number}') AND NOT contains(v, '.')) AS whole,
+        coalesce(max(length(v) - instr(v, '.')) FILTER (regexp_matches(v, '^[0-9]+[.][0-9]+$')), 0) AS scale, list_sort(list(DISTINCT upper(v)))[1:5] AS spellings FROM v GROUP BY "column"),
+    t AS (SELECT *, n > 0 AND num >= 0.95 * n AS numeric, n > 0 AND num >= 0.95 * n AND whole = num AS ints, d / greatest(n, 1) AS ratio FROM hints LEFT JOIN m USING ("column")),
+    typed AS (SELECT "column", dates >= 0.95 * n AS is_date, CASE WHEN n IS NULL THEN 'Empty' WHEN email >= 0.95 * n THEN 'Email' WHEN (h_zip AND zip >= 0.95 * n) OR plus4 >= 0.95 * n THEN 'Zip'
+        WHEN (h_phone AND phonelike >= 0.95 * n) OR phone >= 0.95 * n THEN 'Phone' WHEN dates >= 0.95 * n THEN 'Date' WHEN spellings IN (['N', 'Y'], ['NO', 'YES'], ['F', 'T'], ['FALSE', 'TRUE'], ['0', '1']) THEN 'Boolean'
+        WHEN state >= 0.95 * n AND (h_state OR d >= 5) THEN 'State' WHEN h_id = 'strong' OR (h_id = 'weak' AND (ratio > 0.5 OR zero > 0)) OR (digits >= 0.95 * n AND zero > 0) THEN 'Identifier'
+        WHEN NOT h_count AND NOT h_measure AND lo = hi AND lo >= 4 AND unspaced >= 0.95 * n AND (num = 0 OR ints) AND ratio > 0.5 THEN 'Identifier'
+        WHEN NOT h_count AND NOT h_measure AND ints AND ratio > 0.9 THEN 'Identifier' WHEN h_name = 'person' THEN 'PersonName' WHEN h_name = 'org' THEN 'OrgName' WHEN h_city THEN 'City' WHEN h_address THEN 'Address'
+        WHEN ints AND h_count THEN 'Count' WHEN numeric AND (h_measure OR scale > 0) THEN 'Measure' WHEN d <= 50 OR ratio < 0.01 THEN 'Categorical' WHEN numeric THEN 'Measure'
+        WHEN total > 60 * n OR (ratio > 0.5 AND 2 * spaced >= n) THEN 'FreeText' ELSE 'Text' END AS type FROM t)
+    SELECT "column", type, CASE {strategy} ELSE 'Redact' END AS strategy$more FROM typed"""
+
+
+_ORDER_CELLS = {
+    "o_orderkey": "CAST(o_orderkey AS VARCHAR)", "o_custkey": "CAST(o_custkey AS VARCHAR)", "o_orderstatus": "o_orderstatus", "o_totalprice": _money("o_totalprice"),
+    "o_orderdate": "strftime(o_orderdate, '%Y-%m-%d')", "o_orderpriority": "o_orderpriority",
+}
+ORACLES |= {
+    "type_detect": _types(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS v FROM {CUSTOMERS}" for c in CUSTOMER_COLUMNS), CUSTOMER_COLUMNS).replace("$more", ""),
+    # Dates of the year-first form are never ambiguous.
+    "type_detect_orders": _types(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", {v} AS v FROM orders" for c, v in _ORDER_CELLS.items()), list(_ORDER_CELLS)).replace("$more", ", false AS ambiguous"),
+}
