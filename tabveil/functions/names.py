@@ -17,6 +17,8 @@ MEASURE = {"amount", "amt", "revenue", "price", "cost", "margin", "total", "bala
 PHONE, DATE, ZIP = {"fax", "mobile", "cell", "tel"}, {"dt", "day", "dob", "time", "timestamp"}, {"postcode"}
 STATE, CITY, ADDRESS = {"state", "province"}, {"city", "town"}, {"addr", "street"}
 FIRST, LAST, HOSPITAL = {"first", "given", "middle"}, {"last", "surname"}, {"hospital", "facility"}
+WITHIN = {"zip": ("zip", "postal"), "phone": ("phone",), "date": ("date",), "address": ("address",)}
+COUNT_OF, WEAK_ID = (("number", "of"), ("num", "of")), "code"
 
 _PARTS = re.compile(r"[0-9]+|[^\W\d_]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
@@ -50,13 +52,13 @@ class Hints:
     def then(self, a: str, b: str) -> bool:
         return (a, b) in zip(self.tokens, self.tokens[1:], strict=False)
 
-    zip = property(lambda self: self.within("zip", "postal") or self.any(ZIP))
-    phone = property(lambda self: self.within("phone") or self.any(PHONE))
-    date = property(lambda self: self.within("date") or self.any(DATE))
+    zip = property(lambda self: self.within(*WITHIN["zip"]) or self.any(ZIP))
+    phone = property(lambda self: self.within(*WITHIN["phone"]) or self.any(PHONE))
+    date = property(lambda self: self.within(*WITHIN["date"]) or self.any(DATE))
     state = property(lambda self: self.any(STATE))
     city = property(lambda self: self.any(CITY))
-    address = property(lambda self: self.within("address") or self.any(ADDRESS))
-    count = property(lambda self: self.any(COUNT) or self.then("number", "of") or self.then("num", "of"))
+    address = property(lambda self: self.within(*WITHIN["address"]) or self.any(ADDRESS))
+    count = property(lambda self: self.any(COUNT) or any(self.then(*pair) for pair in COUNT_OF))
     measure = property(lambda self: self.any(MEASURE))
     first_name = property(lambda self: self.any(FIRST))
     last_name = property(lambda self: self.any(LAST))
@@ -66,7 +68,7 @@ class Hints:
     def id(self) -> str:
         """strong, weak or none, by the last word."""
         last = self.tokens[-1] if self.tokens else ""
-        return "strong" if last in STRONG_ID else "weak" if last == "code" else "none"
+        return "strong" if last in STRONG_ID else "weak" if last == WEAK_ID else "none"
 
     @property
     def name_kind(self) -> tuple[str, str] | None:

@@ -17,6 +17,7 @@ from tabveil.plans import model
 VERSION = 1
 MOST_NAME = 100
 LEAST_SCORE = 0.5
+# The names in saved recipes.
 _CAMEL = {"id": "id", "schema_version": "schemaVersion", "header_signature": "headerSignature", "skip_malformed": "skipMalformed", "entity_groups": "entityGroups"}
 
 
