@@ -513,11 +513,11 @@ def _one_file(spark, lines: DataFrame) -> str:
 
 @contextmanager
 def _small_splits(spark):
-    """Splits of a few kB, so that files of small tables are read in many, too. Reading is done when the block ends."""
+    """Splits of 32 kB, so that files of small tables are read in many, too. Reading is done when the block ends."""
     names_ = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
     before = {n: spark.conf.get(n) for n in names_}
     for n in names_:
-        spark.conf.set(n, "8k")
+        spark.conf.set(n, "32k")
     try:
         yield
     finally:
