@@ -93,7 +93,7 @@ class Draws:
     """The generator in Python, for one seed."""
 
     def __init__(self, key: bytes, *parts: str):
-        raw = hmac.new(key, SEPARATOR.join(parts).encode("utf-8", "surrogatepass"), hashlib.sha256).digest()
+        raw = hmac.digest(key, SEPARATOR.join(parts).encode("utf-8", "surrogatepass"), "sha256")
         self.s = list(struct.unpack("<4Q", raw))
         if not any(self.s):
             self.s[0] = 1

@@ -618,3 +618,27 @@ def test_scopes_own_their_tables(spark):
         assert kept.count() == 5
     with pytest.raises(tables.ScopeClosed), outer.active():
         pass
+
+
+@pytest.mark.parametrize("small", [20_000, 0])
+def test_the_last_value_of_a_full_space_changes_places(spark, small):
+    """Ten digits, ten outputs, and the last digit finds only itself."""
+    values = [str(i) for i in range(10)]
+    walked = lambda key: [o for o in _walk_digits(key, values)]
+    key = next(k for k in (bytes([i]) * 32 for i in range(256)) if walked(k)[-1] is None)
+    got = {r["value"]: (r["output"], r["n"]) for r in mapping.resolve(frame(spark, ["d"], [(v,) for v in values]), Plan({"d": Rule("HashId")}), key, small=small).collect()}
+    assert sorted(o for o, _ in got.values()) == values and all(o != v for v, (o, _) in got.items())
+    assert [got[v][0] for v in values[:8]] == walked(key)[:8] and got["9"] == (walked(key)[8], mapping.SWAPPED) and got["8"] == ("9", mapping.SWAPPED)
+
+
+def _walk_digits(key, values):
+    taken = set()
+    for v in values:
+        o = next((o for n in range(10_001) if (o := strategies.choice(Rule("HashId"), key, v, "d", v, n)) != v and o not in taken), None)
+        taken.add(o)
+        yield o
+
+
+def test_lists_reach_all_outputs():
+    assert strategies.last_attempt(Rule("HashId"), "12345") == 100 + 90_000 and strategies.last_attempt(Rule("HashId"), "012345") == 100 + 100_000
+    assert strategies.last_attempt(Rule("Fake", FakeOptions("City")), "Rome") > 1_000_000
