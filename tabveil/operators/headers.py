@@ -91,27 +91,68 @@ def read_recipes(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
     return spark.createDataFrame(rows, "recipe string, updated string, position int, name string, strategy string"), bad
 
 
-def ranked(headers: DataFrame, recipes: DataFrame) -> DataFrame:
+#: Digits of the hash that names a class.
+CLASS = 256
+
+
+def _classes(rows: DataFrame, by: str) -> DataFrame:
+    """(by, names, shape): equal names for the same names in the same order; equal shape for the same names as often."""
+    normed = rows.select(by, "position", normal(F.col("name")).alias("norm")).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("position", "norm")))["norm"].alias("n"))
+    named = lambda c: F.sha2(F.array_join(c, "\x1f").cast("binary"), CLASS)
+    return normed.select(by, named(F.col("n")).alias("names"), named(F.array_sort("n")).alias("shape"))
+
+
+def _shares(rows: DataFrame, classes: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """(names (shape, norm, nth) of one header or recipe a shape, (shape, n))."""
+    one = classes.groupBy("shape").agg(F.min(by).alias(by))
+    each = occurrences(rows, by).join(one, by).select("shape", "norm", "nth")
+    return each, each.groupBy("shape").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ranked(headers: DataFrame, recipes: DataFrame, most: int | None = None) -> DataFrame:
     """(header, place, recipe, exact, score): the recipes that share a name with a header, best first: those of the same
-    names in the same order, then by the share of both sides' columns that match, then the one updated last.
+    names in the same order, then by the share of both sides' columns that match, then the one updated last. With most,
+    that many a header, and the work grows with the shapes of headers and recipes, not with all pairs.
 
-    headers: (header, position, name). recipes: (recipe, updated, position, name).
+    headers: (header, position, name). recipes: (recipe, updated, position, name). Names and places decide a score, so it
+    is worked out once for the headers and the recipes that have the same names as often. Of recipes of the same names in
+    the same order, the most that were updated last are always before the others.
     """
-    sizes = lambda t, by, n: t.groupBy(by).agg(F.count(F.lit(1)).alias(n))
-    h, r = occurrences(headers), occurrences(recipes, "recipe")
-    both = h.select("header", "norm", "nth").join(r.select("recipe", "norm", "nth"), ["norm", "nth"]).groupBy("header", "recipe").agg(F.count(F.lit(1)).alias("both"))
-    signed = signatures(recipes.select(F.col("recipe").alias("header"), "position", "name")).withColumnsRenamed({"header": "recipe", "signature": "theirs"})
-    updated = recipes.groupBy("recipe").agg(F.max("updated").alias("updated"))
-    found = both.join(sizes(headers, "header", "n_h"), "header").join(sizes(recipes, "recipe", "n_r"), "recipe").join(signatures(headers), "header").join(signed, "recipe").join(updated, "recipe")
-    found = found.select("header", "recipe", "updated", (F.col("signature") == F.col("theirs")).alias("exact"), (F.col("both") / (F.col("n_h") + F.col("n_r") - F.col("both"))).alias("score"))
-    order = Window.partitionBy("header").orderBy(F.desc("exact"), F.desc("score"), F.desc("updated"), "recipe")
-    return found.select("header", F.row_number().over(order).alias("place"), "recipe", "exact", "score")
+    h, r = _classes(headers, "header"), _classes(recipes, "recipe")
+    (he, hn), (re, rn) = _shares(headers, h, "header"), _shares(recipes, r, "recipe")
+    both = he.withColumnRenamed("shape", "h_shape").join(re.withColumnRenamed("shape", "r_shape"), ["norm", "nth"]).groupBy("h_shape", "r_shape").agg(F.count(F.lit(1)).alias("both"))
+    hn, rn = hn.select(F.col("shape").alias("h_shape"), F.col("n").alias("n_h")), rn.select(F.col("shape").alias("r_shape"), F.col("n").alias("n_r"))
+    scores = both.join(hn, "h_shape").join(rn, "r_shape").select("h_shape", "r_shape", (F.col("both") / (F.col("n_h") + F.col("n_r") - F.col("both"))).alias("score"))
+    r = r.join(recipes.groupBy("recipe").agg(F.max("updated").alias("updated")), "recipe")
+    best = [F.desc("updated"), F.asc("recipe")]
+    r = r.select("recipe", "updated", F.col("names").alias("r_names"), F.col("shape").alias("r_shape"))
+    h = h.select("header", F.col("names").alias("h_names"), F.col("shape").alias("h_shape"))
+    order = Window.partitionBy("header").orderBy(F.desc("exact"), F.desc("score"), *best)
+    if most is None:
+        found = h.join(scores, "h_shape").join(r, "r_shape").select("header", "recipe", "updated", (F.col("h_names") == F.col("r_names")).alias("exact"), "score")
+    else:
+        first = lambda w, t: t.withColumn("_at", F.row_number().over(w)).filter(F.col("_at") <= most).drop("_at")
+        exact = h.join(first(Window.partitionBy("r_names").orderBy(*best), r), F.col("h_names") == F.col("r_names")).select("header", "recipe", "updated", F.lit(True).alias("exact"), "h_shape", "r_shape").join(scores, ["h_shape", "r_shape"])
+        # The best by score alone, a shape of headers; those of a header's own order come on top.
+        near = first(Window.partitionBy("r_shape").orderBy(*best), r).join(scores, "r_shape")
+        near = first(Window.partitionBy("h_shape").orderBy(F.desc("score"), *best), near)
+        near = h.join(near, "h_shape").select("header", "recipe", "updated", (F.col("h_names") == F.col("r_names")).alias("exact"), "score")
+        found = exact.select("header", "recipe", "updated", "exact", "score").unionByName(near).distinct()
+    out = found.select("header", F.row_number().over(order).alias("place"), "recipe", "exact", "score")
+    return out if most is None else out.filter(F.col("place") <= most)
 
 
 def assigned(headers: DataFrame, recipes: DataFrame) -> DataFrame:
     """(header, position, key, recipe, strategy): for each recipe, its strategy for the columns of a header that are the
-    same name in the same occurrence; null for the others."""
+    same name in the same occurrence; null for the others.
+
+    Recipes that say the same are one kind until the end, so that what is shuffled grows with headers and kinds of recipes;
+    the rows of all pairs are made by the last join and meet nothing more."""
+    said = occurrences(recipes, "recipe")
+    kind = said.groupBy("recipe").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("norm", "nth", "strategy")))).cast("binary"), CLASS).alias("kind"))
+    one = kind.groupBy("kind").agg(F.min("recipe").alias("recipe"))
+    r = said.join(one, "recipe").select("kind", "norm", "nth", "strategy")
     h = occurrences(keys(headers)).select("header", "position", "key", "norm", "nth")
-    each = h.join(ranked(headers, recipes).select("header", "recipe"), "header")  # with the recipes that share a name
-    r = occurrences(recipes, "recipe").select("recipe", "norm", "nth", "strategy")
-    return each.join(r, ["recipe", "norm", "nth"], "left").select("header", "position", "key", "recipe", "strategy")
+    pairs = h.join(r.select("kind", "norm", "nth"), ["norm", "nth"]).select("header", "kind").distinct()  # that share a name
+    each = h.join(pairs, "header").join(r, ["kind", "norm", "nth"], "left").select("header", "position", "key", "kind", "strategy")
+    return each.join(kind, "kind").select("header", "position", "key", "recipe", "strategy")

@@ -178,7 +178,7 @@ def entity_groups(spark, d):
 
 def recipe_rank(spark, d):
     """The three best recipes for each header."""
-    found = headers.ranked(_headers(spark, d), _recipes(spark, d)).filter("place <= 3")
+    found = headers.ranked(_headers(spark, d), _recipes(spark, d), 3)
     return found.select("header", "place", "recipe", "exact", F.round("score", 9).alias("score"))
 
 

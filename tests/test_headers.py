@@ -3,6 +3,8 @@
 import random
 import time
 
+from pyspark.sql import functions as F
+
 from tabveil.functions import names
 from tabveil.operators import headers, jobs
 from tabveil.plans import model, recipes
@@ -68,3 +70,13 @@ def test_progress_is_that_of_the_own_job(spark, tmp_path):
     time.sleep(1)
     assert rows and rows == sorted(rows) and rows[-1] == 50_000
     assert said[-1] == (1, 1) and all(known <= 10 for _, known in said)
+
+
+def test_the_best_few_are_those_of_the_whole_ranking(spark):
+    """Shapes shared by many recipes, equal names in equal order, and ties."""
+    rng = random.Random(5)
+    made = lambda n, most: [(i, at, rng.choice(["a", " A", "b", "c", ""])) for i in range(n) for at in range(rng.randint(1, most))]
+    h = spark.createDataFrame(made(30, 4), "header long, position int, name string")
+    r = spark.createDataFrame(made(60, 3), "recipe long, position int, name string").withColumn("updated", (F.col("recipe") % 4).cast("string"))
+    key = lambda t: sorted(tuple(x) for x in t.collect())
+    assert key(headers.ranked(h, r, 3)) == key(headers.ranked(h, r).filter("place <= 3"))
