@@ -512,12 +512,18 @@ def _one_file(spark, lines: DataFrame) -> str:
 
 
 @contextmanager
-def _small_splits(spark):
-    """Splits of 32 kB, so that files of small tables are read in many, too. Reading is done when the block ends."""
+def _small_splits(spark, path: str | None = None):
+    """Splits of 32 kB, so that files of small tables are read in many, too; of a larger file at path, a 256th of it, up to
+    the session's own size. Reading is done when the block ends."""
     names_ = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
     before = {n: spark.conf.get(n) for n in names_}
+    size = 32 * 1024
+    if path:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        whole = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getLen()
+        size = max(size, min(whole // 256, spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before[names_[0]])))
     for n in names_:
-        spark.conf.set(n, "32k")
+        spark.conf.set(n, str(size))
     try:
         yield
     finally:
@@ -581,8 +587,9 @@ def csv_first_rows(spark, d):
 def csv_file_roundtrip(spark, d):
     """A whole table's file, read, written as parts, put together and read again: records, and those that differ from
     the source's of the same number."""
-    with _small_splits(spark):
-        source = delimited.read_delimited(spark, _customer_file(spark, d))
+    path = _customer_file(spark, d)
+    with _small_splits(spark, path):
+        source = delimited.read_delimited(spark, path)
         folder = f"{shared_folder(spark)}/text-{uuid.uuid4().hex}"
         delimited.write_delimited(source.records, source.dialect, folder)
         delimited.join_parts(spark, folder, f"{folder}/whole.csv")

@@ -642,3 +642,13 @@ def _walk_digits(key, values):
 def test_lists_reach_all_outputs():
     assert strategies.last_attempt(Rule("HashId"), "12345") == 100 + 90_000 and strategies.last_attempt(Rule("HashId"), "012345") == 100 + 100_000
     assert strategies.last_attempt(Rule("Fake", FakeOptions("City")), "Rome") > 1_000_000
+
+
+def test_splits_grow_with_the_file(spark, tmp_path):
+    from tabveil import queries
+
+    (tmp_path / "a.csv").write_bytes(b"a,b\n" * (4 << 20))
+    with queries._small_splits(spark, str(tmp_path / "a.csv")):
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == str(64 * 1024)
+    with queries._small_splits(spark):
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == str(32 * 1024)
