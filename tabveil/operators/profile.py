@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tabveil.functions import dates, text
 from tabveil.functions.binding import staged
 from tabveil.functions.names import Hints
+from tabveil.operators.tables import cut
 from tabveil.plans import model
 
 SAMPLE_ROWS = 50_000
@@ -172,7 +173,8 @@ def date_give_up(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     cells = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value"), (dates.format_mask(F.col(f"`{c}`"), Hints.of(c).date) != 0).cast("int").alias("hit")) for c in columns]
     each = df.select("_rec", F.explode(F.array(*cells)).alias("x")).select("_rec", "x.*").filter(text.has_value(F.col("value")))
     # Running sums inside slices of records, from what the slices before add up to.
-    each = each.select("column", F.floor(F.col("_rec") / SLICE).alias("slice"), "_rec", "hit")
+    # They are cut, since trying all formats is most of the work and both passes need what it finds.
+    each = cut(each.select("column", F.floor(F.col("_rec") / SLICE).alias("slice"), "_rec", "hit"), "give-up")
     totals = each.groupBy("column", "slice").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("h"))
     earlier = Window.partitionBy("column").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("column", "slice", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("n", "h")])
