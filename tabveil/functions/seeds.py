@@ -11,6 +11,7 @@ import hmac
 import struct
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,3 +113,20 @@ class Draws:
 
     def unit(self) -> float:
         return (self.next() >> 11) * (1.0 / (1 << 53))
+
+
+class ManyDraws:
+    """The generators of many seeds side by side: message i is the parts of seed i, joined by SEPARATOR."""
+
+    def __init__(self, key: bytes, messages: list[str]):
+        raw = b"".join([hmac.digest(key, m.encode("utf-8", "surrogatepass"), "sha256") for m in messages])
+        self.s = np.frombuffer(raw, dtype="<u8").reshape(-1, 4).T.astype(np.uint64)
+        self.s[0, ~self.s.any(axis=0)] = 1
+
+    def below(self, most) -> np.ndarray:
+        s0, s1, s2, s3 = self.s
+        x = s1 * np.uint64(5)
+        out = (x << np.uint64(7) | x >> np.uint64(57)) * np.uint64(9)
+        s2, s3 = s2 ^ s0, s3 ^ s1
+        self.s = np.stack([s0 ^ s3, s1 ^ s2, s2 ^ (s1 << np.uint64(17)), s3 << np.uint64(45) | s3 >> np.uint64(19)])
+        return ((out >> np.uint64(32)) * np.uint64(most) >> np.uint64(32)).astype(np.int64)

@@ -5,7 +5,7 @@ earlier value of its domain. With a common order of precedence this is the uniqu
 acceptance finds in any order: all unmatched values propose, every output keeps its earliest proposer.
 
 Values of different conflict classes never want the same output. Small classes are walked through in one group;
-large ones, of any size, go through rounds of proposals. Earlier values first, in blocks that grow: what they hold is
+large ones are walked through by blocks where their outputs are few (see spaces), and go through rounds of proposals else. Earlier values first, in blocks that grow: what they hold is
 never lost again. A round writes what is proposed, and the values still open; no more.
 
 The last of all values of a space may find itself as the only output left. It changes places with the value before it,
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabveil.functions import strategies
+from tabveil.operators import spaces
 from tabveil.operators.tables import cut, new_folder
 from tabveil.plans.model import SEPARATOR, Plan
 
@@ -139,7 +140,7 @@ def _walked(plan: Plan, key: bytes):
 OUT = KEYS + ", output string, n int, column string, rec long, at int"
 
 
-VALUES = KEYS + ", seed_domain string, seed string, column string, rec long, at int, class string, tail string, own boolean, spelled string, last int, maskable boolean"
+VALUES = KEYS + ", seed_domain string, seed string, column string, rec long, at int, class string, tail string, own boolean, spelled string, last int, maskable boolean, space string, size long, own_place long"
 ENTRIES = "domain string, anchor string, rec long, at int, n int, output string, tail string, own boolean"
 
 
@@ -150,11 +151,11 @@ def _spelling(name: str) -> str:
 def _tails(plan: Plan, key: bytes):
     """tail: values of one tail share their entries from BEFORE_NUMBERS on, numbered names of one base name. own: the
     value itself may be one of them, which it passes over. spelled: how the names for a value are. last: its last entry.
-    maskable: it has entries."""
+    maskable: it has entries. space, size, own_place: see spaces.space_of."""
 
     def run(parts):
         for pdf in parts:
-            tails, owns, spelled, lasts, fine = [], [], [], [], []
+            tails, owns, spelled, lasts, fine, where = [], [], [], [], [], []
             for r in pdf.itertuples(index=False):
                 rule = plan.columns[r.column]
                 first = strategies.choice(rule, key, r.value, r.seed_domain, r.seed, 0)
@@ -164,8 +165,10 @@ def _tails(plan: Plan, key: bytes):
                 spelled.append(base and _spelling(base))
                 lasts.append(strategies.last_attempt(rule, r.value))
                 fine.append(first is not None)
+                where.append(spaces.space_of(plan, r.domain, None if pd.isna(r.anchor) else r.anchor, r.column, r.value, spelled[-1]))
+            space, size, place = zip(*where, strict=True) if where else ((), (), ())
             of = lambda x, kind, i=pdf.index: pd.Series(x, dtype=kind, index=i)
-            yield pdf.assign(tail=of(tails, object), own=of(owns, bool), spelled=of(spelled, object), last=of(lasts, "int32"), maskable=of(fine, bool))
+            yield pdf.assign(tail=of(tails, object), own=of(owns, bool), spelled=of(spelled, object), last=of(lasts, "int32"), maskable=of(fine, bool), space=of(space, object), size=of(size, "int64"), own_place=of(place, "int64"))
 
     return run
 
@@ -180,7 +183,10 @@ def _entries(plan: Plan, key: bytes, batch: int):
                 rule, anchor, tail = plan.columns[r.column], None if pd.isna(r.anchor) else r.anchor, None if pd.isna(r.tail) else r.tail
                 end = min(r.n + batch, r.last + 1)
                 for n in range(r.n, min(end, strategies.BEFORE_NUMBERS) if tail is not None and r.n < strategies.BEFORE_NUMBERS else end):
-                    candidate = strategies.choice(rule, key, r.value, r.seed_domain, r.seed, n, r.listed)
+                    if tail is not None and n >= strategies.BEFORE_NUMBERS:
+                        candidate = strategies.numbered(rule.options.kind, tail.partition(" ")[2], n)
+                    else:
+                        candidate = strategies.choice(rule, key, r.value, r.seed_domain, r.seed, n, r.listed)
                     if candidate != r.value:
                         out.append((r.domain, anchor, r.rec, r.at, n, candidate, tail, r.own))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in ENTRIES.split(", ")]).astype({"rec": "int64", "at": "int32", "n": "int32", "own": "bool"})
@@ -305,7 +311,7 @@ def _round(state: DataFrame, values: DataFrame, claims: _Claims, plan: Plan, key
 
 
 def _accepted(large: DataFrame, plan: Plan, key: bytes, zips: DataFrame | None) -> DataFrame:
-    """Deferred acceptance in rounds, block by block, until no value is rejected.
+    """Walks through bounded spaces; for the rest, deferred acceptance in rounds, block by block, until no value is rejected.
 
     An output's holder only ever gives way to an earlier value. So a value passes at once over all entries that an
     earlier value holds or proposes to, as many as a round looks at: the last ones, whose lists are long, see them whole.
@@ -314,14 +320,24 @@ def _accepted(large: DataFrame, plan: Plan, key: bytes, zips: DataFrame | None)
     given = ["domain", "anchor", "value", "ats", "seed_domain", "seed", "column", "rec", "at", "class"]
     tasks = large.sparkSession.sparkContext.defaultParallelism * 2
     values = cut(large.select(given).repartition(tasks, "rec", "at").mapInPandas(_tails(plan, key), VALUES), "mapping-values")
-    total, size, done, shares = values.count(), FIRST_BLOCK, 0, []
+    claims, start = _Claims(values.sparkSession), None
+    walked = spaces.walk_spaces(values, plan, key)
+    if walked is not None:
+        full = values.filter("space is not null and maskable and tail is not null").join(walked.select("rec", "at"), ["rec", "at"], "left_anti")
+        full = cut(full.withColumn("n", F.lit(strategies.BEFORE_NUMBERS)), "mapping-open")
+        if not full.isEmpty():
+            claims.add(walked.filter("tail is not null").select(*[c.split()[0] for c in ENTRIES.split(", ")], F.lit(True).alias("won")), "mapping-held")
+        state, turn = full, 0
+        while state is not None:
+            state, turn = _round(state, values, claims, plan, key, zips, turn), turn + 1
+    rest = values.filter("space is null")
+    total, size, done, shares = rest.count(), FIRST_BLOCK, 0, []
     while done + size < total:
         done, size = done + size, size * 2
         shares.append(done / total)
-    ends = [*sorted(set(values.approxQuantile("rec", shares, 0.001) if shares else [])), None]
-    claims, start = _Claims(values.sparkSession), None
+    ends = [*sorted(set(rest.approxQuantile("rec", shares, 0.001) if shares else [])), None] if total else []
     for end in ends:
-        block = values.filter("maskable")
+        block = rest.filter("maskable")
         block = block.filter(F.col("rec") > int(start)) if start is not None else block
         block = block.filter(F.col("rec") <= int(end)) if end is not None else block
         state, turn = _past_names(block, plan, claims), 0
@@ -329,9 +345,11 @@ def _accepted(large: DataFrame, plan: Plan, key: bytes, zips: DataFrame | None)
             state, turn = _round(state, values, claims, plan, key, zips, turn), turn + 1
         start = end
     names = ["domain", "anchor", "value", "ats", "output", "n", "column", "rec", "at"]
-    if not claims.paths:
+    taken = [walked.select("rec", "at", "output", F.col("n").alias("taken"), F.lit(0).alias("by"))] if walked is not None else []
+    taken += [claims.holders().select("rec", "at", "output", F.col("n").alias("taken"), F.lit(1).alias("by"))] if claims.paths else []
+    if not taken:
         return values.select("domain", "anchor", "value", "ats", F.lit(None).cast("string").alias("output"), F.lit(0).alias("n"), "column", "rec", "at")
-    held = claims.holders().select("rec", "at", "output", F.col("n").alias("taken"))
+    held = reduce(DataFrame.unionByName, taken).groupBy("rec", "at").agg(F.max_by(F.struct("output", "taken"), "by").alias("x")).select("rec", "at", "x.output", "x.taken")
     out = cut(values.join(held, ["rec", "at"], "left").withColumn("n", F.when(~F.col("maskable"), 0).otherwise(F.coalesce("taken", F.lit(-1)))).select(*names, "class"), "mapping-accepted")
     stuck = out.filter("n = -1")
     return (out if stuck.isEmpty() else _swapped(out, stuck, plan)).select(names)
@@ -356,6 +374,19 @@ def _swapped(out: DataFrame, stuck: DataFrame, plan: Plan) -> DataFrame:
     return out.join(F.broadcast(ends), ["rec", "at"], "left").withColumn("output", F.coalesce("to", "output")).withColumn("n", F.when(changed, SWAPPED).otherwise(F.col("n"))).drop("to")
 
 
+def _has_slots(value: str) -> Column:
+    @F.pandas_udf("boolean")
+    def of(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: bool(strategies.slots(x))).astype(bool)
+
+    return of(value)
+
+
+def _last_of(entries: DataFrame, n: int) -> str:
+    """The column of the n-th entry."""
+    return entries.orderBy("rec", "at").limit(n).orderBy(F.col("rec").desc(), F.col("at").desc()).first()["column"]
+
+
 def resolve(df: DataFrame, plan: Plan, key: bytes, zips: DataFrame | None = None, most_entries: int = MOST_ENTRIES, small: int = SMALL_CLASS) -> DataFrame | None:
     """The mapping table (domain, anchor, value, ats, output, n, column): output null where nothing can be masked; n the
     preference taken, or SWAPPED; column the one that created the entry; ats all positions it occurs in. None if the plan maps
@@ -364,6 +395,11 @@ def resolve(df: DataFrame, plan: Plan, key: bytes, zips: DataFrame | None = None
         return None
     keys = mapping_keys(df, plan).withColumn("class", class_of(plan))
     keys = cut(keys.select("domain", "anchor", "value", "seed_domain", "seed", "column", "ats", "first.rec", "first.at", "class"), "mapping-keys")
+    if most_entries and all(r.strategy == "HashId" or strategies.can_number(r) for r in plan.columns.values() if r.is_mapping) and keys.count() > most_entries:
+        # Such lists reach an output for every value, so the entry that is one too many is known before any is made.
+        some = keys.filter(~F.col("column").isin([c for c, r in plan.columns.items() if r.strategy == "HashId"]) | _has_slots("value"))
+        if some.count() > most_entries:
+            raise MappingLimitExceeded(_last_of(some, most_entries + 1))
     sizes = keys.groupBy("domain", "anchor", "class").agg(F.count(F.lit(1)).alias("members"))
     s = sizes.select(F.col("domain").alias("d"), F.col("anchor").alias("a"), F.col("class").alias("c"), "members")
     sized = keys.join(s, (F.col("domain") == F.col("d")) & F.col("anchor").eqNullSafe(F.col("a")) & (F.col("class") == F.col("c"))).drop("d", "a", "c")
@@ -375,5 +411,5 @@ def resolve(df: DataFrame, plan: Plan, key: bytes, zips: DataFrame | None = None
         raise UniqueValueExhausted(ended["column"])
     entries = mapping.filter("output is not null")
     if most_entries and entries.count() > most_entries:
-        raise MappingLimitExceeded(entries.orderBy("rec", "at").limit(most_entries + 1).orderBy(F.col("rec").desc(), F.col("at").desc()).first()["column"])
+        raise MappingLimitExceeded(_last_of(entries, most_entries + 1))
     return mapping

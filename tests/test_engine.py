@@ -6,12 +6,14 @@ import threading
 import time
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tabveil.functions import labels, seeds, strategies
 from tabveil.functions.binding import inline
-from tabveil.operators import jobs, mapping, masking, tables, verify
+from tabveil.operators import jobs, mapping, masking, spaces, tables, verify
 from tabveil.operators import profile as profiling
 from tabveil.operators.secret import SessionClosed
 from tabveil.plans import model, recipes
@@ -652,3 +654,55 @@ def test_splits_grow_with_the_file(spark, tmp_path):
         assert spark.conf.get("spark.sql.files.maxPartitionBytes") == str(64 * 1024)
     with queries._small_splits(spark):
         assert spark.conf.get("spark.sql.files.maxPartitionBytes") == str(32 * 1024)
+
+
+@pytest.mark.parametrize("rule", [Rule("HashId"), Rule("Fake", FakeOptions("PersonFirst")), Rule("Fake", FakeOptions("Email"))])
+@pytest.mark.parametrize("block", [70, 1000])
+def test_walks_through_spaces_equal_one_by_one(monkeypatch, rule, block):
+    """In blocks, with bitmaps of what earlier ones took. Names of one person: numbers meet the names of others."""
+    for pool, words in (("FIRST", ["Ada"]), ("LAST", ["Abel"]), ("DOMAINS", ("example.com",))) if rule.strategy == "Fake" and rule.options.kind == "Email" else ():
+        monkeypatch.setattr(strategies, pool, words)
+    pools = (strategies.FIRST, strategies.LAST, range(100), strategies.DOMAINS)
+    monkeypatch.setitem(strategies._POOLS, "Email", (pools, 15))
+    monkeypatch.setitem(strategies._AT, "Email", [{str(w).lower(): i for i, w in enumerate(p)} for p in pools])
+    key, plan = bytes(range(32)), Plan({"c": rule})
+    values = [str(100 + i * 7 % 900) for i in range(900)] if rule.strategy == "HashId" else [f"name {i}" for i in range(400)]
+    taken, want = set(), []
+    for v in values:
+        out, n = next(((o, n) for n in range(1001) if (o := strategies.choice(rule, key, v, "c", v, n)) != v and o not in taken), (None, -1))
+        taken.add(out)
+        want.append((out, n))
+    tail = lambda v: f"x {strategies.choice(rule, key, v, 'c', v, 0)}" if rule.strategy == "Fake" else None
+    got, held, walk = [], pd.DataFrame({"space": [], "bucket": [], "bits": [], "name": []}), spaces._walk(plan, key)
+    for at in range(0, len(values), block):
+        rows = [(spaces.space_of(plan, "c", None, "c", v, "mixed"), i, v) for i, v in enumerate(values[at : at + block])]
+        pdf = pd.DataFrame([("c", None, v, "c", i, 0, tail(v), False, s, size, "c", v, own) for (s, size, own), i, v in rows], columns=[*[c.split()[0] for c in spaces.GIVEN.split(", ")], "size", "seed_domain", "seed", "own_place"])
+        out = walk(pdf, held)
+        got += [(strategies.output_at(rule, r.value, r.place) if r.place >= 0 else r.name_, r.n) for r in out.rename(columns={"name": "name_"}).itertuples()]
+        if len(out) < len(pdf):
+            break
+        bits = np.zeros(spaces.BITS, dtype=np.uint8)
+        bits[out["place"][out["place"] >= 0]] = 1
+        new = [("s", 1, np.packbits(bits, bitorder="little").tobytes(), None), *[("s", None, None, x) for x in out["name"].dropna()]]
+        held = pd.concat([held, pd.DataFrame(new, columns=list(held.columns))], ignore_index=True)
+    assert got == want[: len(got)]
+    if rule.strategy == "HashId":
+        assert len(got) == 900
+    else:
+        assert 50 < len(got) < 400 and all(n >= strategies.BEFORE_NUMBERS for _, n in want[len(got) :])
+
+
+def test_full_spaces_and_limits_take_no_rounds(spark, monkeypatch):
+    """A full space of identifiers is walked through by blocks; more values than entries allowed are told before any."""
+    labels = []
+    monkeypatch.setattr(mapping, "cut", lambda df, label, cut=mapping.cut: (labels.append(label), cut(df, label))[1])
+    monkeypatch.setattr(spaces, "BLOCK", 30)
+    rows = [(f"{i * 7 % 90 + 10}",) for i in range(90)]
+    plan = Plan({"id": Rule("HashId")})
+    got = {r["value"]: r["output"] for r in mapping.resolve(frame(spark, ["id"], rows), plan, KEY, small=0).collect()}
+    assert [(got[v],) for (v,) in rows] == sequential(plan, rows, ["id"]) and "mapping-round" not in labels
+    labels.clear()
+    with pytest.raises(mapping.MappingLimitExceeded, match="'id'"):
+        mapping.resolve(frame(spark, ["id"], [*rows, ("--",)]), plan, KEY, most_entries=89)
+    assert labels == ["mapping-keys"]
+    assert mapping.resolve(frame(spark, ["id"], [*rows, ("--",)]), plan, KEY, most_entries=90).count() == 91
