@@ -84,6 +84,23 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.hstack([own, before, after, ends]), per_text, size
 
 
+def features_in_parts(texts: list[str], part: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What line_features gives, made for texts of a part of characters at a time: the fit holds the features once."""
+    x = np.empty((sum(t.count("\n") + 1 for t in texts), 3 * OWN + 3))
+    per_text, sizes, at, begin = [], [], 0, 0
+    while begin < len(texts):
+        end, chars = begin, 0
+        while end < len(texts) and (end == begin or chars + len(texts[end]) <= part):
+            chars += len(texts[end])
+            end += 1
+        own, lines, size = line_features(texts[begin:end])
+        x[at : at + len(own)] = own
+        at, begin = at + len(own), end
+        per_text.append(lines)
+        sizes.append(size)
+    return x, np.concatenate(per_text), np.concatenate(sizes)
+
+
 def marginals(score: np.ndarray, lines: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of chains laid end to end: P(line good), the expected transitions summed over chains (2 x 2) and log Z each.
 
@@ -131,7 +148,11 @@ class Field:
 
     def raw(self, texts: list[str]) -> np.ndarray:
         x, lines, size = line_features(texts)
-        good, _, _ = marginals(((x - self.mean) / self.spread) @ self.weight, lines, self.turn)
+        return self.of_lines((x - self.mean) / self.spread, lines, size)
+
+    def of_lines(self, x: np.ndarray, lines: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """From features that are scaled already."""
+        good, _, _ = marginals(x @ self.weight, lines, self.turn)
         first = np.cumsum(lines) - lines
         return np.add.reduceat(good * (size + 1), first) / np.add.reduceat(size + 1.0, first)
 
@@ -156,10 +177,12 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, penalty: floa
     """Adam on the mean conditional log-likelihood of a line; deterministic."""
     if not texts:
         texts, labels = ["", "x"], [0, 1]
-    x, lines, _ = line_features(texts)
-    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-3
+    x, lines, size = features_in_parts(texts)
+    mean = x.mean(axis=0)
+    spread = np.concatenate([x[:, j : j + 8].std(axis=0) for j in range(0, x.shape[1], 8)]) + 1e-3
     mean[-1], spread[-1] = 0, 1  # the constant
-    x = (x - mean) / spread
+    x -= mean
+    x /= spread
     y = np.repeat(np.array(labels, dtype=float), lines)
     theta = np.zeros(x.shape[1] + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -169,7 +192,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, penalty: floa
         theta = theta + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         theta[-4:] = np.clip(theta[-4:], -2, 2)
     field = Field(mean, spread, theta[:-4], theta[-4:].reshape(2, 2))
-    p = np.clip(field.raw(texts), 1e-6, 1 - 1e-6)
+    p = np.clip(field.of_lines(x, lines, size), 1e-6, 1 - 1e-6)
     u, y = np.log(p / (1 - p)), np.array(labels, dtype=float)
     a, b = 1.0, 0.0
     for _ in range(50):  # Newton steps of a logistic curve in the document's log-odds

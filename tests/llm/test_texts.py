@@ -298,3 +298,16 @@ def test_quality_learns_and_takes_edges(spark):
     assert quality.score_quality(df.limit(0), field).count() == 0
     blank = quality.train(df, labels.limit(0))
     assert all(0 <= r["quality_score"] <= 1 for r in quality.score_quality(df.limit(5), blank).collect())
+
+
+def test_the_fit_holds_its_features_once(monkeypatch):
+    """Parts of texts give the features of all texts at once, and no array of their size is made beside them."""
+    rng = random.Random(5)
+    texts = ["", "x", *["\n".join(" ".join(rng.choices(["ab", "C.", "7", "é|"], k=rng.randint(0, 9))) for _ in range(rng.randint(1, 40))) for _ in range(300)]]
+    whole = quality.line_features(texts)
+    for part in (1, 500, 1 << 20):
+        assert all(np.array_equal(a, b) for a, b in zip(whole, quality.features_in_parts(texts, part), strict=True))
+    seen = []
+    monkeypatch.setattr(quality, "line_features", lambda t, of=quality.line_features: (seen.append(sum(map(len, t))), of(t))[1])
+    quality.fit([t * 300 for t in texts], [i % 2 for i in range(len(texts))], epochs=1)
+    assert max(seen) <= 1 << 20 < sum(seen) <= 300 * sum(map(len, texts))
