@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabveil.functions import dates, seeds, strategies, text
+from tabveil.functions.binding import Steps, staged
 from tabveil.operators import headers, mapping, masking
 from tabveil.operators import profile as profiling
 from tabveil.plans import model
@@ -245,15 +246,26 @@ def mask_perturb_global(spark, d):
     return _masked(spark, d, src, price=each, qty=model.Rule("Perturb", model.PerturbOptions(mode="Global", is_count=True))).rows.drop("_rec")
 
 
+def _as_drawn(column: str) -> Steps:
+    """Whether a side of a column perturbed by row differs from its source exactly where the factor drawn for it, times the
+    source's digits alone, does not round to these digits."""
+    v, o = F.col(f"`{column}`.source"), model.PerturbOptions()
+    state = yield from seeds.seed_steps(KEY, F.lit(column), v, F.concat(F.lit("row:"), F.col("_rec").cast("string")))
+    factor = yield (yield from masking.factor_steps(seeds.unit(seeds.draw(state)), o.percent))
+    digits = yield F.regexp_replace(v, "[^0-9]", "").cast("decimal(20,0)")
+    return (v != F.col(f"`{column}`.output")) == (F.round(digits * factor, 0) != digits)
+
+
 def mask_perturb_shapes(spark, d):
-    """Shapes of numbers that survive: what does not look like its source would be FALSE."""
+    """Shapes of numbers that survive: what does not look like its source would be FALSE, and so would be what stayed as
+    it was, unless its factor rounds it back to itself, or moved although its factor does."""
     k = F.col("o_orderkey")
     p = F.col("o_totalprice").cast("decimal(18,2)")
     v = F.when(k % 4 == 0, F.concat(F.lit("$"), F.format_number(p, 2))).when(k % 4 == 1, F.concat(F.lit("("), p.cast("string"), F.lit(")"))).when(k % 4 == 2, F.concat(F.lit(" -"), p.cast("string"))).otherwise(F.concat(F.lit("00"), (k % 9 + 1).cast("string")))
     src = table(spark, d, "orders").select((k + 1).alias("_rec"), k.cast("string").alias("k"), v.alias("v"))
     out = _masked(spark, d, src, v=model.Rule("Perturb"))
     shape = lambda c: F.regexp_replace(F.regexp_replace(c, "[0-9]+(,[0-9]{3})*", "9"), " ", "_")
-    return out.sides.select(F.col("k.source").alias("k"), (shape(F.col("v.source")) == shape(F.col("v.output"))).alias("same_shape"), ((F.col("v.source") != F.col("v.output")) | (F.col("k.source").cast("long") % 4 == 3)).alias("changed"))
+    return staged(out.sides, {"changed": _as_drawn("v")}).select(F.col("k.source").alias("k"), (shape(F.col("v.source")) == shape(F.col("v.output"))).alias("same_shape"), "changed")
 
 
 def _invariants(masked: masking.Masked, column: str, pattern: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabveil.functions import labels, seeds, strategies
-from tabveil.functions.binding import inline
+from tabveil.functions.binding import inline, staged
 from tabveil.operators import jobs, mapping, masking, spaces, tables, verify
 from tabveil.operators import profile as profiling
 from tabveil.operators.secret import SessionClosed
@@ -706,3 +706,16 @@ def test_full_spaces_and_limits_take_no_rounds(spark, monkeypatch):
         mapping.resolve(frame(spark, ["id"], [*rows, ("--",)]), plan, KEY, most_entries=89)
     assert labels == ["mapping-keys"]
     assert mapping.resolve(frame(spark, ["id"], [*rows, ("--",)]), plan, KEY, most_entries=90).count() == 91
+
+
+def test_a_price_that_its_factor_rounds_back_to_itself_is_no_difference(spark, tmp_path):
+    """Such prices stay, as in the SQL of mask_perturb_row; any other that stayed, or moved by chance, is told."""
+    from tabveil import queries
+
+    orders = [(1937956, 3463.58), (1937957, 3463.58), (1937958, 3463.58), (1937959, 3463.58), (2953297, 3099.09), (8126245, 2409.39)]
+    spark.createDataFrame(orders, "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    rows = queries.mask_perturb_shapes(spark, str(tmp_path)).collect()
+    assert len(rows) == 6 and all(r["same_shape"] and r["changed"] for r in rows)
+    side = lambda rec, source, output: (rec, {"source": source, "output": output})
+    sides = spark.createDataFrame([side(1937958, "(3463.58)", "(3463.58)"), side(1937958, "(3463.58)", "(3463.59)"), side(1937957, "$3,463.58", "$3,463.58")], "_rec long, v struct<source string, output string>")
+    assert [r["drawn"] for r in staged(sides, {"drawn": queries._as_drawn("v")}).collect()] == [True, False, False]
