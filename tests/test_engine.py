@@ -719,3 +719,14 @@ def test_a_price_that_its_factor_rounds_back_to_itself_is_no_difference(spark, t
     side = lambda rec, source, output: (rec, {"source": source, "output": output})
     sides = spark.createDataFrame([side(1937958, "(3463.58)", "(3463.58)"), side(1937958, "(3463.58)", "(3463.59)"), side(1937957, "$3,463.58", "$3,463.58")], "_rec long, v struct<source string, output string>")
     assert [r["drawn"] for r in staged(sides, {"drawn": queries._as_drawn("v")}).collect()] == [True, False, False]
+
+
+def test_columns_of_a_domain_share_a_full_space_without_rounds(spark, monkeypatch):
+    """Padded keys and what is made of them, in no order, as in mask_shared_domain."""
+    labels = []
+    monkeypatch.setattr(mapping, "cut", lambda df, label, cut=mapping.cut: (labels.append(label), cut(df, label))[1])
+    rows = [(f"{i * 37 % 100:03d}", f"{i * 37 % 100 % 7:03d}") for i in range(100)]
+    plan = Plan({c: Rule("HashId", None, "person") for c in ("a", "b")})
+    got = {r["value"]: r["output"] for r in mapping.resolve(frame(spark, ["a", "b"], rows), plan, KEY, small=0).collect()}
+    assert len(got) == len(set(got.values())) == 100 and "mapping-round" not in labels
+    assert [(got[a], got[b]) for a, b in rows] == sequential(plan, rows, ["a", "b"])
