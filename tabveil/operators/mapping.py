@@ -325,6 +325,10 @@ def _accepted(large: DataFrame, plan: Plan, key: bytes, zips: DataFrame | None)
     if walked is not None:
         full = values.filter("space is not null and maskable and tail is not null").join(walked.select("rec", "at"), ["rec", "at"], "left_anti")
         full = cut(full.withColumn("n", F.lit(strategies.BEFORE_NUMBERS)), "mapping-open")
+        emails = F.col("column").isin([c for c, r in plan.columns.items() if r.is_mapping and strategies.can_number(r) and r.options.kind == "Email"])
+        mail, full = full.filter(emails), full.filter(~emails)
+        if not mail.isEmpty():
+            walked = walked.unionByName(spaces.deal_numbers(mail, walked))
         if not full.isEmpty():
             claims.add(walked.filter("tail is not null").select(*[c.split()[0] for c in ENTRIES.split(", ")], F.lit(True).alias("won")), "mapping-held")
         state, turn = full, 0

@@ -5,7 +5,8 @@ through in the order of its values, block by block, by tasks that hold one block
 table. Inside a block all values propose at once, and a place keeps the earliest; spaces are walked side by side.
 
 Names go on as numbers when their 50 entries are taken. Once all names of a space are held, the values after that are
-left to the rounds of the mapping, which deal numbers to any number of values at once.
+dealt numbers, all at once: numbered e-mail names meet only where persons and hosts agree, so these are walked through
+side by side; names of other kinds meet only where they are the same, and are left to the rounds of the mapping.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ BLOCK = 100_000
 GIVEN = "domain string, anchor string, value string, column string, rec long, at int, tail string, own boolean, space string"
 WALKED = GIVEN + ", n int, place long, name string"
 NAMES = [c.split()[0] for c in WALKED.split(", ")]
+PLACED = "domain string, anchor string, rec long, at int, tail string, own boolean, n int, output string"
 BITS = 4096 * 8  # of a piece of Spark's bitmaps
 
 
@@ -196,5 +198,36 @@ def walk_spaces(values: DataFrame, plan: Plan, key: bytes) -> DataFrame | None:
         start = end
     walked = spark.read.schema(WALKED).parquet(*paths)
     tasks = spark.sparkContext.defaultParallelism * 2
-    schema = "domain string, anchor string, rec long, at int, tail string, own boolean, n int, output string"
-    return cut(walked.repartition(tasks, "rec", "at").mapInPandas(_outputs(plan), schema), "mapping-placed")
+    return cut(walked.repartition(tasks, "rec", "at").mapInPandas(_outputs(plan), PLACED), "mapping-placed")
+
+
+def _dealt(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The numbers of one person at one host. Rows with an output hold it already; all names are held."""
+    pdf = pdf.sort_values(["rec", "at"])
+    taken, starts, made = set(pdf["output"].dropna()), {}, []
+    pdf = pdf[pdf["output"].isna()]
+    for tail, value in zip(pdf["tail"], pdf["value"], strict=True):
+        base, n = tail.partition(" ")[2], starts.get(tail, strategies.BEFORE_NUMBERS)
+        passed = True
+        while True:
+            out = strategies.numbered("Email", base, n)
+            free = out not in taken and strategies.name_place("Email", out) < 0
+            if free and out != value:
+                break
+            passed, n = passed and not free, n + 1
+            if passed:
+                starts[tail] = n
+        taken.add(out)
+        made.append((n, out))
+    n, outputs = zip(*made, strict=True) if made else ((), ())
+    pdf = pdf.assign(n=pd.Series(n, dtype="int32", index=pdf.index), output=pd.Series(outputs, dtype=object, index=pdf.index))
+    return pdf[[c.split()[0] for c in PLACED.split(", ")]]
+
+
+def deal_numbers(left: DataFrame, walked: DataFrame) -> DataFrame:
+    """As walk_spaces, of the values with e-mail names that it leaves. A group has the values of one person at one host,
+    which are drawn: a 7,500th of a space's values, and what they hold from before the space was full."""
+    person = lambda c: F.regexp_replace(c, "[0-9]+@", "@")
+    open_ = left.select("domain", "anchor", "value", "rec", "at", "tail", "own", F.lit(None).cast("string").alias("output"), person(F.substring_index("tail", " ", -1)).alias("person"))
+    held = walked.filter((F.col("n") >= strategies.BEFORE_NUMBERS) & F.col("tail").isNotNull()).select("domain", "anchor", F.lit(None).cast("string").alias("value"), "rec", "at", "tail", "own", "output", person(F.col("output")).alias("person"))
+    return cut(open_.unionByName(held).groupBy("domain", "anchor", "person").applyInPandas(_dealt, PLACED), "mapping-dealt")

@@ -730,3 +730,22 @@ def test_columns_of_a_domain_share_a_full_space_without_rounds(spark, monkeypatc
     got = {r["value"]: r["output"] for r in mapping.resolve(frame(spark, ["a", "b"], rows), plan, KEY, small=0).collect()}
     assert len(got) == len(set(got.values())) == 100 and "mapping-round" not in labels
     assert [(got[a], got[b]) for a, b in rows] == sequential(plan, rows, ["a", "b"])
+
+
+def test_e_mail_names_of_a_full_space_are_dealt_numbers_at_once(spark):
+    """One group a person and host: numbers meet those of other names, what is held, names, and the value itself."""
+    names = ["Ada.Abel5", "ada.abel51", "ada.abel0", "ADA.ABEL5", "ada.berg5"]
+    rows, taken, want = [], {"ada.abel54@example.com", "ada.abel515@example.com", "ada.abel02@example.com"}, []
+    for i in range(600):
+        base = names[i * 7 % 5].lower() + "@example.com" if i % 5 != 3 else "ADA.ABEL5@EXAMPLE.COM"
+        value = f"ada.abel51{i % 10}@example.com" if i % 50 == 0 else f"v{i}"
+        out, n = next((o, n) for n in range(50, 2000) if (o := strategies.numbered("Email", base, n)) not in taken and o != value and strategies.name_place("Email", o) < 0)
+        taken.add(out)
+        want.append((i, out, n))
+        rows.append(("c", None, value, i, 0, f"True {base}", False))
+    held = [("c", None, -i - 1, 0, "True x", False, 50, o) for i, o in enumerate(sorted(taken - {o for _, o, _ in want}))]
+    left = spark.createDataFrame(rows[::-1], "domain string, anchor string, value string, rec long, at int, tail string, own boolean")
+    got = spaces.deal_numbers(left, spark.createDataFrame([*held, ("c", None, -9, 0, "True x", False, 3, "ada.abel7@example.com")], spaces.PLACED))
+    assert [(r["rec"], r["output"], r["n"]) for r in got.orderBy("rec").collect()] == want
+    other = spaces.deal_numbers(left.withColumn("anchor", F.lit("a")), spark.createDataFrame(held, spaces.PLACED)).orderBy("rec").collect()
+    assert other[0]["anchor"] == "a" and {r["output"] for r in other} & {h[-1] for h in held}
