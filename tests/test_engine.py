@@ -749,3 +749,11 @@ def test_e_mail_names_of_a_full_space_are_dealt_numbers_at_once(spark):
     assert [(r["rec"], r["output"], r["n"]) for r in got.orderBy("rec").collect()] == want
     other = spaces.deal_numbers(left.withColumn("anchor", F.lit("a")), spark.createDataFrame(held, spaces.PLACED)).orderBy("rec").collect()
     assert other[0]["anchor"] == "a" and {r["output"] for r in other} & {h[-1] for h in held}
+
+
+def test_shared_domain_of_all_keys_of_five_digits(spark, tmp_path):
+    """No padded key of five digits is left over, so the last ones go through nearly all outputs there are."""
+    from tabveil import queries
+
+    spark.range(100_000).select(F.col("id").alias("o_orderkey"), (F.col("id") * 7 % 100_000).alias("o_custkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    assert [tuple(r) for r in queries.mask_shared_domain(spark, str(tmp_path)).collect()] == [(100_000, True, True)]
