@@ -142,17 +142,33 @@ def ranked(headers: DataFrame, recipes: DataFrame, most: int | None = None) -> D
     return out if most is None else out.filter(F.col("place") <= most)
 
 
+#: Rows of the result that a task of assigned() makes, about, and the most tasks.
+ASSIGNED_ROWS, MOST_TASKS = 20_000_000, 20_000
+#: Columns of recipes up to which what they say is broadcast; some tens of MB.
+BROADCAST_SAID = 500_000
+#: Recipes that a list of those of one kind has at most, about; a kind of more has several lists.
+LISTED = 1000
+
+
 def assigned(headers: DataFrame, recipes: DataFrame) -> DataFrame:
     """(header, position, key, recipe, strategy): for each recipe, its strategy for the columns of a header that are the
     same name in the same occurrence; null for the others.
 
-    Recipes that say the same are one kind until the end, so that what is shuffled grows with headers and kinds of recipes;
-    the rows of all pairs are made by the last join and meet nothing more."""
+    The result grows with headers times recipes, so headers are dealt to tasks by how many rows they can become, and stay
+    there: recipes that say the same are one kind until the end, when a kind's lists of recipes are exploded, and both what
+    kinds say and these lists come by broadcast. Only headers are shuffled. Recipes of more columns than are broadcast
+    (counted) are joined as Spark sees fit."""
+    n_said, n_recipes = recipes.agg(F.count(F.lit(1)), F.count_distinct("recipe")).first()
+    tasks = max(2 * headers.sparkSession.sparkContext.defaultParallelism, min(headers.count() * n_recipes // ASSIGNED_ROWS, MOST_TASKS))
+    small = F.broadcast if n_said <= BROADCAST_SAID else lambda t: t
     said = occurrences(recipes, "recipe")
     kind = said.groupBy("recipe").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("norm", "nth", "strategy")))).cast("binary"), CLASS).alias("kind"))
     one = kind.groupBy("kind").agg(F.min("recipe").alias("recipe"))
     r = said.join(one, "recipe").select("kind", "norm", "nth", "strategy")
-    h = occurrences(keys(headers)).select("header", "position", "key", "norm", "nth")
-    pairs = h.join(r.select("kind", "norm", "nth"), ["norm", "nth"]).select("header", "kind").distinct()  # that share a name
-    each = h.join(pairs, "header").join(r, ["kind", "norm", "nth"], "left").select("header", "position", "key", "kind", "strategy")
-    return each.join(kind, "kind").select("header", "position", "key", "recipe", "strategy")
+    lists = kind.groupBy("kind", F.pmod(F.xxhash64("recipe"), F.lit(n_recipes // LISTED + 1))).agg(F.collect_list("recipe").alias("recipes"))
+    # By number: by size few tasks would get all, since headers are small and their rows of the result are not.
+    dealt = lambda t: occurrences(t.repartition(tasks, "header"))
+    h = dealt(keys(headers)).select("header", "position", "key", "norm", "nth")
+    pairs = dealt(headers).join(small(r.select("kind", "norm", "nth")), ["norm", "nth"]).select("header", "kind").distinct()  # that share a name
+    each = h.join(pairs.hint("merge"), "header").join(small(r), ["kind", "norm", "nth"], "left").select("header", "position", "key", "kind", "strategy")
+    return each.join(small(lists.select("kind", "recipes")), "kind").select("header", "position", "key", F.explode("recipes").alias("recipe"), "strategy")

@@ -80,3 +80,36 @@ def test_the_best_few_are_those_of_the_whole_ranking(spark):
     r = spark.createDataFrame(made(60, 3), "recipe long, position int, name string").withColumn("updated", (F.col("recipe") % 4).cast("string"))
     key = lambda t: sorted(tuple(x) for x in t.collect())
     assert key(headers.ranked(h, r, 3)) == key(headers.ranked(h, r).filter("place <= 3"))
+
+
+def some_recipes(spark, seed, n):
+    """Some that say the same, some of the same names that say something else."""
+    rng = random.Random(seed)
+    made = {k: [(rng.choice(POOL), rng.choice(["Keep", "Redact"])) for _ in range(rng.randint(1, 3))] for k in range(n // 2)}
+    made |= {k: [(f" {name or ''}  ", s) for name, s in made[k - n // 2]] if k % 2 else [(name, "HashId") for name, _ in made[k - n // 2]] for k in range(n // 2, n)}
+    return made, spark.createDataFrame([(k, i, name, s) for k, of in made.items() for i, (name, s) in enumerate(of, 1)], "recipe long, position int, name string, strategy string")
+
+
+def test_what_recipes_say_equals_that_of_one_header(spark, monkeypatch):
+    made = some_headers(7, 25)
+    said, saved = some_recipes(spark, 8, 40)
+    want = []
+    for h, of in made.items():
+        of = [n or "" for n in of]
+        for k, columns in said.items():
+            r = recipes.Recipe("r", "me", tuple(recipes.RecipeColumn(n or "", s) for n, s in columns))
+            if match := recipes.aligned(r, of):
+                want += [(h, i + 1, key, k, r.columns[match[i]].strategy if i in match else None) for i, key in enumerate(names.header_keys(of))]
+    key = lambda t: sorted((tuple(x) for x in t.collect()), key=str)
+    assert key(headers.assigned(table(spark, made), saved)) == sorted(want, key=str)
+    monkeypatch.setattr(headers, "BROADCAST_SAID", 10)
+    monkeypatch.setattr(headers, "LISTED", 3)
+    assert key(headers.assigned(table(spark, made), saved)) == sorted(want, key=str)
+
+
+def test_what_recipes_say_is_dealt_by_the_rows_it_makes(spark, monkeypatch):
+    """Small tables whose rows of the result are many: sizes of the input alone put them all in one task."""
+    monkeypatch.setattr(headers, "ASSIGNED_ROWS", 5_000, raising=False)
+    rows = headers.assigned(table(spark, some_headers(9, 600)), some_recipes(spark, 10, 200)[1])
+    by_task = [r["count"] for r in rows.select(F.spark_partition_id().alias("task")).groupBy("task").count().collect()]
+    assert sum(by_task) > 200_000 and len(by_task) >= 60 and max(by_task) <= 4 * 5_000
